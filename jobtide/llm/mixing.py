@@ -55,9 +55,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     })
     level = filled.withColumn("level", (F.col("budget") - F.col("caps_before")) / F.col("weights_from"))
     # Among the sources that stay open, the first in fill order has the level that holds for all.
-    first_open = F.min_by("level", F.struct(F.col("cap") / F.col("w"), F.col("source").isNull(), "source"))
-    held = level.filter(F.col("level") <= F.col("cap") / F.col("w")).agg(first_open.alias("held"))
-    return level.crossJoin(held).select("source", "source_size", F.when(F.col("w") * F.col("held") < F.col("cap"), F.col("w") * F.col("held")).otherwise(F.col("cap").cast("double")).alias("target"))
+    is_open, fill = F.col("level") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
+    held = F.min_by("level", F.when(is_open, fill)).over(all_)
+    return level.withColumn("held", held).select("source", "source_size", F.when(F.col("w") * F.col("held") < F.col("cap"), F.col("w") * F.col("held")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix-1", carry: tuple[str, ...] = ()) -> DataFrame:
