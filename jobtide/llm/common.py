@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,16 @@ def total_bytes(df: DataFrame, col: str = "text") -> int:
 def shards(n_bytes: int, per: int, least: int = 12) -> int:
     """How many groups of about `per` bytes; grows with the input, not a cap."""
     return max(least, -(-n_bytes // per))
+
+
+def portions(texts: list, chars: int = 2_000_000) -> Iterator[list]:
+    """Runs of texts (or bytes) of about `chars` in length; a longer one is a run of its own."""
+    run, n = [], 0
+    for t in texts:
+        if run and n + len(t) > chars:
+            yield run
+            run, n = [], 0
+        run.append(t)
+        n += len(t)
+    if run:
+        yield run

@@ -75,14 +75,15 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str) ->
     """One text for each blob that `ledger` does not hold at `rule_version`.
 
     The smallest path of a blob stands for it, so only hashes meet in the grouping; a text is
-    then fetched by path and blob. Repeated rows of that path may give the blob twice.
+    then fetched by path and blob. The grouping on top leaves one text of repeated rows, and
+    keeps Catalyst from moving the scan's filter below the join, where it would scan all.
     """
     first = versions.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         seen = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct()
         first = first.join(seen, "blob", "left_anti")
     first = first.select("blob", F.col("path").alias("first_path"))
-    return versions.join(first.withColumnRenamed("blob", "first_blob"), (F.col("blob") == F.col("first_blob")) & F.col("path").eqNullSafe(F.col("first_path")), "left_semi").select("blob", "text")
+    return versions.join(first.withColumnRenamed("blob", "first_blob"), (F.col("blob") == F.col("first_blob")) & F.col("path").eqNullSafe(F.col("first_path")), "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
 
 
 def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -94,11 +95,11 @@ def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text",
     """
     own = addressed(versions, path_col, text_col)
     todo = unseen(own, ledger, rule_version)
-    found = scan_blobs(todo, rules).dropDuplicates(["blob"])
+    found = scan_blobs(todo, rules)
     empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
     known = found if ledger is None else found.unionByName(ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans").filter(F.size("spans") > 0))
     per_path = own.select("path", "blob").join(known, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
-    fresh = todo.select("blob").distinct().join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans"))
+    fresh = todo.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans"))
     return per_path, fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
 
 
