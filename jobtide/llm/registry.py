@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("secret_scan", "mixing", "warc_zip", "sentencepiece_bpe", "audio")
+MODULES = ("simhash", "secret_scan", "mixing", "sentencepiece_bpe", "warc_zip", "language_id", "audio")
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
