@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "secret_scan", "mixing", "sentencepiece_bpe", "warc_zip", "ann", "language_id", "audio")
+MODULES = ("suffix_dedup", "simhash", "substring_dedup", "secret_scan", "mixing", "sentencepiece_bpe", "warc_zip", "ann", "language_id", "audio")
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
