@@ -141,29 +141,55 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     return fit(sampled(rows), idf)
 
 
+_HASHER: list[Hasher] = []
+
+
+def _hasher() -> Hasher:
+    """One a worker process."""
+    if not _HASHER:
+        _HASHER.append(Hasher())
+    return _HASHER[0]
+
+
+def judged(texts, hasher: Hasher, model: tuple[list[str], np.ndarray, np.ndarray, float]) -> list[tuple[str, float]]:
+    langs, w, bias, t = model
+    columns = [np.ascontiguousarray(w[:, j]) for j in range(len(langs))]
+    out = []
+    for text in texts:
+        slots = hasher(text) if langs else None
+        if slots is None:
+            out.append((UNKNOWN, 0.0))
+            continue
+        x = (np.array([c[slots].mean(dtype=np.float64) for c in columns]) + bias) / t
+        p = np.exp(x - x.max())
+        out.append((langs[int(p.argmax())], float(p.max() / p.sum())))
+    return out
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id, lang_pred, score; the model is SLOTS x languages numbers, shared by broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
-        langs, w, bias, t = shared.value
-        columns = [np.ascontiguousarray(w[:, j]) for j in range(len(langs))]
         for batch in batches:
-            out = []
-            for text in batch.text:
-                slots = hasher(text) if langs else None
-                if slots is None:
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                x = (np.array([c[slots].mean(dtype=np.float64) for c in columns]) + bias) / t
-                p = np.exp(x - x.max())
-                out.append((langs[int(p.argmax())], float(p.max() / p.sum())))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"]).assign(doc_id=batch.doc_id.astype("Int64").array)
+            yield pd.DataFrame(judged(batch.text, hasher, shared.value), columns=["lang_pred", "score"]).assign(doc_id=batch.doc_id.astype("Int64").array)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "lang_pred string, score double, doc_id long")
 
 
+def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, float], lang_col: str, score_col: str) -> DataFrame:
+    """All columns of docs and the prediction, without a join; the text travels once."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = "lang_pred string, score double"
+
+    @F.pandas_udf(schema)
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(judged(texts, _hasher(), shared.value), columns=["lang_pred", "score"])
+
+    return docs.withColumn("_judged", judge(text_of())).withColumns({lang_col: F.col("_judged.lang_pred"), score_col: F.col("_judged.score")}).drop("_judged")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     docs = table(spark, sf_dir, "documents")
