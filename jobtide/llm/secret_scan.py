@@ -111,7 +111,7 @@ def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET
             text = F.regexp_replace(text, pattern, mask)
             continue
         found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-        bad = F.transform(found, lambda m, r=rule: F.when(F.length(F.regexp_extract(m, r.pattern, r.group)) >= r.least, F.lit(mask)).otherwise(m))
+        bad = F.transform(found, lambda m: F.when(F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least, F.lit(mask)).otherwise(m))
         gaps = F.split(text, rule.pattern, -1)
         text = F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, bad, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")).otherwise(text)
     return text
