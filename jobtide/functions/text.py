@@ -66,8 +66,9 @@ def normalize_locations(col: Column) -> Column:
     chunks = F.flatten(F.transform(plain, lambda v: F.split(v, r"\s*(?:\||/|;|·|\n|\r|\t|\*\*)\s*")))
     fixed = F.flatten(F.transform(chunks, lambda v: F.split(F.regexp_replace(v, rf"\b({states})(?=[\s,;|·—–]*[A-Z][a-z])", "$1\u0001"), "\u0001")))
     trimmed = F.filter(F.transform(fixed, lambda v: F.btrim(F.regexp_replace(v, r"\s+", " "), F.lit(" ,;-·*—–"))), lambda v: ~F.lower(v).isin(empty))
-    lowered = F.transform(trimmed, F.lower)
-    return F.filter(trimmed, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    # Arrays bound to a lambda's variable are computed once, not once an element.
+    bound = F.transform(F.array(trimmed), lambda t: F.struct(t.alias("t"), F.transform(t, F.lower).alias("low")))
+    return F.transform(bound, lambda s: F.filter(s["t"], lambda v, i: F.array_position(s["low"], F.lower(v)) == i + 1))[0]
 
 
 def coverage_role_signature(company: Column, title: Column) -> Column:
