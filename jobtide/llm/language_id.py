@@ -92,8 +92,11 @@ def sampled(rows: DataFrame, n: int = SAMPLE) -> pd.DataFrame:
                     out.append((lang, own.astype(np.int32).tobytes(), (count / len(slots)).astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["lang", "slots", "share"])
 
-    few = rows.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "text").limit(n).select("lang", "text")
-    return few.mapInPandas(run, "lang string, slots binary, share binary").toPandas()
+    # Ids alone are ordered; n of them, a fixed bound, are then broadcast to fetch their texts.
+    ids = rows.select(F.xxhash64("doc_id").alias("order"), "doc_id").distinct().orderBy("order", "doc_id").limit(n).select(F.col("doc_id").alias("chosen"))
+    few = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen"), "left_semi").select("lang", "text")
+    got = few.mapInPandas(run, "lang string, slots binary, share binary").toPandas()
+    return got.sort_values(["lang", "slots", "share"], ignore_index=True)
 
 
 def fit(sample: pd.DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, float]:
@@ -104,10 +107,10 @@ def fit(sample: pd.DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray, n
     for lang, slots, share in zip(sample.lang, sample.slots, sample.share):
         s = np.frombuffer(slots, np.int32)
         data.append((langs.index(lang), s, np.frombuffer(share, np.float32) * idf[s]))
-    kept = data[: len(data) // 5]
-    learned = data[len(data) // 5 :]
-    z, n, w = np.zeros((SLOTS + 1, k)), np.zeros((SLOTS + 1, k)), np.zeros((SLOTS + 1, k))
     rng = np.random.default_rng(7)
+    data = [data[i] for i in rng.permutation(len(data))]
+    kept, learned = data[: len(data) // 5], data[len(data) // 5 :]
+    z, n, w = np.zeros((SLOTS + 1, k)), np.zeros((SLOTS + 1, k)), np.zeros((SLOTS + 1, k))
     for _ in range(EPOCHS):
         for i in rng.permutation(len(learned)):
             y, s, v = learned[i]

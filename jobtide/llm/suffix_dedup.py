@@ -137,9 +137,8 @@ def answer_suffixes(key: tuple, asks: pd.DataFrame) -> pd.DataFrame:
 
 def splitters_of(docs: DataFrame, n: int) -> np.ndarray:
     """At most n - 1 leading strings, from one suffix of each of SAMPLE documents."""
-    some = docs.orderBy(F.xxhash64("doc_id")).limit(SAMPLE).select(F.encode("text", "UTF-8").alias("raw"), F.xxhash64("doc_id", "text").alias("h"))
-    size = F.octet_length("raw")
-    lead = some.filter(size > LEAD).select(F.substring("raw", (F.pmod("h", size - LEAD) + 1).cast("int"), F.lit(LEAD)).alias("lead"))
+    raw, h, size = F.encode("text", "UTF-8"), F.xxhash64("doc_id", "text"), F.octet_length("text")
+    lead = docs.filter(size > LEAD).select(h.alias("h"), F.substring(raw, (F.pmod(h, size - LEAD) + 1).cast("int"), F.lit(LEAD)).alias("lead")).orderBy("h").limit(SAMPLE)
     got = np.sort(np.array([bytes(r.lead) for r in lead.collect()], f"S{LEAD}"))
     return np.unique(got[(np.arange(1, n) * len(got)) // n]) if len(got) else got
 
