@@ -16,7 +16,7 @@ OTHER: dict[str, str] = {}
 #: names that Spark builds with the DataFrame API: (function, the names it takes).
 BUILT: dict[str, tuple] = {}
 
-NAME = re.compile(r"\{(\w+)\}")
+NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 def needs(text: str) -> list[str]:
