@@ -22,29 +22,38 @@ def clean_text(col: Column) -> Column:
         (r"(?i)<\s*br\s*/?\s*>|</p>|</div>|</li>", " | "), (r"(?i)^\[(.+)\]\(https?://[^)]+\)$", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<[^>]+>", " "), ("&amp;", "&"), ("&nbsp;|\u00a0", " "), ("\ufe0f", ""),
         (r"[\x{1F1E6}-\x{1F1FF}]{2}", ""), (r"[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2B00}-\x{2BFF}]+", ""), (r"\s+", " "),
     )
-    return F.btrim(text, F.lit(" *\t|·-—–"))
+    cleaned = F.btrim(text, F.lit(" *\t|·-—–"))
+    # One test spares plain text the whole chain.
+    return F.when(col.rlike("^[A-Za-z0-9_.,()#:/+]+(?:[ -]+[A-Za-z0-9_.,()#:/+]+)*$") & ~col.contains("  "), col).otherwise(cleaned)
 
 
-def raw_company_key(col: Column) -> Column:
-    key = chain(F.lower(clean_text(col)), ("&", " and "), (r"\([^)]*\)", " "), (r"[^a-z0-9]+", " "))
+def key_of_clean(name: Column) -> Column:
+    key = chain(F.lower(name), ("&", " and "), (r"\([^)]*\)", " "), (r"[^a-z0-9]+", " "))
     return F.trim(F.regexp_replace(F.trim(key), LEGAL_SUFFIX, ""))
 
 
-def canonical_company(col: Column) -> Column:
-    """The alias of the key, else the cleaned name, else 'Unknown company'."""
+def raw_company_key(col: Column) -> Column:
+    return key_of_clean(clean_text(col))
+
+
+def company_of_clean(name: Column) -> Column:
+    """The alias of a cleaned name's key, else the name, else 'Unknown company'."""
     aliases = F.create_map(*(F.lit(x) for pair in COMPANY_ALIASES.items() for x in pair))
-    name = clean_text(col)
-    return F.coalesce(F.try_element_at(aliases, raw_company_key(col)), F.when(name != "", name), F.lit("Unknown company"))
+    return F.coalesce(F.try_element_at(aliases, key_of_clean(name)), F.when(name != "", name), F.lit("Unknown company"))
+
+
+def canonical_company(col: Column) -> Column:
+    return company_of_clean(clean_text(col))
 
 
 def company_key(col: Column) -> Column:
     return raw_company_key(canonical_company(col))
 
 
-def normalize_title(col: Column) -> Column:
+def title_of_clean(cleaned: Column) -> Column:
     """Presentation noise goes, specialisation stays; levels go after intern titles."""
     title = chain(
-        F.lower(clean_text(col)),
+        F.lower(cleaned),
         (r"\s+(?:-|–|—|\|)\s+(?:remote|hybrid|onsite|on-site|[a-z .'-]+,\s*[a-z]{2}|[a-z .'-]+,\s*(?:usa|united states))$", ""), (r"\[(?:remote|hybrid|onsite|on-site)\]", ""), (r"\s*\((?:remote|hybrid|onsite|on-site)\)\s*$", ""),
         (r"\s*\((?:summer|fall|spring|winter)\s+20\d{2}\)\s*$", ""), (r"\b(?:summer|fall|spring|winter)\s+20\d{2}\b", ""), (r"[^a-z0-9+#./ -]+", " "), (r"\s+", " "),
     )
@@ -52,6 +61,10 @@ def normalize_title(col: Column) -> Column:
     return F.when(title.contains("intern"), F.trim(F.regexp_replace(title, r"\b(?:i{1,3}|iv|v|1|2|3|4|5)\b$", ""))).otherwise(title)
 
 
+def normalize_title(col: Column) -> Column:
+    return title_of_clean(clean_text(col))
+
+
 def family_key(company: Column, title: Column, season: Column, year: Column, kind: Column) -> Column:
     parts = (company_key(company), normalize_title(title), F.coalesce(season, F.lit("")), F.coalesce(year.cast("string"), F.lit("")), F.lower(F.trim(F.coalesce(kind, F.lit("")))))
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)

@@ -96,15 +96,19 @@ def normalize_http_url(url: Column) -> Column:
 UUID = r"([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})"
 
 
-def application_identity(url: Column, source: Column, source_id: Column) -> Column:
-    """One key for copies of a requisition from different feeds."""
-    h, p = host(url), F.regexp_replace(path(url), "/+$", "")
-    job = F.when(param(url, "gh_jid") != "", param(url, "gh_jid")).when(param(url, "job_id") != "", param(url, "job_id"))
-    found = lambda ok, pattern: F.when(ok & p.rlike(pattern), F.regexp_extract(p, pattern, 1))
-    tagged = lambda tag, value: F.concat(F.lit(tag + ":"), value)
-    plain = rebuilt(scheme(url), h, rooted(F.regexp_replace(p, "/apply$", "")), query(url))
+def identity_of(scheme_: Column, h: Column, path_: Column, query_: Column, source: Column, source_id: Column) -> Column:
+    """One key for copies of a requisition from different feeds, from the parts of its URL.
+
+    The parts should be columns of their own, else each use computes its pattern again.
+    """
+    p = F.regexp_replace(path_, "/+$", "")
+    value = lambda name: F.nullif(F.regexp_extract(query_, rf"(?:^|&){name}=([^&]+)", 1), F.lit(""))
+    found = lambda ok, pattern: F.when(ok, F.nullif(F.regexp_extract(p, pattern, 1), F.lit("")))
+    tagged = lambda tag, col: F.concat(F.lit(tag + ":"), col)
+    plain = rebuilt(scheme_, h, rooted(F.regexp_replace(p, "/apply$", "")), query_)
     return F.coalesce(
-        tagged("greenhouse", job),
+        tagged("greenhouse", value("gh_jid")),
+        tagged("greenhouse", value("job_id")),
         tagged("greenhouse", found(h.contains("greenhouse"), r"/(?:jobs?|apply)/(\d+)(?:/|$)")),
         tagged("lever", F.lower(found(h == "jobs.lever.co", UUID))),
         tagged("ashby", F.lower(found(h == "jobs.ashbyhq.com", UUID))),
@@ -117,6 +121,10 @@ def application_identity(url: Column, source: Column, source_id: Column) -> Colu
     )
 
 
+def application_identity(url: Column, source: Column, source_id: Column) -> Column:
+    return identity_of(scheme(url), host(url), path(url), query(url), source, source_id)
+
+
 def is_actionable_url(url: Column) -> Column:
     return scheme(url).isin("http", "https") & ~host(url).isin(*NON_APPLICATION_HOSTS)
 

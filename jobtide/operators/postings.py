@@ -50,25 +50,28 @@ def classify_postings(postings: DataFrame) -> DataFrame:
     """
     have = set(postings.columns)
     opt = lambda name, empty: F.coalesce(F.col(name), F.lit(empty)) if name in have else F.lit(empty)
-    p = postings.withColumns({"_title": tx.clean_text(F.col("title")), "_kind": tx.clean_text(opt("employment_type", "")), "_text": F.when(tx.employer_dated(F.col("source_mode")), tx.clean_text(opt("description", ""))).otherwise("")})
+    p = postings.withColumns({"_title": tx.clean_text(F.col("title")), "_name": tx.clean_text(F.col("company")), "_kind": tx.clean_text(opt("employment_type", "")), "_text": F.when(tx.employer_dated(F.col("source_mode")), tx.clean_text(opt("description", ""))).otherwise("")})
     title, kind, body = F.col("_title"), F.col("_kind"), F.col("_text")
     years, year, season = cycle(title, body)
     p = p.withColumns({"_years": years, "_year": year, "season": season})
     p = p.withColumn("target_match", target_match(internship_evidence(title, kind, body), F.col("_years"), F.col("season"), title, body, opt("source_confirms", False)))
     return p.withColumns({
         "year": F.when(F.col("target_match") == "source_confirmed", 2027).otherwise(F.col("_year")), "category": F.coalesce(tx.category_of(F.concat_ws(" ", title, kind)), tx.category_of(body), F.lit("other")),
-        "company": tx.canonical_company(F.col("company")), "title": title, "locations": tx.normalize_locations(F.col("locations")),
-    }).drop("_title", "_kind", "_text", "_years", "_year")
+        "company": tx.company_of_clean(F.col("_name")), "title": title, "locations": tx.normalize_locations(F.col("locations")),
+    }).drop("_title", "_name", "_kind", "_text", "_years", "_year")
 
 
 def normalize_postings(postings: DataFrame) -> DataFrame:
     """Classified postings with posting_key, canonical_apply_url, identity, normalized_title, family_key."""
+    kind = F.lower(F.trim(F.coalesce(F.col("employment_type"), F.lit("")))) if "employment_type" in postings.columns else F.lit("")
+    url = F.col("canonical_apply_url")
     p = classify_postings(postings).withColumn("canonical_apply_url", ux.canonical_url(F.col("apply_url")))
-    kind = F.col("employment_type") if "employment_type" in postings.columns else F.lit(None).cast("string")
+    p = p.withColumns({"_scheme": ux.scheme(url), "_host": ux.host(url), "_path": ux.path(url), "_query": ux.query(url), "normalized_title": tx.title_of_clean(F.col("title")), "_company": tx.key_of_clean(F.col("company"))})
+    parts = ("_company", "normalized_title", F.coalesce("season", F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("")), kind)
     return p.withColumns({
-        "posting_key": F.concat_ws("|", "source", "source_id"), "identity": ux.application_identity(F.col("canonical_apply_url"), F.col("source"), F.col("source_id")),
-        "normalized_title": tx.normalize_title(F.col("title")), "family_key": tx.family_key(F.col("company"), F.col("title"), F.col("season"), F.col("year"), kind),
-    })
+        "posting_key": F.concat_ws("|", "source", "source_id"), "family_key": F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24),
+        "identity": ux.identity_of(F.col("_scheme"), F.col("_host"), F.col("_path"), F.col("_query"), F.col("source"), F.col("source_id")),
+    }).drop("_scheme", "_host", "_path", "_query", "_company")
 
 
 def from_view(view: DataFrame) -> DataFrame:

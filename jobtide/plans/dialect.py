@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +33,27 @@ def apply(key: str, spark: SparkSession, as_of: str = AS_OF, **frames: DataFrame
     return spark.sql(spark_text(TEXTS[key], as_of), **frames)
 
 
+#: Names that are computed once a session and read back, as an ingest job stores them.
+STORED: set[str] = set()
+_PATHS: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    build, takes = BUILT[name]
+    made = build(*(frame(spark, sf_dir, n) for n in takes))
+    if key not in _PATHS:
+        root = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints"
+        path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        made.write.parquet(path)
+        _PATHS[key] = path
+    return spark.read.schema(made.schema).parquet(_PATHS[key])
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A name over the tables of a folder."""
+    if name in STORED:
+        return stored(spark, sf_dir, name)
     if name in BUILT:
         build, takes = BUILT[name]
         return build(*(frame(spark, sf_dir, n) for n in takes))
@@ -44,7 +64,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def translated(text: str) -> str:
     """Spark's text in the other dialect: a few names differ."""
-    for a, b in (("secs(", "date_diff('second', "), ("array_join(", "array_to_string("), ("sha2(", "sha_256("), ("array_contains(", "list_contains("), ("cardinality(", "len("), ("named_struct(", "row("), ("date_trunc_ts(", "date_trunc(")):
+    for a, b in (("secs(", "date_diff('second', "), ("array_join(", "array_to_string("), ("sha2(", "sha_256("), ("array_contains(", "list_contains("), ("slice(", "list_slice("), ("named_struct(", "row("), ("date_trunc_ts(", "date_trunc(")):
         text = text.replace(a, b)
     return re.sub(r"sha_256\((.*?), 256\)", r"sha256(\1)", text)
 

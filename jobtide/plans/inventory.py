@@ -7,10 +7,11 @@ from __future__ import annotations
 from ..constants import BAD_STATUSES, CATEGORIES, INTERN, PROGRAM, SEASONS, SOURCE_RANK, SUMMER_2027, TARGET_RANK, TARGETS, TECH, YEAR
 from ..operators import postings as ops
 from . import dialect
-from .dialect import BUILT, OTHER, TEXTS
+from .dialect import BUILT, OTHER, STORED, TEXTS
 from .scalars import CANON, company, identity, names, norm_title, raw_key
 
 BUILT["postings"] = (ops.from_view, ("fx_postings",))
+STORED.add("postings")
 _hit = lambda p: f"regexp_matches(title, '(?i){p}')"
 OTHER["postings"] = f"""select * exclude (evidence, years), posting_key_ as posting_key from (select *, source || '|' || source_id as posting_key_, {identity('canonical_apply_url', 'source', 'source_id')} as identity, {norm_title('title')} as normalized_title,
   substr(sha256({raw_key('company')} || '|' || {norm_title('title')} || '|' || coalesce(season, '') || '|' || coalesce(year::varchar, '') || '|'), 1, 24) as family_key from
@@ -199,7 +200,7 @@ TEXTS |= {
       from (select *, row_number() over (partition by canonical_apply_url order by case when source_mode in ('direct', 'verification') then 0 else 1 end, {MATCH} desc, coalesce(posted_at, first_seen_at) desc, last_seen_at desc, posting_key) as nth from {{postings}}) r group by canonical_apply_url""",
     "fuse_families": "select family_key, count(*) as opening_count, count(case when direct then 1 end) as direct_openings, bool_or(direct) as verified, max(coalesce(posted_at, sensor_at, first_seen_at)) as market_event_at, max(posted_at) as latest_posted_at, max(sensor_at) as latest_sensor_at, min(first_seen_at) as first_detected_at, max(verified_at) as last_verified_at, cast(sum(evidence_count) as bigint) as evidence_count from {fuse_openings} group by family_key",
     "market_stats": "select count(*) as families, count(case when verified then 1 end) as verified, count(case when not verified then 1 end) as leads, cast(sum(opening_count) as bigint) as openings, count(case when latest_posted_at >= {as_of} - interval 24 hours then 1 end) as new_verified, count(case when not verified and market_event_at >= {as_of} - interval 336 hours then 1 end) as backlog, max(market_event_at) as newest_event from {fuse_families}",
-    "sensor_health": "select source, count(*) as n, max(observed_at) as freshest, secs(max(observed_at), max(max(observed_at)) over ()) as behind_seconds from {fx_observations} group by source",
+    "sensor_health": "select source, count(*) as n, max(observed_at) as freshest, secs(date_trunc('second', max(observed_at)), max(date_trunc('second', max(observed_at))) over ()) as behind_seconds from {fx_observations} group by source",
     "read_previous_first_seen": "select canonical_apply_url, min(first_seen_at) as first_seen_at from {postings} group by canonical_apply_url",
     "seed_from_snapshot": "select canonical_apply_url, posting_key from (select canonical_apply_url, posting_key, row_number() over (partition by canonical_apply_url order by last_seen_at desc, posting_key) as nth from {postings} where source_mode = 'direct' and active) r where nth = 1",
     "read_snapshot_observations": "select source, source_id, observed_at from (select *, max(observed_at) over () as newest from {fx_observations}) o where secs(observed_at, newest) <= case when source_mode = 'direct' then 259200 else 86400 end",
