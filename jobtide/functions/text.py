@@ -79,8 +79,15 @@ def normalize_locations(col: Column) -> Column:
     chunks = F.flatten(F.transform(plain, lambda v: F.split(v, r"\s*(?:\||/|;|·|\n|\r|\t|\*\*)\s*")))
     fixed = F.flatten(F.transform(chunks, lambda v: F.split(F.regexp_replace(v, rf"\b({states})(?=[\s,;|·—–]*[A-Z][a-z])", "$1\u0001"), "\u0001")))
     trimmed = F.filter(F.transform(fixed, lambda v: F.btrim(F.regexp_replace(v, r"\s+", " "), F.lit(" ,;-·*—–"))), lambda v: ~F.lower(v).isin(empty))
+    # Plain names need no more than the last step.
+    plain_names = F.forall(col, lambda v: v.rlike(r"^[A-Za-z0-9_.]+(?: [A-Za-z0-9_.]+)*$") & ~v.rlike(r"\b[A-Z]{2}(?:\b|[A-Z][a-z])|(?i:locations?|not stated)|^\d{4}"))
+    return F.when(F.coalesce(plain_names, F.lit(False)), distinct_names(col)).otherwise(distinct_names(trimmed))
+
+
+def distinct_names(names: Column) -> Column:
+    """The first of names that differ only in case, in order."""
     # Arrays bound to a lambda's variable are computed once, not once an element.
-    bound = F.transform(F.array(trimmed), lambda t: F.struct(t.alias("t"), F.transform(t, F.lower).alias("low")))
+    bound = F.transform(F.array(names), lambda t: F.struct(t.alias("t"), F.transform(t, F.lower).alias("low")))
     return F.transform(bound, lambda s: F.filter(s["t"], lambda v, i: F.array_position(s["low"], F.lower(v)) == i + 1))[0]
 
 
