@@ -157,7 +157,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     if not short.isEmpty():
         blocks = max(1, n // 16384)
         block = classes.select("rep", "vec", F.lit(0).alias("slot"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("shard"))
-        all_ = short.select(F.col("vec_id").alias("query_id"), "vec", F.lit(0).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("shard"))
+        all_ = short.select(F.col("vec_id").alias("query_id"), "vec", F.lit(0).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("shard"))
         found = found.unionByName(block.groupBy("shard").cogroup(all_.groupBy("shard")).applyInPandas(_searcher(k + 1, False), out)).dropDuplicates(["query_id", "rep"])
     by_rep = found.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("score", "rep"))).filter(F.col("place") <= k + 1)
     named = classes.select(F.col("vec").alias("class_vec"), F.col("rep").alias("class_rep"))

@@ -103,6 +103,8 @@ def fit(sample: pd.DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray, n
     """Languages, weights (SLOTS x languages, IDF folded in), biases, temperature."""
     langs = sorted(set(sample.lang))
     k = len(langs)
+    if not k:
+        return [], np.zeros((SLOTS, 0), np.float32), np.zeros(0, np.float32), 1.0
     data = []
     for lang, slots, share in zip(sample.lang, sample.slots, sample.share):
         s = np.frombuffer(slots, np.int32)

@@ -1,0 +1,306 @@
+"""Odd rows through every operator, and brute-force results on small corpora."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from jobtide.llm import ann, audio, components, language_id, mixing, secret_scan, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, warc_zip
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gid long, fp long, blob string, size long, key double, target double, component_id long"
+LONG = " ".join(f"word{i % 977}" for i in range(30_000))
+
+
+def corpus(seed=1):
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(400)}" for _ in range(400)]
+    passage = " ".join(rng.choice(words) for _ in range(70))
+    out = []
+    for i in range(40):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(5, 120)))
+        if i % 3 == 0:
+            text += " " + passage + "\ttail é\n" + str(i)
+        out.append((i, text))
+    return [*out, (40, out[0][1]), (41, out[3][1] + " x"), (42, ""), (43, None), (44, " \n"), (45, LONG), (46, LONG), (45, LONG), (None, passage), (None, None)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, None, 1, 2, "b", 3, 0.5, 0.5, 9) for i, (d, t) in enumerate(rows)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, corpus()).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+LAST = 2**63
+
+
+def covered(units, n):
+    """Removed flags of each (id, sequence): windows that start in a smaller id."""
+    first = {}
+    for d, u in units:
+        for i in range(len(u) - n + 1):
+            w = tuple(u[i : i + n])
+            first[w] = min(first.get(w, LAST), d)
+    out = []
+    for d, u in units:
+        gone = [False] * len(u)
+        for i in range(len(u) - n + 1):
+            if first[tuple(u[i : i + n])] < d:
+                gone[i : i + n] = [True] * n
+        out.append(gone)
+    return out
+
+
+def ranked(d):
+    return LAST if d is None else d
+
+
+def test_suffix_dedup(docs, none):
+    rows = [(d, (t or "").encode()) for d, t in corpus()]
+    gone = covered([(ranked(d), r) for d, r in rows], 50)
+    want = sorted((ranked(d), len(r), bytes(b for b, g in zip(r, gs) if not g)) for (d, r), gs in zip(rows, gone))
+    got = suffix_dedup.suffix_dedup(docs).collect()
+    assert sorted((ranked(r.doc_id), r.n_bytes, bytes(r.kept)) for r in got) == want
+    assert suffix_dedup.suffix_dedup(none).count() == 0
+
+
+def test_multikey_order():
+    words = np.random.default_rng(3).integers(0, 3, (500, 4)).astype(np.uint64)
+    order, group = suffix_dedup.multikey_order(words)
+    rows = [tuple(words[i]) for i in order]
+    assert rows == sorted(rows)
+    assert all((group[i] == group[i - 1]) == (rows[i] == rows[i - 1]) for i in range(1, len(rows)))
+
+
+def test_substring_dedup(docs, none):
+    rows = [(d, (t or "").encode().split()) for d, t in corpus()]
+    gone = covered([(ranked(d), w) for d, w in rows], 50)
+    want = sorted((ranked(d), len(w), b" ".join(x for x, g in zip(w, gs) if not g).decode()) for (d, w), gs in zip(rows, gone))
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert sorted((ranked(r.doc_id), r.n_words, r.kept) for r in got) == want
+    assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def test_simhash(docs, none):
+    got = simhash.near_duplicates(docs).collect()
+    rows = corpus()
+    prints = simhash.fingerprint_texts([t or "" for _, t in rows])
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (int(prints[i]) ^ int(prints[j])).bit_count() <= 3:
+                parent[root(i)] = root(j)
+    want = []
+    for i, (d, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
+        want.append((ranked(d), int(prints[i]), ranked(min(ids, default=None))))
+    assert sorted((ranked(r.doc_id), r.fp % 2**64, ranked(r.component_id)) for r in got) == sorted(want)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_links_find_every_pair(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    prints = list({b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (0, 1, 2, 3, 4, 5)})
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    got = simhash.links(spark.createDataFrame([(s, i) for i, s in enumerate(signed)], "fp long, first long")).collect()
+    pairs = [tuple(sorted((r.a, r.b))) for r in got]
+    assert sorted(pairs) == sorted((i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (102, 100), (7, 7)] + [(200, 200 + i) for i in range(1, 50)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(2, 31)}, 101: 100, 102: 100, **{200 + i: 200 for i in range(1, 50)}}
+
+
+SECRETS = ['x password = "abcdefghijkl" y', "secret: short token=token=abcdefghijklmnop", "é AKIAABCDEFGHIJKLMN and 0123456789abcdef0 API_KEY:zzzzzzzzzzzzz", "", "none here", "deadbeefdeadbeef password: secret: abcdefghijklm"]
+
+
+def test_secret_scan(spark, docs, none):
+    import re
+
+    def brute(t):
+        out = []
+        for o, (kind, p, g, least) in enumerate((("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))):
+            out += [(m.start(), o, m.end(), kind) for m in re.finditer(p, t) if len(m[g]) >= least]
+        return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*SECRETS, SECRETS[0]])], "doc_id long, text string, blob string")
+    found, ledger = secret_scan.scan(rows)
+    got = {r.path: r.s for r in found.select("path", secret_scan.joined(F.col("spans")).alias("s")).collect()}
+    assert got == {i: brute(t) for i, t in enumerate([*SECRETS, SECRETS[0]])}
+    assert ledger.count() == len(SECRETS)
+    assert secret_scan.scan(docs)[0].count() == docs.count()
+    assert secret_scan.scan(none)[0].count() == 0
+
+
+def test_ledger_scans_only_unseen(spark):
+    rows = spark.createDataFrame([(1, SECRETS[0]), (2, SECRETS[2])], "doc_id long, text string")
+    _, ledger = secret_scan.scan(rows)
+    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
+    more = rows.unionByName(spark.createDataFrame([(3, SECRETS[0]), (4, SECRETS[5])], "doc_id long, text string"))
+    own = secret_scan.addressed(more)
+    assert secret_scan.unseen(own, ledger, secret_scan.RULE_VERSION).count() == 1
+    assert secret_scan.unseen(own, ledger, "base-2").count() == 3
+    found, after = secret_scan.scan(more, ledger=ledger)
+    spans = {r.path: r.spans for r in found.collect()}
+    assert spans[3] == spans[1] and spans[4]
+    assert after.count() == 3
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([(t,) for t in SECRETS], "text string")
+    got = [r.r for r in rows.select(secret_scan.redacted(F.col("text")).alias("r")).collect()]
+    assert got[0] == 'x [SECRET]" y'
+    assert got[1].startswith("secret: short")
+    assert "AKIA" not in got[2] and "0123456789abcdef0" not in got[2] and got[4] == "none here"
+
+
+def test_mixing(docs, none):
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        by.setdefault(r.source, []).append(r)
+    for rows in by.values():
+        assert sum(r.taken for r in rows) == int(rows[0].target)
+        assert sum(r.size for r in rows) == rows[0].source_size
+    assert abs(sum(rows[0].target for rows in by.values()) - 1.5 * sum(r.size for r in got)) < 1e-6
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.mix(none).count() == 0
+
+
+def test_sentencepiece(spark, docs, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_model())
+    odd = ["  ", " a", "a ", " " * 37 + "x", "▁▁a▁", "𝒳é①\x00\n<s></s><0x41>", "ababab " * 9, "x" * 999, "漢字仮名" * 20]
+    rows = [(d, t) for d, t in corpus() if t != LONG] + list(enumerate(odd, 1000))
+    got = sentencepiece_bpe.encode(frame(spark, rows)).collect()
+    want = sorted((ranked(d), " ".join(map(str, [*sp.encode(t or ""), 2])), sp.decode(sp.encode(t or ""))) for d, t in rows)
+    assert sorted((ranked(r.doc_id), r.ids, r.decoded) for r in got) == want
+    assert all(r.n_tokens == len(r.ids.split()) for r in got)
+    assert sentencepiece_bpe.encode(none).count() == 0
+    bpe = sentencepiece_bpe.Bpe(sentencepiece_bpe.default_model())
+    assert bpe.decode([*sp.encode("round trip é 𝒳"), 2]) == "round trip é 𝒳"
+
+
+def test_warc_zip(spark):
+    big = "é" * 60
+    pages = [(5, "http://a/ b\r\n", big), (3, None, big), (9, "u", big), (9, "u", big), (1, "u", "small"), (2, "u", "small"), (4, "u", None), (None, "u", big), (None, "u", "")]
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
+    got = warc_zip.read_archives(warc_zip.write_archives(df)).collect()
+    want = [(ranked(p), len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if h == big and p != 3 else "response", 3 if h == big and p != 3 else LAST) for p, _, h in pages]
+    assert sorted((ranked(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, ranked(r.refers_to)) for r in got) == sorted(want)
+    assert warc_zip.read_archives(warc_zip.write_archives(df.limit(0))).count() == 0
+
+
+def test_zip_directories():
+    import zipfile
+    from io import BytesIO
+
+    made = warc_zip.package([("1", warc_zip.record("1", "u", b"x" * 10, "d", None))], zip64=True)
+    assert zipfile.ZipFile(BytesIO(made)).testzip() is None
+    head, payload = next(warc_zip.records_of(made))
+    assert payload == b"x" * 10 and head["warc-type"] == "response"
+    # A ZIP64 end record and locator, as archives with very many or very large members carry them.
+    end = made.rfind(b"PK\x05\x06")
+    count, length, start = int.from_bytes(made[end + 10 : end + 12], "little"), int.from_bytes(made[end + 12 : end + 16], "little"), int.from_bytes(made[end + 16 : end + 20], "little")
+    wide = b"PK\x06\x06" + (44).to_bytes(8, "little") + bytes(12) + b"".join(x.to_bytes(8, "little") for x in (count, count, length, start)) + b"PK\x06\x07" + bytes(4) + end.to_bytes(8, "little") + (1).to_bytes(4, "little") + b"PK\x05\x06" + bytes(4) + b"\xff" * 12 + bytes(2)
+    assert next(warc_zip.records_of(made[:end] + wide))[1] == b"x" * 10
+
+
+def test_ann(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(2000 + i, x[100].tolist()) for i in range(30)] + [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [None] * 16), (3004, [1.0]), (5, x[5].tolist()), (None, x[6].tolist())]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, rep string")
+    got = ann.search(df, df.filter(F.col("vec_id") % 100 == 0)).collect()
+    ids = np.array([i for i, _ in rows[:930]])
+    all_ = np.array([v for _, v in rows[:930]], np.float64)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    hits = 0
+    assert set(found) == {i for i in ids.tolist() if i % 100 == 0}
+    for q, near in found.items():
+        d = np.sqrt(((all_ - all_[ids == q][0]) ** 2).sum(axis=1))
+        best = [(float(s), int(i)) for s, i in sorted(zip(d, ids)) if i != q][:10]
+        near = sorted(near)
+        assert [n[0] for n in near] == list(range(1, 11))
+        assert [n[1:] for n in near] == sorted(n[1:] for n in near)
+        hits += len({i for _, i in best} & {n[2] for n in near})
+    assert hits >= 0.9 * 10 * len(found)
+    assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    few = df.filter("vec_id < 4 or vec_id = 100")
+    assert ann.search(few, few.filter("vec_id % 100 = 0")).groupBy("query_id").count().collect()[0]["count"] == 4
+
+
+def test_language_id(spark, none):
+    rng = random.Random(4)
+    sets = {"aa": "abcde", "bb": "vwxyz", "cc": "mnopq"}
+    rows = [(i, " ".join("".join(rng.choice(sets[k]) for _ in range(5)) for _ in range(30)), k) for i in range(240) for k in [("aa", "bb", "cc")[i % 3]]]
+    rows += [(900, None, "aa"), (901, "123 --", "bb"), (902, "", None), (None, "abc ade bed", None), (903, LONG, None)]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language_id.train(df)
+    got = language_id.predict(df, model).collect()
+    by = {r.doc_id: r for r in got}
+    held = [r for r in rows[:240] if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert sum(by[d].lang_pred == k for d, _, k in held) >= 0.97 * len(held)
+    assert all(by[d].lang_pred == "und" and by[d].score == 0 for d in (900, 901, 902))
+    assert by[None].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got)
+    nothing = language_id.train(none)
+    assert {r.lang_pred for r in language_id.predict(df, nothing).collect()} == {"und"}
+
+
+def test_audio(spark, docs, none):
+    got = audio.extract(audio.store(docs)).collect()
+    texts = {d: t for d, t in corpus()}
+    seen = {}
+    for r in got:
+        if r.doc_id is None:
+            continue
+        raw = (texts[r.doc_id] or "").encode()
+        pay = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
+        assert seen.setdefault(raw, (bytes(r.features), r.media_sha256)) == (bytes(r.features), r.media_sha256)
+    assert audio.extract(audio.store(none)).count() == 0
+
+
+def test_audio_features():
+    import wave
+    from io import BytesIO
+
+    import pyarrow as pa
+
+    tone = bytes(int(128 + 100 * np.sin(i / 3)) for i in range(6400)) + bytes([128]) * 6400
+    media = audio.to_wav(tone)
+    with wave.open(BytesIO(media)) as f:
+        assert (f.getnchannels(), f.getsampwidth(), f.readframes(f.getnframes())) == (1, 1, tone)
+    alone, (first, _, third) = audio.features([media])[0], audio.features([media, audio.to_wav(bytes(64)), media])
+    assert alone == first == third
+    table = pa.ipc.open_stream(alone).read_all()
+    assert table.schema.field("log_mel").type.shape == [audio.FRAMES, audio.MELS]
+    assert table["start_ms"].to_pylist()[0] == 0
+    spans = eval(table.schema.metadata[b"segments_ms"])
+    assert len(spans) == 1 and spans[0][0] == 0 and abs(spans[0][1] - 800) < 60
