@@ -113,9 +113,9 @@ class Asked:
         return out
 
 
-def six(h: np.ndarray) -> bytes:
-    """The low six bytes; the bucket holds some of the rest, and only a filter relies on them."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def low(h: np.ndarray) -> bytes:
+    """The low four bytes; a bucket of QUESTIONS hashes has few false hits, and only filters rely on them."""
+    return h.astype("<u4").tobytes()
 
 
 ASK = "bucket long, gid long, n long, x0 binary, x1 binary"
@@ -127,9 +127,7 @@ def repeated(level: int):
 
     def answer(key: tuple, asks: pd.DataFrame) -> pd.DataFrame:
         n = asks.n.to_numpy()
-        wide = np.zeros((int(n.sum()), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(asks.x0), np.uint8).reshape(-1, 6)
-        h = wide.view("<u8").ravel()
+        h = np.frombuffer(b"".join(asks.x0), "<u4")
         many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(asks.x1, n)]).astype(bool)
         order = np.argsort(h)
         hs = h[order]
@@ -144,5 +142,5 @@ def repeated(level: int):
 
 
 def ask_repeated(asked: Asked, gid: int) -> pd.DataFrame:
-    got = asked.sent(lambda p: six(asked.hash[p]), lambda p: np.packbits(asked.many[p]).tobytes())
+    got = asked.sent(lambda p: low(asked.hash[p]), lambda p: np.packbits(asked.many[p]).tobytes())
     return pd.DataFrame(got | {"gid": gid})[["bucket", "gid", "n", "x0", "x1"]]

@@ -4,7 +4,7 @@ A string of LENGTH = 50 bytes holds 19 stretches of 32 bytes; the one with the l
 anchor. Equal strings have equal anchors at equal places, so it is enough to sort the suffixes
 that start at anchors, with the bytes that may stand before them. First, anchors whose 32 bytes
 stand in one document alone drop out (no string there repeats). What is left is dealt to buckets
-by its leading bytes, at splitters drawn from a sample of at most SAMPLE suffixes. A bucket sorts
+by its leading bytes, at splitters drawn from a sample of about SAMPLE suffixes. A bucket sorts
 its strings by multikey quicksort, eight bytes a key, refining only runs that are still equal,
 and compares neighbours. Splitters stand between different leading bytes, so equal strings
 never lie on both sides of a boundary, and a string that all documents share is sent once a
@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import portions, table
-from .rounds import ASK, QUESTIONS, REPLY, Asked, ask_repeated, byte_values, grouped, ids_of, least_at, mixed, prefixes, repeated, windows_hash
+from .rounds import ASK, LAST_ID, QUESTIONS, REPLY, Asked, ask_repeated, byte_values, grouped, ids_of, least_at, mixed, prefixes, repeated, windows_hash
 
-LENGTH, STRETCH, LEAD, SAMPLE = 50, 32, 24, 20_000
+LENGTH, STRETCH, LEAD, SAMPLE = 50, 32, 24, 5_000
 BEFORE = LENGTH - STRETCH
 CONTEXT = BEFORE + LENGTH
 
@@ -58,7 +58,8 @@ class Part:
         begin, end = self.start[self.doc[pick], None], (self.start + self.size)[self.doc[pick], None]
         out = np.zeros((len(pick), 2 + CONTEXT), np.uint8)
         out[:, 0], out[:, 1] = self.lo[pick] - self.at[pick] + BEFORE, self.hi[pick] - self.at[pick] + BEFORE
-        inside = (place >= begin) & (place < end)
+        # What lies outside the strings is blanked, so it neither tells contexts apart nor travels.
+        inside = (place >= begin) & (place < end) & (place >= self.lo[pick, None]) & (place < self.hi[pick, None] + LENGTH)
         out[:, 2:] = np.where(inside, self.bytes[np.clip(place, 0, max(0, len(self.bytes) - 1))], 0)
         return out
 
@@ -113,32 +114,48 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def answer_suffixes(key: tuple, asks: pd.DataFrame) -> pd.DataFrame:
-    """For each context a bit a string: whether a smaller id holds the string."""
+    """For each context a bit a string: whether a smaller id holds the string.
+
+    Equal contexts of several groups are sorted together first; their strings are sorted once.
+    """
     n = asks.n.to_numpy()
     rows = np.frombuffer(b"".join(asks.x0), np.uint8).reshape(-1, 2 + CONTEXT)
     ids = np.frombuffer(b"".join(asks.x1), "<i8")
+    wide = np.zeros((len(rows), 72), np.uint8)
+    wide[:, : 2 + CONTEXT] = rows
+    order, group = multikey_order(wide.view(">u8").astype(np.uint64))
+    own = np.empty(len(rows), np.int64)
+    own[order] = group
+    rows = rows[order[np.r_[True, group[1:] != group[:-1]]]]
+    smallest = np.full(len(rows), LAST_ID)
+    np.minimum.at(smallest, own, ids)
+    least = string_minima(rows, smallest)
+    masks = ((least[own] < ids[:, None]).astype(np.uint32) << np.arange(BEFORE + 1, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    return pd.DataFrame({"gid": asks.gid, "level": 2, "bucket": int(key[0]), "reply": [m.astype("<u4").tobytes() for m in np.split(masks, np.cumsum(n)[:-1])]})
+
+
+def string_minima(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """(contexts, BEFORE + 1): the smallest id that holds the string at each place; LAST_ID where none starts."""
     count = rows[:, 1].astype(np.int64) - rows[:, 0] + 1
     owner = np.repeat(np.arange(len(rows)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + rows[owner, 0]
     # Equal strings have their anchor at equal places, so the place leads the key.
     wide = np.zeros((len(owner), 56), np.uint8)
     wide[:, 0] = place
-    flat = rows.ravel()
-    wide[:, 1 : 1 + LENGTH] = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[owner * (2 + CONTEXT) + 2 + place] if len(owner) else 0
+    wide[:, 1 : 1 + LENGTH] = np.lib.stride_tricks.sliding_window_view(rows.ravel(), LENGTH)[owner * (2 + CONTEXT) + 2 + place]
     order, group = multikey_order(wide.view(">u8").astype(np.uint64))
-    least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, ids[owner[order]])
-    bit = np.zeros(len(owner), np.uint32)
-    bit[order] = least[group] < ids[owner[order]]
-    masks = np.zeros(len(rows), np.uint32)
-    np.bitwise_or.at(masks, owner, bit << place.astype(np.uint32))
-    return pd.DataFrame({"gid": asks.gid, "level": 2, "bucket": int(key[0]), "reply": [m.astype("<u4").tobytes() for m in np.split(masks, np.cumsum(n)[:-1])]})
+    best = np.full(int(group[-1]) + 1, LAST_ID)
+    np.minimum.at(best, group, ids[owner[order]])
+    least = np.full((len(rows), BEFORE + 1), LAST_ID)
+    least[owner[order], place[order]] = best[group]
+    return least
 
 
 def splitters_of(docs: DataFrame, n: int) -> np.ndarray:
-    """At most n - 1 leading strings, from one suffix of each of SAMPLE documents."""
+    """At most n - 1 leading strings, from one suffix of each of about SAMPLE documents, drawn by hash."""
     raw, h, size = F.encode("text", "UTF-8"), F.xxhash64("doc_id", "text"), F.octet_length("text")
-    lead = docs.filter(size > LEAD).select(h.alias("h"), F.substring(raw, (F.pmod(h, size - LEAD) + 1).cast("int"), F.lit(LEAD)).alias("lead")).orderBy("h").limit(SAMPLE)
+    every = max(1, docs.count() // SAMPLE)
+    lead = docs.filter((size > LEAD) & (F.pmod(h, F.lit(every)) == 0)).select(F.substring(raw, (F.pmod(h, size - LEAD) + 1).cast("int"), F.lit(LEAD)).alias("lead"))
     got = np.sort(np.array([bytes(r.lead) for r in lead.collect()], f"S{LEAD}"))
     return np.unique(got[(np.arange(1, n) * len(got)) // n]) if len(got) else got
 
@@ -147,7 +164,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (binary), starts and ends (removed runs, in bytes of the text)."""
     rows, n_bytes = grouped(docs)
     buckets = max(12, n_bytes // 10 // QUESTIONS)
-    splitters = splitters_of(rows, max(12, n_bytes // (4 << 20)))
+    splitters = splitters_of(rows, max(12, n_bytes // (3 << 20)))
 
     def ask_anchors(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return ask_repeated(anchors(parts_of(group), buckets), int(key[0]))
