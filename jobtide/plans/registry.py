@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "inventory", "landed", "streams")
+MODULES = ("scalars", "inventory", "landed", "streams", "texts")
 
 
 def _merged(part: str) -> dict:

@@ -57,6 +57,7 @@ BOARDS = {
     "ingest_isolved": Board("success boolean, data struct<jobs:array<struct<id:string,title:string,url:string,location:string,startDate:string>>>", "case when d.success then d.data.jobs end", "job.id", first("job.title"), first("job.url"), "filter(array(job.location), n -> n is not null)", posted_raw="job.startDate"),
     "ingest_openroles": Board("value array<struct<i:string,c:string,ti:string,u:string,p:string,f:string,loc:string,s:int,r:int>>", "d.value", first("job.i", "job.u"), first("job.ti"), first("job.u"), "filter(array(nullif(trim(job.loc), '')), n -> n is not null)", posted_raw=first("job.p", "job.f"), keep="coalesce(job.s, 0) <> 1 and coalesce(job.r, 0) <> 1"),
     "ingest_registry_json": Board("value array<struct<id:string,title:string,company_name:string,url:string,locations:array<string>,active:boolean,is_visible:boolean,date_posted:string>>", "d.value", first("job.id", "job.url"), first("job.title"), first("job.url"), "coalesce(job.locations, array())", posted_raw="job.date_posted", keep="coalesce(job.active, true) and coalesce(job.is_visible, true)"),
+    "ingest_sensor_json": Board("value array<struct<id:string,title:string,role:string,url:string,link:string,apply_url:string,locations:array<string>,date_posted:string,date:string,active:boolean,is_visible:boolean>>", "d.value", first("job.id", "job.url", "job.link"), first("job.title", "job.role"), first("job.apply_url", "job.url", "job.link"), "coalesce(job.locations, array())", posted_raw=first("job.date_posted", "job.date"), keep="coalesce(job.active, true) and coalesce(job.is_visible, true)"),
     "ingest_workday": Board("total int, jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string>>", "d.jobPostings", first("job.externalPath", "job.title"), first("job.title"), "concat('https://', split_part(source, ':', 2), '.myworkdayjobs.com', job.externalPath)", "filter(array(job.locationsText), n -> n is not null)", posted_raw="job.postedOn"),
 }
 
