@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table, text_of
+from .common import WORD, table, text_of, written
 
 # Weights of the sources, repeating in their order.
 WEIGHTS = (5, 2, 1)
@@ -64,6 +64,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """doc_id, source, size, source_size, target, taken (words, repeats counted), and `carry` columns."""
     text = text_of()
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality(text)).alias("key"), F.xxhash64(text).alias("tie"), *carry)
+    if not carry:
+        # Sizes and keys alone are a small table; written once, they spare two more passes over the texts.
+        sized = written(sized, "mix")
     # 1 - exp(-key) is monotone in the key and spreads the documents over the buckets.
     sized = sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
     cells = sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
