@@ -72,18 +72,15 @@ def addressed(versions: DataFrame, path_col: str = "doc_id", text_col: str = "te
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
-    """One text for each blob that `ledger` does not hold at `rule_version`.
+    """(blob, text), one row for each blob that `ledger` does not hold at `rule_version`.
 
-    The smallest path of a blob stands for it, so only hashes meet in the grouping; a text is
-    then fetched by path and blob. The grouping on top leaves one text of repeated rows, and
-    keeps Catalyst from moving the scan's filter below the join, where it would scan all.
+    Copies combine before the shuffle. The grouping also keeps Catalyst from moving the scan's
+    filter below it, where it would scan every version.
     """
-    first = versions.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         seen = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct()
-        first = first.join(seen, "blob", "left_anti")
-    first = first.select("blob", F.col("path").alias("first_path"))
-    return versions.join(first.withColumnRenamed("blob", "first_blob"), (F.col("blob") == F.col("first_blob")) & F.col("path").eqNullSafe(F.col("first_path")), "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        versions = versions.join(seen, "blob", "left_anti")
+    return versions.groupBy("blob").agg(F.first("text").alias("text"))
 
 
 def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
