@@ -180,7 +180,7 @@ TEXTS |= {
     "dedupe_sensor_rows": "select posting_key, company, title, canonical_apply_url from (select *, row_number() over (partition by company, title, canonical_apply_url order by coalesce(posted_at, first_seen_at) desc, posting_key) as nth from {postings} where source_mode in ('registry', 'external-index')) r where nth = 1",
     "notification_representative": "select family_key, posting_key from (select family_key, posting_key, row_number() over (partition by family_key order by posted_at desc nulls last, first_seen_at desc, posting_key) as nth from {postings} where active) r where nth = 1",
     "pending_notifications": f"select f.family_key, f.title from {{families}} f where f.category in ({TECHS}) and not exists (select 1 from (select family_key from {{families}} where opening_count > 3) l where l.family_key = f.family_key) order by f.first_detected_at desc, f.family_key limit 200",
-    "bootstrap_suppress": "select family_key, 'discord' as channel from {families} where first_detected_at < {as_of} - interval 2400 hours",
+    "bootstrap_suppress": "select family_key, 'alerts' as channel from {families} where first_detected_at < {as_of} - interval 2400 hours",
     "ledger_diagnostics": "select f.family_key, l.family_key is not null as delivered, f.direct_openings > 0 as eligible from {families} f left join (select family_key from {families} where opening_count > 3) l on l.family_key = f.family_key order by f.first_detected_at desc, f.family_key limit 100",
     "channel_totals": "select category as channel, count(*) as sent, max(first_detected_at) as last_sent from {families} where opening_count > 3 group by category",
     "notification_rows": "select family_key, substring(company, 1, 80) as company, substring(title, 1, 120) as title, substring(locations, 1, 60) as place from {families} where direct_openings > 0",

@@ -50,6 +50,12 @@ def _detail(spark, sf_dir):
     return view(spark, sf_dir, "pages").select("page_id", title.alias("title"), date.alias("posted_raw"))
 
 
+def _recover(spark, sf_dir):
+    all_ = view(spark, sf_dir, "pages")
+    title, _ = pages.detail_page(c("html"))
+    return pages.recovered_pages(all_, all_.filter("page_id % 3 = 0").select("url", title.alias("title")).filter("title is not null").distinct())
+
+
 def _workday(spark, sf_dir):
     jobs = F.to_json(F.collect_list(F.struct("title", F.concat(F.lit("/job/"), "id").alias("externalPath"), c("name").alias("locationsText"), c("workday").alias("postedOn"))))
     raw = rows(spark, sf_dir).groupBy("n").agg(jobs.alias("j")).select(F.concat(F.lit("workday:acme"), "n").alias("source"), F.lit("Acme").alias("company"), F.concat(F.lit('{"total":1,"jobPostings":'), "j", F.lit("}")).alias("body"))
@@ -134,7 +140,7 @@ def _published(spark, sf_dir):
 
 def queries() -> dict:
     return {
-        "ingest_registry_markdown": _markdown, "ingest_sensor_table": _sensor, "ingest_jsonld": _jsonld, "ingest_detail_page": _detail, "ingest_workday": _workday, "ingest_sensor_json": _sensor_json, "ingest_feed_xml": _feed_xml, "ingest_feed_json": _feed_json, "ingest_url_corpus": _corpus,
+        "ingest_registry_markdown": _markdown, "ingest_sensor_table": _sensor, "ingest_jsonld": _jsonld, "ingest_detail_page": _detail, "recover_unstructured_page": _recover, "ingest_workday": _workday, "ingest_sensor_json": _sensor_json, "ingest_feed_xml": _feed_xml, "ingest_feed_json": _feed_json, "ingest_url_corpus": _corpus,
         "ingest_pattern_links": lambda spark, sf_dir: pages.job_links(view(spark, sf_dir, "fx_links").select(c("url").alias("link"))),
         "ingest_search_results_html": lambda spark, sf_dir: view(spark, sf_dir, "fx_links").select("id", F.regexp_extract("url", r"/jobs/results/(\d+)", 1).alias("job_id"), tx.humanize_slug(F.regexp_extract("url", r"/jobs/results/\d+-([\w-]+)", 1)).alias("title")).filter("job_id <> ''"),
         "tenants_from_urls": lambda spark, sf_dir: pages.tenants(view(spark, sf_dir, "fx_links")),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..constants import INTERN
+from ..functions import rules
 from ..functions import text as tx
 from ..functions import urls as ux
 
@@ -108,3 +110,19 @@ def split_legacy(rows: DataFrame) -> DataFrame:
     """Old rows with the reason they are rejected, null if they are good."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return rows.withColumn("reject", F.when(blank("posting_key"), "no key").when(blank("company"), "no company").when(blank("title"), "no title").when(~ux.scheme(F.col("apply_url")).isin("http", "https"), "no link"))
+
+
+def recovered_pages(pages: DataFrame, leads: DataFrame, least: float = 0.55) -> DataFrame:
+    """(page_id, url, html) and leads (url, title) to (page_id, title, lead_title, similarity) of open pages.
+
+    A page with a lead needs a similar title, or the lead's own title in its text; one without
+    needs an internship title and 'Summer 2027' in its text.
+    """
+    title, _ = detail_page(F.col("html"))
+    open_ = pages.withColumns({"title": title, "key": ux.canonical_url(F.col("url")), "body": F.lower(tx.clean_text(F.col("html")))}).filter(F.col("title").isNotNull() & ~rules.page_is_closed(F.col("html")))
+    one = leads.select(ux.canonical_url(F.col("url")).alias("lead_key"), F.col("title").alias("lead_title"))
+    both = open_.join(one, F.col("key") == F.col("lead_key"), "left").withColumn("similarity", tx.title_similarity(F.col("title"), F.coalesce("lead_title", F.lit(""))))
+    led = (F.col("similarity") >= least) | F.col("body").contains(F.lower("lead_title"))
+    alone = F.col("title").rlike("(?i)" + INTERN) & F.col("body").rlike(r"summer\W{0,12}2027|2027\W{0,12}summer")
+    best = F.row_number().over(W.partitionBy("page_id").orderBy(F.col("similarity").desc(), "lead_title"))
+    return both.filter(F.when(F.col("lead_title").isNotNull(), led).otherwise(alone)).withColumn("nth", best).filter("nth = 1").select("page_id", "title", "lead_title", "similarity")
