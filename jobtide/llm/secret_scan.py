@@ -38,15 +38,37 @@ RULES = (
 RULE_VERSION = "base-1"
 
 
+#: Matches a block; see `located`.
+BLOCK = 256
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _with_places(blobs: DataFrame) -> DataFrame:
+    """Adds steps, blocks and before to found and gaps.
+
+    A step is a match and the piece before it. `before` holds the lengths of all that stands before
+    each block of BLOCK steps, so a match sums its own block alone, and a text of very many matches
+    costs little more than its length. Each column reads the one before it twice, which keeps
+    Catalyst from computing it anew for every element.
+    """
+    blobs = blobs.withColumn("steps", F.zip_with("gaps", F.transform("found", F.length), lambda g, n: g + F.coalesce(n, F.lit(0))))
+    blobs = blobs.withColumn("blocks", F.transform(F.sequence(F.lit(0), (F.size("steps") / BLOCK).cast("int")), lambda b: _sum(F.slice("steps", b * BLOCK + 1, F.lit(BLOCK)))))
+    return blobs.withColumn("before", F.transform(F.sequence(F.lit(0), F.size("blocks") - 1), lambda b: _sum(F.slice("blocks", F.lit(1), b))))
+
+
 def located(rule: Rule, order: int) -> Column:
-    """array<struct<start,ord,end,kind>> from the columns found, lens and gaps; code points, end exclusive.
+    """array<struct<start,ord,end,kind>> from the columns of `_with_places`; code points, end exclusive.
 
     The pieces between the matches and the matches themselves tile the text, so a match starts
     at the summed lengths of all that stands before it.
     """
 
     def at(m: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("lens", 1, i), F.lit(0), lambda a, x: a + x)
+        block = (i / BLOCK).cast("int")
+        start = F.element_at("before", block + 1) + _sum(F.slice("steps", block * BLOCK + 1, i % BLOCK)) + F.element_at("gaps", i + 1)
         kept = F.length(m) if rule.group == 0 else F.length(F.regexp_extract(m, rule.pattern, rule.group))
         return F.struct(start.cast("long").alias("start"), F.lit(order).alias("ord"), (start + F.length(m)).cast("long").alias("end"), F.lit(rule.kind).alias("kind"), (kept >= rule.least).alias("ok"))
 
@@ -58,7 +80,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     hit = blobs.withColumns({f"found{n}": F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)) for n, rule in enumerate(rules)})
     hit = hit.filter(sum((F.size(f"found{n}") for n in range(len(rules))), F.lit(0)) > 0)
     for n, rule in enumerate(rules):
-        hit = hit.withColumns({"found": F.col(f"found{n}"), "lens": F.transform(f"found{n}", F.length), "gaps": F.transform(F.split("text", rule.pattern, -1), F.length)}).withColumn(f"spans{n}", located(rule, n))
+        hit = _with_places(hit.withColumns({"found": F.col(f"found{n}"), "gaps": F.transform(F.split("text", rule.pattern, -1), F.length)})).withColumn(f"spans{n}", located(rule, n))
     return hit.select("blob", F.array_sort(F.concat(*(f"spans{n}" for n in range(len(rules))))).alias("spans"))
 
 
