@@ -27,7 +27,9 @@ from .common import table, text_of
 SLOTS = 1 << 16
 SAMPLE = 3000
 UNKNOWN = "und"
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 1e-5, 1e-5, 3
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-5, 1e-5
+#: Updates of the weights: three passes over a full sample, more over a smaller one.
+STEPS = 7200
 
 
 class Hasher:
@@ -113,18 +115,18 @@ def fit(sample: pd.DataFrame, idf: np.ndarray) -> tuple[list[str], np.ndarray, n
     data = [data[i] for i in rng.permutation(len(data))]
     kept, learned = data[: len(data) // 5], data[len(data) // 5 :]
     z, n, w = np.zeros((SLOTS + 1, k)), np.zeros((SLOTS + 1, k)), np.zeros((SLOTS + 1, k))
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(learned)):
-            y, s, v = learned[i]
-            s, v = np.append(s, SLOTS), np.append(v, 1.0)
-            zz, nn = z[s], n[s]
-            ww = np.where(np.abs(zz) > L1, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(nn)) / ALPHA + L2), 0)
-            p = np.exp((o := v @ ww) - o.max())
-            p /= p.sum()
-            p[y] -= 1
-            g = v[:, None] * p
-            z[s] = zz + g - (np.sqrt(nn + g * g) - np.sqrt(nn)) / ALPHA * ww
-            n[s] = nn + g * g
+    turns = np.concatenate([rng.permutation(len(learned)) for _ in range(-(-STEPS // len(learned)))])
+    for i in turns[:STEPS]:
+        y, s, v = learned[i]
+        s, v = np.append(s, SLOTS), np.append(v, 1.0)
+        zz, nn = z[s], n[s]
+        ww = np.where(np.abs(zz) > L1, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(nn)) / ALPHA + L2), 0)
+        p = np.exp((o := v @ ww) - o.max())
+        p /= p.sum()
+        p[y] -= 1
+        g = v[:, None] * p
+        z[s] = zz + g - (np.sqrt(nn + g * g) - np.sqrt(nn)) / ALPHA * ww
+        n[s] = nn + g * g
     w = np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0)
     logits = np.array([v @ w[s] + w[SLOTS] for _, s, v in kept]).reshape(-1, k)
     truth = np.array([y for y, _, _ in kept], int)
