@@ -81,7 +81,10 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     hit = hit.filter(sum((F.size(f"found{n}") for n in range(len(rules))), F.lit(0)) > 0)
     for n, rule in enumerate(rules):
         hit = _with_places(hit.withColumns({"found": F.col(f"found{n}"), "gaps": F.transform(F.split("text", rule.pattern, -1), F.length)})).withColumn(f"spans{n}", located(rule, n))
-    return hit.select("blob", F.array_sort(F.concat(*(f"spans{n}" for n in range(len(rules))))).alias("spans"))
+    spans = hit.select("blob", F.array_sort(F.concat(*(f"spans{n}" for n in range(len(rules))))).alias("spans"))
+    # Blobs are already dealt by their address, so this moves nothing; it keeps a later filter on
+    # spans from being pushed into the scan, where every column above would be computed many times.
+    return spans.groupBy("blob").agg(F.first("spans").alias("spans"))
 
 
 def joined(spans: Column) -> Column:
