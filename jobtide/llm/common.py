@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,14 +23,21 @@ def text_of(col: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
+    """A fresh path in the folder that driver and executors share.
+
+    Only where driver and executors are one process, as in tests, is an unset folder replaced.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _OWN.setdefault("root", f"file:{tempfile.gettempdir()}/checkpoints")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_OWN: dict[str, str] = {}
+
+
 def written(df: DataFrame, purpose: str, **options) -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it again."""
     path = shared_dir(df.sparkSession, purpose)
@@ -47,6 +55,11 @@ def shards(n_bytes: int, per: int, least: int = 12) -> int:
     return max(least, -(-n_bytes // per))
 
 
+def tasks(groups: int) -> int:
+    """Partitions for so many groups: one each, and from 50,000 on 16 a partition, so tasks keep their size."""
+    return min(groups, max(50_000, groups // 16))
+
+
 def portions(texts: list, chars: int = 2_000_000) -> Iterator[list]:
     """Runs of texts (or bytes) of about `chars` in length; a longer one is a run of its own."""
     run, n = [], 0

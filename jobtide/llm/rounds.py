@@ -5,7 +5,8 @@ hash it asks about once, to the bucket of the hash, whatever the number of docum
 it; buckets gather what the groups sent and reply to each group in the order it asked. A group
 finds its order again from its documents, so a reply is a bit or a few bytes a question. A hash
 that all documents share thus costs a bucket one entry a group. The documents' own shuffle is the
-same subplan in all rounds, which Spark runs once.
+same subplan in all rounds, which Spark runs once. Hashes of windows only filter (equal windows have
+equal hashes); what is removed is decided by the bytes, or by 128-bit digests of them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shards, text_of, total_bytes
+from .common import shards, tasks, text_of, total_bytes
 
 GROUP_BYTES = 12 << 20
 QUESTIONS = 2_000_000
@@ -61,22 +62,34 @@ def byte_values(raw: np.ndarray) -> np.ndarray:
     return _BYTE[raw]
 
 
-def least_at(h: np.ndarray, w: int) -> np.ndarray:
+#: Places take 28 bits of a key; longer arrays are done in parts that overlap.
+PLACES = 1 << 28
+
+
+def least_at(h: np.ndarray, w: int, most: int = PLACES) -> np.ndarray:
     """The place of the least of each w hashes in a row, leftmost of equals (36 bits decide)."""
+    if len(h) > most:
+        step = most - w + 1
+        return np.concatenate([least_at(h[at : at + most], w, most) + at for at in range(0, len(h) - w + 1, step)])
     key = (h >> np.uint64(28) << np.uint64(28)) | np.arange(len(h), dtype=np.uint64)
     step, n = 1, max(0, len(h) - w + 1)
     while 2 * step <= w:
         key = np.minimum(key[:-step], key[step:])
         step *= 2
-    return (np.minimum(key[:n], key[w - step : w - step + n]) & np.uint64((1 << 28) - 1)).astype(np.int64)
+    return (np.minimum(key[:n], key[w - step : w - step + n]) & np.uint64(PLACES - 1)).astype(np.int64)
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(gid, doc_id, text) and the bytes of all texts."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(gid, doc_id, text), one partition a group or few, the number of partitions, and the bytes of all texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     n_bytes = total_bytes(rows)
     n = shards(n_bytes, GROUP_BYTES)
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("gid"), "doc_id", "text"), n_bytes
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("gid"), "doc_id", "text").repartition(tasks(n), "gid"), tasks(n), n_bytes
+
+
+def answered(asks: DataFrame, answer, buckets: int) -> DataFrame:
+    """The replies of all buckets; partitions follow their number, so tasks keep their size."""
+    return asks.repartition(tasks(buckets), "bucket").groupBy("bucket").applyInPandas(answer, REPLY)
 
 
 def ids_of(docs: pd.DataFrame) -> np.ndarray:
@@ -85,19 +98,25 @@ def ids_of(docs: pd.DataFrame) -> np.ndarray:
 
 
 class Asked:
-    """The distinct hashes of a group's questions, dealt to buckets; `least` is each one's smallest id."""
+    """The distinct questions of a group, dealt to buckets; `least` is each one's smallest id.
+
+    Equal hashes are one question, or, where `exact` rows are given, equal hashes of equal rows are.
+    Questions stand in a bucket in the order of `by` (by default that of their hashes).
+    """
 
-    def __init__(self, h: np.ndarray, ids: np.ndarray, buckets: int, bucket_of: Callable | None = None):
+    def __init__(self, h: np.ndarray, ids: np.ndarray, buckets: int, bucket_of: Callable | None = None, exact: np.ndarray | None = None, by: Callable | None = None):
         order = np.lexsort((ids, h))
         hs, ds = h[order], ids[order]
         new = np.r_[True, hs[1:] != hs[:-1]] if len(hs) else np.zeros(0, bool)
+        if exact is not None and len(hs):
+            new[1:] |= (exact[order[1:]] != exact[order[:-1]]).any(axis=1)
         first = np.flatnonzero(new)
         self.hash, self.least, self.pick = hs[first], ds[first], order[first]
         self.many = ds[np.r_[first[1:], len(hs)] - 1] != self.least if len(hs) else np.zeros(0, bool)
         self.of = np.empty(len(h), np.int64)
         self.of[order] = np.cumsum(new) - 1
         bucket = bucket_of(self.pick) if bucket_of else ((self.hash >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
+        self.order = np.lexsort((*by(self.pick), bucket)) if by else np.argsort(bucket, kind="stable")
         self.bucket, at = np.unique(bucket[self.order], return_index=True)
         self.parts = [self.order[a:b] for a, b in zip(at, np.r_[at[1:], len(self.order)])]
 
@@ -118,6 +137,18 @@ def low(h: np.ndarray) -> bytes:
     return h.astype("<u4").tobytes()
 
 
+def packed(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpacked(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 ASK = "bucket long, gid long, n long, x0 binary, x1 binary"
 REPLY = "gid long, level long, bucket long, reply binary"
 

@@ -6,7 +6,9 @@ left are asked for the smallest document that holds them. At the first length it
 look at the least of the 13 windows inside each window of 25. A word goes if a window of 50
 over it also starts in a document with a smaller doc_id.
 
-Words are compared by 64-bit hashes of their bytes, windows by 64-bit hashes of those.
+The two filtering levels compare 64-bit hashes, where a collision only lets a window pass. At the
+last level windows are compared by 128-bit BLAKE2 digests of their words' bytes, which nobody can
+make collide.
 
 Defined cases: null and blank texts have no words; texts under 50 words stay whole; rows that
 repeat a doc_id count as one document and never remove from each other; null ids come last;
@@ -15,13 +17,15 @@ empty tables give empty results; extra input columns are ignored, whatever their
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import portions, table
-from .rounds import ASK, QUESTIONS, REPLY, Asked, ask_repeated, byte_values, grouped, ids_of, least_at, prefixes, repeated, spans_hash, windows_hash
+from .rounds import ASK, QUESTIONS, Asked, answered, ask_repeated, byte_values, grouped, ids_of, least_at, prefixes, repeated, spans_hash, windows_hash
 
 LENGTH, HALF, QUARTER = 50, 25, 13
 
@@ -36,7 +40,7 @@ class Part:
         blank = (raw == 32) | (raw >= 9) & (raw <= 13)
         before = np.r_[True, blank[:-1]]
         start, end = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
-        self.raws = raws
+        self.raws, self.bytes, self.blank, self.lens = raws, raw, blank, end - start
         stop = np.cumsum(size)
         self.n = np.diff(np.searchsorted(start, np.r_[0, stop]))
         self.first = np.cumsum(self.n) - self.n
@@ -49,6 +53,17 @@ class Part:
         self.halves = np.flatnonzero(self.left >= HALF)
         self.seen = np.unique(self.pick[self.halves])
 
+    def digests(self, k: np.ndarray) -> np.ndarray:
+        """(n, 2) words of the digests of the windows of LENGTH words that start at the words k."""
+        if not len(k):
+            return np.zeros((0, 2), np.uint64)
+        joined = np.full(int(self.lens.sum()) + len(self.lens), 32, np.uint8)
+        own = np.repeat(np.arange(len(self.lens)), self.lens)
+        joined[np.arange(len(own)) + own] = self.bytes[~self.blank]
+        stop = np.cumsum(self.lens + 1) - 1
+        text, begin, end = joined.tobytes(), (stop - self.lens)[k].tolist(), stop[k + LENGTH - 1].tolist()
+        return np.frombuffer(b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begin, end)]), "<u8").reshape(-1, 2)
+
 
 def parts_of(docs: pd.DataFrame) -> list[Part]:
     raws, ids, at, out = [t.encode() for t in docs.text], ids_of(docs), 0, []
@@ -83,8 +98,8 @@ def halves(parts: list[Part], replies: pd.DataFrame, buckets: int) -> tuple[list
     return places, _asked([(spans_hash(p.prefix, k, k + HALF), p.ids[k]) for p, k in zip(parts, places)], buckets)
 
 
-def wholes(parts: list[Part], replies: pd.DataFrame, buckets: int) -> tuple[list[np.ndarray], Asked]:
-    """Windows of 50 words of which both halves repeat."""
+def wholes(parts: list[Part], replies: pd.DataFrame, buckets: int) -> tuple[list[np.ndarray], Asked, np.ndarray]:
+    """Windows of 50 words of which both halves repeat, and their digests."""
     at, asked = halves(parts, replies, buckets)
     yes = asked.replied(replies[replies.level == 2], "bit")[asked.of]
     places = []
@@ -93,15 +108,17 @@ def wholes(parts: list[Part], replies: pd.DataFrame, buckets: int) -> tuple[list
         flag[k] = own
         k = k[own & (part.left[k] >= LENGTH)]
         places.append(k[flag[k + HALF]])
-    return places, _asked([(spans_hash(p.prefix, k, k + LENGTH), p.ids[k]) for p, k in zip(parts, places)], buckets)
+    digests = np.concatenate([p.digests(k) for p, k in zip(parts, places)]) if parts else np.zeros((0, 2), np.uint64)
+    ids = np.concatenate([p.ids[k] for p, k in zip(parts, places)]) if parts else np.zeros(0, np.int64)
+    return places, Asked(digests[:, 0], ids, buckets, exact=digests), digests
 
 
 def answer_smaller(key: tuple, asks: pd.DataFrame) -> pd.DataFrame:
     """A bit a window: whether another group holds it in a document with a smaller id."""
     n = asks.n.to_numpy()
-    h, ids = np.frombuffer(b"".join(asks.x0), "<u8"), np.frombuffer(b"".join(asks.x1), "<i8")
-    order = np.lexsort((ids, h))
-    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    h, ids = np.frombuffer(b"".join(asks.x0), "<u8").reshape(-1, 2), np.frombuffer(b"".join(asks.x1), "<i8")
+    order = np.lexsort((ids, h[:, 1], h[:, 0]))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]).any(axis=1)]
     least = ids[order][new]
     said = np.empty(len(h), bool)
     said[order] = least[np.cumsum(new) - 1] < ids[order]
@@ -110,7 +127,7 @@ def answer_smaller(key: tuple, asks: pd.DataFrame) -> pd.DataFrame:
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    rows, n_bytes = grouped(docs)
+    rows, parts_, n_bytes = grouped(docs)
     buckets = max(12, n_bytes // 30 // QUESTIONS)
 
     def ask_quarters(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -120,13 +137,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         return ask_repeated(halves(parts_of(group), replies, buckets)[1], int(key[0]))
 
     def ask_wholes(key: tuple, group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        asked = wholes(parts_of(group), replies, buckets)[1]
-        got = asked.sent(lambda p: asked.hash[p].astype("<u8").tobytes(), lambda p: asked.least[p].astype("<i8").tobytes())
+        _, asked, digests = wholes(parts_of(group), replies, buckets)
+        got = asked.sent(lambda p: digests[asked.pick[p]].astype("<u8").tobytes(), lambda p: asked.least[p].astype("<i8").tobytes())
         return pd.DataFrame(got | {"gid": int(key[0])})[["bucket", "gid", "n", "x0", "x1"]]
 
     def finish(key: tuple, group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         parts = parts_of(group)
-        places, asked = wholes(parts, replies, buckets)
+        places, asked, _ = wholes(parts, replies, buckets)
         smaller = asked.replied(replies[replies.level == 3], "bit")
         out, at = [], 0
         for part, k in zip(parts, places):
@@ -143,14 +160,14 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 out.append((n, n - len(kept), b" ".join(kept).decode()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"]).assign(doc_id=group.doc_id.astype("Int64").array)
 
-    def round_(replies: DataFrame, ask, answer) -> DataFrame:
-        return rows.groupBy("gid").cogroup(replies.groupBy("gid")).applyInPandas(ask, ASK).groupBy("bucket").applyInPandas(answer, REPLY)
+    def met(replies: DataFrame, step, schema: str) -> DataFrame:
+        return rows.groupBy("gid").cogroup(replies.repartition(parts_, "gid").groupBy("gid")).applyInPandas(step, schema)
 
-    first = rows.groupBy("gid").applyInPandas(ask_quarters, ASK).groupBy("bucket").applyInPandas(repeated(1), REPLY)
-    second = round_(first, ask_halves, repeated(2))
-    third = round_(first.unionByName(second), ask_wholes, answer_smaller)
+    first = answered(rows.groupBy("gid").applyInPandas(ask_quarters, ASK), repeated(1), buckets)
+    second = answered(met(first, ask_halves, ASK), repeated(2), buckets)
+    third = answered(met(first.unionByName(second), ask_wholes, ASK), answer_smaller, buckets)
     replies = first.unionByName(second).unionByName(third)
-    return rows.groupBy("gid").cogroup(replies.groupBy("gid")).applyInPandas(finish, "n_words long, n_removed long, kept string, doc_id long")
+    return met(replies, finish, "n_words long, n_removed long, kept string, doc_id long")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
