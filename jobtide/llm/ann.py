@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of TABLES tables hashes a vector by WIDTH Gaussian projections, shifted and floored into
-cells of `CELL` standard deviations. A query visits, in each table, the PROBES buckets whose
-perturbations (-1, 0 or +1 a projection) have the smallest summed squared distance to the
-query, which is the order of estimated success. Candidates of all tables are reranked by exact
-Euclidean distance in double precision. Projections' scale and centre come from a sample of at
-most SAMPLE vectors (those with the smallest hashes of their ids); every vector is indexed.
+Each of TABLES tables hashes a vector by Gaussian projections with cells so wide that every
+projection has two of them, which meet at the sample's centre; a bucket is the row of its cells.
+A query visits PROBES buckets a table: those whose perturbed projections have the smallest
+expected sum of squared distances to the cells' edge, which is the order of estimated success.
+The number of projections grows with the logarithm of the vectors, so the share of them that a
+query sees falls as they become more (`width`). Candidates of all tables are merged and reranked
+by exact Euclidean distance in double precision. The centre comes from a sample of at most SAMPLE
+vectors (those with the smallest hashes of their ids); every vector is indexed.
+
+Only ids and bucket numbers travel through the index: candidates meet their vectors in shards of
+about SHARD vectors, to which each query's vector goes once.
 
 Equal vectors enter the index once, so a very common vector fills no bucket; a class hands on
 its least members, as many as a result can hold. Buckets over CHUNK vectors are dealt to
@@ -13,15 +18,16 @@ several groups, which the queries visit all. A query that finds fewer than it co
 searched again against all vectors, in blocks.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another
-length than the sample's first take no part; ties go to the smaller vec_id; rows that repeat a
+length than most of the sample take no part; ties go to the smaller vec_id; rows that repeat a
 vec_id count once a class; rows with a null id take no part; an empty table gives an empty
 result; extra input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -31,39 +37,55 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-TABLES, WIDTH, CELL, PROBES, SAMPLE, CHUNK = 10, 8, 2.0, 240, 2000, 4096
-DELTAS = np.array(list(product((-1, 0, 1), repeat=WIDTH)), np.int8)
+TABLES, PROBES, SAMPLE, CHUNK, SHARD = 24, 500, 2000, 4096, 8192
+
+
+def width(n: int) -> int:
+    """Projections a table for n vectors: 14 for 500, one more for each eightfold."""
+    return max(14, 14 + round((np.log2(max(n, 1)) - 9) / 3))
+
+
+def likeliest(costs: np.ndarray, n: int) -> np.ndarray:
+    """(up to n, len(costs)) sets of places, by ascending sums of the ascending costs; the empty set first."""
+    out, heap = [()], [(costs[0], (0,))]
+    while heap and len(out) < n:
+        total, places = heapq.heappop(heap)
+        out.append(places)
+        last = places[-1]
+        if last + 1 < len(costs):
+            step = costs[last + 1]
+            heapq.heappush(heap, (total + step, (*places, last + 1)))
+            heapq.heappush(heap, (total + step - costs[last], (*places[:-1], last + 1)))
+    chosen = np.zeros((len(out), len(costs)), bool)
+    for row, places in zip(chosen, out):
+        row[list(places)] = True
+    return chosen
 
 
 class Hashes:
-    """The tables' projections, from a bounded sample."""
+    """The tables' projections, from a bounded sample, and the order of perturbations."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 5):
+    def __init__(self, sample: np.ndarray, bits: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.centre = sample.mean(axis=0)
-        self.a = rng.standard_normal((sample.shape[1], TABLES * WIDTH))
-        spread = ((sample - self.centre) @ self.a).std(axis=0)
-        self.cell = CELL * np.where(spread > 0, spread, 1)
-        self.shift = rng.random(TABLES * WIDTH)
+        self.centre, self.bits = sample.mean(axis=0), bits
+        self.a = rng.standard_normal((sample.shape[1], TABLES * bits))
+        # The expected squares of the 1st, 2nd, ... smallest of so many normal distances.
+        self.flips = likeliest((np.sort(np.abs(rng.standard_normal((4000, bits))), axis=1) ** 2).mean(axis=0), PROBES)
 
     def places(self, x: np.ndarray) -> np.ndarray:
-        """(n, TABLES, WIDTH) real cells."""
-        return (((x - self.centre) @ self.a) / self.cell + self.shift).reshape(-1, TABLES, WIDTH)
+        """(n, TABLES, bits) distances from the cells' edge."""
+        return ((x - self.centre) @ self.a).reshape(-1, TABLES, self.bits)
 
-    @staticmethod
-    def bucket(cells: np.ndarray) -> np.ndarray:
-        """One long for the cells on the last axis (each within 8 bits; beyond, it wraps alike for all)."""
-        return ((cells.astype(np.int64) & 255) << (8 * np.arange(WIDTH))).sum(axis=-1)
+    def buckets(self, x: np.ndarray) -> np.ndarray:
+        """(n, TABLES) numbers."""
+        return ((self.places(x) >= 0) << np.arange(self.bits)).sum(axis=2)
 
     def probes(self, x: np.ndarray) -> np.ndarray:
         """(n, TABLES, PROBES) buckets, likeliest first."""
         at = self.places(x)
-        cell = np.floor(at)
-        inner = at - cell
-        cost = np.stack([inner**2, np.zeros_like(inner), (1 - inner) ** 2])
-        total = sum(cost[:, :, :, j][DELTAS[:, j] + 1] for j in range(WIDTH))  # (deltas, n, tables)
-        best = np.argsort(total, axis=0, kind="stable")[: min(PROBES, len(DELTAS))]
-        return self.bucket(np.moveaxis(cell[None] + DELTAS[best], 0, 2))
+        own = ((at >= 0) << np.arange(self.bits)).sum(axis=2)
+        nearest_edge = np.argsort(np.abs(at), axis=2, kind="stable")
+        return own[..., None] ^ ((1 << nearest_edge) @ self.flips.T.astype(np.int64))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -86,79 +108,103 @@ def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.n
     return row, ids[col], np.sqrt(((q[row] - x[col]) ** 2).sum(axis=1))
 
 
-def _least(query: np.ndarray, rep: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k best, without repeats."""
-    got = pd.DataFrame({"query_id": query, "rep": rep, "score": score}).drop_duplicates(["query_id", "rep"]).sort_values(["query_id", "score", "rep"])
-    return got.groupby("query_id", sort=False).head(k)
-
-
-def _searcher(k: int, by_bucket: bool):
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = [], [], []
-        if len(vectors) and len(queries):
-            q_at = {b: g for b, g in queries.groupby("slot").indices.items()} if by_bucket else {0: np.arange(len(queries))}
-            v_at = vectors.groupby("slot").indices if by_bucket else {0: np.arange(len(vectors))}
-            vec, ids, qid = _stack(vectors.vec), vectors.rep.to_numpy(), queries.query_id.to_numpy()
-            qvec = _stack(queries.vec)
-            for b, mine in v_at.items():
-                if (asks := q_at.get(b)) is None:
-                    continue
-                for at in range(0, len(asks), 512):
-                    row, rep, score = nearest(vec[mine], ids[mine], qvec[asks[at : at + 512]], k)
-                    for one, got in zip(found, (qid[asks[at : at + 512]][row], rep, score)):
-                        one.append(got)
-        return _least(*map(np.concatenate, found), k) if found[0] else pd.DataFrame({"query_id": [], "rep": [], "score": []}).astype({"query_id": "int64", "rep": "int64"})
+FOUND = "query_id long, rep long, score double"
+
+
+def _table(query: list, rep: list, score: list, k: int) -> pd.DataFrame:
+    """Each query's k best."""
+    if not query:
+        return pd.DataFrame({"query_id": [], "rep": [], "score": []}).astype({"query_id": "int64", "rep": "int64", "score": "float64"})
+    got = pd.DataFrame({"query_id": np.concatenate(query), "rep": np.concatenate(rep), "score": np.concatenate(score)})
+    return got.drop_duplicates(["query_id", "rep"]).sort_values(["query_id", "score", "rep"]).groupby("query_id", sort=False).head(k)
+
+
+def _reranked(k: int):
+    """Exact distances of the candidates (reps) of each query among a shard's vectors."""
+
+    def run(vectors: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        query, rep, score = [], [], []
+        if len(asks):
+            order = np.argsort(vectors.rep.to_numpy())
+            ids, x = vectors.rep.to_numpy()[order], _stack(vectors.vec)[order]
+            for one, q, reps in zip(asks.query_id, asks.vec, asks.reps):
+                at = np.searchsorted(ids, reps)
+                d = np.sqrt(((q - x[at]) ** 2).sum(axis=1))
+                best = np.lexsort((reps, d))[:k]
+                query.append(np.full(len(best), one))
+                rep.append(np.asarray(reps)[best])
+                score.append(d[best])
+        return _table(query, rep, score, k)
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score. Both: (vec_id, embedding); a query's own id is no candidate."""
-    spark = vectors.sparkSession
-    ok = usable(vectors)
-    few = [r.vec for r in ok.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    few = np.array([v for v in few if len(v) == len(few[0])]) if few else np.zeros((1, 1))
-    ok, ask = (d.filter(F.size("vec") == few.shape[1]) for d in (ok, usable(queries)))
-    hashes = spark.sparkContext.broadcast(Hashes(few))
-    classes = written(ok.groupBy("vec").agg(F.min("vec_id").alias("rep")), "ann")
-    n = classes.count()
+def _searched(k: int):
+    """The nearest of all of a block's vectors to every query."""
+
+    def run(vectors: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        query, rep, score = [], [], []
+        if len(vectors) and len(asks):
+            x, ids, q, names = _stack(vectors.vec), vectors.rep.to_numpy(), _stack(asks.vec), asks.query_id.to_numpy()
+            for at in range(0, len(q), 512):
+                row, found, d = nearest(x, ids, q[at : at + 512], k)
+                query.append(names[at : at + 512][row])
+                rep.append(found)
+                score.append(d)
+        return _table(query, rep, score, k)
+
+    return run
+
+
+def candidates(classes: DataFrame, ask: DataFrame, hashes, tasks: int) -> DataFrame:
+    """(q, rep), with repeats, of the vectors that the tables show to each query."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cells = np.floor(hashes.value.places(_stack(b.vec))) if len(b) else np.zeros((0, TABLES, WIDTH))
-            yield pd.DataFrame({"rep": np.repeat(b.rep.to_numpy(), TABLES), "tab": np.tile(np.arange(TABLES), len(b)), "bucket": Hashes.bucket(cells).ravel(), "vec": b.vec.repeat(TABLES).array})
+            if len(b):
+                yield pd.DataFrame({"rep": b.rep, "buckets": list(hashes.value.buckets(_stack(b.vec)))})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 b = batch[at : at + 64]
-                got = hashes.value.probes(_stack(b.vec))
-                per = got.shape[1] * got.shape[2]
-                yield pd.DataFrame({"query_id": np.repeat(b.vec_id.to_numpy(), per), "tab": np.tile(np.repeat(np.arange(TABLES), got.shape[2]), len(b)), "bucket": got.ravel(), "vec": b.vec.repeat(per).array})
+                yield pd.DataFrame({"q": b.q, "buckets": list(hashes.value.probes(_stack(b.vec)).reshape(len(b), -1))})
 
-    ask = ask.dropDuplicates(["vec_id", "vec"])
-    indexed = classes.mapInPandas(index, "rep long, tab int, bucket long, vec array<double>")
-    probes = ask.mapInPandas(probe, "query_id long, tab int, bucket long, vec array<double>")
+    indexed = classes.select("rep", "vec").mapInPandas(index, "rep long, buckets array<long>").select("rep", F.posexplode("buckets").alias("tab", "bucket"))
+    probes = ask.select("q", "vec").repartition(tasks, "q").mapInPandas(probe, "q long, buckets array<long>").select("q", F.posexplode("buckets").alias("nth", "bucket"))
+    probes = probes.select("q", F.floor(F.col("nth") / hashes.value.flips.shape[0]).cast("int").alias("tab"), "bucket")
     hot = indexed.groupBy("tab", "bucket").count().filter(F.col("count") > CHUNK).select("tab", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
-    groups = max(12, n * TABLES // 8192)
+    dealt = indexed.join(hot, ["tab", "bucket"], "left").select("tab", "bucket", "rep", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
+    asked = probes.join(hot, ["tab", "bucket"], "left").select("tab", "bucket", "q", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(asked, ["tab", "bucket", "part"]).select("q", "rep")
 
-    def dealt(rows: DataFrame, *cols: str) -> DataFrame:
-        slot = F.xxhash64("tab", "bucket", "part")
-        return rows.select(*cols, "vec", slot.alias("slot"), F.pmod(slot, F.lit(groups)).alias("shard"))
 
-    in_groups = dealt(indexed.join(hot, ["tab", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")), "rep")
-    asked = dealt(probes.join(hot, ["tab", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "query_id")
-    out = "query_id long, rep long, score double"
-    found = in_groups.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_searcher(k + 1, True), out)
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score. Both: (vec_id, embedding); a query's own id is no candidate."""
+    spark = vectors.sparkSession
+    ok = usable(vectors)
+    few = [r.vec for r in ok.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    length = Counter(map(len, few)).most_common(1)[0][0] if few else 1
+    few = np.array([v for v in few if len(v) == length]) if few else np.zeros((1, 1))
+    ok, ask = (d.filter(F.size("vec") == length) for d in (ok, usable(queries)))
+    classes = written(ok.groupBy("vec").agg(F.min("vec_id").alias("rep")), "ann")
+    ask = written(ask.dropDuplicates(["vec_id", "vec"]).select(F.monotonically_increasing_id().alias("q"), F.col("vec_id").alias("query_id"), "vec"), "ann")
+    n, asked = classes.count(), ask.count()
+    hashes = spark.sparkContext.broadcast(Hashes(few, width(n)))
+    shards = max(12, -(-n // SHARD))
+    shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard")
+    pairs = candidates(classes, ask, hashes, max(12, asked // 2048)).groupBy("q", shard).agg(F.collect_set("rep").alias("reps"))
+    asks = pairs.join(ask.withColumnRenamed("q", "own"), F.col("q") == F.col("own")).select("shard", "query_id", "vec", "reps")
+    found = classes.select("rep", "vec", shard).groupBy("shard").cogroup(asks.groupBy("shard")).applyInPandas(_reranked(k + 1), FOUND)
     found = written(found.dropDuplicates(["query_id", "rep"]), "ann")
-    enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k + 1, n)).select(F.col("query_id").alias("vec_id"))
-    short = written(ask.join(enough, "vec_id", "left_anti"), "ann")
+    enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k + 1, n)).select("query_id")
+    short = written(ask.join(enough, "query_id", "left_anti"), "ann")
     if not short.isEmpty():
         blocks = max(1, n // 16384)
-        block = classes.select("rep", "vec", F.lit(0).alias("slot"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("shard"))
-        all_ = short.select(F.col("vec_id").alias("query_id"), "vec", F.lit(0).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("shard"))
-        found = found.unionByName(block.groupBy("shard").cogroup(all_.groupBy("shard")).applyInPandas(_searcher(k + 1, False), out)).dropDuplicates(["query_id", "rep"])
+        block = classes.select("rep", "vec", F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("shard"))
+        all_ = short.select("query_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("shard"))
+        found = found.unionByName(block.groupBy("shard").cogroup(all_.groupBy("shard")).applyInPandas(_searched(k + 1), FOUND)).dropDuplicates(["query_id", "rep"])
     by_rep = found.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("score", "rep"))).filter(F.col("place") <= k + 1)
     named = classes.select(F.col("vec").alias("class_vec"), F.col("rep").alias("class_rep"))
     members = ok.distinct().join(named, F.col("vec") == F.col("class_vec")).select("class_rep", F.col("vec_id").alias("member"))
