@@ -1,12 +1,16 @@
 """Secret scan over an incremental blob ledger, in DataFrame functions alone.
 
-Every version of a path is content-addressed by the SHA-256 of its text. A ledger holds the
-(blob, rule_version) pairs that were scanned before; only unseen pairs are scanned, one text
-per blob, and the findings are joined back to every path that holds the blob.
+Every version of a path (each row: rows that share a path are its versions) is content-addressed by
+the SHA-256 of its text. The ledger, a table in the shared folder, holds the (blob, rule_version)
+pairs that were scanned before, with what was found. Only unseen pairs are scanned, one text a blob,
+and appended; findings are then read from the ledger and joined back to every path that holds the
+blob. The join is dealt by blob and a salt of the path, so copies of one blob spread over tasks.
 
 Defined cases: null text counts as empty and has no findings; rows with a null path stay and
-are scanned; repeated rows give repeated result rows; empty tables give empty results; extra
-input columns are ignored, whatever their names.
+are scanned; repeated rows give repeated result rows; at one start, assign precedes access and
+access hex; overlapping spans of several kinds all stay; very long texts and texts of very many
+matches take time in proportion; an empty table leaves the ledger as it is and gives empty results;
+extra input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,9 +18,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import shared_dir, table, text_of
 
 
 @dataclass(frozen=True)
@@ -38,25 +43,29 @@ RULES = (
 RULE_VERSION = "base-1"
 
 
-#: Matches a block; see `located`.
+#: Matches, or characters, a block; see `located` and `without`.
 BLOCK = 256
+SPANS = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
+#: Parts in which the paths of one blob are dealt.
+SALTS = 16
 
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def _with_places(blobs: DataFrame) -> DataFrame:
-    """Adds steps, blocks and before to found and gaps.
+def _with_places(blobs: DataFrame, some: Column) -> DataFrame:
+    """Adds steps, blocks and before to found and gaps, where `some` match is there.
 
     A step is a match and the piece before it. `before` holds the lengths of all that stands before
     each block of BLOCK steps, so a match sums its own block alone, and a text of very many matches
     costs little more than its length. Each column reads the one before it twice, which keeps
     Catalyst from computing it anew for every element.
     """
-    blobs = blobs.withColumn("steps", F.zip_with("gaps", F.transform("found", F.length), lambda g, n: g + F.coalesce(n, F.lit(0))))
-    blobs = blobs.withColumn("blocks", F.transform(F.sequence(F.lit(0), (F.size("steps") / BLOCK).cast("int")), lambda b: _sum(F.slice("steps", b * BLOCK + 1, F.lit(BLOCK)))))
-    return blobs.withColumn("before", F.transform(F.sequence(F.lit(0), F.size("blocks") - 1), lambda b: _sum(F.slice("blocks", F.lit(1), b))))
+    blobs = blobs.withColumn("steps", F.when(some, F.zip_with("gaps", F.transform("found", F.length), lambda g, n: g + F.coalesce(n, F.lit(0)))))
+    blobs = blobs.withColumn("blocks", F.when(some, F.transform(F.sequence(F.lit(0), (F.size("steps") / BLOCK).cast("int")), lambda b: _sum(F.slice("steps", b * BLOCK + 1, F.lit(BLOCK))))))
+    return blobs.withColumn("before", F.when(some, F.transform(F.sequence(F.lit(0), F.size("blocks") - 1), lambda b: _sum(F.slice("blocks", F.lit(1), b)))))
 
 
 def located(rule: Rule, order: int) -> Column:
@@ -76,15 +85,13 @@ def located(rule: Rule, order: int) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, text) to (blob, spans): array<struct<start,ord,end,kind>> sorted; blobs without a match drop out."""
+    """(blob, text) to (blob, spans) of every blob: spans sorted by start, then kind."""
     hit = blobs.withColumns({f"found{n}": F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)) for n, rule in enumerate(rules)})
-    hit = hit.filter(sum((F.size(f"found{n}") for n in range(len(rules))), F.lit(0)) > 0)
     for n, rule in enumerate(rules):
-        hit = _with_places(hit.withColumns({"found": F.col(f"found{n}"), "gaps": F.transform(F.split("text", rule.pattern, -1), F.length)})).withColumn(f"spans{n}", located(rule, n))
-    spans = hit.select("blob", F.array_sort(F.concat(*(f"spans{n}" for n in range(len(rules))))).alias("spans"))
-    # Blobs are already dealt by their address, so this moves nothing; it keeps a later filter on
-    # spans from being pushed into the scan, where every column above would be computed many times.
-    return spans.groupBy("blob").agg(F.first("spans").alias("spans"))
+        some = F.size(f"found{n}") > 0
+        hit = _with_places(hit.withColumns({"found": F.col(f"found{n}"), "gaps": F.when(some, F.transform(F.split("text", rule.pattern, -1), F.length))}), some)
+        hit = hit.withColumn(f"spans{n}", F.when(some, located(rule, n)).otherwise(F.array().cast(SPANS)))
+    return hit.select("blob", F.array_sort(F.concat(*(f"spans{n}" for n in range(len(rules))))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -96,52 +103,77 @@ def addressed(versions: DataFrame, path_col: str = "doc_id", text_col: str = "te
     return versions.select(F.col(path_col).alias("path"), text_of(text_col).alias("text")).withColumn("blob", F.sha2("text", 256))
 
 
-def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
+def unseen(versions: DataFrame, ledger: DataFrame, rule_version: str) -> DataFrame:
     """(blob, text), one row for each blob that `ledger` does not hold at `rule_version`.
 
-    Copies combine before the shuffle. The grouping also keeps Catalyst from moving the scan's
-    filter below it, where it would scan every version.
+    Copies combine before the shuffle.
     """
-    if ledger is not None:
-        seen = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct()
-        versions = versions.join(seen, "blob", "left_anti")
-    return versions.groupBy("blob").agg(F.first("text").alias("text"))
+    seen = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct()
+    return versions.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
 
 
-def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Findings per version, and the ledger with this scan's pairs.
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at `path` as it is now; an empty one is begun there if there is none."""
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
-    `ledger`: (blob string, rule_version string, spans array). The first result has (path, blob,
-    spans), one row per version; the second all ledger rows, old and new, blobs without findings
-    too (spans empty).
+
+def scan(versions: DataFrame, path: str, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scan what the ledger at `path` has not seen and append it; all blobs of `rule_version` as (blob, spans)."""
+    spark = versions.sparkSession
+    todo = unseen(addressed(versions, path_col, text_col), open_ledger(spark, path), rule_version)
+    scan_blobs(todo, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").parquet(path)
+    now = spark.read.schema(LEDGER).parquet(path)
+    return now.filter(F.col("rule_version") == rule_version).select("blob", "spans")
+
+
+def with_blobs(rows: DataFrame, found: DataFrame, path: Column) -> DataFrame:
+    """Each row (with a column `blob`) and the columns of its blob in `found`, or nulls."""
+    dealt = found.withColumnRenamed("blob", "of").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("own_salt", F.pmod(F.xxhash64(path), F.lit(SALTS)).cast("int"))
+    return rows.join(dealt, (F.col("blob") == F.col("of")) & (F.col("own_salt") == F.col("salt")), "left").drop("of", "salt", "own_salt")
+
+
+def findings(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(path, blob, spans), one row a version; `ledger` as `scan` gives it."""
+    hits = ledger.filter(F.size("spans") > 0).dropDuplicates(["blob"])
+    own = addressed(versions, path_col, text_col).select("path", "blob")
+    return with_blobs(own, hits, F.col("path")).select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def unions(ledger: DataFrame) -> DataFrame:
+    """(blob, cuts): the spans of each blob that has some, those that overlap or touch made one; in order."""
+    one = ledger.filter(F.size("spans") > 0).dropDuplicates(["blob"]).select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
+    by_start = W.partitionBy("blob").orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    one = one.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    one = one.withColumn("nth", F.sum("new").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    cuts = one.groupBy("blob", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return cuts.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+
+
+def without(rows: DataFrame, text: str, cuts: str, name: str, mask: str = "[SECRET]") -> DataFrame:
+    """`rows` with a column `name`: the text with `mask` for each of its cuts; as it is where cuts are null.
+
+    The text is cut into blocks of BLOCK characters once, so a piece costs its own length.
     """
-    own = addressed(versions, path_col, text_col)
-    todo = unseen(own, ledger, rule_version)
-    found = scan_blobs(todo, rules)
-    empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
-    known = found if ledger is None else found.unionByName(ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans").filter(F.size("spans") > 0))
-    per_path = own.select("path", "blob").join(known, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
-    fresh = todo.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans"))
-    return per_path, fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
-
-
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> Column:
-    """The text with each finding replaced; rules apply one after the other, each to what is left."""
-    for rule in rules:
-        if rule.group == 0:
-            pattern = rule.pattern if "{" in rule.pattern else rule.pattern[:-1] + "{" + str(rule.least - 4) + ",}"
-            text = F.regexp_replace(text, pattern, mask)
-            continue
-        found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-        bad = F.transform(found, lambda m: F.when(F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least, F.lit(mask)).otherwise(m))
-        gaps = F.split(text, rule.pattern, -1)
-        text = F.when(F.size(found) > 0, F.array_join(F.zip_with(gaps, bad, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")).otherwise(text)
-    return text
+    rows = rows.withColumn("pieces", F.when(F.col(cuts).isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+
+    def piece(a: Column, b: Column) -> Column:
+        first, last = (a / BLOCK).cast("int"), ((b - 1) / BLOCK).cast("int")
+        run = F.array_join(F.slice("pieces", first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(run, (a - first * BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda c: c["end"]))
+    ends = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(F.length(text).cast("long")))
+    clean = F.when(F.size("pieces") > 0, F.array_join(F.zip_with(begins, ends, piece), mask)).otherwise(F.col(text))
+    return rows.withColumn(name, clean).drop("pieces")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and the blob of every document."""
-    per_path, _ = scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    per_path = findings(docs, scan(docs, shared_dir(spark, "ledger")))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return per_path.select(F.col("path").alias("doc_id"), *(count(r.kind).alias(f"n_{r.kind}") for r in RULES), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "blob")
 
