@@ -8,16 +8,22 @@ left. All occurrences of a chunk's best pair merge at once, leftmost first, wher
 by the merge can rank as high as it; where one could (runs of spaces), the leftmost alone does.
 Characters without a piece fall back to their UTF-8 bytes.
 
+A chunk takes a round for each of its ranks, so chunks over LONG characters (text without spaces) are
+cut first: between two characters that stand side by side in no piece, no merge can reach. What is
+still longer is merged by a queue of pairs, in the same order, in n log n steps.
+
 Covers models as the given one: BPE with byte fallback, identity normalisation, a dummy prefix,
-no removal of spaces. Decoding turns bytes that are not UTF-8 into U+FFFD.
+no removal of spaces; another model is refused when it is read. Decoding turns bytes that are not
+UTF-8 into U+FFFD.
 
-Defined cases: null and empty texts encode to the end id alone and decode to an empty text;
-repeated rows and null ids keep a result row each; empty tables give empty results; extra
-input columns are ignored, whatever their names.
+Defined cases: null and empty texts encode to the end id alone and decode to an empty text; very
+long texts and words take time in proportion; repeated rows and null ids keep a result row each;
+empty tables give empty results; extra input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -30,8 +36,12 @@ from .common import portions, table, text_of
 
 CHUNK = re.compile(r" *[^ ]+| +")
 MARK = "▁"
-#: Distinct chunks kept by a task; beyond it the store starts anew, results do not change.
-KEPT = 250_000
+#: Characters beyond which a chunk is cut and queued.
+LONG = 400
+#: Distinct chunks, and their characters, kept by a task; beyond it the store starts anew, results do not change.
+KEPT, KEPT_CHARS = 120_000, 3_000_000
+#: Texts that a model with another kind or normalisation encodes differently.
+PROBES = ("  Two  spaces ", "ﬁ Ａ① é e\u0301", "\t\n \u00a0", "▁x▁▁", "𝒳漢字", "aaaa bbbb unbelievable")
 
 
 def default_model() -> str:
@@ -51,6 +61,10 @@ class Bpe:
         plain = {sp.id_to_piece(i).replace(MARK, " "): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
         self.end, self.size = sp.eos_id(), n
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        if any(" " in piece.lstrip(" ") for piece in plain):
+            raise ValueError("this model has pieces that reach over a space")
+        inner = {ord(a) * 0x110000 + ord(b) for piece in plain for a, b in zip(piece, piece[1:])}
+        self.inner = np.array(sorted(inner), np.int64)
         symbols = dict(plain)
         for piece in plain:
             for c in piece:
@@ -68,6 +82,7 @@ class Bpe:
                 a, b = symbols.get(piece[:cut]), symbols.get(piece[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.width + b] = i
+        self.pairs = {k: (int(rank[i]), i) for k, i in pairs.items()}
         self.keys = np.array(sorted(pairs))
         self.made = np.array([pairs[k] for k in self.keys.tolist()])
         self.rank = rank[self.made]
@@ -79,6 +94,52 @@ class Bpe:
         pieces = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         pieces[sp.unk_id()] = " ⁇ ".encode()
         self.piece_bytes = pieces
+        for probe in PROBES:
+            chunks = CHUNK.findall(" " + probe.replace(MARK, " "))
+            if self.encode_chunks(chunks)[0] != sp.encode(probe) or self.encode_chunks(chunks, 0)[0] != sp.encode(probe):
+                raise ValueError("not a BPE model with byte fallback, identity normalisation and a dummy prefix")
+
+    def cut(self, chunk: str) -> list[str]:
+        """Parts of a chunk that merge independently."""
+        codes = np.frombuffer(chunk.encode("utf-32-le"), np.uint32).astype(np.int64)
+        key = codes[:-1] * 0x110000 + codes[1:]
+        at = np.minimum(np.searchsorted(self.inner, key), len(self.inner) - 1)
+        ends = [0, *(np.flatnonzero(self.inner[at] != key) + 1).tolist(), len(chunk)]
+        return [chunk[a:b] for a, b in zip(ends, ends[1:])]
+
+    def queued(self, chunk: str) -> list[int]:
+        """The ids of one chunk: pairs leave a queue by rank, then place."""
+        codes = np.frombuffer(chunk.encode("utf-32-le"), np.uint32)
+        sym, pairs, width, n = self.of_char[codes].tolist(), self.pairs, self.width, len(codes)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = []
+
+        def offer(i: int, j: int) -> None:
+            if sym[i] >= 0 and sym[j] >= 0 and (pair := pairs.get(sym[i] * width + sym[j])):
+                heapq.heappush(queue, (pair[0], i, sym[i], sym[j], pair[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, left, right, made = heapq.heappop(queue)
+            j = after[i]
+            # What was merged since it was offered no longer reads the same.
+            if sym[i] != left or j == n or sym[j] != right:
+                continue
+            sym[i], sym[j], k = made, -2, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                offer(i, k)
+            if before[i] >= 0:
+                offer(before[i], i)
+        out = []
+        for i, s in enumerate(sym):
+            if 0 <= s < self.size:
+                out.append(s)
+            elif s != -2:
+                out.extend(self.byte_id[np.frombuffer(chunk[i].encode(), np.uint8)].tolist())
+        return out
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place in the pair table, -1 where the two do not merge."""
@@ -86,8 +147,27 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, at, -1)
 
-    def encode_chunks(self, chunks: list[str]) -> tuple[list[int], list[int]]:
-        """The ids of all chunks in one list, and where each chunk's begin and end (spaces stand for the mark)."""
+    def encode_chunks(self, chunks: list[str], most: int = LONG) -> tuple[list[int], list[int]]:
+        """The ids of all chunks in one list, and where each chunk's begin and end (spaces stand for the mark).
+
+        Chunks over `most` characters go by the queue, the others by rounds.
+        """
+        short = [c for c in chunks if len(c) <= most]
+        ids, cut = self.rounds(short)
+        if len(short) == len(chunks):
+            return ids, cut
+        out, ends, at = [], [0], 0
+        for chunk in chunks:
+            if len(chunk) <= most:
+                out.extend(ids[cut[at] : cut[at + 1]])
+                at += 1
+            else:
+                out.extend(self.queued(chunk))
+            ends.append(len(out))
+        return out, ends
+
+    def rounds(self, chunks: list[str]) -> tuple[list[int], list[int]]:
+        """`encode_chunks` by merge rounds over all chunks at once."""
         codes = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
         sym, owner = self.of_char[codes], np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
         last = np.r_[owner[1:] != owner[:-1], True]
@@ -155,23 +235,24 @@ class Coder:
     """A model with a bounded store of chunks: ids as text, their count, their bytes."""
 
     def __init__(self, model: str):
-        self.bpe, self.store = Bpe(model), {}
+        self.bpe, self.store, self.chars = Bpe(model), {}, 0
         self.names = [str(i) for i in range(self.bpe.size)]
 
     def learn(self, chunks: set[str]) -> None:
         fresh = [c for c in chunks if c not in self.store]
-        if len(self.store) + len(fresh) > KEPT:
+        if len(self.store) + len(fresh) > KEPT or self.chars > KEPT_CHARS:
             self.store.clear()
-            fresh = list(chunks)
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
+            self.chars, fresh = 0, list(chunks)
+        self.chars += sum(map(len, fresh))
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
             ids, cut = self.bpe.encode_chunks(part)
             text, raw = [self.names[i] for i in ids], [self.bpe.piece_bytes[i] for i in ids]
             self.store.update((c, (" ".join(text[a:b]), b"".join(raw[a:b]))) for c, a, b in zip(part, cut, cut[1:]))
 
     def __call__(self, texts: list[str]) -> list[tuple[str, str]]:
         """(ids as decimal text with the end id, decoded text) of each text."""
-        split = [CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        split = [[p for c in CHUNK.findall(" " + t.replace(MARK, " ")) for p in ((c,) if len(c) <= LONG else self.bpe.cut(c))] if t else [] for t in texts]
         self.learn(set().union(*split))
         out = []
         for chunks in split:
@@ -187,7 +268,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(model)
         for batch in batches:
-            both = [x for part in portions(batch.text.tolist()) for x in coder(part)]
+            both = [x for part in portions(batch.text.tolist(), 1_000_000) for x in coder(part)]
             yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_tokens": [ids.count(" ") + 1 for ids, _ in both], "ids": [ids for ids, _ in both], "decoded": [d for _, d in both]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids string, decoded string")
