@@ -1,22 +1,26 @@
-"""WARC records in ZIP packages: a writer, and a reader that takes byte ranges.
+"""WARC records in ZIP packages: a writer, and a reader that takes byte ranges of files.
 
-An archive is one ZIP with stored (uncompressed) members `archive/data.warc` and
-`indexes/index.cdx`. The reader works on the archive's bytes alone: it finds the end record, the
-ZIP64 locator and end record, walks the central directory (ZIP64 extra fields too), locates the
-members, reads the index, and slices single records out of the stored member. Nothing is
-extracted. Archives travel as rows of a table in the shared folder, each of about `ARCHIVE_BYTES`.
+An archive is one ZIP file in the shared folder, of about ARCHIVE_BYTES of payload, with stored
+(uncompressed) members `archive/data.warc.gz`, in which each record is a gzip member of its own, and
+`indexes/index.cdx`. The reader opens the file and reads ranges of it alone: the end of the file, the
+ZIP64 locator and end record, the central directory (ZIP64 extra fields too), the local headers of
+the members, the index, and then each record by its offset and length. Nothing is extracted, and no
+archive is loaded whole. Files are written under a temporary name and moved, so a task that is run
+again leaves one whole file. The shared folder may be any that pyarrow.fs opens by its URI.
 
 Defined cases: null html is an empty payload; null urls are written as an empty target; rows
 with a null or repeated page_id are kept, each with a record of its own (rows that carry the
-smallest page_id of a payload are all responses); empty tables give no archives; extra input
-columns are ignored, whatever their names.
+smallest page_id of a payload are all responses); very long pages make an archive longer than
+ARCHIVE_BYTES; empty tables give no archives; extra input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import struct
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
@@ -25,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shards, table, text_of, total_bytes, written
+from .common import shards, shared_dir, table, tasks, text_of, total_bytes, written
 
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 8 << 20
 LEAST_REVISIT = 100
-DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -43,15 +47,15 @@ def record(name: str, url: str, payload: bytes, digest: str, refers_to: str | No
 
 
 def package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP of the records and their index (name, offset, length per line)."""
+    """A ZIP of the records, gzipped one by one, and their index (name, offset, length per line)."""
     out, at, lines = io.BytesIO(), 0, []
-    for name, body in records:
-        lines.append(f"{name} {at} {len(body)}")
-        at += len(body)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=zip64) as f:
-            for _, body in records:
+            for name, body in records:
+                body = gzip.compress(body, 1, mtime=0)
                 f.write(body)
+                lines.append(f"{name} {at} {len(body)}")
+                at += len(body)
         z.writestr(zipfile.ZipInfo(INDEX), "\n".join(lines))
     return out.getvalue()
 
@@ -107,59 +111,88 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, body[: int(fields["content-length"])].partition(b"\r\n\r\n")[2]
 
 
-def records_of(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Every record of an archive, by its index."""
-    view = memoryview(content)
-    read = lambda at, n: bytes(view[at : at + n])
-    where = members(read, len(content))
+def records_of(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Every record of an archive of `size` bytes, by its index; `read(offset, length)` gives bytes of it."""
+    where = members(read, size)
     (data_at, _), (index_at, index_n) = where[DATA], where[INDEX]
     for line in read(index_at, index_n).decode().split("\n"):
         if line:
             _, at, n = line.rsplit(" ", 2)
-            yield parse(read(data_at + int(at), int(n)))
+            yield parse(gzip.decompress(read(data_at + int(at), int(n))))
 
 
-def _pack(key: tuple, pages: pd.DataFrame, roles: pd.DataFrame) -> pd.DataFrame:
-    name = lambda x: "null" if pd.isna(x) else str(int(x))
-    first = {(name(p), d): f for p, d, f in zip(roles.copy_id, roles.digest, roles["first"])}
-    made = []
-    for page, url, html in zip(pages.page_id, pages.url, pages.html):
-        payload = html.encode("utf-8")
-        digest = hashlib.sha256(payload).hexdigest()
-        own = name(page)
-        to = first.get((own, digest))
-        made.append((own, record(own, "" if url is None else url, payload, digest, None if to is None or pd.isna(to) or name(to) == own else name(to))))
-    return pd.DataFrame({"archive_id": [int(key[0])], "content": [package(made)]}) if made else pd.DataFrame({"archive_id": [], "content": []})
+def file_system(uri: str):
+    """The file system of a URI, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
+def store(uri: str, content: bytes) -> None:
+    """A file with this content; never seen half-written."""
+    system, path = file_system(uri)
+    folder, name = path.rsplit("/", 1)
+    system.create_dir(folder, recursive=True)
+    own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as out:
+        out.write(content)
+    system.move(own, path)
+
+
+def _packer(folder: str):
+    def pack(key: tuple, pages: pd.DataFrame, roles: pd.DataFrame) -> pd.DataFrame:
+        name = lambda x: "null" if pd.isna(x) else str(int(x))
+        first = {(name(p), d): f for p, d, f in zip(roles.copy_id, roles.digest, roles["first"])}
+        made = []
+        for page, url, html in zip(pages.page_id, pages.url, pages.html):
+            payload = html.encode("utf-8")
+            digest = hashlib.sha256(payload).hexdigest()
+            own = name(page)
+            to = first.get((own, digest))
+            made.append((own, record(own, "" if url is None else url, payload, digest, None if to is None or pd.isna(to) or name(to) == own else name(to))))
+        if not made:
+            return pd.DataFrame({"archive_id": [], "path": []})
+        path = f"{folder}/{int(key[0])}.zip"
+        store(path, package(made))
+        return pd.DataFrame({"archive_id": [int(key[0])], "path": [path]})
+
+    return pack
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """(archive_id, content) of all pages (page_id, url, html), in the shared folder."""
+    """(archive_id, path) of the files that hold all pages (page_id, url, html), in the shared folder."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
     n = shards(total_bytes(rows, "html"), ARCHIVE_BYTES)
     keyed = rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n"))
     firsts = keyed.filter(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"))
-    roles = keyed.join(firsts, "digest", "left").filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("copy_id"), "digest", "first")
+    roles = keyed.join(firsts, "digest").filter(~F.col("first").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("copy_id"), "digest", "first")
     archive = lambda page: F.pmod(F.xxhash64(page), F.lit(n)).alias("archive_id")
-    packed = rows.select(archive("page_id"), F.col("page_id").alias("page_id"), "url", "html").groupBy("archive_id").cogroup(roles.select(archive("copy_id"), "copy_id", "digest", "first").groupBy("archive_id")).applyInPandas(_pack, "archive_id long, content binary")
-    return written(packed, "warc-zip", compression="zstd")
+    dealt = lambda df: df.repartition(tasks(n), "archive_id").groupBy("archive_id")
+    folder = shared_dir(pages.sparkSession, "warc-zip")
+    packed = dealt(rows.select(archive("page_id"), "page_id", "url", "html")).cogroup(dealt(roles.select(archive("copy_id"), "copy_id", "digest", "first"))).applyInPandas(_packer(folder), "archive_id long, path string")
+    return written(packed, "warc-list").repartition(tasks(n), "archive_id")
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for content in batch.content:
+        for uri in batch.path:
+            system, path = file_system(uri)
             rows = []
-            for head, payload in records_of(content):
-                kind, page = head["warc-type"], head["warc-record-id"][len("<urn:page:") : -1]
-                whole = kind == "response"
-                to = head.get("warc-refers-to")
-                rows.append((None if page == "null" else int(page), len(payload) if whole else int(head["x-payload-length"]), hashlib.sha256(payload).hexdigest() if whole else head["warc-payload-digest"][len("sha256:") :], kind, int(to[len("<urn:page:") : -1]) if to else None, head["warc-target-uri"], payload if whole else None))
+            with system.open_input_file(path) as file:
+                for head, payload in records_of(lambda at, n: file.read_at(n, at), file.size()):
+                    kind, page = head["warc-type"], head["warc-record-id"][len("<urn:page:") : -1]
+                    whole = kind == "response"
+                    to = head.get("warc-refers-to")
+                    rows.append((None if page == "null" else int(page), len(payload) if whole else int(head["x-payload-length"]), hashlib.sha256(payload).hexdigest() if whole else head["warc-payload-digest"][len("sha256:") :], kind, int(to[len("<urn:page:") : -1]) if to else None, head["warc-target-uri"], payload if whole else None))
             out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of (archive_id, content) rows; the payload is null for revisits."""
-    return archives.select("content").mapInPandas(_unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    """Every record of the files (path); the payload is null for revisits."""
+    return archives.select("path").mapInPandas(_unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
