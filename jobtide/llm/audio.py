@@ -1,8 +1,8 @@
 """Audio media columns: text bytes as 8-bit samples, and log-mel features of them.
 
 A payload (UTF-8, zero bytes appended up to a positive multiple of 64) is stored as the data
-chunk of a mono 8-bit PCM WAV file in a binary column. The features are computed from the stored
-bytes read back: polyphase resampling from 8 to 16/3 kHz, overlapped log-mel filterbank frames,
+chunk of a mono 8-bit PCM WAV file in a binary column of a table in the shared folder. The features
+are computed from the stored bytes, read back from that table: polyphase resampling from 8 to 16/3 kHz, overlapped log-mel filterbank frames,
 and segments by hysteresis on frame energy. They are stored as an Arrow stream with one
 fixed-shape tensor (FRAMES x MELS) per block of frames, with its time span; the segments' spans
 stand in the schema's metadata.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table, text_of
+from .common import portions, table, text_of, written
 
 RATE, UP, DOWN, TAPS = 8000, 2, 3, 12
 WINDOW, HOP, MELS, FRAMES = 256, 128, 20, 16
@@ -189,7 +189,7 @@ def extract(stored: DataFrame) -> DataFrame:
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures of every document; `feature` is the SHA-256 of its feature stream."""
-    got = extract(store(table(spark, sf_dir, "documents")))
+    got = extract(written(store(table(spark, sf_dir, "documents")), "media", compression="zstd"))
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.sha2("features", 256).alias("feature"))
 
 
