@@ -6,8 +6,10 @@ TARGETS = ("exact", "year_confirmed", "source_confirmed")
 # Source modes and their ranks, else 99.
 SOURCE_RANK = {"direct": 0, "verification": 1, "verification-lead": 2, "external-index": 2, "registry": 3, "universe-seed": 4}
 EMPLOYER_DATE_MODES = ("direct", "verification")
+INDEX_MODES = ("registry", "external-index", "verification-lead")
 # Categories that count as technical.
 TECH = ("software", "ml-ai", "data", "security", "hardware", "quant", "product")
+FALLBACK_KINDS = ("verification",)
 BAD_STATUSES = ("broken", "blocked", "truncated", "partial")
 # Query keys that never identify an application.
 TRACKING_KEYS = ("source", "src", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gh_src", "lever-source", "ref", "jr_id", "iis", "iisn")

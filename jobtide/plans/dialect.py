@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import fixtures
 from ..sources.fixtures import AS_OF
+from ..sources.shared import shared
 
 #: name: SQL over other names in braces; {as_of} is a timestamp.
 TEXTS: dict[str, str] = {}
@@ -39,17 +39,28 @@ _PATHS: dict[tuple, str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
     build, takes = BUILT[name]
     made = build(*(frame(spark, sf_dir, n) for n in takes))
+    # The files and their versions, as Spark lists them, so changed tables are computed anew.
+    key = (spark.sparkContext.applicationId, name, stamp(spark, made))
     if key not in _PATHS:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints"
-        path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = shared(spark, name)
         made.write.parquet(path)
         _PATHS[key] = path
     return spark.read.schema(made.schema).parquet(_PATHS[key])
 
 
+def stamp(spark: SparkSession, df: DataFrame) -> tuple:
+    """Path, length and time of change of each file that `df` reads."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(hadoop).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A name over the tables of a folder."""
     if name in STORED:
@@ -75,6 +86,11 @@ def other(name: str) -> str:
 
 def oracle(name: str) -> str:
     """The whole query, its views as common table expressions."""
+    return whole(other(name))
+
+
+def whole(query: str) -> str:
+    """A query over names in braces, with the views it needs as common table expressions."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -84,8 +100,8 @@ def oracle(name: str) -> str:
             visit(used)
         order.append(n)
 
-    for used in needs(other(name)):
+    for used in needs(query):
         visit(used)
-    text = lambda n: NAME.sub(lambda m: AS_OF if m[1] == "as_of" else m[1], fixtures.VIEWS[n] if n in fixtures.VIEWS else other(n))
-    views = ", ".join(f"{n} as materialized ({text(n)})" for n in order)
-    return (f"with {views} " if views else "") + f"select * from ({text(name)}) as result"
+    named = lambda text: NAME.sub(lambda m: AS_OF if m[1] == "as_of" else m[1], text)
+    views = ", ".join(f"{n} as materialized ({named(fixtures.VIEWS[n] if n in fixtures.VIEWS else other(n))})" for n in order)
+    return (f"with {views} " if views else "") + f"select * from ({named(query)}) as result"

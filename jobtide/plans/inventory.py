@@ -47,24 +47,6 @@ PUBLIC = f"year = 2027 and category in ({TECHS}) and direct_openings > 0"
 
 # Feed: filters, orders and pages over families.
 TEXTS |= {
-    "feed_target": f"select {SHOWN} from {{families}} where year = 2027 and lower(coalesce(season, '')) = 'summer'",
-    "feed_track": f"select {SHOWN} from {{families}} where category in ({TECHS})",
-    "feed_trust": f"select {SHOWN} from {{families}} where direct_openings = 0 and backstop_openings > 0",
-    "feed_search": f"select {SHOWN} from {{families}} where (contains(lower(company), 'supplier') or contains(lower(title), 'supplier') or contains(lower(locations), 'supplier')) and (contains(lower(company), 'intern') or contains(lower(title), 'intern') or contains(lower(locations), 'intern'))",
-    "feed_location": f"select {SHOWN} from {{families}} where contains(lower(locations), 'asia')",
-    "feed_company": f"select {SHOWN} from {{families}} where lower(company) = (select min(lower(company)) from {{families}})",
-    "feed_remote": f"select {SHOWN} from {{families}} where contains(lower(locations), 'remote')",
-    "feed_posted_within": f"select {SHOWN} from {{families}} where latest_posted_at >= {{as_of}} - interval 2400 hours",
-    "feed_order": f"select {SHOWN}, row_number() over (order by {VERIFIED}, last_verified_at desc nulls last, {VISIBLE} desc, family_key) as place from {{families}}",
-    "search_rank": f"select {SHOWN}, case when lower(company) = 'intern' then 0 when lower(company) like 'intern%' then 2 when contains(lower(title), 'intern') then 4 else 5 end as relevance from {{families}} order by relevance, {NEWEST} limit 100",
-    "feed_page": f"select {SHOWN} from {{families}} where direct_openings > 0 order by {NEWEST} limit 50 offset 50",
-    "keyset_page": f"select {SHOWN} from {{families}} where family_key > '7' order by family_key limit 100",
-    "families_basic_search": f"select {SHOWN} from {{families}} where contains(lower(title), 'software') and target_match in ({GOOD}) order by latest_posted_at desc nulls last, family_key limit 50",
-    "family_detail": f"select {SHOWN}, openings from {{families}} where family_key = (select min(family_key) from {{families}} where direct_openings > 0)",
-    "export_family_index": f"select {SHOWN}, openings, contains(lower(locations), 'remote') as remote, posted_precision, first_posted_at from {{families}} where category in ({TECHS})",
-    "export_preset_responses": f"""select 'newest' as request, family_key, place from (select family_key, row_number() over (order by {NEWEST}) as place from {{families}}) a where place <= 50
-      union all select 'verified' as request, family_key, place from (select family_key, row_number() over (order by {VERIFIED}, last_verified_at desc nulls last, {VISIBLE} desc, family_key) as place from {{families}}) b where place <= 50
-      union all select 'company' as request, family_key, place from (select family_key, row_number() over (order by lower(company), lower(title), family_key) as place from {{families}}) c where place <= 50""",
     "best_opening_lateral": "select family_key, identity, apply_url, source_mode from (select *, row_number() over (partition by family_key order by case when source_mode in ('direct', 'verification') then 0 else 1 end, latest_posted_at desc nulls last, identity) as nth from {fold_applications}) a where nth = 1",
     "promote_verified_openings": "select identity, family_key, case when source_mode = 'verification' then 'direct' else source_mode end as source_mode, case when source_mode = 'verification' then 'employer-page' end as verification_mode from {fold_applications}",
     "display_title": "select family_key, title from (select family_key, title, row_number() over (partition by family_key order by length(title), title) as nth from {fold_applications}) a where nth = 1",
@@ -77,7 +59,6 @@ TEXTS |= {
     "durable_activity_stats": f"select count(distinct case when first_seen_at >= {{as_of}} - interval 720 hours then canonical_apply_url end) as discovered, count(distinct case when removed_at >= {{as_of}} - interval 720 hours and not active then canonical_apply_url end) as removed from {{postings}} where source_mode = 'direct' and year = 2027 and category in ({TECHS})",
     "daily_movement": f"select count(distinct case when first_seen_at >= {{as_of}} - interval 24 hours and removed_at is null then canonical_apply_url end) as new_urls_today, count(distinct case when removed_at >= {{as_of}} - interval 24 hours then canonical_apply_url end) as removed_urls_today from {{postings}} where source_mode = 'direct' and year = 2027 and category in ({TECHS})",
     "snapshot_fallback_stats": "select count(*) as families, cast(sum(opening_count) as bigint) as openings, count(distinct company) as companies, count(case when direct_openings > 0 then 1 end) as verified, max(latest_posted_at) as newest_posted, max(first_detected_at) as newest_found from {families}",
-    "facets": f"select facet, value, n from (select 'company' as facet, company as value, count(*) as n from {{families}} where category in ({TECHS}) group by company union all select 'category' as facet, category as value, count(*) as n from {{families}} where category in ({TECHS}) group by category union all select 'remote' as facet, 'true' as value, count(*) as n from {{families}} where category in ({TECHS}) and contains(lower(locations), 'remote')) f",
     "listing_freshness": "select max(latest_posted_at) as newest_posted_at, max(first_detected_at) as newest_found_at, cast(secs(max(latest_posted_at), {as_of}) as double) / 3600 as posted_age_hours, cast(secs(max(first_detected_at), {as_of}) as double) / 3600 as found_age_hours, count(case when first_detected_at >= {as_of} - interval 24 hours then 1 end) as found_24h, count(case when first_detected_at >= {as_of} - interval 168 hours then 1 end) as found_7d from {families} where direct_openings > 0",
     "posting_freshness": "select count(*) as trusted, count(case when posted_at >= {as_of} - interval 24 hours then 1 end) as last_24h, count(case when posted_at >= {as_of} - interval 72 hours then 1 end) as last_72h, count(case when posted_at >= {as_of} - interval 168 hours then 1 end) as last_7d, max(posted_at) as newest from {postings} where posted_at is not null and source_mode in ('direct', 'verification')",
     "verified_window": "select count(*) as families, coalesce(cast(sum(direct_openings) as bigint), 0) as openings, count(case when first_detected_at >= {as_of} - interval 720 hours then 1 end) as new_families from {families} where direct_openings > 0",
@@ -88,9 +69,7 @@ TEXTS |= {
     "market_summary": f"select (select count(*) from {{postings}}) as postings, (select count(*) from {{postings}} where target_match in ({GOOD})) as targets, (select count(*) from {{postings}} where target_match = 'exact') as exact, (select count(distinct kind) from {{fx_candidates}}) as candidate_kinds, (select count(*) from {{fx_candidates}}) as candidates",
     "known_applications": "select distinct identity from {postings} where active and source_mode in ('direct', 'verification', 'registry')",
     "registry_only": "select distinct identity from {postings} where active and source_mode = 'registry' except select distinct identity from {postings} where active and source_mode in ('direct', 'verification')",
-    "direct_only": "select distinct identity from {postings} where active and source_mode = 'direct' except select identity from {postings} where active and source_mode in ('registry', 'external-index')",
     "published_intersection": "select canonical_apply_url from {postings} where source_mode = 'external-index' intersect select canonical_apply_url from {postings} where source_mode = 'direct'",
-    "registry_recall_join": "select distinct r.identity from {postings} r join (select distinct identity from {postings} where active and source_mode in ('direct', 'verification')) d on r.identity = d.identity where r.active and r.source_mode = 'registry'",
     "productive_sources": f"select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})",
     "publication_gaps": "select posting_key, family_key from {postings} p where active and source_mode in ('direct', 'verification') and not exists (select 1 from {families} f where f.family_key = p.family_key)",
     "current_market_filter": f"select posting_key, category, year from {{postings}} where target_match <> 'not_internship' and category in ({TECHS}, 'other-technical') and (year is null or year >= 2027)",
@@ -121,7 +100,6 @@ TEXTS |= {
     "unscheduled_validated": "select c.source from {fx_candidates} c left join {fx_targets} t on c.source = t.source where c.status = 'validated' and (t.source is null or not t.scheduled)",
     "zero_yield_sources": "select source, cast(sum(rows_scanned) as bigint) as rows_scanned from {fx_snapshots} where finished_at >= {as_of} - interval 20000 hours group by source having sum(target_rows) <= 10 order by rows_scanned desc, source limit 50",
     "crawl_summary": "select complete, count(*) as snapshots, cast(sum(rows_scanned) as bigint) as rows_scanned, cast(sum(new_rows) as bigint) as new_rows, cast(sum(removed_rows) as bigint) as removed_rows from {fx_snapshots} group by complete",
-    "new_and_removed_keys": "select source, count(case when active and first_seen_at >= {as_of} - interval 2400 hours then 1 end) as new_keys, count(case when not active then 1 end) as removed_keys from {postings} group by source",
     "due_sources": f"select source, kind, last_complete_at from {{fx_targets}} where {CURRENT} and (last_complete_at is null or secs(last_complete_at, {{as_of}}) >= interval_seconds) order by last_complete_at nulls first, source limit 50",
     "due_candidates": "select source, kind, evidence_count from {fx_candidates} where status in ('candidate', 'retry') order by case when scope = 'current' then 0 else 1 end, evidence_count desc, source limit 100",
     "due_observations": "select source, source_id, max(observed_at) as newest from {fx_observations} group by source, source_id order by newest, source, source_id limit 100",
@@ -138,15 +116,10 @@ TEXTS |= {
     "promote_scope": f"select t.source, case when p.source is not null then 'current' else t.scope end as scope from {{fx_targets}} t left join (select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})) p on p.source = t.source",
     "validate_catalog_bootstrap": "select t.source, t.validated or t.last_status = 'ok' or p.source is not null as validated from {fx_targets} t left join (select distinct source from {postings} where source_mode = 'direct') p on p.source = t.source",
     "requeue_empty_current": "select source, case when last_status = 'empty' and scope = 'current' then least(interval_seconds, 3600) else interval_seconds end as due_in from {fx_targets}",
-    "retire_dormant": "select source, enabled and not retired as enabled, case when retired then 'historical' else scope end as scope, validated and not retired as validated from (select *, last_status = 'empty' and consecutive_failures = 4 as retired from {fx_targets}) t",
-    "crawl_target_update": "select t.source, case when s.complete then s.finished_at else t.last_complete_at end as last_complete_at, coalesce(s.finished_at, t.last_finished_at) as last_finished_at, case when s.complete then 0 else t.consecutive_failures + 1 end as consecutive_failures from {fx_targets} t left join (select source, finished_at, complete from (select *, row_number() over (partition by source order by finished_at desc, case when complete then 0 else 1 end) as nth from {fx_snapshots}) r where nth = 1) s on t.source = s.source",
-    "candidate_outcome": "select source, case when status = 'validated' then 'promoted' when consecutive_failures + 1 >= 5 or status = 'rejected' then 'rejected' else 'retry' end as outcome, cast(least(604800, 21600 * power(2, least(greatest(consecutive_failures - 1, 0), 4))) as bigint) as delay from {fx_candidates}",
-    "health_upsert": "select source, max(finished_at) as last_run, max(case when complete then finished_at end) as last_success, cast(sum(rows_scanned) as bigint) as rows_scanned, count(case when not complete then 1 end) as failures, case when count(case when complete then 1 end) = 0 then 'quarantine' when sum(target_rows) > 0 then 'productive' else 'candidate' end as lifecycle from {fx_snapshots} group by source",
     "shard_census": "select source, kind from {fx_candidates} where kind in ('standard', 'small') and evidence_count % 4 = 1",
     "shard_health": "select s.source, count(*) as selected, count(case when s.complete then 1 end) as refreshed from {fx_snapshots} s group by s.source",
     "refresh_selection": f"select source from {{fx_targets}} where validated and scope = 'current' union select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})",
     "direct_selection": "select source, kind from (select source, kind, row_number() over (partition by kind order by consecutive_failures, source) as nth from {fx_targets}) r where nth <= 10",
-    "schedule_catalog": "select t.source, t.enabled and t.scope = 'current' as enabled, greatest(t.last_finished_at, coalesce(s.finished_at, t.last_finished_at)) as last_finished_at, coalesce(s.rows_scanned, 0) as rows_scanned from {fx_targets} t left join (select source, max(finished_at) as finished_at, cast(max(rows_scanned) as bigint) as rows_scanned from {fx_snapshots} where complete group by source) s on s.source = t.source where t.validated",
     "source_probe_audit": f"select source, count(*) as n, count(case when target_match in ({GOOD}) then 1 end) as target_rows, count(posted_at) as trusted_dates, max(posted_at) as newest from {{postings}} group by source",
     "audit_rollup": f"select kind, count(*) as sources, count(case when last_status in ({BAD}) then 1 end) as unhealthy from {{fx_targets}} group by kind",
     "coverage_contract": f"select count(*) as sources, count(case when last_status = 'ok' and last_complete_at is not null then 1 end) as complete_enumerators, count(case when last_status in ('broken', 'partial') then 1 end) as actionable, count(case when last_status = 'blocked' then 1 end) as access_limited, count(case when last_status = 'truncated' then 1 end) as truncated, count(case when scope = 'historical' then 1 end) as dormant from {{fx_targets}}",
@@ -161,17 +134,10 @@ TEXTS |= {
 TEXTS |= {
     "incoming": "select * from {postings} where source_mode = 'direct' and cast(substring(source_id, 1, 1) as int) % 3 <> 0",
     "stored": "select * from {postings} where source_mode <> 'direct' or cast(substring(source_id, length(source_id), 1) as int) % 4 <> 0",
-    "upsert_postings": f"select coalesce(n.posting_key, o.posting_key) as posting_key, coalesce(n.title, o.title) as title, coalesce(n.posted_at, o.posted_at) as posted_at, coalesce(o.first_seen_at, {{as_of}}) as first_seen_at, case when n.posting_key is not null then {{as_of}} else o.last_seen_at end as last_seen_at, n.posting_key is not null or o.active as active, case when n.posting_key is not null then null else o.removed_at end as removed_at from {{stored}} o full outer join {{incoming}} n on n.posting_key = o.posting_key",
     "pending_removal": "select o.posting_key, case when o.removed_at is null then {as_of} else o.removed_at end as removed_at, not coalesce(secs(o.removed_at, {as_of}) >= greatest(1800, least(coalesce(t.interval_seconds, 0), 21600)), false) as active from {stored} o left join {fx_targets} t on t.source = o.source where o.active and o.source_mode = 'direct' and not exists (select 1 from {incoming} n where n.posting_key = o.posting_key)",
-    "restore_legacy_removed": "select posting_key, last_seen_at as removed_at, true as active from {stored} where not active and source_mode = 'direct' and secs(last_seen_at, {as_of}) <= 2160000",
     "close_identity_stale": f"select distinct p.posting_key from {{stored}} p join (select distinct identity from {{stored}} where source_mode = 'direct' and target_match in ({GOOD}) except select distinct identity from {{incoming}}) g on g.identity = p.identity where p.active and p.source_mode in ('registry', 'external-index', 'verification-lead') and p.target_match in ({GOOD})",
-    "close_provider_stale": "select p.posting_key from {stored} p where p.active and p.source_mode in ('registry', 'external-index', 'verification-lead') and exists (select 1 from {fx_targets} t where concat('supplier', split_part(t.source, ':', 2)) = regexp_replace(lower(p.company), '[^a-z]', '') or t.source = concat('greenhouse:', split_part(p.source, ':', 2))) and not exists (select 1 from {incoming} n where n.identity = p.identity)",
     "close_urls": "select posting_key from {postings} p where active and source_mode in ('registry', 'verification', 'external-index') and exists (select 1 from (select distinct canonical_apply_url from {postings} where not active) c where c.canonical_apply_url = p.canonical_apply_url)",
-    "apply_link_states": "select p.posting_key, l.state as link_status, p.active and l.state <> 'closed' as active from {postings} p join (select canonical_apply_url, case when length(canonical_apply_url) % 3 = 0 then 'closed' else 'active' end as state from {postings} group by canonical_apply_url) l on l.canonical_apply_url = p.canonical_apply_url",
-    "close_non_actionable": "select posting_key, active and canonical_apply_url not like '%github.com%' as active from {postings}",
     "links_to_check": "select canonical_apply_url, min(last_seen_at) as checked_at from {postings} where active group by canonical_apply_url order by checked_at, canonical_apply_url limit 200",
-    "unverified_leads": f"select posting_key, identity from (select l.posting_key, l.identity, row_number() over (partition by l.identity order by l.last_seen_at desc, l.posting_key) as nth from {{postings}} l where l.active and l.source_mode in ('registry', 'external-index', 'verification-lead') and l.target_match in ({GOOD}) and not exists (select 1 from {{postings}} v where v.active and v.identity = l.identity and v.source_mode in ('direct', 'verification'))) r where nth = 1",
-    "lead_outcomes": "select l.posting_key, case when v.identity is not null then 'verified' when not l.active then 'closed' else 'unverified' end as outcome from {postings} l left join (select distinct identity from {postings} where active and source_mode in ('direct', 'verification')) v on v.identity = l.identity where l.source_mode = 'verification-lead'",
     "retryable_leads": "select posting_key, last_seen_at from {postings} where source_mode = 'verification-lead' and secs(last_seen_at, {as_of}) between 1200 and 8640000 order by last_seen_at desc, posting_key limit 100",
     "batch_leads": "select posting_key, company, cast(floor((row_number() over (partition by company order by posting_key) - 1) / 25) as bigint) as batch from {postings} where source_mode = 'verification-lead' and active",
     "rotating_slice": "select source, nth from (select source, row_number() over (order by sha2(source, 256)) - 1 as nth, count(*) over () as n from {fx_candidates}) r where (nth - 37 * 5 % n + n) % n < 37",
@@ -181,8 +147,6 @@ TEXTS |= {
     "notification_representative": "select family_key, posting_key from (select family_key, posting_key, row_number() over (partition by family_key order by posted_at desc nulls last, first_seen_at desc, posting_key) as nth from {postings} where active) r where nth = 1",
     "pending_notifications": f"select f.family_key, f.title from {{families}} f where f.category in ({TECHS}) and not exists (select 1 from (select family_key from {{families}} where opening_count > 3) l where l.family_key = f.family_key) order by f.first_detected_at desc, f.family_key limit 200",
     "bootstrap_suppress": "select family_key, 'alerts' as channel from {families} where first_detected_at < {as_of} - interval 2400 hours",
-    "ledger_diagnostics": "select f.family_key, l.family_key is not null as delivered, f.direct_openings > 0 as eligible from {families} f left join (select family_key from {families} where opening_count > 3) l on l.family_key = f.family_key order by f.first_detected_at desc, f.family_key limit 100",
-    "channel_totals": "select category as channel, count(*) as sent, max(first_detected_at) as last_sent from {families} where opening_count > 3 group by category",
     "notification_rows": "select family_key, substring(company, 1, 80) as company, substring(title, 1, 120) as title, substring(locations, 1, 60) as place from {families} where direct_openings > 0",
     "replace_refreshed_sources": "select posting_key, source from {stored} s where not exists (select 1 from {incoming} i where i.source = s.source) union all select posting_key, source from {incoming}",
     "supersede_by_url": "select posting_key from {stored} s where not exists (select 1 from {incoming} i where i.source = s.source) and not exists (select 1 from {incoming} i where i.canonical_apply_url = s.canonical_apply_url)",
@@ -211,8 +175,6 @@ TEXTS |= {
     "ecosystem_rollup": "select source as employer, count(distinct source_id) as members, max(value) as top_value, count(*) as n, max(observed_at) as last_seen from {fx_observations} group by source",
     "universe_summary": "select status, count(*) as employers, cast(sum(technical_roles) as bigint) as technical_roles from {employer_universe} group by status",
     "universe_merge": "select coalesce(u.employer, e.employer) as employer, coalesce(u.roles, 0) as roles, coalesce(e.members, 0) as members, greatest(u.last_seen, e.last_seen) as last_seen from {employer_universe} u full outer join {ecosystem_rollup} e on u.employer = e.employer",
-    "observation_upsert": "select source, source_id, min(observed_at) as first_seen, max(observed_at) as last_seen, count(*) as n from {fx_observations} group by source, source_id",
-    "candidate_upsert": "select source, max(evidence_count) + 1 as evidence_count, min(scope) as scope from (select source, evidence_count, scope from {fx_candidates} union all select source, evidence_count - 1 as evidence_count, scope from {fx_candidates} where status = 'retry') u group by source",
     "catalog_upsert": "select source, bool_or(validated) as validated, min(scope) as scope from (select source, validated, scope from {fx_targets} union all select source, status = 'validated' as validated, scope from {fx_candidates}) u group by source",
     "array_union_sorted": "select company, array_join(array_sort(array_distinct(flatten(array_agg(locations)))), '|') as places from {postings} group by company",
     "rank_feeds": "select source, rows_scanned from (select source, cast(max(rows_scanned) as bigint) as rows_scanned, max(finished_at) as pushed from {fx_snapshots} group by source) f order by pushed desc, rows_scanned desc, source limit 40",
@@ -236,9 +198,13 @@ TEXTS |= {
 HIDDEN = ("families", "incoming", "stored")
 
 
+#: The operators of this module.
+OWN = tuple(k for k in TEXTS if k not in HIDDEN)
+
+
 def queries() -> dict:
-    return {k: lambda spark, sf_dir, k=k: dialect.frame(spark, sf_dir, k) for k in TEXTS if k not in HIDDEN}
+    return {k: lambda spark, sf_dir, k=k: dialect.frame(spark, sf_dir, k) for k in OWN}
 
 
 def oracle() -> dict[str, str]:
-    return {k: dialect.oracle(k) for k in TEXTS if k not in HIDDEN}
+    return {k: dialect.oracle(k) for k in OWN}
