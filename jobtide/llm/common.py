@@ -13,7 +13,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch of rows that goes to a Python worker, where the session leaves Spark's own 64 MB.
+BATCH = 6 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Rows are whole texts, so batches are bounded by bytes; a session that sets its own bound keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("bB") == str(64 << 20):
+        spark.conf.set(name, str(BATCH))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
