@@ -53,17 +53,12 @@ TEXTS |= {
 }
 # Aggregates over families and postings.
 TEXTS |= {
-    "feed_stats": f"""select (select count(*) from {{families}} where {PUBLIC}) as role_families, (select coalesce(cast(sum(direct_openings) as bigint), 0) from {{families}} where {PUBLIC}) as active_listings, (select count(distinct company) from {{families}} where {PUBLIC}) as companies,
-      (select count(*) from {{families}} where {PUBLIC} and latest_posted_at >= {{as_of}} - interval 24 hours) as new_families_today, (select count(*) from {{families}} where year = 2027 and category in ({TECHS}) and direct_openings = 0 and backstop_openings > 0) as leads,
-      (select count(*) from {{fx_targets}} where enabled and scheduled and validated and scope = 'current') as validated_sources""",
     "durable_activity_stats": f"select count(distinct case when first_seen_at >= {{as_of}} - interval 720 hours then canonical_apply_url end) as discovered, count(distinct case when removed_at >= {{as_of}} - interval 720 hours and not active then canonical_apply_url end) as removed from {{postings}} where source_mode = 'direct' and year = 2027 and category in ({TECHS})",
     "daily_movement": f"select count(distinct case when first_seen_at >= {{as_of}} - interval 24 hours and removed_at is null then canonical_apply_url end) as new_urls_today, count(distinct case when removed_at >= {{as_of}} - interval 24 hours then canonical_apply_url end) as removed_urls_today from {{postings}} where source_mode = 'direct' and year = 2027 and category in ({TECHS})",
     "snapshot_fallback_stats": "select count(*) as families, cast(sum(opening_count) as bigint) as openings, count(distinct company) as companies, count(case when direct_openings > 0 then 1 end) as verified, max(latest_posted_at) as newest_posted, max(first_detected_at) as newest_found from {families}",
     "listing_freshness": "select max(latest_posted_at) as newest_posted_at, max(first_detected_at) as newest_found_at, cast(secs(max(latest_posted_at), {as_of}) as double) / 3600 as posted_age_hours, cast(secs(max(first_detected_at), {as_of}) as double) / 3600 as found_age_hours, count(case when first_detected_at >= {as_of} - interval 24 hours then 1 end) as found_24h, count(case when first_detected_at >= {as_of} - interval 168 hours then 1 end) as found_7d from {families} where direct_openings > 0",
     "posting_freshness": "select count(*) as trusted, count(case when posted_at >= {as_of} - interval 24 hours then 1 end) as last_24h, count(case when posted_at >= {as_of} - interval 72 hours then 1 end) as last_72h, count(case when posted_at >= {as_of} - interval 168 hours then 1 end) as last_7d, max(posted_at) as newest from {postings} where posted_at is not null and source_mode in ('direct', 'verification')",
     "verified_window": "select count(*) as families, coalesce(cast(sum(direct_openings) as bigint), 0) as openings, count(case when first_detected_at >= {as_of} - interval 720 hours then 1 end) as new_families from {families} where direct_openings > 0",
-    "coverage_summary": f"""select (select count(*) from {{families}} where target_match in ({GOOD})) as families, (select count(distinct company) from {{families}} where target_match in ({GOOD})) as companies, (select count(*) from {{families}} where target_match in ({GOOD}) and latest_posted_at is not null) as dated,
-      (select count(distinct identity) from {{postings}} where active and source_mode = 'registry') as floor_identities, (select count(distinct f.identity) from {{postings}} f join {{postings}} d on f.identity = d.identity where f.active and d.active and f.source_mode = 'registry' and d.source_mode in ('direct', 'verification')) as matched""",
     "companies_by_mode": "select source_mode, count(distinct company) as companies from {postings} where active group by source_mode",
     "notification_eligibility": "select family_key, min(first_seen_at) as first_seen_at, bool_or(source_mode in ('direct', 'verification')) as any_verified, bool_or(source_mode not in ('direct', 'verification')) as any_lead from {postings} where active group by family_key",
     "market_summary": f"select (select count(*) from {{postings}}) as postings, (select count(*) from {{postings}} where target_match in ({GOOD})) as targets, (select count(*) from {{postings}} where target_match = 'exact') as exact, (select count(distinct kind) from {{fx_candidates}}) as candidate_kinds, (select count(*) from {{fx_candidates}}) as candidates",
@@ -82,7 +77,6 @@ TEXTS |= {
     "classification_regression": f"select p.posting_key, c.target_match as expected, p.target_match as found from (select posting_key, case when title like '%Accountant' then 'not_internship' else target_match end as target_match from {{postings}}) c join {{postings}} p on p.posting_key = c.posting_key where c.target_match <> p.target_match",
     "seed_regression_corpus": "select posting_key, title, category, target_match from {postings} order by first_seen_at desc, posting_key limit 500",
     "require_identity": "select posting_key, trim(company) <> '' and trim(title) <> '' and trim(canonical_apply_url) <> '' as accepted from {postings}",
-    "domain_company_vote": "select host, company from (select host, company, row_number() over (partition by host order by n_current desc, n desc, length(company), company) as nth from (select split_part(canonical_apply_url, '-', 1) as host, company, count(*) as n, count(case when active then 1 end) as n_current from {postings} group by 1, 2) v) r where nth = 1",
 }
 # Sources, health and scheduling.
 FRESH = "greatest(interval_seconds * 3, 5400)"
@@ -92,14 +86,10 @@ COUNTS = f"""count(*) as total, count(case when last_complete_at is null then 1
   count(case when secs(last_complete_at, {{as_of}}) <= {FRESH} and last_status not in ({BAD}) then 1 end) as fresh, count(case when last_complete_at is null or {LATE} or last_status in ({BAD}) then 1 end) as unhealthy"""
 TEXTS |= {
     "current_targets": f"select source, kind, interval_seconds, last_complete_at, last_status from {{fx_targets}} where {CURRENT}",
-    "inventory_state": f"select {COUNTS}, max(last_finished_at) as latest_activity_at, min(last_complete_at) as coverage_watermark, (select count(*) from {{fx_targets}} where scheduled and validated and scope = 'historical') as historical from {{fx_targets}} where {CURRENT}",
     "inventory_state_legacy": f"select count(*) as total, count(case when secs(last_complete_at, {{as_of}}) > interval_seconds * 2 then 1 end) as overdue, count(case when last_status in ({BAD}) then 1 end) as degraded, greatest(0, count(*) - count(case when secs(last_complete_at, {{as_of}}) > interval_seconds * 2 then 1 end) - count(case when last_status in ({BAD}) then 1 end)) as fresh from {{fx_targets}} where {CURRENT}",
-    "provider_health": f"select kind, {COUNTS} from {{fx_targets}} where {CURRENT} group by kind",
     "provider_health_rollup": f"select coalesce(kind, 'total') as kind, {COUNTS} from {{fx_targets}} where {CURRENT} group by rollup(kind)",
     "source_diagnostics": "select coalesce(t.source, s.source) as source, t.kind, t.last_status, s.runs, s.rows_scanned from {fx_targets} t full outer join (select source, count(*) as runs, cast(sum(rows_scanned) as bigint) as rows_scanned from {fx_snapshots} group by source) s on t.source = s.source",
     "unscheduled_validated": "select c.source from {fx_candidates} c left join {fx_targets} t on c.source = t.source where c.status = 'validated' and (t.source is null or not t.scheduled)",
-    "zero_yield_sources": "select source, cast(sum(rows_scanned) as bigint) as rows_scanned from {fx_snapshots} where finished_at >= {as_of} - interval 20000 hours group by source having sum(target_rows) <= 10 order by rows_scanned desc, source limit 50",
-    "crawl_summary": "select complete, count(*) as snapshots, cast(sum(rows_scanned) as bigint) as rows_scanned, cast(sum(new_rows) as bigint) as new_rows, cast(sum(removed_rows) as bigint) as removed_rows from {fx_snapshots} group by complete",
     "due_sources": f"select source, kind, last_complete_at from {{fx_targets}} where {CURRENT} and (last_complete_at is null or secs(last_complete_at, {{as_of}}) >= interval_seconds) order by last_complete_at nulls first, source limit 50",
     "due_candidates": "select source, kind, evidence_count from {fx_candidates} where status in ('candidate', 'retry') order by case when scope = 'current' then 0 else 1 end, evidence_count desc, source limit 100",
     "due_observations": "select source, source_id, max(observed_at) as newest from {fx_observations} group by source, source_id order by newest, source, source_id limit 100",
@@ -107,8 +97,6 @@ TEXTS |= {
     "stalled_sources": f"select source, last_complete_at from {{fx_targets}} where {CURRENT} and (last_complete_at is null or {LATE}) order by last_complete_at nulls first, source limit 25",
     "recent_rejected": "select source, kind, consecutive_failures from {fx_candidates} where status = 'rejected' order by consecutive_failures desc, source limit 25",
     "unhealthy_sources": f"select source, last_status, consecutive_failures from {{fx_targets}} where last_status in ({BAD}) order by consecutive_failures desc, source limit 25",
-    "source_growth": "select count(*) as candidates, count(case when scope = 'current' then 1 end) as current_candidates, count(case when status in ('candidate', 'retry') then 1 end) as due, cast(sum(evidence_count) as bigint) as evidence, (select count(*) from {fx_targets} where validated) as catalog from {fx_candidates}",
-    "failure_counts": "select status, count(*) as n, array_join(slice(array_sort(array_agg(source)), 1, 3), '|') as examples from {fx_candidates} where consecutive_failures > 0 group by status order by n desc, status limit 25",
     "merge_catalog": "select source, kind, scope from (select source, kind, scope, row_number() over (partition by lower(source) order by case when scope = 'current' then 0 else 1 end, source) as nth from (select source, kind, scope from {fx_targets} union all select source, kind, scope from {fx_candidates}) u) r where nth = 1",
     "collapse_case_duplicates": "select source, validated from (select source, validated, row_number() over (partition by lower(source) order by case when validated then 0 else 1 end, case when scope = 'current' then 0 else 1 end, last_finished_at desc, source) as nth from (select source, validated, scope, last_finished_at from {fx_targets} union all select upper(source) as source, not validated as validated, scope, last_finished_at from {fx_targets}) u) r where nth = 1",
     "census_net_new": "select c.source from {fx_candidates} c where c.status <> 'rejected' and not exists (select 1 from {fx_targets} t where t.source = c.source and t.validated) and not exists (select 1 from {fx_candidates} q where q.source = c.source and q.status = 'retry')",
@@ -117,18 +105,11 @@ TEXTS |= {
     "validate_catalog_bootstrap": "select t.source, t.validated or t.last_status = 'ok' or p.source is not null as validated from {fx_targets} t left join (select distinct source from {postings} where source_mode = 'direct') p on p.source = t.source",
     "requeue_empty_current": "select source, case when last_status = 'empty' and scope = 'current' then least(interval_seconds, 3600) else interval_seconds end as due_in from {fx_targets}",
     "shard_census": "select source, kind from {fx_candidates} where kind in ('standard', 'small') and evidence_count % 4 = 1",
-    "shard_health": "select s.source, count(*) as selected, count(case when s.complete then 1 end) as refreshed from {fx_snapshots} s group by s.source",
     "refresh_selection": f"select source from {{fx_targets}} where validated and scope = 'current' union select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})",
     "direct_selection": "select source, kind from (select source, kind, row_number() over (partition by kind order by consecutive_failures, source) as nth from {fx_targets}) r where nth <= 10",
-    "source_probe_audit": f"select source, count(*) as n, count(case when target_match in ({GOOD}) then 1 end) as target_rows, count(posted_at) as trusted_dates, max(posted_at) as newest from {{postings}} group by source",
     "audit_rollup": f"select kind, count(*) as sources, count(case when last_status in ({BAD}) then 1 end) as unhealthy from {{fx_targets}} group by kind",
-    "coverage_contract": f"select count(*) as sources, count(case when last_status = 'ok' and last_complete_at is not null then 1 end) as complete_enumerators, count(case when last_status in ('broken', 'partial') then 1 end) as actionable, count(case when last_status = 'blocked' then 1 end) as access_limited, count(case when last_status = 'truncated' then 1 end) as truncated, count(case when scope = 'historical' then 1 end) as dormant from {{fx_targets}}",
-    "conversion_funnel": f"select (select count(*) from {{postings}} where first_seen_at >= {{as_of}} - interval 720 hours) as postings, (select count(*) from {{families}} where first_detected_at >= {{as_of}} - interval 720 hours) as families, (select count(*) from {{fx_snapshots}} where finished_at >= {{as_of}} - interval 720 hours) as snapshots, (select count(*) from {{fx_candidates}} where status = 'validated') as validated, (select count(*) from {{fx_targets}} where {CURRENT}) as scheduled",
     "bootstrap_readiness": f"select f.families, f.openings, f.companies, t.sources, f.families >= 100 and t.sources >= 10 as ready from (select count(*) as families, cast(sum(opening_count) as bigint) as openings, count(distinct company) as companies from {{families}}) f, (select count(*) as sources from {{fx_targets}} where validated) t",
     "readiness": "select families, openings, least(1.0, families / 1000.0) as family_ratio, greatest(0, 1000 - families) as family_deficit from (select count(*) as families, cast(sum(opening_count) as bigint) as openings from {families}) f",
-    "feed_lag": "select p.newest_posting, s.newest_snapshot, p.newest_posting > s.newest_snapshot as lagging from (select max(last_seen_at) as newest_posting from {postings}) p, (select max(finished_at) as newest_snapshot from {fx_snapshots}) s",
-    "publication_delta": "select a.n as gaps_before, b.n as gaps_after, a.n - b.n as closed from (select count(*) as n from {postings} where active and source_mode in ('direct', 'verification')) a, (select count(*) as n from {publication_gaps}) b",
-    "task_overdue": "select source, secs(last_finished_at, {as_of}) as age_seconds from {fx_targets} order by case when last_complete_at is null then 0 else 1 end, last_finished_at, source limit 100",
 }
 # Reconciliation: snapshots against the stored postings. `incoming` is what a complete snapshot listed.
 TEXTS |= {
@@ -154,27 +135,14 @@ TEXTS |= {
     "inherit_cycle_from_sensor": f"select d.posting_key, case when d.target_match = 'unknown' and s.target_match is not null then s.target_match else d.target_match end as target_match, case when d.target_match = 'unknown' and s.target_match is not null then s.year else d.year end as year from {{postings}} d left join (select canonical_apply_url, target_match, year from (select canonical_apply_url, target_match, year, row_number() over (partition by canonical_apply_url order by {MATCH} desc, posting_key) as nth from {{postings}} where source_mode in ('registry', 'external-index') and target_match in ({GOOD})) r where nth = 1) s on s.canonical_apply_url = d.canonical_apply_url where d.source_mode = 'direct'",
     "mixed_cycle_filter": "select posting_key from {postings} where active and (contains(lower(title), 'summer 2027') or (contains(title, '2027') and contains(lower(title), 'intern') and not contains(lower(title), 'fall')))",
     "collect_observations": "select posting_key, 'kept' as part from {stored} where source_mode = 'verification' union all select posting_key, 'sensor' as part from {stored} where source_mode in ('registry', 'external-index') union all select posting_key, 'direct' as part from {incoming}",
-    "tenants_from_postings": "select tenant, kind, scope from (select split_part(source, ':', 2) as tenant, split_part(source, ':', 1) as kind, case when active then 'current' else 'historical' end as scope, row_number() over (partition by source order by case when active then 0 else 1 end, posting_key) as nth from {postings}) r where nth = 1",
     "sensor_recall": "select count(*) as expected, count(f.canonical_apply_url) as published, round(cast(count(f.canonical_apply_url) as double) / count(*), 4) as recall, max(s.newest) as newest_sensor from (select canonical_apply_url, max(first_seen_at) as newest from {postings} where source_mode in ('registry', 'external-index') group by canonical_apply_url) s left join (select distinct canonical_apply_url from {postings} where active) f on f.canonical_apply_url = s.canonical_apply_url",
 }
 # Observations, employers and fusion.
 TEXTS |= {
-    "fuse_openings": f"""select canonical_apply_url, max(case when nth = 1 then posting_key end) as posting_key, max(case when source_mode in ('direct', 'verification') then posted_at end) as posted_at, max(case when source_mode not in ('direct', 'verification') then posted_at end) as sensor_at, min(first_seen_at) as first_seen_at, max(case when source_mode in ('direct', 'verification') then last_seen_at end) as verified_at,
-      case when max(case when source_mode in ('direct', 'verification') then posted_at end) is not null then 'employer-posted' when max(case when source_mode not in ('direct', 'verification') then posted_at end) is not null then 'sensor-reported' else 'first-seen' end as event_kind, count(distinct concat(source, ' ', source_mode)) as evidence_count, bool_or(source_mode in ('direct', 'verification')) as direct, max(case when nth = 1 then family_key end) as family_key
-      from (select *, row_number() over (partition by canonical_apply_url order by case when source_mode in ('direct', 'verification') then 0 else 1 end, {MATCH} desc, coalesce(posted_at, first_seen_at) desc, last_seen_at desc, posting_key) as nth from {{postings}}) r group by canonical_apply_url""",
-    "fuse_families": "select family_key, count(*) as opening_count, count(case when direct then 1 end) as direct_openings, bool_or(direct) as verified, max(coalesce(posted_at, sensor_at, first_seen_at)) as market_event_at, max(posted_at) as latest_posted_at, max(sensor_at) as latest_sensor_at, min(first_seen_at) as first_detected_at, max(verified_at) as last_verified_at, cast(sum(evidence_count) as bigint) as evidence_count from {fuse_openings} group by family_key",
-    "market_stats": "select count(*) as families, count(case when verified then 1 end) as verified, count(case when not verified then 1 end) as leads, cast(sum(opening_count) as bigint) as openings, count(case when latest_posted_at >= {as_of} - interval 24 hours then 1 end) as new_verified, count(case when not verified and market_event_at >= {as_of} - interval 336 hours then 1 end) as backlog, max(market_event_at) as newest_event from {fuse_families}",
-    "sensor_health": "select source, count(*) as n, max(observed_at) as freshest, secs(date_trunc('second', max(observed_at)), max(date_trunc('second', max(observed_at))) over ()) as behind_seconds from {fx_observations} group by source",
     "read_previous_first_seen": "select canonical_apply_url, min(first_seen_at) as first_seen_at from {postings} group by canonical_apply_url",
     "seed_from_snapshot": "select canonical_apply_url, posting_key from (select canonical_apply_url, posting_key, row_number() over (partition by canonical_apply_url order by last_seen_at desc, posting_key) as nth from {postings} where source_mode = 'direct' and active) r where nth = 1",
     "read_snapshot_observations": "select source, source_id, observed_at from (select *, max(observed_at) over () as newest from {fx_observations}) o where secs(observed_at, newest) <= case when source_mode = 'direct' then 259200 else 86400 end",
-    "rebuild_snapshot_families": "select family_key, count(*) as openings, count(case when source_mode = 'direct' then 1 end) as direct, min(first_seen_at) as first_detected_at from (select *, row_number() over (partition by canonical_apply_url order by last_seen_at desc, posting_key desc) as nth from {postings}) r where nth = 1 group by family_key",
-    "employer_universe": f"""select employer, count(*) as roles, count(distinct source) as sources, count(distinct source_mode) as evidence_types, count(case when source_mode = 'direct' and active then 1 end) as direct_roles, count(case when source_mode = 'registry' then 1 end) as registry, count(case when category in ({TECHS}) then 1 end) as technical_roles, max(last_seen_at) as last_seen,
-      array_join(array_sort(array_agg(distinct source_mode)), '|') as modes, case when count(case when source_mode = 'direct' and active then 1 end) > 0 then 'enumerated' when count(case when source_mode = 'registry' then 1 end) > 0 then 'indexed' else 'unresolved' end as status from (select *, lower(company) as employer from {{postings}}) p group by employer""",
     "employer_evidence": "select lower(company) as employer, source_mode, source, year, count(*) as roles, count(case when active then 1 end) as active_roles, min(first_seen_at) as first_seen, max(last_seen_at) as last_seen, min(canonical_apply_url) as sample_url from {postings} group by 1, 2, 3, 4",
-    "ecosystem_rollup": "select source as employer, count(distinct source_id) as members, max(value) as top_value, count(*) as n, max(observed_at) as last_seen from {fx_observations} group by source",
-    "universe_summary": "select status, count(*) as employers, cast(sum(technical_roles) as bigint) as technical_roles from {employer_universe} group by status",
-    "universe_merge": "select coalesce(u.employer, e.employer) as employer, coalesce(u.roles, 0) as roles, coalesce(e.members, 0) as members, greatest(u.last_seen, e.last_seen) as last_seen from {employer_universe} u full outer join {ecosystem_rollup} e on u.employer = e.employer",
     "catalog_upsert": "select source, bool_or(validated) as validated, min(scope) as scope from (select source, validated, scope from {fx_targets} union all select source, status = 'validated' as validated, scope from {fx_candidates}) u group by source",
     "array_union_sorted": "select company, array_join(array_sort(array_distinct(flatten(array_agg(locations)))), '|') as places from {postings} group by company",
     "rank_feeds": "select source, rows_scanned from (select source, cast(max(rows_scanned) as bigint) as rows_scanned, max(finished_at) as pushed from {fx_snapshots} group by source) f order by pushed desc, rows_scanned desc, source limit 40",
@@ -182,19 +150,6 @@ TEXTS |= {
     "ffill_company": "select posting_key, last_value(shown) over (partition by source order by posting_key rows between unbounded preceding and current row) as company from (select posting_key, source, company as shown from {postings}) p",
     "verification_plan": "select posting_key, lane from (select posting_key, case when source_mode = 'direct' then 1 when posted_at is not null then 2 else 3 end as lane, row_number() over (partition by case when source_mode = 'direct' then 1 when posted_at is not null then 2 else 3 end order by posted_at desc nulls last, posting_key) as nth from {postings} where active) r where nth <= 100",
 }
-# Gates: one row of figures and a verdict.
-TEXTS |= {
-    "gate_snapshot_sanity": "select active, companies, active >= 100 and companies <= active as passed from (select count(*) as active, count(distinct company) as companies from {postings} where active) a",
-    "gate_snapshot_contract": "select families, distinct_keys, blank_keys, families = distinct_keys and blank_keys = 0 as passed from (select count(*) as families, count(distinct family_key) as distinct_keys, count(case when trim(family_key) = '' then 1 end) as blank_keys from {families}) f",
-    "gate_sensor_recall": "select expected, published, recall, recall >= 0.995 as passed from {sensor_recall}",
-    "gate_market_snapshot": "select families, sensors, newest_event, families >= 100 and sensors >= 3 and secs(newest_event, {as_of}) <= 345600 as passed from (select count(*) as families, max(market_event_at) as newest_event from {fuse_families}) f, (select count(distinct source) as sensors from {fx_observations}) s",
-    "gate_export_health": "select total, fresh, total > 0 and fresh > 0 and fresh <= total and secs(latest_activity_at, {as_of}) between 0 and 21600 as passed from {inventory_state}",
-    "gate_production": "select i.total, i.unhealthy, l.found_7d, i.total >= 50 and i.unhealthy = 0 and l.found_7d > 0 as passed from {inventory_state} i, {listing_freshness} l",
-    "gate_coverage": "select total, fresh, unhealthy, never_completed, fresh + unhealthy = total as consistent, case when unhealthy = 0 then 'success' when never_completed > 0 then 'pending' else 'failure' end as verdict from {inventory_state}",
-    "gate_stall": "select posted_age_hours, found_age_hours, posted_age_hours <= 48 as passed from {listing_freshness}",
-    "gate_snapshot_usable": "select families, distinct_keys, families = distinct_keys and families > 0 as passed from (select count(*) as families, count(distinct family_key) as distinct_keys from {families}) f",
-    "gate_row_constraints": "select count(case when trim(company) = '' or trim(title) = '' then 1 end) as blank, count(case when opening_count <> direct_openings + backstop_openings then 1 end) as uneven, count(case when opening_count < 0 then 1 end) as negative, count(case when trim(company) = '' or trim(title) = '' or opening_count <> direct_openings + backstop_openings then 1 end) = 0 as passed from {families}",
-}
 HIDDEN = ("families", "incoming", "stored")
 
 

@@ -24,7 +24,7 @@ VIEWS = {
     "board_snap": "select posting_key, identity, target_match, concat('greenhouse:', replace(lower(company), '#', '')) as source from {incoming} where length(title) % 5 <> 0",
     "boards": "select source, count(*) % 4 <> 0 as complete, case when count(*) % 5 = 0 then 'partial' else 'ok' end as status from {board_snap} group by source",
     "checks": f"select canonical_apply_url as url, case {PARTKEY} % 6 when 0 then 200 when 1 then 404 when 2 then 403 when 3 then 500 when 4 then 410 else 429 end as code, {PARTKEY} % 5 = 0 as closed_text, max(last_seen_at) as checked_at from {{postings}} where {PARTKEY} % 7 <> 0 group by canonical_apply_url",
-    "linked": "select p.posting_key, p.active, l.url from {postings} p join {fx_links} l on l.id = cast(split_part(p.source_id, '-', 3) as int)",
+    "linked": "select p.posting_key, p.active, p.company, l.url, l.url as canonical_apply_url from {postings} p join {fx_links} l on l.id = cast(split_part(p.source_id, '-', 3) as int)",
     "runs": "select source, finished_at, rows_scanned, target_rows, new_rows, removed_rows, case when error is not null then false else complete end as complete, status, error, mode, case when rows_scanned % 4 = 0 then 'historical' else 'current' end as scope from (select *, case when complete then case when target_rows > 0 then 'ok' when rows_scanned % 3 = 0 then 'dormant' else 'empty' end else case rows_scanned % 4 when 0 then 'broken' when 1 then 'blocked' when 2 then 'truncated' else 'partial' end end as status, case when not complete and rows_scanned % 4 < 2 then 'HTTP 403 Forbidden' end as error, case when rows_scanned % 5 = 0 then 'site' else 'board' end as mode from {fx_snapshots}) r",
     "catalog": "select source, kind, scope, validated, 'census' as origin, last_finished_at as last_discovered_at from {fx_targets} where consecutive_failures < 4 union all select source, case when evidence_count % 2 = 0 then 'lever' else 'verification' end as kind, scope, status = 'validated' as validated, 'probe' as origin, {as_of} as last_discovered_at from {fx_candidates} where evidence_count % 10 = 0",
     "targets_now": "select source, interval_seconds, case when consecutive_failures % 2 = 0 then last_complete_at end as last_complete_at, case when consecutive_failures % 3 = 0 then last_finished_at end as last_finished_at, case when consecutive_failures = 1 then 'pending' else last_status end as last_status, consecutive_failures * 10 as last_rows, consecutive_failures, enabled, scheduled, {as_of} as next_run_at from {fx_targets}",

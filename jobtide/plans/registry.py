@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "inventory", "feed", "reconcile", "landed", "streams", "texts")
+MODULES = ("scalars", "inventory", "feed", "reconcile", "fusion", "figures", "gates", "selection", "landed", "streams", "texts")
 
 
 def _merged(part: str) -> dict:
