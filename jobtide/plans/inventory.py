@@ -74,7 +74,6 @@ TEXTS |= {
     "cycle_year_season": "select posting_key, year, season from {postings}",
     "target_match": "select posting_key, target_match from {postings}",
     "categorize": "select posting_key, category from {postings}",
-    "classification_regression": f"select p.posting_key, c.target_match as expected, p.target_match as found from (select posting_key, case when title like '%Accountant' then 'not_internship' else target_match end as target_match from {{postings}}) c join {{postings}} p on p.posting_key = c.posting_key where c.target_match <> p.target_match",
     "seed_regression_corpus": "select posting_key, title, category, target_match from {postings} order by first_seen_at desc, posting_key limit 500",
     "require_identity": "select posting_key, trim(company) <> '' and trim(title) <> '' and trim(canonical_apply_url) <> '' as accepted from {postings}",
 }
@@ -104,9 +103,7 @@ TEXTS |= {
     "promote_scope": f"select t.source, case when p.source is not null then 'current' else t.scope end as scope from {{fx_targets}} t left join (select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})) p on p.source = t.source",
     "validate_catalog_bootstrap": "select t.source, t.validated or t.last_status = 'ok' or p.source is not null as validated from {fx_targets} t left join (select distinct source from {postings} where source_mode = 'direct') p on p.source = t.source",
     "requeue_empty_current": "select source, case when last_status = 'empty' and scope = 'current' then least(interval_seconds, 3600) else interval_seconds end as due_in from {fx_targets}",
-    "shard_census": "select source, kind from {fx_candidates} where kind in ('standard', 'small') and evidence_count % 4 = 1",
     "refresh_selection": f"select source from {{fx_targets}} where validated and scope = 'current' union select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})",
-    "direct_selection": "select source, kind from (select source, kind, row_number() over (partition by kind order by consecutive_failures, source) as nth from {fx_targets}) r where nth <= 10",
     "audit_rollup": f"select kind, count(*) as sources, count(case when last_status in ({BAD}) then 1 end) as unhealthy from {{fx_targets}} group by kind",
     "bootstrap_readiness": f"select f.families, f.openings, f.companies, t.sources, f.families >= 100 and t.sources >= 10 as ready from (select count(*) as families, cast(sum(opening_count) as bigint) as openings, count(distinct company) as companies from {{families}}) f, (select count(*) as sources from {{fx_targets}} where validated) t",
     "readiness": "select families, openings, least(1.0, families / 1000.0) as family_ratio, greatest(0, 1000 - families) as family_deficit from (select count(*) as families, cast(sum(opening_count) as bigint) as openings from {families}) f",
@@ -119,9 +116,6 @@ TEXTS |= {
     "close_identity_stale": f"select distinct p.posting_key from {{stored}} p join (select distinct identity from {{stored}} where source_mode = 'direct' and target_match in ({GOOD}) except select distinct identity from {{incoming}}) g on g.identity = p.identity where p.active and p.source_mode in ('registry', 'external-index', 'verification-lead') and p.target_match in ({GOOD})",
     "close_urls": "select posting_key from {postings} p where active and source_mode in ('registry', 'verification', 'external-index') and exists (select 1 from (select distinct canonical_apply_url from {postings} where not active) c where c.canonical_apply_url = p.canonical_apply_url)",
     "links_to_check": "select canonical_apply_url, min(last_seen_at) as checked_at from {postings} where active group by canonical_apply_url order by checked_at, canonical_apply_url limit 200",
-    "retryable_leads": "select posting_key, last_seen_at from {postings} where source_mode = 'verification-lead' and secs(last_seen_at, {as_of}) between 1200 and 8640000 order by last_seen_at desc, posting_key limit 100",
-    "batch_leads": "select posting_key, company, cast(floor((row_number() over (partition by company order by posting_key) - 1) / 25) as bigint) as batch from {postings} where source_mode = 'verification-lead' and active",
-    "rotating_slice": "select source, nth from (select source, row_number() over (order by sha2(source, 256)) - 1 as nth, count(*) over () as n from {fx_candidates}) r where (nth - 37 * 5 % n + n) % n < 37",
     "recovered_distinct_on": "select company, title, canonical_apply_url, posting_key from (select *, row_number() over (partition by company, title, canonical_apply_url order by last_seen_at desc, posting_key) as nth from {postings} where source_mode = 'verification') r where nth = 1",
     "dedupe_posting_key": "select posting_key, last_seen_at from (select posting_key, last_seen_at, row_number() over (partition by posting_key order by last_seen_at desc, canonical_apply_url desc) as nth from (select * from {stored} union all select * from {incoming}) u) r where nth = 1",
     "dedupe_sensor_rows": "select posting_key, company, title, canonical_apply_url from (select *, row_number() over (partition by company, title, canonical_apply_url order by coalesce(posted_at, first_seen_at) desc, posting_key) as nth from {postings} where source_mode in ('registry', 'external-index')) r where nth = 1",
@@ -131,9 +125,7 @@ TEXTS |= {
     "notification_rows": "select family_key, substring(company, 1, 80) as company, substring(title, 1, 120) as title, substring(locations, 1, 60) as place from {families} where direct_openings > 0",
     "replace_refreshed_sources": "select posting_key, source from {stored} s where not exists (select 1 from {incoming} i where i.source = s.source) union all select posting_key, source from {incoming}",
     "supersede_by_url": "select posting_key from {stored} s where not exists (select 1 from {incoming} i where i.source = s.source) and not exists (select 1 from {incoming} i where i.canonical_apply_url = s.canonical_apply_url)",
-    "cycle_stamp": "select posting_key, case when target_match = 'unknown' and source_mode = 'external-index' then 'source_confirmed' else target_match end as target_match, case when target_match = 'unknown' and source_mode = 'external-index' then 2027 else year end as year from {postings}",
     "inherit_cycle_from_sensor": f"select d.posting_key, case when d.target_match = 'unknown' and s.target_match is not null then s.target_match else d.target_match end as target_match, case when d.target_match = 'unknown' and s.target_match is not null then s.year else d.year end as year from {{postings}} d left join (select canonical_apply_url, target_match, year from (select canonical_apply_url, target_match, year, row_number() over (partition by canonical_apply_url order by {MATCH} desc, posting_key) as nth from {{postings}} where source_mode in ('registry', 'external-index') and target_match in ({GOOD})) r where nth = 1) s on s.canonical_apply_url = d.canonical_apply_url where d.source_mode = 'direct'",
-    "mixed_cycle_filter": "select posting_key from {postings} where active and (contains(lower(title), 'summer 2027') or (contains(title, '2027') and contains(lower(title), 'intern') and not contains(lower(title), 'fall')))",
     "collect_observations": "select posting_key, 'kept' as part from {stored} where source_mode = 'verification' union all select posting_key, 'sensor' as part from {stored} where source_mode in ('registry', 'external-index') union all select posting_key, 'direct' as part from {incoming}",
     "sensor_recall": "select count(*) as expected, count(f.canonical_apply_url) as published, round(cast(count(f.canonical_apply_url) as double) / count(*), 4) as recall, max(s.newest) as newest_sensor from (select canonical_apply_url, max(first_seen_at) as newest from {postings} where source_mode in ('registry', 'external-index') group by canonical_apply_url) s left join (select distinct canonical_apply_url from {postings} where active) f on f.canonical_apply_url = s.canonical_apply_url",
 }
@@ -141,14 +133,11 @@ TEXTS |= {
 TEXTS |= {
     "read_previous_first_seen": "select canonical_apply_url, min(first_seen_at) as first_seen_at from {postings} group by canonical_apply_url",
     "seed_from_snapshot": "select canonical_apply_url, posting_key from (select canonical_apply_url, posting_key, row_number() over (partition by canonical_apply_url order by last_seen_at desc, posting_key) as nth from {postings} where source_mode = 'direct' and active) r where nth = 1",
-    "read_snapshot_observations": "select source, source_id, observed_at from (select *, max(observed_at) over () as newest from {fx_observations}) o where secs(observed_at, newest) <= case when source_mode = 'direct' then 259200 else 86400 end",
     "employer_evidence": "select lower(company) as employer, source_mode, source, year, count(*) as roles, count(case when active then 1 end) as active_roles, min(first_seen_at) as first_seen, max(last_seen_at) as last_seen, min(canonical_apply_url) as sample_url from {postings} group by 1, 2, 3, 4",
     "catalog_upsert": "select source, bool_or(validated) as validated, min(scope) as scope from (select source, validated, scope from {fx_targets} union all select source, status = 'validated' as validated, scope from {fx_candidates}) u group by source",
     "array_union_sorted": "select company, array_join(array_sort(array_distinct(flatten(array_agg(locations)))), '|') as places from {postings} group by company",
     "rank_feeds": "select source, rows_scanned from (select source, cast(max(rows_scanned) as bigint) as rows_scanned, max(finished_at) as pushed from {fx_snapshots} group by source) f order by pushed desc, rows_scanned desc, source limit 40",
     "prune_dated_chunks": "select source, finished_at, rows_scanned from (select *, max(case when finished_at < {as_of} - interval 20000 hours then 1 else 0 end) over (partition by source order by finished_at desc, case when complete then 0 else 1 end rows between unbounded preceding and current row) as stopped from {fx_snapshots}) r where stopped = 0",
-    "ffill_company": "select posting_key, last_value(shown) over (partition by source order by posting_key rows between unbounded preceding and current row) as company from (select posting_key, source, company as shown from {postings}) p",
-    "verification_plan": "select posting_key, lane from (select posting_key, case when source_mode = 'direct' then 1 when posted_at is not null then 2 else 3 end as lane, row_number() over (partition by case when source_mode = 'direct' then 1 when posted_at is not null then 2 else 3 end order by posted_at desc nulls last, posting_key) as nth from {postings} where active) r where nth <= 100",
 }
 HIDDEN = ("families", "incoming", "stored")
 
