@@ -66,3 +66,29 @@ CADENCE = {
     "greenhouse": (900, 10), "lever": (900, 10), "ashby": (900, 10), "smartrecruiters": (1200, 20), "recruitee": (1200, 20), "workable": (1200, 20), "workday-search": (1800, 30), "google-careers": (1200, 30),
     "jobvite": (1800, 40), "icims": (1800, 40), "oracle-cloud": (1800, 40), "successfactors": (1800, 40), "verification": (3600, 80), "domain": (21600, 120),
 }
+# Headers of tables by what stands below them, and marks that repeat the company above.
+COMPANY_HEADERS = ("company", "employer", "firm", "organization", "organisation")
+TITLE_HEADERS = ("role", "position", "title", "job", "internship", "job title", "position title")
+LOCATION_HEADERS = ("location", "locations", "office", "city")
+TIME_HEADERS = ("age", "added", "date", "date added", "date posted", "posted")
+SAME_COMPANY = ("", "↳", "—", "-", "⬆")
+CLOSED_MARK = "🔒"
+# Where pages keep links besides anchors, and anchors that name no job.
+EMBEDDED_ATTRIBUTES = (("iframe", "src"), ("form", "action"), ("script", "src"), ("embed", "src"), ("object", "data"))
+DATA_ATTRIBUTES = ("data-url", "data-src", "data-href", "data-job-url", "data-careers-url", "data-apply-url")
+STRUCTURED_KEYS = ("url", "sameAs", "applicationUrl", "applyUrl", "target")
+MICRODATA = ("url", "applicationurl", "applyurl")
+GENERIC_ANCHORS = ("learn more", "apply", "share", "details")
+DIRECTORY_HOSTS = ("www.ycombinator.com", "ycombinator.com")
+# Keys of JSON feeds that hold links, and those whose values are jobs.
+FEED_URL_KEYS = ("url", "absoluteurl", "hostedurl", "joburl", "detailurl", "externalurl", "applyurl", "applicationurl", "applicationlink", "applylink", "redirecturl", "next", "nexturl", "nextpage", "nextpageurl")
+JOB_CONTAINERS = ("jobs", "jobpostings", "postings", "positions", "openings", "requisitions", "vacancies")
+# Names that are no tenant.
+PATH_DENY = ("admin", "api", "app", "assets", "auth", "blog", "cdn", "docs", "embed", "help", "login", "static", "status", "support", "www")
+SUBDOMAIN_DENY = ("admin", "api", "app", "assets", "auth", "cdn", "login", "static", "www")
+# What alerts call the categories, and what a title says where its category is a rest.
+CATEGORY_LABELS = {"software": "Software", "ml-ai": "ML / AI", "data": "Data", "security": "Security", "hardware": "Hardware", "quant": "Quant", "product": "Product", "other": "Other technical", "other-technical": "Other technical"}
+INFERRED_LABELS = (
+    (("machine learning", "artificial intelligence", " ai ", " ml "), "ML / AI"), (("information technology", " it intern", " it internship"), "IT"), (("software", "developer", "programmer"), "Software"), (("data", "analytics"), "Data"),
+    (("security", "cyber"), "Security"), (("hardware", "firmware", "electrical"), "Hardware"), (("quant", "trading"), "Quant"), (("product",), "Product"),
+)

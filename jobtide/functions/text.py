@@ -96,10 +96,13 @@ def coverage_role_signature(company: Column, title: Column) -> Column:
     return F.concat(F.lower(canonical_company(company)), F.lit(":"), F.array_join(F.filter(tokens, lambda t: ~t.isin("or", "summer", "2027")), " "))
 
 
+def title_tokens(col: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " ")), " "), lambda t: (F.length(t) > 1) & ~t.isin(*TITLE_STOPWORDS)))
+
+
 def title_similarity(left: Column, right: Column) -> Column:
     """Shared tokens over the smaller set's size; 0 if either has none."""
-    tokens = lambda c: F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "), lambda t: (F.length(t) > 1) & ~t.isin(*TITLE_STOPWORDS)))
-    a, b = tokens(left), tokens(right)
+    a, b = title_tokens(left), title_tokens(right)
     least = F.least(F.size(a), F.size(b))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / F.greatest(least, F.lit(1))).otherwise(0.0)
 

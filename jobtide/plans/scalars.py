@@ -184,7 +184,6 @@ SCALARS: dict[str, tuple[str, tuple[str, ...], dict[str, tuple[Callable[[], Colu
     "provider_tenant": (LINK, ("id",), {"tenant_kind": (lambda: urls.provider_tenant(c("url"))["kind"], "case " + " ".join(f"when {ok} then '{k}'" for k, (ok, _) in TENANT.items()) + " end"), "tenant": (lambda: urls.provider_tenant(c("url"))["key"], "case " + " ".join(f"when {ok} then {key}" for ok, key in TENANT.values()) + " end")}),
     "application_score": (LINK, ("id",), {"score": (lambda: urls.application_score(c("url")), score("url"))}),
     "choose_apply_url": (LINK, ("id",), {"chosen": (lambda: urls.choose_apply_url(F.array(F.lit("https://github.com/x"), c("url"), F.lit("https://example.com/"))), f"case when {score('url')} > -100 then url else 'https://example.com/' end")}),
-    "hiring_surface_score": (LINK, ("id",), {"score": (lambda: 20 + F.when(F.lower("label").contains("website"), 100).otherwise(0) + F.when(urls.is_career_url(c("url"), c("label")), 80).otherwise(0), f"20 + case when contains(lower(label), 'website') then 100 else 0 end + case when {any_sql(f'lower({path('url')} || {chr(39)} {chr(39)} || {query('url')} || {chr(39)} {chr(39)} || label)', CAREER_MARKERS)} then 80 else 0 end")}),
     "parse_date": (TEXT, ("id",), {"ts": (lambda: rules.parse_date(c("age")).cast("timestamp_ntz"), "case id % 6 when 2 then make_timestamp((n + 1000000000)::bigint * 1000000) when 3 then timestamp '2001-07-04 00:00:00' end")}),
     "parse_sensor_time": (TEXT, ("id",), {
         "ts": (lambda: rules.parse_sensor_time(c("age"), as_of())["ts"].cast("timestamp_ntz"), f"case id % 6 when 0 then {AS_OF} - to_days(n::int) when 1 then {AS_OF} - interval 1 day when 2 then make_timestamp((n + 1000000000)::bigint * 1000000) when 3 then timestamp '2001-07-04 00:00:00' when 4 then {AS_OF} - to_hours(n::int) end"),
@@ -209,11 +208,8 @@ SCALARS: dict[str, tuple[str, tuple[str, ...], dict[str, tuple[Callable[[], Colu
     "page_verdict_rollup": (TEXT, ("id",), {"status": (lambda: rules.page_verdict(c("n") % 3, c("n") % 2, c("n") % 5, c("n") % 4, c("n") % 7)["status"], "case when n % 7 > 0 then case when n % 3 > 0 or n % 2 > 0 or n % 5 > 0 or n % 4 > 0 then 'partial' else 'broken' end when n % 3 > 0 then case when n % 2 = 0 and n % 5 = 0 and n % 4 = 0 then 'verified' else 'partial' end when n % 5 > 0 and n % 2 = 0 and n % 4 = 0 then 'blocked' when n % 2 > 0 and n % 5 = 0 and n % 4 = 0 then 'stale' when n % 4 > 0 and n % 5 = 0 and n % 2 = 0 then 'unstructured' else 'mixed' end")}),
     "link_state": (TEXT, ("id",), {"state": (lambda: rules.link_state(F.element_at(F.array(*map(F.lit, (200, 404, 403, 500, 410, 429))), (c("n") % 6 + 1).cast("int")), c("id") % 5 == 0), "case n % 6 when 0 then case when id % 5 = 0 then 'closed' else 'active' end when 1 then 'closed' when 2 then 'protected' when 3 then 'failed' when 4 then 'closed' else 'protected' end")}),
     "stable_shard": (POST, WHO, {"shard": (lambda: text.stable_shard(c("source"), 7), "(('0x' || substr(sha256(source), 1, 15))::bigint % 7)::int")}),
-    "category_label": (TEXT, ("id",), {"category": (lambda: F.coalesce(text.category_of(c("title")), F.lit("other")), "case " + " ".join(f"when regexp_matches(title, '(?i){p}') then '{k}'" for k, p in CATEGORIES.items()) + " else 'other' end")}),
     "humanize_slug": (TEXT, ("id",), {"shown": (lambda: text.humanize_slug(F.concat_ws("-", F.lit("acme"), F.lit("labs"), c("n").cast("string"))), "'Acme Labs ' || n")}),
-    "request_key": (TEXT, ("id",), {"key": (lambda: F.concat(F.lit("/api?"), F.array_join(F.array_sort(F.array(F.concat(F.lit("q="), F.url_encode(c("name"))), F.concat(F.lit("page="), c("n").cast("string")))), "&")), "'/api?page=' || n || '&q=' || replace(name, ' ', '+')")}),
     "crawl_cadence": ("fx_targets", ("source",), {"every": (lambda: rules.crawl_interval(c("kind"), c("scope")), cadence(0, 3600, 86400)), "priority": (lambda: rules.crawl_priority(c("kind"), c("scope")), cadence(1, 100, 500))}),
-    "retry_delay": ("fx_targets", ("source",), {"delay": (lambda: rules.retry_delay(c("consecutive_failures"), c("interval_seconds"), c("last_status")), "case last_status when 'partial' then greatest(600, interval_seconds) when 'empty' then greatest(21600, interval_seconds) else case when consecutive_failures > 0 then least(21600, (greatest(300, interval_seconds) * power(2, least(consecutive_failures, 5)))::bigint) else interval_seconds end end::bigint")}),
 }
 
 

@@ -6,36 +6,63 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..constants import CATEGORIES, INTERN, PATH_DENY, PROGRAM, YEAR
+from ..operators import postings as ops
 from ..sources import ingest, pages, publish
 from ..sources.fixtures import VIEWS, view
 from . import dialect, inventory  # noqa: F401  inventory registers the texts
-from .landed import URL
-from .scalars import TENANT, similarity
+from .landed import ROWS, URL, rows_of
+from .scalars import TENANT, clean, names, similarity
 from .streams import as_stream, shared
 
 c = F.col
 
 
 def rows(spark, sf_dir):
-    return view(spark, sf_dir, "fx_texts").withColumn("id", c("id").cast("string")).withColumn("url", F.expr(URL))
+    return rows_of(spark, sf_dir).withColumn("id", c("id").cast("string")).withColumn("url", F.expr(URL))
 
 
-def gathered(df, by, row, before, after, glue=""):
-    """One document a group: sorted rows between two texts."""
-    return df.groupBy(by).agg(F.concat(F.lit(before), F.array_join(F.array_sort(F.collect_list(row)), glue), F.lit(after)).alias("body")).select(c(by).cast("string").alias("doc"), c(by).cast("string").alias("url"), "body")
+def gathered(df, row, before, after, glue=""):
+    """One document a board: sorted rows between two texts."""
+    before, after = (x if not isinstance(x, str) else F.lit(x) for x in (before, after))
+    return df.groupBy("board").agg(F.concat(before, F.array_join(F.array_sort(F.collect_list(row)), glue), after).alias("body")).select(c("board").cast("string").alias("doc"), F.concat(F.lit("https://jobs.example.com/list/"), "board").alias("url"), "body")
+
+
+def bare(x):
+    """A cell's text without the marks of tables and markup."""
+    return F.trim(F.regexp_replace(x, "[|<>&]", "/"))
+
+
+PLAIN = "trim(regexp_replace({0}, '[|<>&]', '/', 'g'))"
 
 
 def _markdown(spark, sf_dir):
-    line = F.concat(F.lit("| Acme "), "n", F.lit(" | "), "title", F.lit(" | [Apply](https://jobs.example.com/"), "id", F.lit(") |"))
-    docs = gathered(rows(spark, sf_dir).withColumn("title", F.replace("title", F.lit("|"), F.lit("/"))), "n", line, "| Company | Role | Link |\n| --- | --- | --- |\n", "\n", "\n")
-    return pages.pipe_rows(docs).select("company", "title", "apply_url")
+    """Lists in Markdown or HTML, in turn; every third company cell repeats the one above."""
+    df = rows(spark, sf_dir).withColumn("title", bare(c("title"))).withColumn("nr", F.lpad("id", 9, "0"))
+    shown = F.when(c("id").cast("int") % 3 == 0, F.concat(F.lit("Firm "), "id")).otherwise("↳")
+    pipe = F.concat(F.lit("| "), shown, F.lit(" | "), "title", F.lit(" | Rome | [Site](https://github.com/x) [Apply](https://jobs.example.com/"), "id", F.lit(") |"))
+    tag = F.concat(F.lit("<tr><td>"), shown, F.lit("</td><td>"), "title", F.lit('</td><td>Rome</td><td><a href="https://jobs.example.com/'), "id", F.lit('">Apply</a></td></tr>'))
+    lines = df.withColumn("line", F.struct("nr", F.when(c("board") % 2 == 0, pipe).otherwise(tag).alias("text")))
+    docs = lines.groupBy("board").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["text"]), "\n").alias("body")).select(c("board").cast("string").alias("doc"), "body")
+    found = ops.classify_postings(pages.registry_rows(docs).withColumn("source_mode", F.lit("registry")).withColumn("locations", F.array("location")).withColumn("source_confirms", F.lit(True)))
+    return found.filter(c("target_match") != "not_internship").select("doc", "company", "title", "apply_url", "target_match")
 
 
 def _sensor(spark, sf_dir):
-    line = F.concat(F.lit("| ↳ | "), F.replace("name", F.lit("|"), F.lit("/")), F.lit(" | [Apply](https://jobs.example.com/"), "id", F.lit(") |"))
-    docs = gathered(rows(spark, sf_dir), "n", line, "", "\n", "\n").withColumn("body", F.concat(F.lit("| Board "), "doc", F.lit(" | Lead | [a](https://jobs.example.com/lead) |\n"), "body"))
-    return pages.pipe_rows(docs).filter("title <> 'Lead'").select("company", c("title").alias("name"), "apply_url")
+    """Trackers in turn: headers in another order, headings as companies, HTML tables; closed rows are marked."""
+    df = rows(spark, sf_dir).withColumn("title", bare(c("title"))).withColumn("nr", F.lpad("id", 9, "0"))
+    number = c("id").cast("int")
+    shown = F.when(number % 4 == 0, F.concat(F.lit("Firm "), "id")).otherwise("↳")
+    link, mark = F.concat(F.lit("https://jobs.example.com/"), "id"), F.when(number % 5 == 0, " 🔒").otherwise("")
+    kind = c("board") % 3
+    plain = F.concat(F.lit("| "), "title", mark, F.lit(" | "), shown, F.lit(" | Rome | [Go]("), link, F.lit(") | "), "age", F.lit(" |"))
+    headed = F.concat(F.when(number % 4 == 0, F.concat(F.lit("## Firm "), "id", F.lit("\n\n| Role | Location | Link |\n| --- | --- | --- |\n"))).otherwise(""), F.lit("| "), "title", mark, F.lit(" | Rome | "), F.lit("[Go]("), link, F.lit(") |"))
+    tag = F.concat(F.lit("<tr><td>"), shown, F.lit("</td><td>"), "title", mark, F.lit("</td><td>Rome</td><td>"), "age", F.lit('</td><td><a href="'), link, F.lit('">Go</a></td></tr>'))
+    text = F.when(kind == 0, plain).when(kind == 1, headed).otherwise(tag)
+    docs = df.groupBy("board").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", text.alias("text")))), lambda x: x["text"]), "\n").alias("rows"))
+    before = F.when(kind == 0, "# List\n| Position | Employer | Office | Apply | Date Added |\n| --- | --- | --- | --- | --- |\n").when(kind == 1, "| stray | row |\n").otherwise("<table><tr><th>Company</th><th>Job Title</th><th>City</th><th>Posted</th><th></th></tr>\n")
+    docs = docs.select(c("board").cast("string").alias("doc"), F.concat(before, "rows", F.when(kind == 2, "</table>").otherwise("")).alias("body"))
+    return pages.sensor_tables(docs).select("doc", "company", "title", "location", "timing", "apply_url")
 
 
 def _jsonld(spark, sf_dir):
@@ -46,35 +73,66 @@ def _jsonld(spark, sf_dir):
 
 
 def _detail(spark, sf_dir):
-    title, date = pages.detail_page(c("html"))
-    return view(spark, sf_dir, "pages").select("page_id", title.alias("title"), date.alias("posted_raw"))
+    title, date, own = pages.detail_page(c("html"), c("url"))
+    return view(spark, sf_dir, "pages").select("page_id", title.alias("title"), date.alias("posted_raw"), own.alias("source_id"))
 
 
 def _recover(spark, sf_dir):
+    """Leads are pages' own titles, or those of the page before, by link."""
     all_ = view(spark, sf_dir, "pages")
-    title, _ = pages.detail_page(c("html"))
-    return pages.recovered_pages(all_, all_.filter("page_id % 3 = 0").select("url", title.alias("title")).filter("title is not null").distinct())
+    title, _, _ = pages.detail_page(c("html"), c("url"))
+    leads = all_.select(c("page_id"), "url", title.alias("title")).filter("title is not null")
+    before = leads.select((c("page_id") + 1).alias("page_id"), c("title").alias("other"))
+    leads = leads.join(before, "page_id", "left").select("url", F.when(c("page_id") % 2 == 0, c("title")).otherwise(F.coalesce("other", "title")).alias("title"))
+    return pages.recovered_pages(all_, leads.distinct())
 
 
 def _workday(spark, sf_dir):
     jobs = F.to_json(F.collect_list(F.struct("title", F.concat(F.lit("/job/"), "id").alias("externalPath"), c("name").alias("locationsText"), c("workday").alias("postedOn"))))
-    raw = rows(spark, sf_dir).groupBy("n").agg(jobs.alias("j")).select(F.concat(F.lit("workday:acme"), "n").alias("source"), F.lit("Acme").alias("company"), F.concat(F.lit('{"total":1,"jobPostings":'), "j", F.lit("}")).alias("body"))
+    raw = rows(spark, sf_dir).groupBy("board").agg(jobs.alias("j")).select(F.concat(F.lit("workday:acme"), "board").alias("source"), F.lit("Acme").alias("company"), F.concat(F.lit('{"total":1,"jobPostings":'), "j", F.lit("}")).alias("body"))
     return ingest.ingest("ingest_workday", raw).select("source", "source_id", "title", "apply_url", "posted_raw")
 
 
-def _sensor_json(spark, sf_dir):
-    jobs = F.to_json(F.collect_list(F.struct("id", c("title").alias("role"), c("url").alias("link"), F.array("name").alias("locations"), c("age").alias("date"))))
-    raw = rows(spark, sf_dir).groupBy("n").agg(jobs.alias("body")).select(F.concat(F.lit("sensor:"), "n").alias("source"), F.lit("Acme").alias("company"), "body")
-    return ingest.ingest("ingest_sensor_json", raw).select("source", "source_id", "title", "apply_url", "posted_raw")
-
-
 def _feed_xml(spark, sf_dir):
     item = F.concat(F.lit("<item><title>"), "name", F.lit("</title><link>"), "url", F.lit("</link></item>"))
-    return pages.feed_items(gathered(rows(spark, sf_dir), "n", item, "<rss>", "</rss>")).select("title", "link")
+    return pages.feed_items(gathered(rows(spark, sf_dir), item, "<rss>", "</rss>")).select("title", "link")
 
 
 def _feed_json(spark, sf_dir):
-    return pages.json_links(gathered(rows(spark, sf_dir), "n", F.to_json(F.struct("id", "url")), "[", "]", ",").select("url", "body")).select("link")
+    """Feeds in turn: records of jobs, links under a list of jobs, bare links that only careers or providers keep, a next page."""
+    number = c("id").cast("int")
+    record = F.to_json(F.struct("id", "title", c("url").alias("detail_url")))
+    bare_link = F.to_json(F.struct(F.when(number % 2 == 0, F.concat(F.lit("/careers/"), "id")).otherwise(F.concat(F.lit("/shop/"), "id")).alias("url")))
+    item = F.when(c("board") % 3 == 0, record).otherwise(bare_link)
+    kind = c("board") % 3
+    before = F.when(kind == 0, '{"rows":[').when(kind == 1, '{"openings":[').otherwise('{"links":[')
+    docs = gathered(rows(spark, sf_dir), item, before, '],"nextPage":"?page=2"}', ",")
+    return pages.json_links(docs.select("url", "body")).select("url", "link")
+
+
+def _results(spark, sf_dir):
+    """Result pages: a job is an anchor with a title, one that says no more than "Learn more", or an address in a script."""
+    job = F.concat(F.lit("jobs/results/"), F.lpad("id", 6, "0"), F.lit("-acme-role-"), "n", F.lit("?q=1"))
+    anchor = F.concat(F.lit('<a class="x" href="'), job, F.lit('">'), F.when(c("id").cast("int") % 3 == 0, F.concat(F.lit("<b>Title "), "id", F.lit("</b>"))).otherwise("Learn more"), F.lit("</a>"))
+    item = F.when(c("id").cast("int") % 4 == 0, F.concat(F.lit('<script>["'), F.replace(job, F.lit("/"), F.lit("\\/")), F.lit('"]</script>'))).otherwise(anchor)
+    return pages.search_results(gathered(rows(spark, sf_dir), item, "<html>", "</html>").select(c("doc").alias("page_id"), c("body").alias("html")))
+
+
+def _directory(spark, sf_dir):
+    """Directory pages: employers of the table with a batch and a state behind their names, and other anchors."""
+    item = F.concat(F.lit('<a href="/companies/firm-'), "id", F.lit('">Firm '), "id", F.when(c("n") % 2 == 0, " W2024 Active B2B").when(c("n") % 3 == 0, " Inactive").otherwise(""), F.lit('</a><a href="/about/'), "id", F.lit('">About</a><a href="/companies/industry/x">Industry</a>'))
+    docs = gathered(rows(spark, sf_dir), item, "<html>", "</html>").select(F.concat(F.lit("https://www.ycombinator.com/companies?page="), "doc").alias("url"), c("body").alias("html"))
+    return pages.directory_employers(docs)
+
+
+def _enriched(spark, sf_dir):
+    df = rows(spark, sf_dir)
+    posts = ops.classify_postings(df.select("id", c("name").alias("company"), "title", c("url").alias("apply_url"), F.when(c("n") % 2 == 0, c("age")).alias("posted_raw"), F.lit(None).cast("string").alias("employment_type"), F.lit("old").alias("description"), F.lit("direct").alias("source_mode"), F.array("name").alias("locations")))
+    number = c("id").cast("int")
+    page = F.concat("url", F.lit("/"))
+    one = df.select(page.alias("page_url"), F.lit(1).alias("at"), F.when(number % 3 == 0, c("url")).otherwise(F.lit("https://other.example/")).alias("url"), c("age").alias("posted_raw"), c("reason").alias("employment_type"), F.concat(F.lit("About "), "title").alias("description"))
+    lead = df.filter(number % 2 == 0).select(page.alias("page_url"), F.lit(0).alias("at"), F.lit("https://other.example/").alias("url"), F.lit("2001-01-01").alias("posted_raw"), F.lit("first").alias("employment_type"), F.lit("").alias("description"))
+    return pages.enrich(posts, one.unionByName(lead)).select("id", "apply_url", "posted_raw", "employment_type", "description")
 
 
 def _corpus(spark, sf_dir):
@@ -88,13 +146,27 @@ def _recovered(spark, sf_dir):
 
 
 def _legacy(spark, sf_dir):
+    """Old rows: a registry's lack companies, some lack a link or every time; years and ranks are text."""
     p = dialect.frame(spark, sf_dir, "postings")
-    odd = p.withColumn("company", F.when(c("source_mode") == "registry", " ").otherwise(c("company")))
-    return pages.split_legacy(odd).groupBy("reject").count().select("reject", c("count").alias("n"))
+    size = F.length("source_id")
+    odd = p.select(
+        "posting_key", "family_key", "title", "canonical_apply_url", "source", "source_id", "target_match", "posted_at", F.when(c("source_mode") == "registry", " ").otherwise(c("company")).alias("company"), F.when(size % 4 == 0, None).otherwise(c("apply_url")).alias("apply_url"), F.when(size % 3 == 0, c("first_seen_at")).alias("first_seen_at"), F.when(size % 5 == 0, c("last_seen_at")).alias("last_seen_at"),
+        F.lit(None).cast("timestamp").alias("updated_at"), F.when(size % 2 == 0, "many").otherwise(c("year").cast("string")).alias("year"), F.concat(F.lit("-"), size.cast("string")).alias("rank"), F.concat(F.lit(" "), "title").alias("description"),
+    )
+    good, bad = pages.import_legacy(odd)
+    left = good.select("posting_key", F.lit("").alias("reject"), c("first_seen_at").cast("timestamp_ntz").alias("first_seen_at"), c("last_seen_at").cast("timestamp_ntz").alias("last_seen_at"), "year", "rank", "description")
+    none = lambda kind: F.lit(None).cast(kind)
+    return left.unionByName(bad.select("posting_key", "reject", none("timestamp_ntz").alias("first_seen_at"), none("timestamp_ntz").alias("last_seen_at"), none("int").alias("year"), none("int").alias("rank"), none("string").alias("description")))
 
 
 def _sanitized(spark, sf_dir):
-    return dialect.frame(spark, sf_dir, "families").filter("direct_openings > 0").select("family_key", F.coalesce("posted_precision", F.lit("unknown")).alias("posted_precision"))
+    """A snapshot of schema 3 whose openings in part omit their modes: families verified then, one row an opening."""
+    mode = F.when(F.length("posting_key") % 3 == 0, "").otherwise(c("source_mode"))
+    openings = dialect.frame(spark, sf_dir, "fold_applications").groupBy(c("family_key").alias("of")).agg(F.collect_list(F.struct("identity", "source", mode.alias("source_mode"))).alias("openings"))
+    old = dialect.frame(spark, sf_dir, "families").drop("openings").join(openings, c("of") == c("family_key"))
+    old = old.select("family_key", "direct_openings", "openings", (F.length("title") % 5 == 0).alias("verified"), F.when(F.length("title") % 7 == 0, "Employer").alias("quality"))
+    got = pages.sanitized_snapshot(old.withColumn("direct_openings", F.when(F.length("family_key") % 2 == 0, c("direct_openings") - 1)), 3)
+    return got.select("family_key", "verified", "quality", F.explode("openings").alias("o")).select("family_key", "verified", "quality", "o.identity", "o.source_mode")
 
 
 def _sink(spark, sf_dir):
@@ -138,14 +210,22 @@ def _published(spark, sf_dir):
     return publish.current(spark, root)
 
 
+SUCCESS = "concat('https://career5.successfactors.eu/career?career_ns=job_listing&company=acme&career_job_req_id=', cast(id as string))"
+JAZZ = "concat('https://acme', cast(n as string), '.applytojob.com/apply/Ab', cast(id * 100 as string), '/role')"
+
+
+def _more_links(spark, sf_dir):
+    links = view(spark, sf_dir, "fx_links")
+    other = F.when(c("id") % 2 == 0, F.expr(SUCCESS)).otherwise(F.expr(JAZZ))
+    return links.select(c("url").alias("link")).unionByName(links.select(other.alias("link")))
+
+
 def queries() -> dict:
     return {
-        "ingest_registry_markdown": _markdown, "ingest_sensor_table": _sensor, "ingest_jsonld": _jsonld, "ingest_detail_page": _detail, "recover_unstructured_page": _recover, "ingest_workday": _workday, "ingest_sensor_json": _sensor_json, "ingest_feed_xml": _feed_xml, "ingest_feed_json": _feed_json, "ingest_url_corpus": _corpus,
-        "ingest_pattern_links": lambda spark, sf_dir: pages.job_links(view(spark, sf_dir, "fx_links").select(c("url").alias("link"))),
-        "ingest_search_results_html": lambda spark, sf_dir: view(spark, sf_dir, "fx_links").select("id", F.regexp_extract("url", r"/jobs/results/(\d+)", 1).alias("job_id"), tx.humanize_slug(F.regexp_extract("url", r"/jobs/results/\d+-([\w-]+)", 1)).alias("title")).filter("job_id <> ''"),
+        "ingest_registry_markdown": _markdown, "ingest_sensor_table": _sensor, "ingest_jsonld": _jsonld, "ingest_detail_page": _detail, "recover_unstructured_page": _recover, "ingest_workday": _workday, "ingest_feed_xml": _feed_xml, "ingest_feed_json": _feed_json, "ingest_url_corpus": _corpus,
+        "ingest_pattern_links": lambda spark, sf_dir: pages.job_links(_more_links(spark, sf_dir)), "ingest_search_results_html": _results, "extract_page_links": lambda spark, sf_dir: pages.page_links(view(spark, sf_dir, "pages")), "ingest_employer_directory": _directory, "enrich_dates_from_pages": _enriched,
         "tenants_from_urls": lambda spark, sf_dir: pages.tenants(view(spark, sf_dir, "fx_links")),
         "career_seeds": lambda spark, sf_dir: pages.career_seeds(view(spark, sf_dir, "pages").select(F.regexp_extract(F.lower("url"), r"^https?://([^/?#:]*)", 1).alias("host"))),
-        "enrich_dates_from_pages": lambda spark, sf_dir: pages.enrich_dates(rows(spark, sf_dir).select("id", c("url").alias("apply_url"), F.when(c("n") % 2 == 0, c("age")).alias("posted_raw"), F.lit(None).cast("string").alias("employment_type")), rows(spark, sf_dir).select(F.concat("url", F.lit("/")).alias("apply_url"), c("age").alias("posted_raw"), c("reason").alias("employment_type"))),
         "match_recovered_to_leads": _recovered, "import_legacy_postings": _legacy, "sanitize_legacy_snapshot": _sanitized, "sink_versioned_table": _sink, "stream_pending_notifications": _notified, "stream_publish_on_change": _published,
         "source_label": lambda spark, sf_dir: view(spark, sf_dir, "fx_targets").select("source", F.concat(F.initcap(F.split_part("source", F.lit(":"), F.lit(1))), F.lit(" "), F.split_part("source", F.lit(":"), F.lit(2))).alias("label")),
     }
@@ -153,28 +233,40 @@ def queries() -> dict:
 
 def oracle() -> dict[str, str]:
     t, link = f"with fx_texts as ({VIEWS['fx_texts']}) ", f"with fx_links as ({VIEWS['fx_links']}) "
-    url = "'https://jobs.example.com/' || id"
+    url, board = "'https://jobs.example.com/' || id", f"(id // {ROWS})"
     families = dialect.oracle("build_families")
     posts = dialect.oracle("classify_postings").rsplit("select * from", 1)[0]
     hit = lambda p: f"regexp_matches(url, '{p}')"
     kinds = "case " + " ".join(f"when {hit(p)} then '{k}'" for k, p in pages.JOB_PATHS.items()) + " end"
     ids = "case " + " ".join(f"when {hit(p)} then regexp_extract(url, '{p}', 1)" for p in pages.JOB_PATHS.values()) + " end"
     tenant_kind, tenant = ("case " + " ".join(f"when {ok} then {v}" for ok, v in pairs) + " end" for pairs in ([(ok, f"'{k}'") for k, (ok, _) in TENANT.items()], TENANT.values()))
+    said = lambda p: f"regexp_matches(title, '(?i){p}')"
+    plain = PLAIN.format("title")
+    years = f"list_distinct(regexp_extract_all(title, '{YEAR}'))"
+    match = f"case when list_contains({years}, '2027') and {said('summer')} then 'exact' when len({years}) > 0 and not list_contains({years}, '2027') then 'wrong_year' when list_contains({years}, '2027') and {said('fall')} then 'wrong_season' when len({years}) = 1 and not {said('summer')} then 'year_confirmed' when len({years}) = 0 and {said('summer')} then 'source_confirmed' else 'unknown' end"
+    technical = " or ".join(said(p) for p in CATEGORIES.values())
+    fold = dialect.oracle("fold_applications")
+    legacy = "coalesce(case when len % 3 = 0 then first_seen_at end, case when len % 5 = 0 then last_seen_at end, posted_at)"
     return {
-        "ingest_sensor_table": t + f"select 'Board ' || n as company, name, {url} as apply_url from fx_texts",
+        "ingest_registry_markdown": t + f"""select {board}::varchar as doc, 'Firm ' || firm as company, {clean('shown')} as title, {url} as apply_url, {match.replace('title', 'shown')} as target_match from (select *, {plain} as shown, last_value(case when id % 3 = 0 then id end ignore nulls) over (partition by {board} order by id) as firm from (select * from fx_texts where title ilike '%intern%'))
+          where firm is not null and ({said(INTERN)} or {said(PROGRAM)})""",
+        "ingest_sensor_table": t + f"select {board}::varchar as doc, 'Firm ' || firm as company, {clean(plain)} as title, 'Rome' as location, case when {board} % 3 = 1 then '' else trim(age) end as timing, {url} as apply_url from (select *, last_value(case when id % 4 = 0 then id end ignore nulls) over (partition by {board} order by id) as firm from fx_texts) where id % 5 <> 0 and firm is not null",
         "ingest_jsonld": t + f"select title, {url} as apply_url, name as company, age as posted_raw from fx_texts",
-        "ingest_workday": t + "select 'workday:acme' || n as source, '/job/' || id as source_id, trim(title) as title, 'https://acme' || n || '.myworkdayjobs.com/job/' || id as apply_url, workday as posted_raw from fx_texts",
-        "ingest_sensor_json": t + f"select 'sensor:' || n as source, id::varchar as source_id, trim(title) as title, {url} as apply_url, age as posted_raw from fx_texts",
+        "ingest_workday": t + f"select 'workday:acme' || {board} as source, '/job/' || id as source_id, trim(title) as title, 'https://acme' || {board} || '.myworkdayjobs.com/job/' || id as apply_url, workday as posted_raw from fx_texts",
         "ingest_feed_xml": t + f"select trim(name) as title, {url} as link from fx_texts",
-        "ingest_feed_json": t + f"select {url} as link from fx_texts",
+        "ingest_feed_json": t + f"select 'https://jobs.example.com/list/' || {board} as url, case when {board} % 3 = 0 then {url} when id % 2 = 0 then 'https://jobs.example.com/careers/' || id else 'https://jobs.example.com/shop/' || id end as link from fx_texts where {board} % 3 < 2 or id % 2 = 0 union all select distinct 'https://jobs.example.com/list/' || {board}, 'https://jobs.example.com/list/' || {board} || '?page=2' from fx_texts",
         "ingest_url_corpus": t + f"select {url} as url from fx_texts where n % 3 <> 0",
-        "ingest_pattern_links": link + f"select provider, job_id, min(url) as link from (select {kinds} as provider, {ids} as job_id, url from fx_links) x where provider is not null group by 1, 2",
-        "ingest_search_results_html": link + "select id, regexp_extract(url, '/jobs/results/(\\d+)', 1) as job_id, 'Role' as title from fx_links where regexp_matches(url, '/jobs/results/\\d+')",
-        "tenants_from_urls": link + f"select kind_ as kind, tenant, count(*) as urls from (select {tenant_kind} as kind_, {tenant} as tenant from fx_links) x where kind_ is not null and tenant <> '' group by 1, 2",
-        "enrich_dates_from_pages": t + f"select id::varchar as id, {url} as apply_url, age as posted_raw, reason as employment_type from fx_texts",
+        "ingest_pattern_links": link + f"select provider, job_id, min(url) as link from (select {kinds} as provider, {ids} as job_id, url from (select url from fx_links union all select case when id % 2 = 0 then {SUCCESS} else {JAZZ} end from fx_links)) x where provider is not null group by 1, 2",
+        "ingest_search_results_html": t + f"select {board}::varchar as page_id, lpad(id::varchar, 6, '0') as job_id, case when id % 4 > 0 and id % 3 = 0 then 'Title ' || id else 'Acme Role ' || n end as title from fx_texts",
+        "ingest_employer_directory": t + "select 'https://www.ycombinator.com/companies/firm-' || id as profile_url, 'Firm ' || id as name, 'firm-' || id as slug from fx_texts",
+        "tenants_from_urls": link + f"select kind_ as kind, tenant, count(*) as urls from (select {tenant_kind} as kind_, {tenant} as tenant from fx_links) x where kind_ is not null and tenant <> '' and lower(tenant) not in ({names(PATH_DENY)}) group by 1, 2",
+        "enrich_dates_from_pages": t + f"""select id::varchar as id, {url} as apply_url, case when n % 2 = 0 then age when due then coalesce(case when id % 3 = 0 or id % 2 = 1 then age else '2001-01-01' end, null) end as posted_raw, case when n % 2 = 0 or not due then null when id % 3 = 0 or id % 2 = 1 then nullif(trim(reason), '') else 'first' end as employment_type, case when n % 2 = 1 and due and (id % 3 = 0 or id % 2 = 1) then trim('About ' || title) else 'old' end as description
+          from (select *, ({said(INTERN)} or {said(PROGRAM)}) and ({technical}) as due from fx_texts)""",
         "match_recovered_to_leads": posts + f", r as (select posting_key as key, company, title, canonical_apply_url as url from postings where source_mode = 'verification'), l as (select min(posting_key) as key, company, title, canonical_apply_url as url from postings where source_mode = 'external-index' group by 2, 3, 4), m as (select r.key, l.key as lead, r.url = l.url as same_url, {similarity('r.title', 'l.title')} as s from r join l on r.company = l.company and regexp_extract(r.url, '://([^/]*)', 1) = regexp_extract(l.url, '://([^/]*)', 1)) select key, lead, same_url from (select *, row_number() over (partition by key order by same_url desc, s desc, lead) as nth from m where s >= case when same_url then 0.55 else 0.8 end) z where nth = 1",
-        "import_legacy_postings": posts + " select case when source_mode = 'registry' then 'no company' end as reject, count(*) as n from postings group by 1",
-        "sanitize_legacy_snapshot": f"select family_key, posted_precision from ({families}) f where direct_openings > 0",
+        "import_legacy_postings": posts + f""", o as (select *, length(source_id) as len, trim(concat_ws(', ', case when source_mode = 'registry' then 'company' end, case when length(source_id) % 4 = 0 then 'apply_url' end)) as lacks from postings)
+          select posting_key, case when lacks <> '' then 'missing ' || lacks when {legacy} is null then 'missing first_seen_at/last_seen_at' else '' end as reject, case when lacks = '' then {legacy}::timestamp end as first_seen_at, case when lacks = '' then coalesce(case when len % 5 = 0 then last_seen_at end, {legacy})::timestamp end as last_seen_at, case when lacks = '' and {legacy} is not null and len % 2 = 1 then year end as year, case when lacks = '' and {legacy} is not null then 0 end as rank, case when lacks = '' and {legacy} is not null then case when target_match in ('exact', 'year_confirmed', 'source_confirmed') then trim(title) else '' end end as description from o""",
+        "sanitize_legacy_snapshot": f"""select f.family_key, true as verified, 'employer' as quality, a.identity, case when mode in ('registry', 'external-index', 'verification-lead') then mode when a.source like 'registry:%' then 'market-sensor' when mode = '' then 'direct' else mode end as source_mode from ({families}) f join (select *, case when length(posting_key) % 3 = 0 then '' else source_mode end as mode from ({fold})) a on a.family_key = f.family_key
+          where length(f.title) % 5 = 0 or length(f.title) % 7 = 0 or (length(f.family_key) % 2 = 0 and f.direct_openings > 1)""",
         "sink_versioned_table": f"select family_key, company, opening_count from ({families}) f",
         "stream_pending_notifications": f"select family_key from ({families}) f",
         "stream_publish_on_change": f"select family_key, opening_count from ({families}) f",

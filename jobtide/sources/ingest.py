@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as tx
 from ..functions import urls as ux
 
@@ -36,6 +37,7 @@ class Board:
     employment_type: str = NO_TEXT
     posted_raw: str = NO_TEXT
     keep: str = "true"
+    company: str = "company"
 
 
 def first(*keys: str) -> str:
@@ -46,18 +48,18 @@ def names(path: str) -> str:
     return f"filter(transform({path}, p -> p.name), n -> coalesce(n, '') <> '')"
 
 
+WORKABLE = f"struct<id:string,shortcode:string,code:string,title:string,name:string,url:string,application_url:string,shortlink:string,location:{PLACE},city:string,state:string,country:string,description:string,description_plain:string,employment_type:string,type:string,published_at:string,created_at:string,createdAt:string>"
 # The providers' key names.
 BOARDS = {
     "ingest_greenhouse": Board(f"jobs array<struct<id:string,title:string,absolute_url:string,content:string,first_published:string,updated_at:string,offices:array<{PLACE}>,location:{PLACE}>>", "d.jobs", "job.id", first("job.title"), first("job.absolute_url"), f"case when size({names('job.offices')}) > 0 then {names('job.offices')} else filter(array(job.location.name), n -> n is not null) end", "job.content", posted_raw="job.first_published"),
     "ingest_lever": Board("value array<struct<id:string,text:string,hostedUrl:string,applyUrl:string,descriptionPlain:string,categories:struct<location:string,commitment:string>>>", "d.value", "job.id", first("job.text"), first("job.hostedUrl", "job.applyUrl"), "filter(array(job.categories.location), n -> n is not null)", "job.descriptionPlain", "job.categories.commitment"),
     "ingest_ashby": Board("jobs array<struct<id:string,title:string,jobUrl:string,applyUrl:string,location:string,secondaryLocations:array<struct<location:string>>,descriptionPlain:string,descriptionHtml:string,employmentType:string,publishedAt:string>>", "d.jobs", first("job.id", "job.jobUrl"), first("job.title"), first("job.jobUrl", "job.applyUrl"), "filter(concat(array(job.location), coalesce(transform(job.secondaryLocations, p -> p.location), array())), n -> n is not null)", first("job.descriptionPlain", "job.descriptionHtml"), "job.employmentType", "job.publishedAt"),
-    "ingest_smartrecruiters": Board(f"content array<struct<id:string,uuid:string,refNumber:string,name:string,title:string,applyUrl:string,referralUrl:string,jobAdUrl:string,releasedDate:string,createdOn:string,location:{PLACE}>>, postings array<struct<id:string>>", "d.content", first("job.id", "job.uuid", "job.refNumber"), first("job.name", "job.title"), "coalesce(" + first("job.applyUrl", "job.referralUrl", "job.jobAdUrl") + ", concat('https://jobs.smartrecruiters.com/', split_part(source, ':', 2), '/', job.id))", FLAT.format("job.location"), posted_raw=first("job.releasedDate", "job.createdOn")),
-    "ingest_recruitee": Board("offers array<struct<id:string,slug:string,title:string,name:string,careers_url:string,url:string,city:string,state:string,country:string,description:string,employment_type:string,published_at:string,created_at:string>>", "d.offers", first("job.id", "job.slug"), first("job.title", "job.name"), "coalesce(" + first("job.careers_url", "job.url") + ", concat('https://', split_part(source, ':', 2), '.recruitee.com/o/', " + first("job.id", "job.slug") + "))", "filter(array(nullif(concat_ws(', ', job.city, job.state, job.country), '')), v -> v is not null)", "job.description", "job.employment_type", first("job.published_at", "job.created_at")),
-    "ingest_workable": Board(f"jobs array<struct<id:string,shortcode:string,title:string,url:string,application_url:string,location:{PLACE},created_at:string>>, results array<struct<id:string,shortcode:string,title:string,url:string,application_url:string,location:{PLACE},created_at:string>>", "coalesce(d.jobs, d.results)", first("job.shortcode", "job.id"), first("job.title"), first("job.url", "job.application_url"), FLAT.format("job.location"), posted_raw="job.created_at"),
+    "ingest_smartrecruiters": Board(f"content array<struct<id:string,uuid:string,refNumber:string,name:string,title:string,applyUrl:string,referralUrl:string,jobAdUrl:string,releasedDate:string,createdOn:string,createdAt:string,typeOfEmployment:string,employmentType:string,location:{PLACE}>>, postings array<struct<id:string,uuid:string,refNumber:string,name:string,title:string,applyUrl:string,referralUrl:string,jobAdUrl:string,releasedDate:string,createdOn:string,createdAt:string,typeOfEmployment:string,employmentType:string,location:{PLACE}>>", "coalesce(d.content, d.postings)", first("job.id", "job.uuid", "job.refNumber"), first("job.name", "job.title"), "coalesce(" + first("job.applyUrl", "job.referralUrl", "job.jobAdUrl") + ", concat('https://jobs.smartrecruiters.com/', split_part(source, ':', 2), '/', job.id))", FLAT.format("job.location"), employment_type=first("job.typeOfEmployment", "job.employmentType"), posted_raw=first("job.releasedDate", "job.createdOn", "job.createdAt")),
+    "ingest_recruitee": Board(", ".join(f"{k} array<struct<id:string,slug:string,offer_id:string,title:string,name:string,careers_url:string,url:string,apply_url:string,location:{PLACE},city:string,state:string,country:string,description:string,description_plain:string,employment_type:string,contract_type:string,published_at:string,publishedAt:string,created_at:string>>" for k in ("offers", "content", "results")), "coalesce(d.offers, d.content, d.results)", first("job.id", "job.slug", "job.offer_id"), first("job.title", "job.name"), "coalesce(" + first("job.careers_url", "job.url", "job.apply_url") + ", concat('https://', split_part(source, ':', 2), '.recruitee.com/o/', " + first("job.id", "job.slug", "job.offer_id") + "))", "filter(array(nullif(coalesce(job.location.name, concat_ws(', ', coalesce(job.location.city, job.city), coalesce(job.location.region, job.state), coalesce(job.location.country, job.country))), '')), v -> v is not null)", first("job.description", "job.description_plain"), first("job.employment_type", "job.contract_type"), first("job.published_at", "job.publishedAt", "job.created_at")),
+    "ingest_workable": Board(", ".join(f"{k} array<{WORKABLE}>" for k in ("jobs", "results", "content")) + f", data struct<jobs:array<{WORKABLE}>>", "coalesce(d.jobs, d.results, d.content, d.data.jobs)", first("job.shortcode", "job.code", "job.id"), first("job.title", "job.name"), "coalesce(" + first("job.url", "job.application_url", "job.shortlink") + ", concat('https://apply.workable.com/', split_part(source, ':', 2), '/j/', " + first("job.shortcode", "job.code", "job.id") + ", '/'))", "filter(array(nullif(coalesce(job.location.name, concat_ws(', ', coalesce(job.location.city, job.city), coalesce(job.location.region, job.state), coalesce(job.location.country, job.country))), '')), v -> v is not null)", first("job.description", "job.description_plain"), first("job.employment_type", "job.type"), first("job.published_at", "job.created_at", "job.createdAt")),
     "ingest_isolved": Board("success boolean, data struct<jobs:array<struct<id:string,title:string,url:string,location:string,startDate:string>>>", "case when d.success then d.data.jobs end", "job.id", first("job.title"), first("job.url"), "filter(array(job.location), n -> n is not null)", posted_raw="job.startDate"),
-    "ingest_openroles": Board("value array<struct<i:string,c:string,ti:string,u:string,p:string,f:string,loc:string,s:int,r:int>>", "d.value", first("job.i", "job.u"), first("job.ti"), first("job.u"), "filter(array(nullif(trim(job.loc), '')), n -> n is not null)", posted_raw=first("job.p", "job.f"), keep="coalesce(job.s, 0) <> 1 and coalesce(job.r, 0) <> 1"),
-    "ingest_registry_json": Board("value array<struct<id:string,title:string,company_name:string,url:string,locations:array<string>,active:boolean,is_visible:boolean,date_posted:string>>", "d.value", first("job.id", "job.url"), first("job.title"), first("job.url"), "coalesce(job.locations, array())", posted_raw="job.date_posted", keep="coalesce(job.active, true) and coalesce(job.is_visible, true)"),
-    "ingest_sensor_json": Board("value array<struct<id:string,title:string,role:string,url:string,link:string,apply_url:string,locations:array<string>,date_posted:string,date:string,active:boolean,is_visible:boolean>>", "d.value", first("job.id", "job.url", "job.link"), first("job.title", "job.role"), first("job.apply_url", "job.url", "job.link"), "coalesce(job.locations, array())", posted_raw=first("job.date_posted", "job.date"), keep="coalesce(job.active, true) and coalesce(job.is_visible, true)"),
+    "ingest_openroles": Board("value array<struct<i:string,c:string,ti:string,u:string,p:string,f:string,loc:string,s:int,r:int>>", "d.value", first("job.i", "job.u"), first("job.ti"), first("job.u"), "filter(array(nullif(trim(job.loc), '')), n -> n is not null)", posted_raw=first("job.p", "job.f"), keep="coalesce(job.s, 0) <> 1 and coalesce(job.r, 0) <> 1 and trim(job.c) <> ''", company="trim(job.c)"),
+    "ingest_registry_json": Board("value array<struct<id:string,title:string,company_name:string,url:string,locations:array<string>,active:boolean,is_visible:boolean,date_posted:string>>", "d.value", first("job.id", "job.url"), first("job.title"), first("job.url"), "coalesce(job.locations, array())", posted_raw="job.date_posted", keep="coalesce(job.active, true) and coalesce(job.is_visible, true)", company="coalesce(nullif(trim(job.company_name), ''), company)"),
     "ingest_workday": Board("total int, jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string>>", "d.jobPostings", first("job.externalPath", "job.title"), first("job.title"), "concat('https://', split_part(source, ':', 2), '.myworkdayjobs.com', job.externalPath)", "filter(array(job.locationsText), n -> n is not null)", posted_raw="job.postedOn"),
 }
 
@@ -67,11 +69,44 @@ def ingest(kind: str, raw: DataFrame) -> DataFrame:
     board = BOARDS[kind]
     body = F.concat(F.lit('{"value":'), F.col("body"), F.lit("}")) if board.rows == "d.value" else F.col("body")
     jobs = raw.select("source", "company", F.from_json(body, board.schema).alias("d")).select("source", "company", F.posexplode(F.expr(board.rows)).alias("at", "job")).filter(F.expr(board.keep))
-    out = jobs.select("source", "company", "at", *(F.expr(getattr(board, f)).alias(f) for f in FIELDS)).filter(F.col("title").isNotNull() & F.col("apply_url").isNotNull() & F.col("source_id").isNotNull())
+    out = jobs.select("source", F.expr(board.company).alias("company"), "at", *(F.expr(getattr(board, f)).alias(f) for f in FIELDS)).filter(F.col("title").isNotNull() & F.col("apply_url").isNotNull() & F.col("source_id").isNotNull())
     nth = F.row_number().over(W.partitionBy("source", "source_id").orderBy("at", "title", "apply_url"))
     return out.withColumn("nth", nth).filter("nth = 1").drop("nth", "at")
 
 
+def recent(postings: DataFrame, cutoff: Column) -> DataFrame:
+    """Postings dated at or after the cutoff; what has no date that can be read is as good as old."""
+    return postings.filter(rules.parse_iso_ts(F.col("posted_raw")) >= cutoff)
+
+
+#: Spellings of the fields of a sensor's row; the first that is not blank wins.
+SENSOR = "struct<id:string,job_id:string,source_id:string,company:string,company_name:string,employer:string,title:string,role:string,position:string,job_title:string,url:string,apply_url:string,job_url:string,application_url:string,location:string,locationsText:string,locations:array<string>,timing:string,date_posted:string,posted_at:string,first_seen_at:string,date_added:string,added:string,age:string,is_visible:boolean,is_open:boolean,active:boolean,season:string,cycle:string,terms:array<string>>"
+WRAPPED = ("jobs", "listings", "items", "results", "data")
+
+
+def sensor_rows(raw: DataFrame) -> DataFrame:
+    """Rows of sensors' JSON (source, kind, cycle, body): a list, the values of a map (kind json-map), or a list under a known key.
+
+    Closed and hidden rows, and rows of a mixed list for another cycle, drop out, as do rows without company,
+    title or link. `cycle_text` is what a row says about its cycle.
+    """
+    alone = F.from_json(F.concat(F.lit('{"value":'), "body", F.lit("}")), f"value array<{SENSOR}>")["value"]
+    within = F.from_json("body", ", ".join(f"{k} array<{SENSOR}>" for k in WRAPPED))
+    listed = F.when(F.ltrim("body").startswith("["), alone).otherwise(F.coalesce(*(within[k] for k in WRAPPED)))
+    every = F.when(F.col("kind") == "json-map", F.map_values(F.from_json("body", f"map<string,{SENSOR}>"))).otherwise(listed)
+    one = raw.select("source", "cycle", F.posexplode(every).alias("at", "j")).filter("j is not null")
+    pick = lambda *keys: F.expr(first(*(f"j.{k}" for k in keys)))
+    places = F.filter(F.coalesce("j.locations", F.array(pick("location", "locationsText"))), lambda p: F.coalesce(F.trim(p), F.lit("")) != "")
+    rows = one.select(
+        "source", "cycle", pick("company", "company_name", "employer").alias("company"), pick("title", "role", "position", "job_title").alias("title"), pick("url", "apply_url", "job_url", "application_url").alias("apply_url"), places.alias("locations"),
+        pick("timing", "date_posted", "posted_at", "first_seen_at", "date_added", "added", "age").alias("posted_raw"), F.lower(F.coalesce(pick("season", "cycle"), F.array_join("j.terms", " "), F.lit(""))).alias("cycle_text"), F.coalesce("j.is_open", "j.active", F.lit(True)).alias("active"), F.coalesce("j.is_visible", F.lit(True)).alias("shown"),
+        F.coalesce(pick("id", "job_id", "source_id"), ux.canonical_url(pick("url", "apply_url", "job_url", "application_url")), F.col("at").cast("string")).alias("source_id"),
+    ).filter("active and shown and company is not null and title is not null and apply_url is not null")
+    title = F.lower("title")
+    for_2027 = F.col("cycle_text").contains("summer 2027") | title.contains("2027") & title.contains("intern") & ~title.rlike("fall|winter|spring")
+    return rows.filter((F.col("cycle") != "mixed") | for_2027).drop("active", "shown")
+
+
 def split_landings(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings, discovery): links to whole boards are leads to crawl, not jobs."""
     landing = ux.is_board_landing(F.col("apply_url"))
@@ -84,16 +119,6 @@ def completeness(pages: DataFrame) -> DataFrame:
     return out.withColumn("complete", F.col("rows_scanned") >= F.col("expected")).withColumn("status", F.when(F.col("complete"), "ok").otherwise("truncated"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) to edges (page_id, link, label): one row a link, its first non-empty label."""
-    found = F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"'#]+)[^>]*>.*?</a>"""), F.lit(0))
-    edges = pages.select("page_id", F.regexp_extract("url", r"^(\w+://[^/?#]+)", 1).alias("origin"), F.posexplode(found).alias("at", "anchor"))
-    href = F.regexp_extract("anchor", r"""(?is)href\s*=\s*["']([^"'#]+)""", 1)
-    link = F.when(href.startswith("/"), F.concat("origin", href)).otherwise(href)
-    edges = edges.select("page_id", "at", link.alias("link"), tx.clean_text(F.regexp_replace("anchor", "<[^>]+>", " ")).alias("label"))
-    return edges.groupBy("page_id", "link").agg(F.min_by("label", F.when(F.col("label") != "", F.col("at"))).alias("label"))
-
-
 def sitemap_urls(docs: DataFrame) -> DataFrame:
     """(url, body) to (url, loc, lastmod, place): dated entries first, newest first, then document order."""
     blocks = F.regexp_extract_all("body", F.lit(r"(?is)<(?:url|sitemap)>.*?</(?:url|sitemap)>"), F.lit(0))
