@@ -2,10 +2,10 @@
 
 Each of TABLES tables hashes a vector by Gaussian projections with cells so wide that every
 projection has two of them, which meet at the sample's centre; a bucket is the row of its cells.
-A query visits PROBES buckets a table: those whose perturbed projections have the smallest
-expected sum of squared distances to the cells' edge, which is the order of estimated success.
-The number of projections grows with the logarithm of the vectors, so the share of them that a
-query sees falls as they become more (`width`). Candidates of all tables are merged and reranked
+A query visits those buckets of a table whose perturbed projections have the smallest expected sum
+of squared distances to the cells' edge, which is the order of estimated success. The share of the
+buckets that it visits falls with the square root of the number of vectors, and the number of
+projections grows so that this takes some hundred probes a table (`sizes`). Candidates of all tables are merged and reranked
 by exact Euclidean distance in double precision. The centre comes from a sample of at most SAMPLE
 vectors (those with the smallest hashes of their ids); every vector is indexed.
 
@@ -37,12 +37,16 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-TABLES, PROBES, SAMPLE, CHUNK, SHARD = 24, 500, 2000, 4096, 8192
+TABLES, SAMPLE, CHUNK, SHARD = 24, 2000, 4096, 8192
+#: The share of a table's buckets that a query among 500 vectors visits, and the least probes a table.
+SHARE, PROBES = 0.045, 350
 
 
-def width(n: int) -> int:
-    """Projections a table for n vectors: 14 for 500, one more for each eightfold."""
-    return max(14, 14 + round((np.log2(max(n, 1)) - 9) / 3))
+def sizes(n: int) -> tuple[int, int]:
+    """(projections, probes) a table for n vectors."""
+    share = SHARE * min(1.0, (500 / max(n, 1)) ** 0.5)
+    bits = int(np.ceil(np.log2(PROBES / share)))
+    return bits, round(share * 2**bits)
 
 
 def likeliest(costs: np.ndarray, n: int) -> np.ndarray:
@@ -65,12 +69,12 @@ def likeliest(costs: np.ndarray, n: int) -> np.ndarray:
 class Hashes:
     """The tables' projections, from a bounded sample, and the order of perturbations."""
 
-    def __init__(self, sample: np.ndarray, bits: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, bits: int, probes: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.centre, self.bits = sample.mean(axis=0), bits
         self.a = rng.standard_normal((sample.shape[1], TABLES * bits))
         # The expected squares of the 1st, 2nd, ... smallest of so many normal distances.
-        self.flips = likeliest((np.sort(np.abs(rng.standard_normal((4000, bits))), axis=1) ** 2).mean(axis=0), PROBES)
+        self.flips = likeliest((np.sort(np.abs(rng.standard_normal((4000, bits))), axis=1) ** 2).mean(axis=0), probes)
 
     def places(self, x: np.ndarray) -> np.ndarray:
         """(n, TABLES, bits) distances from the cells' edge."""
@@ -81,7 +85,7 @@ class Hashes:
         return ((self.places(x) >= 0) << np.arange(self.bits)).sum(axis=2)
 
     def probes(self, x: np.ndarray) -> np.ndarray:
-        """(n, TABLES, PROBES) buckets, likeliest first."""
+        """(n, TABLES, probes) buckets, likeliest first."""
         at = self.places(x)
         own = ((at >= 0) << np.arange(self.bits)).sum(axis=2)
         nearest_edge = np.argsort(np.abs(at), axis=2, kind="stable")
@@ -191,7 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     classes = written(ok.groupBy("vec").agg(F.min("vec_id").alias("rep")), "ann")
     ask = written(ask.dropDuplicates(["vec_id", "vec"]).select(F.monotonically_increasing_id().alias("q"), F.col("vec_id").alias("query_id"), "vec"), "ann")
     n, asked = classes.count(), ask.count()
-    hashes = spark.sparkContext.broadcast(Hashes(few, width(n)))
+    hashes = spark.sparkContext.broadcast(Hashes(few, *sizes(n)))
     shards = max(12, -(-n // SHARD))
     shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard")
     pairs = candidates(classes, ask, hashes, max(12, asked // 2048)).groupBy("q", shard).agg(F.collect_set("rep").alias("reps"))
