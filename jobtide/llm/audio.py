@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table, text_of, written
+from .common import portions, table, text_of, tidy, written
 
 RATE, UP, DOWN, TAPS = 8000, 2, 3, 12
 WINDOW, HOP, MELS, FRAMES = 256, 128, 20, 16
@@ -169,7 +169,7 @@ def store(docs: DataFrame) -> DataFrame:
             raw = [t.encode() for t in batch.text]
             yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_bytes": [len(r) for r in raw], "media": [to_wav(padded(r)) for r in raw]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def extract(stored: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def extract(stored: DataFrame) -> DataFrame:
                 "media_bytes": [len(m) for m in batch.media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in batch.media], "features": [f for part in portions(batch.media.tolist()) for f in features(part)],
             })
 
-    return stored.mapInPandas(run, schema)
+    return stored.mapInPandas(tidy(run), schema)
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +71,25 @@ def shards(n_bytes: int, per: int, least: int = 12) -> int:
     return max(least, -(-n_bytes // per))
 
 
+def tidy(run: Callable) -> Callable:
+    """`run` over a task's batches; when they are through, the worker gives back the memory it no longer uses.
+
+    Spark reuses its Python workers, so what one task leaves behind would count against the next.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def tasks(groups: int) -> int:
     """Partitions for so many groups: one each, and from 50,000 on 16 a partition, so tasks keep their size."""
     return min(groups, max(50_000, groups // 16))

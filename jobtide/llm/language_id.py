@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import table, text_of, tidy
 
 SLOTS = 1 << 16
 SAMPLE = 3000
@@ -78,7 +78,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(df)
         yield pd.DataFrame({"slot": used, "n": df[used]})
 
-    rows = texts.mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInPandas(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(SLOTS + 1, np.int64)
     df[rows.slot.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     return df[:SLOTS], int(df[SLOTS])
@@ -102,7 +102,7 @@ def sampled(rows: DataFrame, n: int = SAMPLE) -> pd.DataFrame:
     keyed = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
     chosen = keyed.select("order").distinct().orderBy("order").limit(n)
     few = keyed.join(F.broadcast(chosen), "order", "left_semi").groupBy("order").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.lang", "row.text")
-    got = few.mapInPandas(run, "lang string, slots binary, share binary").toPandas()
+    got = few.mapInPandas(tidy(run), "lang string, slots binary, share binary").toPandas()
     return got.sort_values(["lang", "slots", "share"], ignore_index=True)
 
 
@@ -157,16 +157,6 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     return fit(sampled(rows), idf)
 
 
-_HASHER: list[Hasher] = []
-
-
-def _hasher() -> Hasher:
-    """One a worker process."""
-    if not _HASHER:
-        _HASHER.append(Hasher())
-    return _HASHER[0]
-
-
 def judged(texts, hasher: Hasher, model: tuple[list[str], np.ndarray, np.ndarray, float]) -> list[tuple[str, float]]:
     langs, w, bias, t = model
     columns = [np.ascontiguousarray(w[:, j]) for j in range(len(langs))]
@@ -191,7 +181,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, flo
         for batch in batches:
             yield pd.DataFrame(judged(batch.text, hasher, shared.value), columns=["lang_pred", "score"]).assign(doc_id=batch.doc_id.astype("Int64").array)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "lang_pred string, score double, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(tidy(run), "lang_pred string, score double, doc_id long")
 
 
 def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, float], lang_col: str, score_col: str) -> DataFrame:
@@ -199,9 +189,12 @@ def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, fl
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "lang_pred string, score double"
 
-    @F.pandas_udf(schema)
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(judged(texts, _hasher(), shared.value), columns=["lang_pred", "score"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for texts in batches:
+            yield pd.DataFrame(judged(texts, hasher, shared.value), columns=["lang_pred", "score"])
+
+    judge = F.pandas_udf(tidy(run), schema)
 
     return docs.withColumn("_judged", judge(text_of())).withColumns({lang_col: F.col("_judged.lang_pred"), score_col: F.col("_judged.score")}).drop("_judged")
 

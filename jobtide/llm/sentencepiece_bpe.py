@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table, text_of
+from .common import portions, table, text_of, tidy
 
 CHUNK = re.compile(r" *[^ ]+| +")
 MARK = "▁"
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
             both = [x for part in portions(batch.text.tolist(), 1_000_000) for x in coder(part)]
             yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_tokens": [ids.count(" ") + 1 for ids, _ in both], "ids": [ids for ids, _ in both], "decoded": [d for _, d in both]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids string, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(tidy(run), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

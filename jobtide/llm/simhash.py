@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table, text_of, written
+from .common import portions, table, text_of, tidy, written
 from .components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             parts = [fingerprint_texts(p) for p in portions(batch.text.tolist(), 1_000_000)]
             yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(tidy(run), "doc_id long, fp long")
 
 
 def links(classes: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shards, shared_dir, table, tasks, text_of, total_bytes, written
+from .common import shards, shared_dir, table, tasks, text_of, tidy, total_bytes, written
 
 ARCHIVE_BYTES = 8 << 20
 LEAST_REVISIT = 100
@@ -192,7 +192,7 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Every record of the files (path); the payload is null for revisits."""
-    return archives.select("path").mapInPandas(_unpack, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return archives.select("path").mapInPandas(tidy(_unpack), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
