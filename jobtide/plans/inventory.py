@@ -27,16 +27,27 @@ MATCH = "case target_match " + " ".join(f"when '{m}' then {r}" for m, r in TARGE
 TECHS, GOOD, BAD = names(TECH), names(TARGETS), names(BAD_STATUSES)
 
 # Applications and families. A partial sort key always ends in posting_key, so runs agree.
-TEXTS["fold_applications"] = f"""select identity, max(case when sel = 1 then posting_key end) as posting_key, max(case when sel = 1 then company end) as company, max(case when sel = 1 then title end) as title, max(case when sel = 1 then category end) as category, max(case when sel = 1 then apply_url end) as apply_url, max(case when sel = 1 then source end) as source, max(case when sel = 1 then source_mode end) as source_mode,
+OTHER["fold_applications"] = f"""select identity, max(case when sel = 1 then posting_key end) as posting_key, max(case when sel = 1 then company end) as company, max(case when sel = 1 then title end) as title, max(case when sel = 1 then category end) as category, max(case when sel = 1 then apply_url end) as apply_url, max(case when sel = 1 then source end) as source, max(case when sel = 1 then source_mode end) as source_mode,
   max(case when anc = 1 then family_key end) as family_key, max(case when anc = 1 then season end) as season, max(case when anc = 1 then year end) as year, max(case when anc = 1 then target_match end) as target_match, array_join(array_sort(array_distinct(flatten(array_agg(locations)))), '|') as locations,
   min(case when source_mode in ('direct', 'verification') then posted_at end) as first_posted_at, max(case when source_mode in ('direct', 'verification') then posted_at end) as latest_posted_at, min(first_seen_at) as first_detected_at, max(last_seen_at) as last_verified_at, array_join(array_sort(array_agg(distinct concat(source_mode, ':', source))), '|') as source_variants, count(*) as variants
  from (select *, row_number() over (partition by identity order by {RANK}, case when posted_at is null then 1 else 0 end, length(title), title, posting_key) as sel, row_number() over (partition by identity order by {MATCH} desc, {RANK}, posting_key) as anc from {{postings}} where active and target_match in ({GOOD}, 'unknown')) r
  group by identity having sum(case when source_mode <> 'verification-lead' then 1 else 0 end) > 0"""
-TEXTS["build_families"] = f"""select family_key, max(case when sel = 1 then company end) as company, max(case when sel = 1 then title end) as title, max(case when sel = 1 then category end) as category, max(case when anc = 1 then season end) as season, max(case when anc = 1 then year end) as year, max(case when anc = 1 then target_match end) as target_match,
+OTHER["build_families"] = f"""select family_key, max(case when sel = 1 then company end) as company, max(case when sel = 1 then title end) as title, max(case when sel = 1 then category end) as category, max(case when anc = 1 then season end) as season, max(case when anc = 1 then year end) as year, max(case when anc = 1 then target_match end) as target_match,
   count(*) as opening_count, array_join(array_sort(array_distinct(flatten(array_agg(split(locations, '[|]'))))), '|') as locations, array_join(array_sort(array_agg(concat(locations, ' ', apply_url, ' ', identity))), ';') as openings, min(first_posted_at) as first_posted_at, max(latest_posted_at) as latest_posted_at, case when max(latest_posted_at) is null then 'unknown' else 'day' end as posted_precision,
   min(first_detected_at) as first_detected_at, max(last_verified_at) as last_verified_at, cast(sum(case when source_mode in ('direct', 'verification') then 1 else 0 end) as bigint) as direct_openings, cast(sum(case when source_mode in ('direct', 'verification') then 0 else 1 end) as bigint) as backstop_openings
  from (select *, row_number() over (partition by family_key order by {RANK}, case when first_posted_at is null then 1 else 0 end, length(title), title, posting_key) as sel, row_number() over (partition by family_key order by {MATCH} desc, {RANK}, posting_key) as anc from {{fold_applications}}) a group by family_key"""
-OTHER["build_families"] = dialect.translated(TEXTS["build_families"]).replace("split(locations, '[|]')", "string_split(locations, '|')")
+OTHER["fold_applications"] = dialect.translated(OTHER["fold_applications"])
+OTHER["build_families"] = dialect.translated(OTHER["build_families"]).replace("split(locations, '[|]')", "string_split(locations, '|')")
+# Folds are one grouping: the row that speaks for a group is the least by a struct that ends in posting_key, and the
+# partial results of a hot group combine before the shuffle.
+TEXTS["fold_applications"] = f"""select identity, s.posting_key as posting_key, s.company as company, s.title as title, s.category as category, s.apply_url as apply_url, s.source as source, s.source_mode as source_mode, a.family_key as family_key, a.season as season, a.year as year, a.target_match as target_match, array_join(array_sort(places), '|') as locations,
+  first_posted_at, latest_posted_at, first_detected_at, last_verified_at, array_join(array_sort(said), '|') as source_variants, variants from
+ (select identity, min_by(struct(posting_key, company, title, category, apply_url, source, source_mode), struct({RANK}, posted_at is null, length(title), title, posting_key)) as s, min_by(struct(family_key, season, year, target_match), struct(-{MATCH}, {RANK}, posting_key)) as a, collect_set(place) as places, collect_set(concat(source_mode, ':', source)) as said,
+   min(case when source_mode in ('direct', 'verification') then posted_at end) as first_posted_at, max(case when source_mode in ('direct', 'verification') then posted_at end) as latest_posted_at, min(first_seen_at) as first_detected_at, max(last_seen_at) as last_verified_at, count_if(coalesce(at, 0) = 0) as variants, count_if(source_mode <> 'verification-lead') as firm
+  from (select *, posexplode_outer(locations) as (at, place) from {{postings}} where active and target_match in ({GOOD}, 'unknown')) r group by identity) g where firm > 0"""
+TEXTS["build_families"] = f"""select family_key, s.company as company, s.title as title, s.category as category, a.season as season, a.year as year, a.target_match as target_match, opening_count, array_join(array_sort(places), '|') as locations, array_join(array_sort(openings), ';') as openings, first_posted_at, latest_posted_at, case when latest_posted_at is null then 'unknown' else 'day' end as posted_precision, first_detected_at, last_verified_at, direct_openings, backstop_openings from
+ (select family_key, min_by(struct(company, title, category), struct({RANK}, first_posted_at is null, length(title), title, posting_key)) as s, min_by(struct(season, year, target_match), struct(-{MATCH}, {RANK}, posting_key)) as a, count(*) as opening_count, array_distinct(flatten(collect_set(split(locations, '[|]')))) as places, collect_list(concat(locations, ' ', apply_url, ' ', identity)) as openings,
+   min(first_posted_at) as first_posted_at, max(latest_posted_at) as latest_posted_at, min(first_detected_at) as first_detected_at, max(last_verified_at) as last_verified_at, count_if(source_mode in ('direct', 'verification')) as direct_openings, count_if(source_mode not in ('direct', 'verification')) as backstop_openings from {{fold_applications}} group by family_key) g"""
 TEXTS["families"] = "select * from {build_families}"
 
 VISIBLE = "case when latest_posted_at is null then date_trunc('hour', first_detected_at) when posted_precision = 'timestamp' then latest_posted_at else date_trunc('day', latest_posted_at) end"
