@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import APPLY_MARKERS, CADENCE, CAREER_MARKERS, CAREER_SUBDOMAINS, CATEGORIES, CLICK_KEYS, COMPANY_ALIASES, DETAIL_MARKERS, FAILURES, LEGAL_SUFFIX, MULTIPART_SUFFIXES, NON_APPLICATION_HOSTS, PROVIDERS, TITLE_STOPWORDS, TRACKING_KEYS
+from ..constants import APPLY_MARKERS, CADENCE, CAREER_MARKERS, CAREER_SUBDOMAINS, CLICK_KEYS, CLOSED, COMPANY_ALIASES, DETAIL_MARKERS, FAILURES, LEGAL_SUFFIX, MULTIPART_SUFFIXES, NON_APPLICATION_HOSTS, PROVIDERS, TITLE_STOPWORDS, TRACKING_KEYS
 from ..functions import rules, text, urls
 from ..sources.fixtures import AS_OF, VIEWS, view
 
@@ -228,4 +228,5 @@ def queries() -> dict:
 
 
 def oracle() -> dict[str, str]:
-    return {k: _oracle(k) for k in SCALARS}
+    visible = rep("html", ("(?is)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>", " "), (r"\s+", " "))
+    return {k: _oracle(k) for k in SCALARS} | {"page_is_closed": f"select page_id, regexp_matches(substr({visible}, 1, 100000), '{CLOSED}') as closed from pages"}

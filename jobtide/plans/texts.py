@@ -12,7 +12,7 @@ from ..sources import ingest, pages, publish
 from ..sources.fixtures import VIEWS, view
 from . import dialect, inventory  # noqa: F401  inventory registers the texts
 from .landed import ROWS, URL, rows_of
-from .scalars import TENANT, clean, names, similarity
+from .scalars import SCALARS, TENANT, clean, names, similarity
 from .streams import as_stream, shared
 
 c = F.col
@@ -247,7 +247,12 @@ def oracle() -> dict[str, str]:
     technical = " or ".join(said(p) for p in CATEGORIES.values())
     fold = dialect.oracle("fold_applications")
     legacy = "coalesce(case when len % 3 = 0 then first_seen_at end, case when len % 5 = 0 then last_seen_at end, posted_at)"
+    taken = lambda x, p: f"nullif(regexp_extract({x}, '{p.replace(chr(39), chr(39) * 2)}', 1), '')"
+    head = taken("html", "(?is)<h1[^>]*>(.*?)</h1>")
+    shared_host = SCALARS["provider_kind"][2]["provider"][1]
     return {
+        "ingest_detail_page": f"""select page_id, coalesce(nullif({clean(head)}, ''), {taken('html', '(?is)<meta[^>]*og:title[^>]*content=["'+"'"+']([^"'+"'"+']*)')}) as title, coalesce({taken('html', '(?is)itemprop=["'+"'"+']datePosted["'+"'"+'][^>]*content=["'+"'"+']([^"'+"'"+']*)')}, {taken('html', '(?is)<time[^>]*datetime=["'+"'"+']([^"'+"'"+']*)')}) as posted_raw, coalesce({taken('url', '(?i)(?:/job/|career_job_req_id=)([A-Za-z0-9_-]+)')}, url) as source_id from pages""",
+        "career_seeds": f"select host, 'https://' || host || unnest([{names(pages.CAREER_PATHS)}]) as url from (select distinct host from (select regexp_extract(lower(url), '^https?://([^/?#:]*)', 1) as host, 'https://' || regexp_extract(lower(url), '^https?://([^/?#:]*)', 1) || '/' as url from pages) where {shared_host} is null)",
         "ingest_registry_markdown": t + f"""select {board}::varchar as doc, 'Firm ' || firm as company, {clean('shown')} as title, {url} as apply_url, {match.replace('title', 'shown')} as target_match from (select *, {plain} as shown, last_value(case when id % 3 = 0 then id end ignore nulls) over (partition by {board} order by id) as firm from (select * from fx_texts where title ilike '%intern%'))
           where firm is not null and ({said(INTERN)} or {said(PROGRAM)})""",
         "ingest_sensor_table": t + f"select {board}::varchar as doc, 'Firm ' || firm as company, {clean(plain)} as title, 'Rome' as location, case when {board} % 3 = 1 then '' else trim(age) end as timing, {url} as apply_url from (select *, last_value(case when id % 4 = 0 then id end ignore nulls) over (partition by {board} order by id) as firm from fx_texts) where id % 5 <> 0 and firm is not null",

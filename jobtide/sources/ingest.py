@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions import text as tx
 from ..functions import urls as ux
 
 PLACE = "struct<name:string,city:string,region:string,state:string,country:string>"
