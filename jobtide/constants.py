@@ -9,10 +9,13 @@ EMPLOYER_DATE_MODES = ("direct", "verification")
 INDEX_MODES = ("registry", "external-index", "verification-lead")
 # Categories that count as technical.
 TECH = ("software", "ml-ai", "data", "security", "hardware", "quant", "product")
+# Kinds that cover no board.
 FALLBACK_KINDS = ("verification",)
+# Statuses of results that are not whole.
 BAD_STATUSES = ("broken", "blocked", "truncated", "partial")
 # Query keys that never identify an application.
 TRACKING_KEYS = ("source", "src", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gh_src", "lever-source", "ref", "jr_id", "iis", "iisn")
+# Query keys of clicks.
 CLICK_KEYS = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "igshid", "vero_conv", "vero_id")
 # Hosts where no application can be made.
 NON_APPLICATION_HOSTS = ("github.com", "www.github.com", "simplify.jobs", "www.simplify.jobs", "speedyapply.com", "www.speedyapply.com", "discord.gg", "www.linkedin.com", "jobright.ai", "www.jobright.ai", "workopia.io", "www.workopia.io", "visasponsor.jobs", "www.visasponsor.jobs")
@@ -24,6 +27,7 @@ COMPANY_ALIASES = {
     "susquehanna international group sig": "Susquehanna International Group", "susquehanna international group": "Susquehanna International Group", "sig": "Susquehanna International Group",
     "hudson river trading": "Hudson River Trading", "hrt": "Hudson River Trading", "tiktok": "TikTok", "byte dance": "ByteDance", "bytedance": "ByteDance", "cvs health": "CVS Health", "cvs health corporation": "CVS Health",
 }
+# Legal forms at the end of a name.
 LEGAL_SUFFIX = r"\b(incorporated|inc|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|sa|ag)\.?$"
 # Patterns of internship evidence, cycles and categories (first hit wins).
 INTERN = r"\b(intern(ship)?|co[- ]?op|industrial placement|student placement|summer placement)\b"
@@ -47,11 +51,14 @@ PROVIDERS = {
     "jobvite.com": "jobvite", "icims.com": "icims", "oraclecloud.com": "oracle-cloud", "successfactors.": "successfactors", "rippling.com": "rippling", "teamtailor.com": "teamtailor", "bamboohr.com": "bamboohr",
     "dayforcehcm.com": "dayforce", "eightfold.ai": "eightfold", "phenompeople.com": "phenom", "phenom.com": "phenom", "ukg.com": "ukg",
 }
+# Public suffixes of two labels.
 MULTIPART_SUFFIXES = ("co.uk", "com.au", "com.br", "com.mx", "co.jp", "co.in", "co.nz", "com.sg")
+# What career hosts begin with, and what career and job links hold.
 CAREER_SUBDOMAINS = ("jobs.", "job.", "careers.", "career.", "recruiting.", "recruitment.", "talent.", "join.", "work.")
 CAREER_MARKERS = ("career", "careers", "job", "jobs", "join-us", "join_us", "work-with-us", "open-position", "open-role", "opportunit", "vacanc", "requisition")
 DETAIL_MARKERS = ("/job/", "/jobs/", "/position/", "/positions/", "/opening/", "/openings/", "/requisition/", "/requisitions/", "/apply/", "/details/")
 APPLY_MARKERS = ("/job/", "/jobs/", "/position/", "/positions/", "/careers/", "/apply", "/details/", "/results/", "/search/")
+# A job's id in a link, words of titles that tell nothing, and what closed pages say.
 JOB_ID = r"(?i)(?:/|[?&])(?:job|jobs|jobid|job_id|gh_jid|req|requisition)[=/_-]?[0-9a-f-]{3,}"
 TITLE_STOPWORDS = ("a", "an", "and", "apply", "at", "career", "careers", "co", "job", "jobs", "of", "the", "to", "intern", "internship", "summer", "2027")
 CLOSED = r"(?i)\b(?:job (?:is )?no longer available|position (?:is )?no longer available|position has been filled|job has expired|requisition (?:is )?no longer available|no longer accepting applications|this (?:job|position) (?:is )?closed|the page you requested (?:could not be found|does not exist))\b"
@@ -92,3 +99,19 @@ INFERRED_LABELS = (
     (("machine learning", "artificial intelligence", " ai ", " ml "), "ML / AI"), (("information technology", " it intern", " it internship"), "IT"), (("software", "developer", "programmer"), "Software"), (("data", "analytics"), "Data"),
     (("security", "cyber"), "Security"), (("hardware", "firmware", "electrical"), "Hardware"), (("quant", "trading"), "Quant"), (("product",), "Product"),
 )
+# Steps that make text visible, and what is cut from its edges.
+CLEANING = (
+    (r"(?i)<\s*br\s*/?\s*>|</p>|</div>|</li>", " | "), (r"(?i)^\[(.+)\]\(https?://[^)]+\)$", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<[^>]+>", " "), ("&amp;", "&"), ("&nbsp;|\u00a0", " "), ("\ufe0f", ""),
+    (r"[\x{1F1E6}-\x{1F1FF}]{2}", ""), (r"[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2B00}-\x{2BFF}]+", ""), (r"\s+", " "),
+)
+EDGES = " *\t|·-—–"
+# Steps that take presentation noise out of lower-case titles, and levels after intern titles.
+TITLE_NOISE = (
+    (r"\s+(?:-|–|—|\|)\s+(?:remote|hybrid|onsite|on-site|[a-z .'-]+,\s*[a-z]{2}|[a-z .'-]+,\s*(?:usa|united states))$", ""), (r"\[(?:remote|hybrid|onsite|on-site)\]", ""), (r"\s*\((?:remote|hybrid|onsite|on-site)\)\s*$", ""),
+    (r"\s*\((?:summer|fall|spring|winter)\s+20\d{2}\)\s*$", ""), (r"\b(?:summer|fall|spring|winter)\s+20\d{2}\b", ""), (r"[^a-z0-9+#./ -]+", " "), (r"\s+", " "),
+)
+LEVEL = r"\b(?:i{1,3}|iv|v|1|2|3|4|5)\b$"
+# States that may stand joined to the next place, places that say nothing, and places all over the country.
+STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|IA|ID|IL|IN|KS|KY|LA|MA|MD|ME|MI|MN|MO|MS|MT|NC|ND|NE|NH|NJ|NM|NV|NY|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VA|VT|WA|WI|WV|WY"
+EMPTY_PLACES = ("", "—", "-", "–", "not stated", "location not stated", "n/a")
+ALL_OVER = ("(multiple us)", "multiple u.s. locations", "multiple us locations")

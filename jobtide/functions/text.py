@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORIES, COMPANY_ALIASES, EMPLOYER_DATE_MODES, FAILURES, LEGAL_SUFFIX, TITLE_STOPWORDS
+from ..constants import ALL_OVER, CATEGORIES, CLEANING, COMPANY_ALIASES, EDGES, EMPLOYER_DATE_MODES, EMPTY_PLACES, FAILURES, LEGAL_SUFFIX, LEVEL, STATES, TITLE_NOISE, TITLE_STOPWORDS
 
 
 def chain(col: Column, *steps: tuple[str, str]) -> Column:
@@ -17,12 +17,7 @@ def chain(col: Column, *steps: tuple[str, str]) -> Column:
 
 def clean_text(col: Column) -> Column:
     """Visible text: tags, Markdown links, flags and emoji dropped, space collapsed, edges stripped."""
-    text = chain(
-        F.coalesce(col, F.lit("")),
-        (r"(?i)<\s*br\s*/?\s*>|</p>|</div>|</li>", " | "), (r"(?i)^\[(.+)\]\(https?://[^)]+\)$", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<[^>]+>", " "), ("&amp;", "&"), ("&nbsp;|\u00a0", " "), ("\ufe0f", ""),
-        (r"[\x{1F1E6}-\x{1F1FF}]{2}", ""), (r"[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{2B00}-\x{2BFF}]+", ""), (r"\s+", " "),
-    )
-    cleaned = F.btrim(text, F.lit(" *\t|·-—–"))
+    cleaned = F.btrim(chain(F.coalesce(col, F.lit("")), *CLEANING), F.lit(EDGES))
     # One test spares plain text the whole chain.
     return F.when(col.rlike("^[A-Za-z0-9_.,()#:/+]+(?:[ -]+[A-Za-z0-9_.,()#:/+]+)*$") & ~col.contains("  "), col).otherwise(cleaned)
 
@@ -52,13 +47,8 @@ def company_key(col: Column) -> Column:
 
 def title_of_clean(cleaned: Column) -> Column:
     """Presentation noise goes, specialisation stays; levels go after intern titles."""
-    title = chain(
-        F.lower(cleaned),
-        (r"\s+(?:-|–|—|\|)\s+(?:remote|hybrid|onsite|on-site|[a-z .'-]+,\s*[a-z]{2}|[a-z .'-]+,\s*(?:usa|united states))$", ""), (r"\[(?:remote|hybrid|onsite|on-site)\]", ""), (r"\s*\((?:remote|hybrid|onsite|on-site)\)\s*$", ""),
-        (r"\s*\((?:summer|fall|spring|winter)\s+20\d{2}\)\s*$", ""), (r"\b(?:summer|fall|spring|winter)\s+20\d{2}\b", ""), (r"[^a-z0-9+#./ -]+", " "), (r"\s+", " "),
-    )
-    title = F.btrim(title, F.lit(" -/"))
-    return F.when(title.contains("intern"), F.trim(F.regexp_replace(title, r"\b(?:i{1,3}|iv|v|1|2|3|4|5)\b$", ""))).otherwise(title)
+    title = F.btrim(chain(F.lower(cleaned), *TITLE_NOISE), F.lit(" -/"))
+    return F.when(title.contains("intern"), F.trim(F.regexp_replace(title, LEVEL, ""))).otherwise(title)
 
 
 def normalize_title(col: Column) -> Column:
@@ -72,13 +62,11 @@ def family_key(company: Column, title: Column, season: Column, year: Column, kin
 
 def normalize_locations(col: Column) -> Column:
     """Distinct place names in their order; empty values and dates go, joined states are split."""
-    empty = ["", "—", "-", "–", "not stated", "location not stated", "n/a"]
-    named = F.transform(F.filter(F.transform(col, clean_text), lambda v: ~F.lower(v).isin(empty) & ~v.rlike(r"^\d{4}-\d{2}-\d{2}$")), lambda v: F.when(F.lower(v).isin("(multiple us)", "multiple u.s. locations", "multiple us locations"), "United States").otherwise(v))
+    named = F.transform(F.filter(F.transform(col, clean_text), lambda v: ~F.lower(v).isin(*EMPTY_PLACES) & ~v.rlike(r"^\d{4}-\d{2}-\d{2}$")), lambda v: F.when(F.lower(v).isin(*ALL_OVER), "United States").otherwise(v))
     plain = F.transform(named, lambda v: F.replace(chain(v, (r"(?i)^\s*\d+\s+locations?\s*\*+\s*", ""), (r"(?i)\b\d+\s+locations?\b", " ")), F.lit("Remote-Friendly"), F.lit("Remote")))
-    states = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|IA|ID|IL|IN|KS|KY|LA|MA|MD|ME|MI|MN|MO|MS|MT|NC|ND|NE|NH|NJ|NM|NV|NY|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VA|VT|WA|WI|WV|WY"
     chunks = F.flatten(F.transform(plain, lambda v: F.split(v, r"\s*(?:\||/|;|·|\n|\r|\t|\*\*)\s*")))
-    fixed = F.flatten(F.transform(chunks, lambda v: F.split(F.regexp_replace(v, rf"\b({states})(?=[\s,;|·—–]*[A-Z][a-z])", "$1\u0001"), "\u0001")))
-    trimmed = F.filter(F.transform(fixed, lambda v: F.btrim(F.regexp_replace(v, r"\s+", " "), F.lit(" ,;-·*—–"))), lambda v: ~F.lower(v).isin(empty))
+    fixed = F.flatten(F.transform(chunks, lambda v: F.split(F.regexp_replace(v, rf"\b({STATES})(?=[\s,;|·—–]*[A-Z][a-z])", "$1\u0001"), "\u0001")))
+    trimmed = F.filter(F.transform(fixed, lambda v: F.btrim(F.regexp_replace(v, r"\s+", " "), F.lit(" ,;-·*—–"))), lambda v: ~F.lower(v).isin(*EMPTY_PLACES))
     # Plain names need no more than the last step.
     plain_names = F.forall(col, lambda v: v.rlike(r"^[A-Za-z0-9_.]+(?: [A-Za-z0-9_.]+)*$") & ~v.rlike(r"\b[A-Z]{2}(?:\b|[A-Z][a-z])|(?i:locations?|not stated)|^\d{4}"))
     return F.when(F.coalesce(plain_names, F.lit(False)), distinct_names(col)).otherwise(distinct_names(trimmed))
