@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES, INTERN, PATH_DENY, PROGRAM, YEAR
@@ -178,19 +176,24 @@ def _sink(spark, sf_dir):
 
 
 def _notified(spark, sf_dir):
-    """Two micro-batches of the same families alert once each; a batch's rows go by its number."""
+    """Two streams of the same families alert once each; the ledger keeps what each batch alerted under its number."""
     root = shared(spark)
     families = dialect.frame(spark, sf_dir, "families").select("family_key", "company", "title")
-    ledger = f"{root}/ledger"
+    ledger, kind = f"{root}/ledger", "family_key string, run int, batch int"
+    spark.createDataFrame([], "family_key string").write.parquet(f"{ledger}/run=0/batch=-1")
+
+    def alert(run):
+        def put(batch, number):
+            # A batch that is run again replaces its own rows, and counts those of the others alone.
+            sent = spark.read.schema(kind).parquet(ledger).filter((c("run") != run) | (c("batch") != number))
+            fresh = batch.dropDuplicates(["family_key"]).join(sent.select("family_key").distinct(), "family_key", "left_anti")
+            fresh.select("family_key").write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={number}")
 
-    def alert(batch, number):
-        spark.createDataFrame([], "family_key string").write.mode("append").parquet(ledger)
-        sent = spark.read.schema("family_key string").parquet(ledger)
-        batch.dropDuplicates(["family_key"]).join(sent, "family_key", "left_anti").select("family_key").write.mode("append").parquet(ledger)
+        return put
 
-    for _ in range(2):
-        as_stream(spark, families, f"{root}/{uuid.uuid4().hex}").writeStream.foreachBatch(alert).option("checkpointLocation", f"{root}/{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("family_key string").parquet(ledger)
+    for run in (1, 2):
+        as_stream(spark, families, f"{root}/{run}").writeStream.foreachBatch(alert(run)).option("checkpointLocation", f"{root}/{run}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind).parquet(ledger).select("family_key")
 
 
 def _published(spark, sf_dir):
@@ -200,8 +203,9 @@ def _published(spark, sf_dir):
 
     def rebuild(batch, number):
         if not batch.isEmpty():
-            batch.write.mode("append").parquet(f"{root}/arrived")
-            all_ = spark.read.schema(posts.schema).parquet(f"{root}/arrived")
+            # A batch that is run again replaces its own rows.
+            batch.write.mode("overwrite").parquet(f"{root}/arrived/batch-{number}")
+            all_ = spark.read.option("recursiveFileLookup", "true").schema(posts.schema).parquet(f"{root}/arrived")
             folded = dialect.apply("fold_applications", spark, postings=all_)
             families = dialect.apply("build_families", spark, fold_applications=folded)
             publish.publish(families.select("family_key", "opening_count"), root, number + 1, F.count("*") == F.countDistinct("family_key"))
