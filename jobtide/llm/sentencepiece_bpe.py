@@ -39,7 +39,7 @@ MARK = "▁"
 #: Characters beyond which a chunk is cut and queued.
 LONG = 400
 #: Distinct chunks, and their characters, kept by a task; beyond it the store starts anew, results do not change.
-KEPT, KEPT_CHARS = 120_000, 3_000_000
+KEPT, KEPT_CHARS = 200_000, 4_000_000
 #: Texts that a model with another kind or normalisation encodes differently.
 PROBES = ("  Two  spaces ", "ﬁ Ａ① é e\u0301", "\t\n \u00a0", "▁x▁▁", "𝒳漢字", "aaaa bbbb unbelievable")
 
@@ -244,8 +244,8 @@ class Coder:
             self.store.clear()
             self.chars, fresh = 0, list(chunks)
         self.chars += sum(map(len, fresh))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+        for at in range(0, len(fresh), 40_000):
+            part = fresh[at : at + 40_000]
             ids, cut = self.bpe.encode_chunks(part)
             text, raw = [self.names[i] for i in ids], [self.bpe.piece_bytes[i] for i in ids]
             self.store.update((c, (" ".join(text[a:b]), b"".join(raw[a:b]))) for c, a, b in zip(part, cut, cut[1:]))
