@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup", "simhash", "substring_dedup", "secret_scan", "mixing", "sentencepiece_bpe", "warc_zip", "ann", "language_id", "audio", "decontaminate", "whitening")
+MODULES = ("suffix_dedup", "simhash", "substring_dedup", "secret_scan", "mixing", "sentencepiece_bpe", "warc_zip", "ann", "language_id", "audio", "collocations", "decontaminate", "whitening")
 QUERIES, ORACLE = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
