@@ -128,7 +128,7 @@ def test_changed_tables_are_stored_anew(spark, tmp_path):
     import pyarrow.parquet as pq
 
     for name in ("lineitem", "orders", "part", "supplier", "nation", "region"):
-        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+        shutil.copyfile(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
     before = dialect.frame(spark, str(tmp_path), "postings").count()
     orders = pq.read_table("/root/testdata/sf0.001/orders.parquet")
     pq.write_table(orders.slice(0, len(orders) // 2), f"{tmp_path}/orders.parquet")
