@@ -87,6 +87,26 @@ STRUCTURED_KEYS = ("url", "sameAs", "applicationUrl", "applyUrl", "target")
 MICRODATA = ("url", "applicationurl", "applyurl")
 GENERIC_ANCHORS = ("learn more", "apply", "share", "details")
 DIRECTORY_HOSTS = ("www.ycombinator.com", "ycombinator.com")
+# Names of elements of job feeds in XML, and of roots that are feeds.
+XML_RECORDS = ("job", "position", "posting", "opening", "requisition", "vacancy", "item", "entry")
+XML_JOBS = ("job", "position", "posting", "opening", "requisition", "vacancy")
+XML_URLS = ("url", "joburl", "job-url", "detailurl", "detail-url", "applyurl", "apply-url", "applicationurl", "application-url", "link", "guid", "loc")
+XML_TITLES = ("title", "jobtitle", "job-title", "positiontitle", "position-title")
+XML_IDS = ("id", "jobid", "job-id", "requisitionid", "requisition-id", "reference")
+XML_ADDRESSES = ("href", "url", "joburl", "job-url", "applyurl", "apply-url", "applicationurl", "application-url")
+XML_FEEDS = ("rss", "feed", "rdf")
+# Entries of sitemaps, and what names their address and their time.
+SITEMAP_ENTRIES, SITEMAP_PLACES, SITEMAP_TIMES = ("url", "sitemap", "item", "entry"), ("loc", "link"), ("lastmod", "updated", "pubdate", "published")
+# Keys of titles in a page's JSON, and keys that say that an object is a job.
+TITLE_KEYS = ("jobTitle", "job_title", "positionTitle", "position_title", "title", "name")
+JOB_SIGNAL_KEYS = ("applyUrl", "apply_url", "description", "employmentType", "employment_type", "jobDescription", "jobId", "job_id", "locations", "requisitionId", "requisition_id")
+# Attributes of the elements that hold a page's job title, each with its value or a part of it, and the meta elements that do.
+TITLE_ATTRIBUTES = (("data-automation-id", "jobPostingHeader"), ("data-testid", "job-title"))
+# Fixed value: what says "intern" in a page.
+PAGE_INTERN = r"\b(?:intern(?:ship)?|co[- ]?op|industrial placement)\b"
+TITLE_CLASSES = ("job-title", "jobTitle")
+TITLE_METAS = (("property", "og:title"), ("name", "twitter:title"), ("name", "title"))
+
 # Keys of JSON feeds that hold links, and those whose values are jobs.
 FEED_URL_KEYS = ("url", "absoluteurl", "hostedurl", "joburl", "detailurl", "externalurl", "applyurl", "applicationurl", "applicationlink", "applylink", "redirecturl", "next", "nexturl", "nextpage", "nextpageurl")
 JOB_CONTAINERS = ("jobs", "jobpostings", "postings", "positions", "openings", "requisitions", "vacancies")

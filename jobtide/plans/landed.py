@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import INTERN, PROGRAM, SUMMER_2027, YEAR
 from ..operators import postings as ops
 from ..operators import selection
-from ..sources import ingest
+from ..sources import ingest, trees
 from ..sources.fixtures import VIEWS, view
 from .scalars import CANON, SCALARS
 
@@ -95,9 +95,20 @@ def _sensor_json(spark, sf_dir):
 
 
 def _sitemap(spark, sf_dir):
-    entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(c("n") % 3 > 0, F.concat(F.lit("<lastmod>2001-07-"), F.lpad((c("n") % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
-    docs = rows_of(spark, sf_dir, "fx_links").groupBy("board").agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]), ""), F.lit("</urlset>")).alias("body"))
-    return ingest.sitemap_urls(docs.select(c("board").cast("string").alias("url"), "body")).select("url", "loc", "lastmod", "place")
+    """Sitemaps in turn, with a namespace and without, torn, or listed by an index for every ten of them."""
+    rows = rows_of(spark, sf_dir, "fx_links")
+    kind = c("board") % 3
+    dated = F.concat(F.lit("lastmod>2001-07-"), F.lpad((c("n") % 28 + 1).cast("string"), 2, "0"))
+
+    def entry(ns):
+        return F.concat(F.lit(f"<{ns}url><{ns}loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(f"</{ns}loc>"), F.when(c("n") % 3 > 0, F.concat(F.lit(f"<{ns}"), dated, F.lit(f"</{ns}lastmod>"))).otherwise(""), F.lit(f"</{ns}url>"))
+
+    parts = rows.groupBy("board").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.when(kind == 1, entry("sm:")).otherwise(entry("")).alias("e")))), lambda x: x["e"]), "").alias("items"))
+    before = F.when(kind == 1, '<sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">').otherwise('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
+    docs = parts.select(c("board").cast("string").alias("url"), F.concat(before, "items", F.when(kind == 1, "</sm:urlset>").when(kind == 0, "</urlset>").otherwise("</url>")).alias("body"))
+    lists = parts.select((c("board") / 10).cast("int").alias("tenth"), "board").groupBy("tenth").agg(F.array_join(F.transform(F.array_sort(F.collect_list("board")), lambda b: F.concat(F.lit("<sm:sitemap><sm:loc>"), b.cast("string"), F.lit("</sm:loc></sm:sitemap>"))), "").alias("items"))
+    indexes = lists.select(F.concat(F.lit("index-"), "tenth").alias("url"), F.concat(F.lit('<sm:sitemapindex xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">'), "items", F.lit("</sm:sitemapindex>")).alias("body"))
+    return trees.sitemap_pages(docs.unionByName(indexes))
 
 
 def queries() -> dict:
@@ -119,5 +130,6 @@ def oracle() -> dict[str, str]:
           (select *, match = 'unknown' and (board % 2 = 0 or n % 4 = 0) as stamp from (select *, case when not {evidence} then 'not_internship' when list_contains(years, '2027') and season = 'summer' or {hit(SUMMER_2027)} then 'exact' when len(years) > 0 and not list_contains(years, '2027') then 'wrong_year' when list_contains(years, '2027') and season <> 'summer' then 'wrong_season' when len(years) = 1 and season is null then 'year_confirmed' when board % 2 = 0 and len(years) = 0 and season = 'summer' then 'source_confirmed' else 'unknown' end as match
           from (select id, n, title, id // {ROWS} as board, 'Firm ' || n as company, {URL} as apply_url, age as posted_raw, {years} as years, case when {hit('summer')} then 'summer' when {hit('fall')} then 'fall' end as season from fx_texts where id % 9 <> 0 and id % 10 <> 0 and (id // {ROWS} % 2 = 0 or n % 4 = 0 or contains(title, '2027') and title ilike '%intern%' and not title ilike '%fall%'))))""",
         "completeness": f"with fx_snapshots as ({VIEWS['fx_snapshots']}) select source, sum(rows_scanned)::bigint as rows_scanned, max(rows_scanned) as expected, sum(rows_scanned) >= max(rows_scanned) as complete, 'ok' as status from fx_snapshots group by source",
-        "ingest_sitemap": links + f"select board::varchar as url, trim(url) as loc, mod_ as lastmod, row_number() over (partition by board order by mod_ is null, mod_ desc, id) as place from (select *, id // {ROWS} as board, case when n % 3 > 0 then '2001-07-' || lpad((n % 28 + 1)::varchar, 2, '0') end as mod_ from fx_links)",
+        "ingest_sitemap": links + f"""select 'index-' || (board // 10) as listed_by, board::varchar as url, loc, mod_ as lastmod, row_number() over (partition by board order by mod_ is null, mod_ desc, id) as place
+          from (select board, loc, mod_, id from (select *, trim(url) as loc, id // {ROWS} as board, case when n % 3 > 0 then '2001-07-' || lpad((n % 28 + 1)::varchar, 2, '0') end as mod_ from fx_links) where board % 3 < 2 qualify row_number() over (partition by board, loc order by mod_ is null, mod_ desc, id) = 1)""",
     }

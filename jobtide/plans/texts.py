@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES, INTERN, PATH_DENY, PROGRAM, YEAR
 from ..operators import postings as ops
-from ..sources import ingest, pages, publish
+from ..sources import ingest, pages, publish, trees
 from ..sources.fixtures import VIEWS, view
 from . import dialect, inventory  # noqa: F401  inventory registers the texts
 from .landed import ROWS, URL, rows_of
@@ -64,10 +64,26 @@ def _sensor(spark, sf_dir):
 
 
 def _jsonld(spark, sf_dir):
-    job = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), "title", "url", c("age").alias("datePosted"), F.struct(c("name").alias("name")).alias("hiringOrganization")))
-    wrapped = F.when(c("n") % 2 == 0, job).otherwise(F.concat(F.lit('{"@graph":['), job, F.lit("]}")))
-    html = F.concat(F.lit('<html><script type="application/ld+json">'), wrapped, F.lit("</script></html>"))
-    return pages.jsonld_postings(rows(spark, sf_dir).withColumn("html", html).select(c("url"), "html")).select("title", "apply_url", "company", "posted_raw")
+    """Pages in turn: a job alone, in @graph, in lists of lists, in a list within @graph and of two types, with sameAs, identifier and places."""
+    number = c("id").cast("int")
+    said = {"title": c("title"), "datePosted": c("age")}
+    firm = F.struct(c("name").alias("name")).alias("hiringOrganization")
+
+    def job(kind, *more):
+        return F.to_json(F.struct(kind.alias("@type"), *(v.alias(k) for k, v in said.items()), *more))
+
+    plain = job(F.lit("JobPosting"), c("url"), firm)
+    typed = job(F.array(F.lit("Thing"), F.lit("JobPosting")), c("url"), firm)
+    city = F.struct(F.struct(c("name").alias("addressLocality"), F.lit("IT").alias("addressCountry")).alias("address"))
+    away = F.struct(F.lit("Oslo").alias("addressLocality"))
+    placed = job(F.lit("JobPosting"), c("url").alias("sameAs"), F.struct(c("n").alias("value")).alias("identifier"), c("name").alias("hiringOrganization"), F.struct(city, away).alias("jobLocation"))
+    placed = F.regexp_replace(placed, r'"jobLocation":\{"col1":(.*),"col2":(.*)\}\}$', r'"jobLocation":[$1,$2]}')
+    shapes = (("", plain, ""), ('{"@graph":[{"@type":"Thing"},', plain, "]}"), ("[[", plain, "]]"), ('{"@graph":[{"@type":"ItemList","itemListElement":[{"item":', typed, "}]}]}"), ("", placed, ""))
+    script = lambda before, text, after: F.concat(F.lit(before), text, F.lit(after))
+    body = F.coalesce(*(F.when(number % 5 == k, script(*shape)) for k, shape in enumerate(shapes)))
+    html = F.concat(F.lit('<html><script type="application/ld+json">'), body, F.lit('</script><script type="application/ld+json">{torn</script></html>'))
+    found = trees.jsonld_postings(rows(spark, sf_dir).withColumn("html", html).select("url", "html"))
+    return found.select("title", "apply_url", "source_id", "company", F.array_join("locations", "|").alias("locations"), "posted_raw")
 
 
 def _detail(spark, sf_dir):
@@ -76,13 +92,21 @@ def _detail(spark, sf_dir):
 
 
 def _recover(spark, sf_dir):
-    """Leads are pages' own titles, or those of the page before, by link."""
-    all_ = view(spark, sf_dir, "pages")
-    title, _, _ = pages.detail_page(c("html"), c("url"))
-    leads = all_.select(c("page_id"), "url", title.alias("title")).filter("title is not null")
-    before = leads.select((c("page_id") + 1).alias("page_id"), c("title").alias("other"))
-    leads = leads.join(before, "page_id", "left").select("url", F.when(c("page_id") % 2 == 0, c("title")).otherwise(F.coalesce("other", "title")).alias("title"))
-    return pages.recovered_pages(all_, leads.distinct())
+    """Pages in turn: the title in h1, by a test id, in JSON, in the text alone; of a closed job; unlike its lead; and without a lead."""
+    number, shown = c("id").cast("int"), F.concat("name", F.lit(" Engineer Intern"))
+    body = (
+        F.when(number % 7 == 0, F.concat(F.lit("<h1>"), shown, F.lit("</h1>")))
+        .when(number % 7 == 1, F.concat(F.lit('<h1>Careers</h1><b data-testid="job-title">'), shown, F.lit("</b>")))
+        .when(number % 7 == 2, F.concat(F.lit('<h1>Careers</h1><script type="application/json">{"a":[{"job":{"jobId":1,"title":"'), shown, F.lit('"}}]}</script>')))
+        .when(number % 7 == 3, F.concat(F.lit("<h1>Careers</h1><p>Internship: "), "name", F.lit(" - engineer</p>")))
+        .when(number % 7 == 4, F.concat(F.lit("<h1>Careers</h1><p>Internship: "), "name", F.lit("</p>")))
+        .when(number % 7 == 5, F.concat(F.lit("<title>Jobs and internships at Acme</title><h1>"), shown, F.lit("</h1><p>Summer 2027</p>")))
+        .otherwise(F.concat(F.lit("<h1>"), shown, F.lit("</h1><p>This position is closed</p>")))
+    )
+    df = rows(spark, sf_dir).withColumn("name", bare(c("name")))
+    all_ = df.select(c("id").alias("page_id"), "url", F.concat(F.lit("<html>"), body, F.lit("</html>")).alias("html"))
+    leads = df.filter(number % 7 != 5).select("url", F.when(number % 7 == 4, "Night Porter").otherwise(F.concat("name", F.lit(" Engineer"))).alias("title"))
+    return trees.recovered_pages(all_, leads).select("page_id", "title", "lead_title", "found")
 
 
 def _workday(spark, sf_dir):
@@ -92,8 +116,23 @@ def _workday(spark, sf_dir):
 
 
 def _feed_xml(spark, sf_dir):
-    item = F.concat(F.lit("<item><title>"), "name", F.lit("</title><link>"), "url", F.lit("</link></item>"))
-    return pages.feed_items(gathered(rows(spark, sf_dir), item, "<rss>", "</rss>")).select("title", "link")
+    """Feeds in turn: RDF items with attributes, Atom with a next page, jobs with ids, a catalog that is none, and XML that is torn."""
+    df = rows(spark, sf_dir).withColumn("name", bare(c("name")))
+    kind, number = c("board") % 5, c("id").cast("int")
+    title = F.concat(F.lit("<title>"), "name", F.lit("</title>"))
+    item = (
+        F.when(kind == 0, F.concat(F.lit('<item rdf:about="'), "url", F.lit('">'), title, F.lit("<link>"), "url", F.lit("</link></item>")))
+        .when(kind == 1, F.concat(F.lit("<entry>"), title, F.lit('<link rel="alternate" href="/role/'), "id", F.lit('"/></entry>')))
+        .when(kind == 2, F.concat(F.lit('<job id="'), "id", F.lit('"><job-title>'), "name", F.lit("</job-title><apply-url>"), "url", F.lit("</apply-url></job>")))
+        .when(kind == 3, F.concat(F.lit("<item><name>"), "name", F.lit("</name><link>"), F.when(number % 4 == 0, F.concat(F.lit("https://jobs.lever.co/acme/"), "id")).otherwise(c("url")), F.lit("</link></item>")))
+        .otherwise(F.concat(F.lit("<job><url>"), "url", F.lit("</url>")))
+    )
+    turn = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), kind + 1)
+    before = turn('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/">', '<feed xmlns="http://www.w3.org/2005/Atom">', "<jobs>", "<catalog>", "<jobs>")
+    after = turn("</rdf:RDF>", '<link rel="next" href="?page=2"/></feed>', "</jobs>", "</catalog>", "</jobs>")
+    docs = df.groupBy("board").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
+    docs = docs.select(F.concat(F.lit("https://jobs.example.com/list/"), "board").alias("url"), F.concat(before, "items", after).alias("body"))
+    return trees.feed_links(docs)
 
 
 def _feed_json(spark, sf_dir):
@@ -260,9 +299,11 @@ def oracle() -> dict[str, str]:
         "ingest_registry_markdown": t + f"""select {board}::varchar as doc, 'Firm ' || firm as company, {clean('shown')} as title, {url} as apply_url, {match.replace('title', 'shown')} as target_match from (select *, {plain} as shown, last_value(case when id % 3 = 0 then id end ignore nulls) over (partition by {board} order by id) as firm from (select * from fx_texts where title ilike '%intern%'))
           where firm is not null and ({said(INTERN)} or {said(PROGRAM)})""",
         "ingest_sensor_table": t + f"select {board}::varchar as doc, 'Firm ' || firm as company, {clean(plain)} as title, 'Rome' as location, case when {board} % 3 = 1 then '' else trim(age) end as timing, {url} as apply_url from (select *, last_value(case when id % 4 = 0 then id end ignore nulls) over (partition by {board} order by id) as firm from fx_texts) where id % 5 <> 0 and firm is not null",
-        "ingest_jsonld": t + f"select title, {url} as apply_url, name as company, age as posted_raw from fx_texts",
+        "ingest_jsonld": t + f"select trim(title) as title, {url} as apply_url, case when id % 5 = 4 then n::varchar else {url} end as source_id, trim(name) as company, case when id % 5 = 4 then trim(name) || ', IT|Oslo' else '' end as locations, age as posted_raw from fx_texts",
         "ingest_workday": t + f"select 'workday:acme' || {board} as source, '/job/' || id as source_id, trim(title) as title, 'https://acme' || {board} || '.myworkdayjobs.com/job/' || id as apply_url, workday as posted_raw from fx_texts",
-        "ingest_feed_xml": t + f"select trim(name) as title, {url} as link from fx_texts",
+        "ingest_feed_xml": t + f"""select 'https://jobs.example.com/list/' || {board} as url, case {board} % 5 when 1 then 'https://jobs.example.com/role/' || id when 3 then 'https://jobs.lever.co/acme/' || id else {url} end as link, case when {board} % 5 = 2 then 'apply-url' else 'link' end as label, case when {board} % 5 < 3 then trim(regexp_replace(name, '[|<>&]', '/', 'g')) end as title, {board} % 5 < 3 as job
+          from fx_texts where {board} % 5 < 3 or {board} % 5 = 3 and id % 4 = 0 union all select distinct 'https://jobs.example.com/list/' || {board}, 'https://jobs.example.com/list/' || {board} || '?page=2', 'next', null, false from fx_texts where {board} % 5 = 1""",
+        "recover_unstructured_page": t + f"""select id::varchar as page_id, case when id % 7 = 5 then name || ' Engineer Intern' else name || ' Engineer' end as title, case when id % 7 <> 5 then name || ' Engineer' end as lead_title, case when id % 7 = 3 then 'Careers' else name || ' Engineer Intern' end as found from (select id, {PLAIN.format('name')} as name from fx_texts) where id % 7 not in (4, 6)""",
         "ingest_feed_json": t + f"select 'https://jobs.example.com/list/' || {board} as url, case when {board} % 3 = 0 then {url} when id % 2 = 0 then 'https://jobs.example.com/careers/' || id else 'https://jobs.example.com/shop/' || id end as link from fx_texts where {board} % 3 < 2 or id % 2 = 0 union all select distinct 'https://jobs.example.com/list/' || {board}, 'https://jobs.example.com/list/' || {board} || '?page=2' from fx_texts",
         "ingest_url_corpus": t + f"select {url} as url from fx_texts where n % 3 <> 0",
         "ingest_pattern_links": link + f"select provider, job_id, min(url) as link from (select {kinds} as provider, {ids} as job_id, url from (select url from fx_links union all select case when id % 2 = 0 then {SUCCESS} else {JAZZ} end from fx_links)) x where provider is not null group by 1, 2",

@@ -116,10 +116,3 @@ def completeness(pages: DataFrame) -> DataFrame:
     """(source, rows, total) of result pages to (source, rows_scanned, expected, complete, status)."""
     out = pages.groupBy("source").agg(F.sum("rows").alias("rows_scanned"), F.max("total").alias("expected"))
     return out.withColumn("complete", F.col("rows_scanned") >= F.col("expected")).withColumn("status", F.when(F.col("complete"), "ok").otherwise("truncated"))
-
-
-def sitemap_urls(docs: DataFrame) -> DataFrame:
-    """(url, body) to (url, loc, lastmod, place): dated entries first, newest first, then document order."""
-    blocks = F.regexp_extract_all("body", F.lit(r"(?is)<(?:url|sitemap)>.*?</(?:url|sitemap)>"), F.lit(0))
-    rows = docs.select("url", F.posexplode(blocks).alias("at", "block")).select("url", "at", F.trim(F.regexp_extract("block", r"(?is)<loc>(.*?)</loc>", 1)).alias("loc"), F.nullif(F.regexp_extract("block", r"(?is)<lastmod>(.*?)</lastmod>", 1), F.lit("")).alias("lastmod")).filter("loc <> ''")
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("url").orderBy(F.col("lastmod").isNull(), F.col("lastmod").desc(), "at"))).drop("at")

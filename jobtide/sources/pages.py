@@ -108,19 +108,6 @@ def sensor_tables(docs: DataFrame) -> DataFrame:
     return every.filter(F.col("company").isNotNull() & (F.col("title") != "") & F.col("apply_url").isNotNull() & ~F.col("text").contains(CLOSED_MARK)).select("doc", "line", "company", "title", "location", "timing", "apply_url")
 
 
-def jsonld_postings(pages: DataFrame) -> DataFrame:
-    """(url, html) to JobPosting objects of ld+json scripts: alone, in @graph, or in itemListElement."""
-    job = "`@type`:string,title:string,url:string,datePosted:string,description:string,employmentType:string,hiringOrganization:struct<name:string>"
-    schema = f"{job},`@graph`:array<struct<{job}>>,itemListElement:array<struct<item:struct<{job}>>>"
-    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    parsed = pages.select("url", F.explode(scripts).alias("body")).select("url", F.from_json("body", f"struct<{schema}>").alias("d"))
-    fields = ("@type", "title", "url", "datePosted", "description", "employmentType", "hiringOrganization")
-    alone = F.array(F.struct(*(F.col(f"d.`{f}`").alias(f) for f in fields)))
-    every = F.concat(alone, F.coalesce(F.col("d.`@graph`"), F.array()), F.coalesce(F.transform("d.itemListElement", lambda e: e["item"]), F.array()))
-    jobs = parsed.select(F.col("url").alias("page_url"), F.explode(every).alias("job")).filter(F.col("job.`@type`") == "JobPosting")
-    return jobs.select("page_url", F.col("job.title").alias("title"), F.coalesce("job.url", "page_url").alias("apply_url"), F.col("job.hiringOrganization.name").alias("company"), F.col("job.datePosted").alias("posted_raw"), F.col("job.employmentType").alias("employment_type"))
-
-
 def detail_page(html: Column, url: Column) -> tuple[Column, Column, Column]:
     """(title, date, id): h1, else og:title; the itemprop date, else a time's; the id in the link, else the link."""
     none = lambda x: F.nullif(x, F.lit(""))
@@ -222,14 +209,6 @@ def directory_employers(pages: DataFrame) -> DataFrame:
     return rows.groupBy("profile_url").agg(F.min("name").alias("name")).withColumn("slug", F.element_at(ux.segments(F.col("profile_url")), 2))
 
 
-def feed_items(docs: DataFrame) -> DataFrame:
-    """(url, body) of RSS, Atom or job XML to (url, title, link); records without title or link drop."""
-    records = F.regexp_extract_all("body", F.lit(r"(?is)<(?:item|entry|job)>.*?</(?:item|entry|job)>"), F.lit(0))
-    one = lambda tag: F.trim(F.regexp_extract("record", rf"(?is)<{tag}[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1))
-    link = F.coalesce(F.nullif(one("link"), F.lit("")), F.nullif(one("url"), F.lit("")), F.nullif(F.regexp_extract("record", r"""(?is)<link[^>]*href=["']([^"']+)""", 1), F.lit("")))
-    return docs.select("url", F.explode(records).alias("record")).select("url", one("title").alias("title"), link.alias("link")).filter("title <> '' and link is not null")
-
-
 def _walk(body: str, most: int = 20_000) -> list[tuple[str, str, bool]]:
     """(key, text, in a job) of the strings under link keys of a JSON text, up to `most` nodes deep and wide."""
     try:
@@ -367,19 +346,3 @@ def sanitized_snapshot(families: DataFrame, schema: int) -> DataFrame:
         return o.withField("source_mode", F.when(mode.isin(*kept), o["source_mode"]).when(sensor, "market-sensor").when(mode == "", "direct").otherwise(o["source_mode"]))
 
     return families.filter(trusted).withColumns({"verified": F.lit(True), "quality": F.lit("employer"), "openings": F.transform("openings", safe)})
-
-
-def recovered_pages(pages: DataFrame, leads: DataFrame, least: float = 0.55) -> DataFrame:
-    """(page_id, url, html) and leads (url, title) to (page_id, title, lead_title, similarity) of open pages.
-
-    A page with a lead needs a similar title, or the lead's own title in its text; one without
-    needs an internship title and 'Summer 2027' in its text.
-    """
-    title, _, _ = detail_page(F.col("html"), F.col("url"))
-    open_ = pages.withColumns({"title": title, "key": ux.canonical_url(F.col("url")), "body": F.lower(tx.clean_text(F.col("html")))}).filter(F.col("title").isNotNull() & ~rules.page_is_closed(F.col("html")))
-    one = leads.select(ux.canonical_url(F.col("url")).alias("lead_key"), F.col("title").alias("lead_title"))
-    both = open_.join(one, F.col("key") == F.col("lead_key"), "left").withColumn("similarity", tx.title_similarity(F.col("title"), F.coalesce("lead_title", F.lit(""))))
-    led = (F.col("similarity") >= least) | F.col("body").contains(F.lower("lead_title"))
-    alone = F.col("title").rlike("(?i)" + INTERN) & F.col("body").rlike(r"summer\W{0,12}2027|2027\W{0,12}summer")
-    best = F.row_number().over(W.partitionBy("page_id").orderBy(F.col("similarity").desc(), "lead_title"))
-    return both.filter(F.when(F.col("lead_title").isNotNull(), led).otherwise(alone)).withColumn("nth", best).filter("nth = 1").select("page_id", "title", "lead_title", "similarity")

@@ -32,13 +32,6 @@ def test_sensors_json_as_list_map_or_wrapped_list(spark):
     assert sorted((r.source, r.company, r.title, r.source_id) for r in got) == [("l", "Acme", "Intern", "https://a.com/1"), ("m", "Acme", "Intern", "https://a.com/3"), ("w", "B", "2027 Intern", "six")]
 
 
-def test_jsonld_walks_graph_and_lists(spark):
-    one = '{"@type":"JobPosting","title":"%s","url":"u"}'
-    html = "".join(f'<script type="application/ld+json">{b}</script>' for b in (one % "a", '{"@graph":[' + one % "b" + ',{"@type":"Thing"}]}', '{"itemListElement":[{"item":' + one % "c" + "}]}", "not json"))
-    got = pages.jsonld_postings(spark.createDataFrame([("p", html), ("q", None)], "url string, html string")).collect()
-    assert sorted(r.title for r in got) == ["a", "b", "c"]
-
-
 def test_board_payloads(spark):
     raw = spark.createDataFrame([
         ("greenhouse:a", "A", '{"jobs":[{"id":1,"title":"T","absolute_url":"u","location":{"name":"Rome"}},{"id":1,"title":"again","absolute_url":"u"},{"id":2,"title":" ","absolute_url":"u"}]}'), ("greenhouse:b", "B", "not json"), ("greenhouse:c", "C", None),
@@ -193,11 +186,3 @@ def test_a_failed_gate_keeps_the_old_version(spark, tmp_path):
     assert publish.publish(spark.range(5), root, 1, F.count("*") > 0)
     assert not publish.publish(spark.range(0), root, 2, F.count("*") > 0)
     assert publish.current(spark, root).count() == 5
-
-
-def test_pages_are_recovered_by_their_leads(spark):
-    html = "<h1>%s</h1><p>%s</p>"
-    rows = [(1, "https://a.com/1", html % ("Data Engineer", "x")), (2, "https://a.com/2", html % ("Chef", "x")), (3, "https://a.com/3", html % ("Lab Intern", "Summer 2027")), (4, "https://a.com/4", html % ("Data Engineer", "This position is closed")), (5, "https://a.com/5", html % ("Careers", "Role: Night Nurse")), (6, "https://a.com/6", None)]
-    leads = [("https://A.com/1/?utm_source=x", "Senior Data Engineer"), ("https://a.com/2", "Pilot"), ("https://a.com/4", "Data Engineer"), ("https://a.com/5", "Night Nurse")]
-    got = pages.recovered_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(leads, "url string, title string")).collect()
-    assert sorted(r.page_id for r in got) == [1, 3, 5]
