@@ -124,7 +124,7 @@ def test_pages_are_recovered_by_their_leads(spark):
     page = "<html><head><title>%s</title></head><body><h1>%s</h1><p>%s</p></body></html>"
     state = '<script type="application/json">{"job":{"title":"Platform Engineer Intern","jobId":1},"brand":{"name":"Acme Platform Engineer Hub"}}</script>'
     rows = [
-        (1, "https://a.com/1", page % ("Acme", "Data Engineer", "An internship")), (2, "https://a.com/2", page % ("Acme", "Chef", "intern")), (3, "https://a.com/3", page % ("Jobs", "Lab Intern", "in Summer of 2027")),
+        (1, "https://a.com/1", page % ("Acme", "Data Engineer", "An internship")), (2, "https://a.com/2", page % ("Acme", "Chef", "intern")), (3, "https://a.com/3", page % ("Jobs", "Lab Intern", "in Summer, 2027")),
         (4, "https://a.com/4", page % ("x", "Data Engineer", "This position is closed, intern")), (5, "https://a.com/5", page % ("x", "Careers", "Role: Night-Nurse! intern")), (6, "https://a.com/6", None),
         (7, "https://a.com/7", page % ("Acme careers", "Welcome all", "intern " + state)), (8, "https://a.com/8", page % ("x", "Lab Intern", "2026")), (9, "https://a.com/9", page % ("x", "Data Engineer", "no word of it")),
         (10, "https://a.com/10", page % ("Long title of an Intern", "Intern II", "Summer 2027")),
