@@ -1,18 +1,22 @@
 """Phrase collocations by direct-address tiles of frequency-ranked ids, doubled up level by level.
 
 Every language apart. Tasks cut the lower-cased texts into words and pieces and keep them in groups of
-about GROUP words, as ids of the group's own dictionary. A level then goes as follows:
+about GROUP words: a sequence of ids of the group's own dictionary, and that dictionary with its counts, cut
+by hash into buckets. A level then goes as follows:
 
-1. The dictionaries of all groups are summed up; what occurs LEAST times or more is frequent, and is
-   ranked by falling frequency (by ranges, so no task sees a language).
-2. Each group gets the ranks of its own entries alone, never a whole vocabulary, and recodes itself.
+1. A bucket sums up what all groups counted. What occurs LEAST times or more is frequent and is ranked by
+   falling frequency within its bucket; the ranks of all buckets, interleaved, are the ids.
+2. Each group gets the ids of its own entries alone, never a whole vocabulary, and recodes itself.
 3. Neighbours that are both frequent form pairs. A pair lies in the tile (left // TILE, right // TILE);
    tiles that are well filled are counted by numpy's bincount over all cells, the others as sorted
-   coordinates. The pairs are the group's next dictionary, and their ids its next sequence.
+   coordinates. The pairs are the group's next dictionary, and their numbers its next sequence.
 
 So a pair of words is an entry of level 2, and a pair of overlapping entries of level k is one of k + 1
 words: a phrase is counted only if both phrases within it that are one word shorter are frequent, which
-any frequent phrase fulfils. Counts are longs and scores exact decimals.
+any frequent phrase fulfils. Counts are longs and scores exact decimals. Groups hold a fixed number of
+words and buckets grow in number with the input, so a task holds about one group or one bucket (each bucket
+with at most one entry of a group for each phrase, however often the group repeats it). What travels is packed
+column by column, not a row an entry.
 
 Defined cases: null text is empty; null lang is `und`, as is a lang so named; empty texts and empty
 tables have no phrases; a language with fewer candidates gives all of them; repeated rows count each
@@ -23,6 +27,7 @@ their names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, text_of, tidy, written
+from .common import dropped, shards, table, text_of, tidy, total_bytes, written
 
-#: Words that a group holds before it is closed, and bytes of a text that are cut into words at once.
-GROUP, SLICE = 1 << 21, 1 << 20
+#: Words that a group holds before it is closed, bytes of a text that are cut into words at once, and bytes of text a bucket.
+GROUP, SLICE, BUCKET = 1 << 21, 1 << 20, 8 << 20
 #: Side of a tile, and the part of its cells that pairs must reach for it to be counted by direct address.
 TILE, FILLED = 1024, 1 / 8
 LEAST, WORDS, TOP = 30, 4, 2000
@@ -42,8 +47,45 @@ SCORE, SHARE = 2_000_000, 80
 # What ends a piece, and what parts words besides the space.
 ENDS, TAB = b".,;:!?\n\x0b\x0c\r", b"\t"
 MARKS = bytes.maketrans(ENDS + TAB, b"." * len(ENDS) + b" ")
-ENCODED = "grp bigint, lang string, ids binary, local int, word string, cnt bigint"
-PAIRED = "grp bigint, lang string, ids binary, local int, left bigint, right bigint, cnt bigint"
+#: A group's sequence (ids, with n words), or a bucket of its dictionary: entries from number `first` on, by word or by pair.
+PART = "grp bigint, lang string, bucket int, n bigint, first bigint, ids binary, cnt binary, word binary, left binary, right binary"
+#: A frequent entry of a bucket (id, a, and word or pair), or what one group has of them: its numbers and the ids they get.
+FOUND = "grp bigint, lang string, local binary, ids binary, id bigint, a bigint, word string, left bigint, right bigint"
+
+
+def packed(values: np.ndarray, steps: bool = False) -> bytes:
+    """Integers by planes of bytes, compressed; steps: as differences, for what rises."""
+    import pyarrow as pa
+
+    values = np.asarray(values, np.int64)
+    values = np.diff(values, prepend=np.int64(0)) if steps else values
+    planes = values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def unpacked(data: bytes, steps: bool = False) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+    return np.cumsum(values) if steps else values
+
+
+def all_of(column, steps: bool = False) -> np.ndarray:
+    """The integers of all rows of a packed column, in order."""
+    return np.concatenate([np.empty(0, np.int64), *(unpacked(x, steps) for x in column.to_pylist())])
+
+
+def rows(schema: str, found: list[dict]):
+    """An Arrow table of a few rows; a column that no row has is null."""
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r.get(name) for r in found], kinds[kind]) for name, kind in fields})
 
 
 class Dictionary(dict):
@@ -67,24 +109,31 @@ def slices(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def encode(group: int):
+def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of a sorted array."""
+    edges = np.flatnonzero(np.diff(buckets, prepend=-1, append=-1))
+    return zip(buckets[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def encode(group: int, n_buckets: int):
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
         from pyspark import TaskContext
 
         open_, held, nth = {}, 0, TaskContext.get().partitionId() << 24
 
         def closed() -> Iterator:
             for lang, (words, parts) in open_.items():
-                ids = np.concatenate(parts)
-                names = [w for w, i in words.items() if i >= 0]
-                if not names:
+                ids, names = np.concatenate(parts), np.array([w for w, i in words.items() if i >= 0], object)
+                if not len(names):
                     continue
-                counts = np.bincount(ids[ids >= 0], minlength=len(names))
-                none = lambda kind: pa.nulls(len(names), kind)
-                one = lambda v, kind: pa.array([v], kind)
-                yield pa.RecordBatch.from_arrays([one(nth, pa.int64()), one(lang, pa.string()), one(ids.tobytes(), pa.binary()), one(None, pa.int32()), one(None, pa.string()), one(None, pa.int64())], names=["grp", "lang", "ids", "local", "word", "cnt"])
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(nth, pa.int64()), len(names)), pa.repeat(pa.scalar(lang), len(names)), none(pa.binary()), pa.array(np.arange(len(names), dtype=np.int32)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))], names=["grp", "lang", "ids", "local", "word", "cnt"])
+                buckets = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % n_buckets
+                order = np.argsort(buckets, kind="stable")
+                place = np.full(len(names) + 1, -1, np.int64)  # the mark, -1, takes the last
+                place[order] = np.arange(len(names))
+                ids, names, counts = place[ids], names[order], np.bincount(ids[ids >= 0], minlength=len(names))[order]
+                found = [{"bucket": -1, "n": int(counts.sum()), "ids": packed(ids)}]
+                found += [{"bucket": b, "n": to - at, "first": at, "cnt": packed(counts[at:to]), "word": text_packed(names[at:to])} for b, at, to in by_bucket(buckets[order])]
+                yield from rows(PART, [x | {"grp": nth, "lang": lang} for x in found]).to_batches()
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -102,6 +151,58 @@ def encode(group: int):
     return tidy(run)
 
 
+def text_packed(words: np.ndarray) -> bytes:
+    """Words, none of which holds a space, compressed."""
+    import pyarrow as pa
+
+    text = b" ".join(words)
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def text_unpacked(data: bytes) -> list[bytes]:
+    import pyarrow as pa
+
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b" ")
+
+
+def merge(least: int, n_buckets: int):
+    """One bucket of a language, of all groups: the frequent entries, and the ids that each group's entries get."""
+
+    def run(key, parts):
+        import pyarrow as pa
+
+        lang, bucket = (k.as_py() for k in key)
+        parts = parts.sort_by("grp")
+        counts, sizes = all_of(parts["cnt"]), parts["n"].to_numpy()
+        if parts["word"].null_count == 0:
+            words = pa.array([w for x in parts["word"].to_pylist() for w in text_unpacked(x)], pa.binary()).dictionary_encode()
+            entry, said = words.indices.to_numpy().astype(np.int64), words.dictionary
+            pairs = None
+        else:
+            sides = [np.unique(all_of(parts[side], side == "left"), return_inverse=True) for side in ("left", "right")]
+            codes, entry = np.unique(sides[0][1] * len(sides[1][0]) + sides[1][1], return_inverse=True)
+            pairs = [sides[0][0][codes // len(sides[1][0])], sides[1][0][codes % len(sides[1][0])]]
+        total = np.zeros(int(entry.max()) + 1, np.int64)
+        np.add.at(total, entry, counts)
+        kept = np.flatnonzero(total >= least)
+        kept = kept[np.argsort(-total[kept], kind="stable")]
+        ids = np.full(len(total), -1, np.int64)
+        ids[kept] = np.arange(len(kept)) * n_buckets + bucket
+        own, found, at = ids[entry], [], 0
+        for grp, first, n in zip(parts["grp"].to_pylist(), parts["first"].to_pylist(), sizes.tolist(), strict=True):
+            there = np.flatnonzero(own[at : at + n] >= 0)
+            if len(there):
+                found.append({"grp": grp, "lang": lang, "local": packed(first + there, True), "ids": packed(own[at : at + n][there])})
+            at += n
+        groups, n = rows(FOUND, found), len(kept)
+        fields = {"lang": pa.repeat(pa.scalar(lang), n), "id": pa.array(ids[kept]), "a": pa.array(total[kept])}
+        fields |= {"word": said.take(pa.array(kept)).cast(pa.string())} if pairs is None else {"left": pa.array(pairs[0][kept]), "right": pa.array(pairs[1][kept])}
+        entries = pa.table([fields.get(f.name, pa.nulls(n, f.type)) for f in groups.schema], schema=groups.schema)
+        return pa.concat_tables([groups, entries])
+
+    return run
+
+
 def tiled(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, count) of the distinct pairs, and for each given pair the number of its own."""
     span = int(right.max()) // TILE + 1
@@ -127,86 +228,73 @@ def tiled(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([*lefts, codes // width]), np.concatenate([*rights, codes % width]), np.concatenate([*counts, cells]), own
 
 
-def paired(sequence, ranks):
-    """A group's sequence and the ranks of its frequent entries: its next sequence and dictionary."""
-    import pyarrow as pa
-
-    kinds = (pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    names = ["grp", "lang", "ids", "local", "left", "right", "cnt"]
-    none = pa.table([pa.nulls(0, k) for k in kinds], names=names)
-    if not sequence.num_rows or not ranks.num_rows:
-        return none
-    ids, local = np.frombuffer(sequence["ids"][0].as_py(), np.int32), ranks["local"].to_numpy()
-    of = np.full(max(int(ids.max()), int(local.max())) + 2, -1, np.int64)
-    of[local] = ranks["rank"].to_numpy()
-    seq = of[ids]  # -1, the mark, takes the last
-    both = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
-    if not len(both):
-        return none
-    left, right, counts, own = tiled(seq[both], seq[both + 1])
-    next_ = np.full(len(seq), -1, np.int32)
-    next_[both] = own
-    # Of each run of marks the first stays.
-    there = next_ >= 0
-    next_ = next_[there | np.concatenate([[False], there[:-1]])]
-    n, grp, lang = len(counts), sequence["grp"][0], sequence["lang"][0]
-    head = [pa.array([v], k) for v, k in zip((grp.as_py(), lang.as_py(), next_.tobytes(), None, None, None, None), kinds, strict=True)]
-    body = [pa.repeat(grp, n), pa.repeat(lang, n), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in (left, right, counts))]
-    return pa.concat_tables([pa.table(head, names=names), pa.table(body, names=names)])
-
-
-def frequent(entries: DataFrame, key: list[str], least: int) -> DataFrame:
-    """The entries of all groups that are frequent over all of them: with a, their sum, and lead, set on one of each."""
-    same = W.partitionBy("lang", *key)
-    entries = entries.withColumn("a", F.sum("cnt").over(same)).filter(F.col("a") >= least)
-    return written(entries.withColumn("lead", F.row_number().over(same.orderBy("grp")) == 1).drop("cnt"), "frequent")
-
-
-def ranked(found: DataFrame, key: list[str]) -> DataFrame:
-    """(lang, *key, a, rank): ranks 0, 1, ... of a language by falling a; only one row a range and language is summed up."""
-    spark = found.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["lang", F.desc("a"), *key]
-    rows = found.filter("lead").select("lang", *key, "a").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = written(rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "ranked")
-    parts = rows.groupBy("lang", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shift = parts.select("lang", "part", (before - F.col("first")).alias("shift"))
-    return rows.join(F.broadcast(shift), ["lang", "part"]).select("lang", *key, "a", (F.col("at") + F.col("shift")).alias("rank"))
+def paired(n_buckets: int):
+    """A group's sequence and the ids of its frequent entries: its next sequence and dictionary."""
+
+    def run(sequence, found):
+        if not sequence.num_rows or not found.num_rows:
+            return rows(PART, [])
+        ids, local = unpacked(sequence["ids"][0].as_py()), all_of(found["local"], True)
+        known, rank = np.unique(all_of(found["ids"]), return_inverse=True)  # by frequency, and without the gaps of other groups' entries
+        of = np.full(max(int(ids.max()), int(local.max())) + 2, -1, np.int64)
+        of[local] = rank
+        seq = of[ids]  # -1, the mark, takes the last
+        both = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+        if not len(both):
+            return rows(PART, [])
+        left, right, counts, own = tiled(seq[both], seq[both + 1])
+        left, right = known[left], known[right]
+        mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        buckets = ((mixed >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((right, left, buckets))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        next_ = np.full(len(seq), -1, np.int64)
+        next_[both] = place[own]
+        # Of each run of marks the first stays.
+        there = next_ >= 0
+        next_ = next_[there | np.concatenate([[False], there[:-1]])]
+        left, right, counts = left[order], right[order], counts[order]
+        out = [{"bucket": -1, "n": int(counts.sum()), "ids": packed(next_)}]
+        out += [{"bucket": b, "n": to - at, "first": at, "cnt": packed(counts[at:to]), "left": packed(left[at:to], True), "right": packed(right[at:to])} for b, at, to in by_bucket(buckets[order])]
+        return rows(PART, [x | {"grp": sequence["grp"][0].as_py(), "lang": sequence["lang"][0].as_py()} for x in out])
+
+    return run
 
 
 def phrased(entries: DataFrame, shorter: DataFrame) -> DataFrame:
-    """Entries (lang, left, right, a, rank) with their phrase and the counts of what it begins and ends with."""
-    side = lambda name: shorter.select("lang", F.col("rank").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("phrase", "last", "heads", "tails")))
+    """Entries (lang, id, a, left, right) with their phrase and the counts of what it begins and ends with."""
+    side = lambda name: shorter.select("lang", F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("phrase", "last", "heads", "tails")))
     both = entries.join(side("left"), ["lang", "left"]).join(side("right"), ["lang", "right"])
-    return both.select("lang", "rank", "left", "right", "a", F.concat_ws(" ", "left_phrase", "right_last").alias("phrase"), F.col("right_last").alias("last"), F.concat("left_heads", F.array("a")).alias("heads"), F.concat("right_tails", F.array("a")).alias("tails"))
+    return both.select("lang", "id", "left", "right", "a", F.concat_ws(" ", "left_phrase", "right_last").alias("phrase"), F.col("right_last").alias("last"), F.concat("left_heads", F.array("a")).alias("heads"), F.concat("right_tails", F.array("a")).alias("tails"))
 
 
-def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", group: int = GROUP) -> list[DataFrame]:
-    """For each length from 1 to `words`: (lang, rank, phrase, a, heads, tails) of the phrases that occur `least` times.
+def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, lang_col: str = "lang", text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, list[DataFrame]]:
+    """(lang, n), the words of each language, and for each length (lang, id, phrase, a, heads, tails) of the phrases that occur `least` times.
 
-    heads[k] and tails[k] count the phrase's first and last k + 1 words. Length 1 also has every word that is
-    not frequent, with a null rank, as `n` needs them.
+    heads[k] and tails[k] count the phrase's first and last k + 1 words; left and right are the ids of
+    the phrases without its last and its first word.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    now, key, levels = written(texts.mapInArrow(encode(group), ENCODED), "phrases", compression="zstd"), ["word"], []
+    n_buckets = shards(total_bytes(texts), BUCKET)
+    now, levels, totals = written(texts.mapInArrow(encode(group, n_buckets), PART), "phrases"), [], None
     for k in range(1, words + 1):
-        entries = now.filter(F.col("ids").isNull())
-        if k == 1:
-            levels.append(entries)
-        found = frequent(entries.select("grp", "lang", "local", *key, "cnt"), key, least)
-        places = ranked(found, key)
+        if totals is None:
+            totals = written(now.filter("bucket < 0").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        parts = now.filter("bucket >= 0").drop("ids")
+        found = written(parts.groupBy("lang", "bucket").applyInArrow(merge(least, n_buckets), FOUND), "found")
+        entries = found.filter("id is not null")
         if k == 1:
-            full = places.select("lang", "rank", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
+            full = entries.select("lang", "id", "a", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
         else:
-            full = phrased(places, levels[-1])
+            full = phrased(entries.select("lang", "id", "a", "left", "right"), levels[-1])
         levels.append(written(full, "level"))
         if k < words:
-            ranks = found.join(places.drop("a"), ["lang", *key]).select("grp", "lang", "local", "rank")
-            sequences = now.filter(F.col("ids").isNotNull()).select("grp", "lang", "ids")
-            nexts = sequences.groupBy("grp", "lang").cogroup(ranks.groupBy("grp", "lang")).applyInArrow(paired, PAIRED)
-            now, key = written(nexts, "phrases", compression="zstd"), ["left", "right"]
-    return levels
+            sequences, ids = now.filter("bucket < 0").select("grp", "lang", "ids"), found.filter("id is null").select("grp", "lang", "local", "ids")
+            nexts = sequences.groupBy("grp", "lang").cogroup(ids.groupBy("grp", "lang")).applyInArrow(paired(n_buckets), PART)
+            before, now = now, written(nexts, "phrases")
+            dropped(before)
+    return totals, levels
 
 
 def scored(level: DataFrame, words: int) -> DataFrame:
@@ -229,14 +317,13 @@ def standing(level: DataFrame, longer: DataFrame | None) -> DataFrame:
     if longer is None:
         return level
     exact = lambda c: F.col(c).cast("decimal(20,0)")
-    held = longer.select("lang", "a", F.explode(F.array("left", "right")).alias("rank")).groupBy("lang", "rank").agg(F.max("a").alias("most"))
-    return level.join(held, ["lang", "rank"], "left").filter(F.col("most").isNull() | (exact("most") * 100 < exact("a") * SHARE)).drop("most")
+    held = longer.select("lang", "a", F.explode(F.array("left", "right")).alias("id")).groupBy("lang", "id").agg(F.max("a").alias("most"))
+    return level.join(held, ["lang", "id"], "left").filter(F.col("most").isNull() | (exact("most") * 100 < exact("a") * SHARE)).drop("most")
 
 
 def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: int = TOP, lang_col: str = "lang", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases."""
-    every, *levels = phrases(docs, words, least, lang_col, text_col, group)
-    totals = every.groupBy("lang").agg(F.sum("cnt").alias("n"))
+    totals, levels = phrases(docs, words, least, lang_col, text_col, group)
     cols = ("lang", "phrase", "a", "l", "r", "score")
     best = None
     for k in range(2, words + 1):

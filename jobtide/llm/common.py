@@ -61,6 +61,15 @@ def written(df: DataFrame, purpose: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete a table that `written` gave, once nothing reads it any more."""
+    spark = table.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def total_bytes(df: DataFrame, col: str = "text") -> int:
     """One pass over one column; a single number comes back."""
     return df.agg(F.sum(F.octet_length(F.col(col)).cast("long"))).first()[0] or 0
