@@ -181,8 +181,17 @@ def test_recovered_postings_meet_leads_by_link_or_shared_words(spark):
     assert [(r.key, r.lead, r.same_url) for r in pages.recovered_matches(recovered, leads).collect()] == [("r1", "l1", True)]
 
 
-def test_a_failed_gate_keeps_the_old_version(spark, tmp_path):
-    root = f"file:{tmp_path}/t"
-    assert publish.publish(spark.range(5), root, 1, F.count("*") > 0)
-    assert not publish.publish(spark.range(0), root, 2, F.count("*") > 0)
+def test_versions(spark, tmp_path):
+    root, there = f"file:{tmp_path}/t", F.count("*") > 0
+    assert publish.publish(spark.range(5), root, there)
+    assert not publish.publish(spark.range(0), root, there) and not publish.publish(spark.range(9).filter("id < 0"), root, F.max("id") > 0)
     assert publish.current(spark, root).count() == 5
+    base = publish.newest(spark, root)
+    assert publish.publish(spark.range(6), root, there, base=base)
+    # Another writer that began from the same version loses, and leaves nothing.
+    assert not publish.publish(spark.range(7), root, there, base=base)
+    assert publish.current(spark, root).count() == 6
+    for n in (7, 8, 9):
+        assert publish.publish(spark.range(n), root, there)
+    assert publish.current(spark, root).count() == 9
+    assert len(list((tmp_path / "t/manifests").glob("0*"))) == 3 and len(list((tmp_path / "t/data").glob("*"))) == 3
