@@ -3,9 +3,9 @@
 Each of TABLES tables hashes a vector by Gaussian projections with cells so wide that every
 projection has two of them, which meet at the sample's centre; a bucket is the row of its cells.
 A query visits those buckets of a table whose perturbed projections have the smallest expected sum
-of squared distances to the cells' edge, which is the order of estimated success. The share of the
-buckets that it visits falls with the square root of the number of vectors, and the number of
-projections grows so that this takes some hundred probes a table (`sizes`). Candidates of all tables are merged and reranked
+of squared distances to the cells' edge, which is the order of estimated success. How many it visits is
+measured, not set: for TRIALS vectors of the sample the true neighbours are searched among all vectors, and the
+fewest probes count that would have shown a share of RECALL of them. Candidates of all tables are merged and reranked
 by exact Euclidean distance in double precision. The centre comes from a sample of at most SAMPLE
 vectors (those with the smallest hashes of their ids); every vector is indexed.
 
@@ -38,15 +38,13 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 TABLES, SAMPLE, CHUNK, SHARD = 24, 2000, 4096, 8192
-#: The share of a table's buckets that a query among 500 vectors visits, and the least probes a table.
-SHARE, PROBES = 0.045, 350
+#: Vectors of the sample whose true neighbours are searched, the share of these that the probes must show, and the most probes a table.
+TRIALS, RECALL, PROBES = 128, 0.95, 8192
 
 
-def sizes(n: int) -> tuple[int, int]:
-    """(projections, probes) a table for n vectors."""
-    share = SHARE * min(1.0, (500 / max(n, 1)) ** 0.5)
-    bits = int(np.ceil(np.log2(PROBES / share)))
-    return bits, round(share * 2**bits)
+def bits_for(n: int) -> int:
+    """Projections a table: buckets grow with the root of the number of vectors, from 2^13 for 500 on."""
+    return int(np.ceil(13 + 0.5 * np.log2(max(n, 500) / 500)))
 
 
 def likeliest(costs: np.ndarray, n: int) -> np.ndarray:
@@ -69,12 +67,25 @@ def likeliest(costs: np.ndarray, n: int) -> np.ndarray:
 class Hashes:
     """The tables' projections, from a bounded sample, and the order of perturbations."""
 
-    def __init__(self, sample: np.ndarray, bits: int, probes: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, bits: int, probes: int = PROBES, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.centre, self.bits = sample.mean(axis=0), bits
         self.a = rng.standard_normal((sample.shape[1], TABLES * bits))
         # The expected squares of the 1st, 2nd, ... smallest of so many normal distances.
-        self.flips = likeliest((np.sort(np.abs(rng.standard_normal((4000, bits))), axis=1) ** 2).mean(axis=0), probes)
+        self.flips = likeliest((np.sort(np.abs(rng.standard_normal((4000, bits))), axis=1) ** 2).mean(axis=0), min(probes, 2**bits))
+
+    def fitted(self, q: np.ndarray, x: np.ndarray, recall: float = RECALL) -> Hashes:
+        """Keeps the fewest probes that show the share `recall` of the pairs q[i], x[i]; all if none suffice."""
+        if len(q):
+            at = self.places(q)
+            apart = (at >= 0) != (self.places(x) >= 0)
+            # The perturbation that leads from q to x, in the order of the edges' distances.
+            ordered = np.take_along_axis(apart, np.argsort(np.abs(at), axis=2, kind="stable"), axis=2)
+            place = {int(m): i for i, m in enumerate((self.flips << np.arange(self.bits)).sum(axis=1))}
+            masks = (ordered << np.arange(self.bits)).sum(axis=2)
+            first = np.sort([min(place.get(int(m), PROBES) for m in row) for row in masks])
+            self.flips = self.flips[: int(first[int(np.ceil(recall * len(first))) - 1]) + 1]
+        return self
 
     def places(self, x: np.ndarray) -> np.ndarray:
         """(n, TABLES, bits) distances from the cells' edge."""
@@ -160,6 +171,27 @@ def _searched(k: int):
     return run
 
 
+def true_pairs(classes: DataFrame, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(q[i], one of its k nearest other vectors), for all of them: each task keeps k a query, and no more reach the driver."""
+    asks = classes.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for b in batches:
+            if len(b):
+                x = _stack(b.vec)
+                row, col, d = nearest(x, np.arange(len(x)), asks.value, k + 1)
+                found = pd.DataFrame({"of": row, "score": d, "vec": list(x[col])})
+                best = pd.concat([*([] if best is None else [best]), found[found.score > 0]]).sort_values(["of", "score"], kind="stable").groupby("of", sort=False).head(k)
+        if best is not None:
+            yield best.astype({"of": "int32", "score": "float64"})
+
+    found = classes.select("vec").mapInPandas(run, "of int, score double, vec array<double>")
+    nth = F.row_number().over(W.partitionBy("of").orderBy("score", "vec"))
+    pairs = found.withColumn("nth", nth).filter(F.col("nth") <= k).collect()
+    return q[[r.of for r in pairs]], np.array([r.vec for r in pairs]).reshape(-1, q.shape[1])
+
+
 def candidates(classes: DataFrame, ask: DataFrame, hashes, tasks: int) -> DataFrame:
     """(q, rep), with repeats, of the vectors that the tables show to each query."""
 
@@ -170,8 +202,9 @@ def candidates(classes: DataFrame, ask: DataFrame, hashes, tasks: int) -> DataFr
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                b = batch[at : at + 64]
+            step = max(1, (1 << 16) // hashes.value.flips.shape[0])
+            for at in range(0, len(batch), step):
+                b = batch[at : at + step]
                 yield pd.DataFrame({"q": b.q, "buckets": list(hashes.value.probes(_stack(b.vec)).reshape(len(b), -1))})
 
     indexed = classes.select("rep", "vec").mapInPandas(index, "rep long, buckets array<long>").select("rep", F.posexplode("buckets").alias("tab", "bucket"))
@@ -195,7 +228,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     classes = written(ok.groupBy("vec").agg(F.min("vec_id").alias("rep")), "ann")
     ask = written(ask.dropDuplicates(["vec_id", "vec"]).select(F.monotonically_increasing_id().alias("q"), F.col("vec_id").alias("query_id"), "vec"), "ann")
     n, asked = classes.count(), ask.count()
-    hashes = spark.sparkContext.broadcast(Hashes(few, *sizes(n)))
+    hashes = spark.sparkContext.broadcast(Hashes(few, bits_for(n)).fitted(*true_pairs(classes, few[:TRIALS], k)))
     shards = max(12, -(-n // SHARD))
     shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard")
     pairs = candidates(classes, ask, hashes, max(12, asked // 2048)).groupBy("q", shard).agg(F.collect_set("rep").alias("reps"))
