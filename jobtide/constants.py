@@ -135,3 +135,9 @@ LEVEL = r"\b(?:i{1,3}|iv|v|1|2|3|4|5)\b$"
 STATES = "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|IA|ID|IL|IN|KS|KY|LA|MA|MD|ME|MI|MN|MO|MS|MT|NC|ND|NE|NH|NJ|NM|NV|NY|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VA|VT|WA|WI|WV|WY"
 EMPTY_PLACES = ("", "—", "-", "–", "not stated", "location not stated", "n/a")
 ALL_OVER = ("(multiple us)", "multiple u.s. locations", "multiple us locations")
+# How alerts name a source's kind, and the kinds whose second part is named too.
+SOURCE_LABELS = {
+    "ashby": "Ashby", "direct": "Employer site", "domain": "Employer site", "external-index": "External index", "greenhouse": "Greenhouse", "lever": "Lever", "registry": "Registry", "rippling": "Rippling", "smartrecruiters": "SmartRecruiters",
+    "teamtailor": "Teamtailor", "verification": "Employer page verified", "verification-lead": "Verification lead", "workday": "Workday",
+}
+SOURCE_DETAILS = ("external-index", "registry", "verification-lead")

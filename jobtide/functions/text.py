@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import ALL_OVER, CATEGORIES, CLEANING, COMPANY_ALIASES, EDGES, EMPLOYER_DATE_MODES, EMPTY_PLACES, FAILURES, LEGAL_SUFFIX, LEVEL, STATES, TITLE_NOISE, TITLE_STOPWORDS
+from ..constants import ALL_OVER, CATEGORIES, CLEANING, COMPANY_ALIASES, EDGES, EMPLOYER_DATE_MODES, EMPTY_PLACES, FAILURES, LEGAL_SUFFIX, LEVEL, SOURCE_DETAILS, SOURCE_LABELS, STATES, TITLE_NOISE, TITLE_STOPWORDS
 
 
 def chain(col: Column, *steps: tuple[str, str]) -> Column:
@@ -114,8 +114,29 @@ def employer_key(col: Column) -> Column:
     return hashed(24, F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " ")))
 
 
+def shortened(col: Column, n: int) -> Column:
+    """Single spaces; a longer text is cut to n characters that end in an ellipsis."""
+    text = F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " "))
+    return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n - 1)), F.lit("…"))).otherwise(text)
+
+
+def source_label(col: Column) -> Column:
+    """How an alert names a source: its kind's name, with its second part for lists and leads; an unknown kind as it is."""
+    raw = F.coalesce(F.nullif(shortened(col, 180), F.lit("")), F.lit("unknown"))
+    parts = F.transform(F.split(raw, ":"), lambda p: F.trim(p))
+    kind = F.lower(F.element_at(parts, 1))
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in SOURCE_LABELS.items() for x in pair)), kind)
+    bare = F.trim(F.translate(F.try_element_at(parts, F.lit(2)), "_-", "  "))
+    # A letter after anything that is no letter is a capital.
+    title = F.array_join(F.transform(F.split(F.lower(bare), r"(?<=\P{L})"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 180))), "")
+    detail = F.when(bare.rlike(r"^\p{L}{1,5}$"), F.upper(bare)).otherwise(title)
+    full = F.when(kind.isin(*SOURCE_DETAILS) & (bare != ""), shortened(F.concat(named, F.lit(" · "), detail), 180)).otherwise(named)
+    return F.when(named.isNull(), raw).otherwise(full)
+
+
 def stable_shard(col: Column, n: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.sha2(col, 256), 1, 15), 16, 10).cast("long"), F.lit(n)).cast("int")
+    """The first eight bytes of the name's SHA-256, as an unsigned number, modulo n."""
+    return F.pmod(F.conv(F.substring(F.sha2(col, 256), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(n)).cast("int")
 
 
 def reason_bucket(col: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import BAD_STATUSES, EMPLOYER_DATE_MODES, TARGETS, TECH
@@ -92,9 +93,10 @@ def funnel(families: DataFrame, postings: DataFrame, snapshots: DataFrame, catal
 def failure_counts(rows: DataFrame, reason: Column, n: int = 25) -> DataFrame:
     """(reason, n, examples): the buckets with most rows, up to three different texts of each."""
     said = rows.select(F.substring(F.coalesce(reason, F.lit("unknown")), 1, 240).alias("said")).withColumn("reason", tx.reason_bucket(c("said")))
-    # Distinct texts are counted first, so a bucket keeps one entry a text.
-    texts = said.groupBy("reason", "said").count()
-    few = texts.groupBy("reason").agg(F.sum("count").alias("n"), F.slice(F.array_sort(F.collect_set("said")), 1, 3).alias("examples"))
+    # Of each bucket three texts are kept before anything is gathered; the counts are made apart.
+    third = F.row_number().over(W.partitionBy("reason").orderBy("said"))
+    few = said.distinct().withColumn("nth", third).filter("nth <= 3").groupBy("reason").agg(F.array_sort(F.collect_list("said")).alias("examples"))
+    few = said.groupBy("reason").agg(F.count("*").alias("n")).join(few, "reason")
     return few.orderBy(c("n").desc(), "reason").limit(n)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import INDEX_MODES, NON_APPLICATION_HOSTS, TARGETS
 from ..functions import urls as ux
-from .ranks import numbered
+from .ranks import numbered, numbered_within
 
 c = F.col
 FAST_BOARDS = ("boards.greenhouse.io", "jobs.lever.co", "jobs.ashbyhq.com")
@@ -42,8 +42,8 @@ def label_changes(corpus: DataFrame, postings: DataFrame) -> DataFrame:
 
 def batches(leads: DataFrame, size: int) -> DataFrame:
     """Adds `batch`: leads of one company and host in runs of `size`, the newest first."""
-    order = W.partitionBy("company", "host").orderBy(c("posted_at").desc_nulls_last(), "posting_key")
-    return leads.withColumn("host", ux.host(c("url"))).withColumn("batch", F.floor((F.row_number().over(order) - 1) / size) + 1)
+    placed = numbered_within(leads.withColumn("host", ux.host(c("url"))), ["company", "host"], c("posted_at").desc_nulls_last(), c("posting_key"))
+    return placed.withColumn("batch", F.floor((c("place") - 1) / size) + 1).drop("place")
 
 
 def retryable(leads: DataFrame, as_of: Column, hours: int, minutes: int, n: int) -> DataFrame:

@@ -33,14 +33,13 @@ def apply(key: str, spark: SparkSession, as_of: str = AS_OF, **frames: DataFrame
     return spark.sql(spark_text(TEXTS[key], as_of), **frames)
 
 
-#: Names that are computed once a session and read back, as an ingest job stores them.
+#: Names that are computed once for each state of their tables and read back, as an ingest job stores them.
 STORED: set[str] = set()
 _PATHS: dict[tuple, str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    build, takes = BUILT[name]
-    made = build(*(frame(spark, sf_dir, n) for n in takes))
+    made = built(spark, sf_dir, name)
     # The files and their versions, as Spark lists them, so changed tables are computed anew.
     key = (spark.sparkContext.applicationId, name, stamp(spark, made))
     if key not in _PATHS:
@@ -51,25 +50,31 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stamp(spark: SparkSession, df: DataFrame) -> tuple:
-    """Path, length and time of change of each file that `df` reads."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    """Path, length and time of change of each file that `df` reads; one listing a folder."""
+    hadoop, files = spark.sparkContext._jsc.hadoopConfiguration(), set(df.inputFiles())
     found = []
-    for name in sorted(df.inputFiles()):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(hadoop).getFileStatus(path)
-        found.append((name, status.getLen(), status.getModificationTime()))
-    return tuple(found)
+    for folder in sorted({name.rsplit("/", 1)[0] for name in files}):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        for status in path.getFileSystem(hadoop).listStatus(path):
+            name = status.getPath().getName()
+            if f"{folder}/{name}" in files:
+                found.append((f"{folder}/{name}", status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found)) if len(found) == len(files) else (*sorted(files), *found)
+
+
+def built(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in BUILT:
+        build, takes = BUILT[name]
+        return build(*(frame(spark, sf_dir, n) for n in takes))
+    return apply(name, spark, **{n: frame(spark, sf_dir, n) for n in needs(TEXTS[name])})
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A name over the tables of a folder."""
     if name in STORED:
         return stored(spark, sf_dir, name)
-    if name in BUILT:
-        build, takes = BUILT[name]
-        return build(*(frame(spark, sf_dir, n) for n in takes))
-    if name in TEXTS:
-        return apply(name, spark, **{n: frame(spark, sf_dir, n) for n in needs(TEXTS[name])})
+    if name in BUILT or name in TEXTS:
+        return built(spark, sf_dir, name)
     return fixtures.view(spark, sf_dir, name)
 
 

@@ -91,7 +91,7 @@ SQL = {
     "crawl_summary": f"select 'summary' as part, 'selected' as value, count(*) as n from {{runs}} union all select 'summary', 'refreshed', count(distinct source) from {{runs}} where {FINE} union all select 'status', coalesce(status, 'ok'), count(*) from {{runs}} group by 2 union all select 'failure', source || ' ' || error[1:300], count(*) from (select * from {{runs}} where error is not null order by finished_at, source limit 100) group by 2",
     "sensor_health": f"""select *, case when total > 0 then round(100.0 * fresh / total, 1) else 0.0 end as fresh_percent, unhealthy = 0 and fresh > 0 as healthy, fresh > 0 and fresh >= greatest(1, total // 2) and families > 0 as ok from (select count(*) as total, count(*) filter (status = 'ok') as fresh, count(*) filter (status <> 'ok') as unhealthy, max(finished_at) as latest_activity_at, min(finished_at) filter (status = 'ok') as coverage_watermark from {plans.NEWEST_RUN}),
       (select count(*) as families, max(coalesce({DATED}, first_detected_at)) as freshest_market_event_at from {{fuse_families}})""",
-    "shard_health": f"select (('0x' || substr(sha256(source), 1, 15))::bigint % {SHARDS})::int as shard, count(*) as selected, count(distinct source) filter ({FINE}) as refreshed, sum(rows_scanned)::bigint as rows_scanned from {{runs}} group by 1",
+    "shard_health": f"select (('0x' || substr(sha256(source), 1, 16))::ubigint % {SHARDS})::int as shard, count(*) as selected, count(distinct source) filter ({FINE}) as refreshed, sum(rows_scanned)::bigint as rows_scanned from {{runs}} group by 1",
     "source_probe_audit": f"select source, count(*) as n, count(*) filter (target_match in ({GOOD})) as target_rows, count(posted_at) filter (source_mode in ('direct', 'verification')) as trusted_dates, max(posted_at) filter (source_mode in ('direct', 'verification')) as newest, 0 as total from {{postings}} group by source union all select null, count(*), count(*) filter (target_match in ({GOOD})), count(posted_at) filter (source_mode in ('direct', 'verification')), max(posted_at) filter (source_mode in ('direct', 'verification')), 1 from {{postings}}",
     "feed_lag": "select projected_at is not null as ready, projected_at is null or coalesce(p > posting_at, p is not null) or coalesce(r > removal_at, r is not null) as lagging, projected_at, p as latest_posting_at, posting_at as projected_posting_at, r as latest_removal_at, removal_at as projected_removal_at from (select max(first_seen_at) as p from {postings} where active and target_match <> 'not_internship'), (select max(finished_at) as r from {runs} where removed_rows > 0), {projection}",
 }

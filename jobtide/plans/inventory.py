@@ -49,6 +49,7 @@ TEXTS["build_families"] = f"""select family_key, s.company as company, s.title a
  (select family_key, min_by(struct(company, title, category), struct({RANK}, first_posted_at is null, length(title), title, posting_key)) as s, min_by(struct(season, year, target_match), struct(-{MATCH}, {RANK}, posting_key)) as a, count(*) as opening_count, array_distinct(flatten(collect_set(split(locations, '[|]')))) as places, collect_list(concat(locations, ' ', apply_url, ' ', identity)) as openings,
    min(first_posted_at) as first_posted_at, max(latest_posted_at) as latest_posted_at, min(first_detected_at) as first_detected_at, max(last_verified_at) as last_verified_at, count_if(source_mode in ('direct', 'verification')) as direct_openings, count_if(source_mode not in ('direct', 'verification')) as backstop_openings from {{fold_applications}} group by family_key) g"""
 TEXTS["families"] = "select * from {build_families}"
+STORED.add("families")  # the feed's read model, as publishing leaves it
 
 VISIBLE = "case when latest_posted_at is null then date_trunc('hour', first_detected_at) when posted_precision = 'timestamp' then latest_posted_at else date_trunc('day', latest_posted_at) end"
 VERIFIED = "case when direct_openings > 0 then 0 else 1 end"
@@ -59,26 +60,19 @@ PUBLIC = f"year = 2027 and category in ({TECHS}) and direct_openings > 0"
 # Feed: filters, orders and pages over families.
 TEXTS |= {
     "best_opening_lateral": "select family_key, identity, apply_url, source_mode from (select *, row_number() over (partition by family_key order by case when source_mode in ('direct', 'verification') then 0 else 1 end, latest_posted_at desc nulls last, identity) as nth from {fold_applications}) a where nth = 1",
-    "promote_verified_openings": "select identity, family_key, case when source_mode = 'verification' then 'direct' else source_mode end as source_mode, case when source_mode = 'verification' then 'employer-page' end as verification_mode from {fold_applications}",
-    "display_title": "select family_key, title from (select family_key, title, row_number() over (partition by family_key order by length(title), title) as nth from {fold_applications}) a where nth = 1",
 }
 # Aggregates over families and postings.
 TEXTS |= {
-    "durable_activity_stats": f"select count(distinct case when first_seen_at >= {{as_of}} - interval 720 hours then canonical_apply_url end) as discovered, count(distinct case when removed_at >= {{as_of}} - interval 720 hours and not active then canonical_apply_url end) as removed from {{postings}} where source_mode = 'direct' and year = 2027 and category in ({TECHS})",
     "daily_movement": f"select count(distinct case when first_seen_at >= {{as_of}} - interval 24 hours and removed_at is null then canonical_apply_url end) as new_urls_today, count(distinct case when removed_at >= {{as_of}} - interval 24 hours then canonical_apply_url end) as removed_urls_today from {{postings}} where source_mode = 'direct' and year = 2027 and category in ({TECHS})",
     "snapshot_fallback_stats": "select count(*) as families, cast(sum(opening_count) as bigint) as openings, count(distinct company) as companies, count(case when direct_openings > 0 then 1 end) as verified, max(latest_posted_at) as newest_posted, max(first_detected_at) as newest_found from {families}",
     "listing_freshness": "select max(latest_posted_at) as newest_posted_at, max(first_detected_at) as newest_found_at, cast(secs(max(latest_posted_at), {as_of}) as double) / 3600 as posted_age_hours, cast(secs(max(first_detected_at), {as_of}) as double) / 3600 as found_age_hours, count(case when first_detected_at >= {as_of} - interval 24 hours then 1 end) as found_24h, count(case when first_detected_at >= {as_of} - interval 168 hours then 1 end) as found_7d from {families} where direct_openings > 0",
     "posting_freshness": "select count(*) as trusted, count(case when posted_at >= {as_of} - interval 24 hours then 1 end) as last_24h, count(case when posted_at >= {as_of} - interval 72 hours then 1 end) as last_72h, count(case when posted_at >= {as_of} - interval 168 hours then 1 end) as last_7d, max(posted_at) as newest from {postings} where posted_at is not null and source_mode in ('direct', 'verification')",
-    "verified_window": "select count(*) as families, coalesce(cast(sum(direct_openings) as bigint), 0) as openings, count(case when first_detected_at >= {as_of} - interval 720 hours then 1 end) as new_families from {families} where direct_openings > 0",
     "companies_by_mode": "select source_mode, count(distinct company) as companies from {postings} where active group by source_mode",
     "notification_eligibility": "select family_key, min(first_seen_at) as first_seen_at, bool_or(source_mode in ('direct', 'verification')) as any_verified, bool_or(source_mode not in ('direct', 'verification')) as any_lead from {postings} where active group by family_key",
-    "market_summary": f"select (select count(*) from {{postings}}) as postings, (select count(*) from {{postings}} where target_match in ({GOOD})) as targets, (select count(*) from {{postings}} where target_match = 'exact') as exact, (select count(distinct kind) from {{fx_candidates}}) as candidate_kinds, (select count(*) from {{fx_candidates}}) as candidates",
     "known_applications": "select distinct identity from {postings} where active and source_mode in ('direct', 'verification', 'registry')",
     "registry_only": "select distinct identity from {postings} where active and source_mode = 'registry' except select distinct identity from {postings} where active and source_mode in ('direct', 'verification')",
     "published_intersection": "select canonical_apply_url from {postings} where source_mode = 'external-index' intersect select canonical_apply_url from {postings} where source_mode = 'direct'",
-    "productive_sources": f"select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})",
     "publication_gaps": "select posting_key, family_key from {postings} p where active and source_mode in ('direct', 'verification') and not exists (select 1 from {families} f where f.family_key = p.family_key)",
-    "current_market_filter": f"select posting_key, category, year from {{postings}} where target_match <> 'not_internship' and category in ({TECHS}, 'other-technical') and (year is null or year >= 2027)",
     "is_default_target": f"select posting_key, target_match in ({GOOD}) as default_target from {{postings}}",
     "classify_postings": "select posting_key, company, title, category, season, year, target_match from {postings}",
     "internship_evidence": "select posting_key, target_match <> 'not_internship' as evidence from {postings}",
@@ -97,27 +91,14 @@ COUNTS = f"""count(*) as total, count(case when last_complete_at is null then 1
 TEXTS |= {
     "current_targets": f"select source, kind, interval_seconds, last_complete_at, last_status from {{fx_targets}} where {CURRENT}",
     "inventory_state_legacy": f"select count(*) as total, count(case when secs(last_complete_at, {{as_of}}) > interval_seconds * 2 then 1 end) as overdue, count(case when last_status in ({BAD}) then 1 end) as degraded, greatest(0, count(*) - count(case when secs(last_complete_at, {{as_of}}) > interval_seconds * 2 then 1 end) - count(case when last_status in ({BAD}) then 1 end)) as fresh from {{fx_targets}} where {CURRENT}",
-    "provider_health_rollup": f"select coalesce(kind, 'total') as kind, {COUNTS} from {{fx_targets}} where {CURRENT} group by rollup(kind)",
-    "source_diagnostics": "select coalesce(t.source, s.source) as source, t.kind, t.last_status, s.runs, s.rows_scanned from {fx_targets} t full outer join (select source, count(*) as runs, cast(sum(rows_scanned) as bigint) as rows_scanned from {fx_snapshots} group by source) s on t.source = s.source",
     "unscheduled_validated": "select c.source from {fx_candidates} c left join {fx_targets} t on c.source = t.source where c.status = 'validated' and (t.source is null or not t.scheduled)",
-    "due_sources": f"select source, kind, last_complete_at from {{fx_targets}} where {CURRENT} and (last_complete_at is null or secs(last_complete_at, {{as_of}}) >= interval_seconds) order by last_complete_at nulls first, source limit 50",
-    "due_candidates": "select source, kind, evidence_count from {fx_candidates} where status in ('candidate', 'retry') order by case when scope = 'current' then 0 else 1 end, evidence_count desc, source limit 100",
-    "due_observations": "select source, source_id, max(observed_at) as newest from {fx_observations} group by source, source_id order by newest, source, source_id limit 100",
     "balanced_by_kind": "select source, kind, nth from (select source, kind, row_number() over (partition by kind order by evidence_count desc, source) as nth from {fx_candidates}) r order by nth, kind limit 60",
     "stalled_sources": f"select source, last_complete_at from {{fx_targets}} where {CURRENT} and (last_complete_at is null or {LATE}) order by last_complete_at nulls first, source limit 25",
-    "recent_rejected": "select source, kind, consecutive_failures from {fx_candidates} where status = 'rejected' order by consecutive_failures desc, source limit 25",
     "unhealthy_sources": f"select source, last_status, consecutive_failures from {{fx_targets}} where last_status in ({BAD}) order by consecutive_failures desc, source limit 25",
-    "merge_catalog": "select source, kind, scope from (select source, kind, scope, row_number() over (partition by lower(source) order by case when scope = 'current' then 0 else 1 end, source) as nth from (select source, kind, scope from {fx_targets} union all select source, kind, scope from {fx_candidates}) u) r where nth = 1",
     "collapse_case_duplicates": "select source, validated from (select source, validated, row_number() over (partition by lower(source) order by case when validated then 0 else 1 end, case when scope = 'current' then 0 else 1 end, last_finished_at desc, source) as nth from (select source, validated, scope, last_finished_at from {fx_targets} union all select upper(source) as source, not validated as validated, scope, last_finished_at from {fx_targets}) u) r where nth = 1",
-    "census_net_new": "select c.source from {fx_candidates} c where c.status <> 'rejected' and not exists (select 1 from {fx_targets} t where t.source = c.source and t.validated) and not exists (select 1 from {fx_candidates} q where q.source = c.source and q.status = 'retry')",
     "prune_validated_candidates": "select source, status from {fx_candidates} c where not exists (select 1 from (select source from {fx_candidates} where status = 'validated') v where v.source = c.source)",
     "promote_scope": f"select t.source, case when p.source is not null then 'current' else t.scope end as scope from {{fx_targets}} t left join (select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})) p on p.source = t.source",
-    "validate_catalog_bootstrap": "select t.source, t.validated or t.last_status = 'ok' or p.source is not null as validated from {fx_targets} t left join (select distinct source from {postings} where source_mode = 'direct') p on p.source = t.source",
-    "requeue_empty_current": "select source, case when last_status = 'empty' and scope = 'current' then least(interval_seconds, 3600) else interval_seconds end as due_in from {fx_targets}",
-    "refresh_selection": f"select source from {{fx_targets}} where validated and scope = 'current' union select distinct source from {{postings}} where active and source_mode = 'direct' and target_match in ({GOOD})",
     "audit_rollup": f"select kind, count(*) as sources, count(case when last_status in ({BAD}) then 1 end) as unhealthy from {{fx_targets}} group by kind",
-    "bootstrap_readiness": f"select f.families, f.openings, f.companies, t.sources, f.families >= 100 and t.sources >= 10 as ready from (select count(*) as families, cast(sum(opening_count) as bigint) as openings, count(distinct company) as companies from {{families}}) f, (select count(*) as sources from {{fx_targets}} where validated) t",
-    "readiness": "select families, openings, least(1.0, families / 1000.0) as family_ratio, greatest(0, 1000 - families) as family_deficit from (select count(*) as families, cast(sum(opening_count) as bigint) as openings from {families}) f",
 }
 # Reconciliation: snapshots against the stored postings. `incoming` is what a complete snapshot listed.
 TEXTS |= {
@@ -126,7 +107,6 @@ TEXTS |= {
     "pending_removal": "select o.posting_key, case when o.removed_at is null then {as_of} else o.removed_at end as removed_at, not coalesce(secs(o.removed_at, {as_of}) >= greatest(1800, least(coalesce(t.interval_seconds, 0), 21600)), false) as active from {stored} o left join {fx_targets} t on t.source = o.source where o.active and o.source_mode = 'direct' and not exists (select 1 from {incoming} n where n.posting_key = o.posting_key)",
     "close_identity_stale": f"select distinct p.posting_key from {{stored}} p join (select distinct identity from {{stored}} where source_mode = 'direct' and target_match in ({GOOD}) except select distinct identity from {{incoming}}) g on g.identity = p.identity where p.active and p.source_mode in ('registry', 'external-index', 'verification-lead') and p.target_match in ({GOOD})",
     "close_urls": "select posting_key from {postings} p where active and source_mode in ('registry', 'verification', 'external-index') and exists (select 1 from (select distinct canonical_apply_url from {postings} where not active) c where c.canonical_apply_url = p.canonical_apply_url)",
-    "links_to_check": "select canonical_apply_url, min(last_seen_at) as checked_at from {postings} where active group by canonical_apply_url order by checked_at, canonical_apply_url limit 200",
     "recovered_distinct_on": "select company, title, canonical_apply_url, posting_key from (select *, row_number() over (partition by company, title, canonical_apply_url order by last_seen_at desc, posting_key) as nth from {postings} where source_mode = 'verification') r where nth = 1",
     "dedupe_posting_key": "select posting_key, last_seen_at from (select posting_key, last_seen_at, row_number() over (partition by posting_key order by last_seen_at desc, canonical_apply_url desc) as nth from (select * from {stored} union all select * from {incoming}) u) r where nth = 1",
     "dedupe_sensor_rows": "select posting_key, company, title, canonical_apply_url from (select *, row_number() over (partition by company, title, canonical_apply_url order by coalesce(posted_at, first_seen_at) desc, posting_key) as nth from {postings} where source_mode in ('registry', 'external-index')) r where nth = 1",
@@ -136,17 +116,10 @@ TEXTS |= {
     "notification_rows": "select family_key, substring(company, 1, 80) as company, substring(title, 1, 120) as title, substring(locations, 1, 60) as place from {families} where direct_openings > 0",
     "replace_refreshed_sources": "select posting_key, source from {stored} s where not exists (select 1 from {incoming} i where i.source = s.source) union all select posting_key, source from {incoming}",
     "supersede_by_url": "select posting_key from {stored} s where not exists (select 1 from {incoming} i where i.source = s.source) and not exists (select 1 from {incoming} i where i.canonical_apply_url = s.canonical_apply_url)",
-    "inherit_cycle_from_sensor": f"select d.posting_key, case when d.target_match = 'unknown' and s.target_match is not null then s.target_match else d.target_match end as target_match, case when d.target_match = 'unknown' and s.target_match is not null then s.year else d.year end as year from {{postings}} d left join (select canonical_apply_url, target_match, year from (select canonical_apply_url, target_match, year, row_number() over (partition by canonical_apply_url order by {MATCH} desc, posting_key) as nth from {{postings}} where source_mode in ('registry', 'external-index') and target_match in ({GOOD})) r where nth = 1) s on s.canonical_apply_url = d.canonical_apply_url where d.source_mode = 'direct'",
     "collect_observations": "select posting_key, 'kept' as part from {stored} where source_mode = 'verification' union all select posting_key, 'sensor' as part from {stored} where source_mode in ('registry', 'external-index') union all select posting_key, 'direct' as part from {incoming}",
-    "sensor_recall": "select count(*) as expected, count(f.canonical_apply_url) as published, round(cast(count(f.canonical_apply_url) as double) / count(*), 4) as recall, max(s.newest) as newest_sensor from (select canonical_apply_url, max(first_seen_at) as newest from {postings} where source_mode in ('registry', 'external-index') group by canonical_apply_url) s left join (select distinct canonical_apply_url from {postings} where active) f on f.canonical_apply_url = s.canonical_apply_url",
 }
 # Observations, employers and fusion.
 TEXTS |= {
-    "read_previous_first_seen": "select canonical_apply_url, min(first_seen_at) as first_seen_at from {postings} group by canonical_apply_url",
-    "seed_from_snapshot": "select canonical_apply_url, posting_key from (select canonical_apply_url, posting_key, row_number() over (partition by canonical_apply_url order by last_seen_at desc, posting_key) as nth from {postings} where source_mode = 'direct' and active) r where nth = 1",
-    "employer_evidence": "select lower(company) as employer, source_mode, source, year, count(*) as roles, count(case when active then 1 end) as active_roles, min(first_seen_at) as first_seen, max(last_seen_at) as last_seen, min(canonical_apply_url) as sample_url from {postings} group by 1, 2, 3, 4",
-    "catalog_upsert": "select source, bool_or(validated) as validated, min(scope) as scope from (select source, validated, scope from {fx_targets} union all select source, status = 'validated' as validated, scope from {fx_candidates}) u group by source",
-    "array_union_sorted": "select company, array_join(array_sort(array_distinct(flatten(array_agg(locations)))), '|') as places from {postings} group by company",
     "rank_feeds": "select source, rows_scanned from (select source, cast(max(rows_scanned) as bigint) as rows_scanned, max(finished_at) as pushed from {fx_snapshots} group by source) f order by pushed desc, rows_scanned desc, source limit 40",
     "prune_dated_chunks": "select source, finished_at, rows_scanned from (select *, max(case when finished_at < {as_of} - interval 20000 hours then 1 else 0 end) over (partition by source order by finished_at desc, case when complete then 0 else 1 end rows between unbounded preceding and current row) as stopped from {fx_snapshots}) r where stopped = 0",
 }

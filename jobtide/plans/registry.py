@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "labels", "inventory", "feed", "reconcile", "fusion", "figures", "gates", "selection", "landed", "streams", "texts")
+MODULES = ("scalars", "labels", "inventory", "feed", "reconcile", "fusion", "figures", "gates", "selection", "landed", "streams", "texts", "schedule")
 
 
 def _merged(part: str) -> dict:

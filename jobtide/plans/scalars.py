@@ -207,7 +207,7 @@ SCALARS: dict[str, tuple[str, tuple[str, ...], dict[str, tuple[Callable[[], Colu
     "normalize_result_status": ("fx_snapshots", ("source", "finished_at"), {"status": (lambda: rules.normalize_result_status(c("complete"), c("target_rows"), F.when(c("new_rows") > 0, "current").otherwise("historical"), F.lit("ok")), "case when not complete then 'truncated' when target_rows = 0 then case when new_rows > 0 then 'empty' else 'dormant' end else 'ok' end")}),
     "page_verdict_rollup": (TEXT, ("id",), {"status": (lambda: rules.page_verdict(c("n") % 3, c("n") % 2, c("n") % 5, c("n") % 4, c("n") % 7)["status"], "case when n % 7 > 0 then case when n % 3 > 0 or n % 2 > 0 or n % 5 > 0 or n % 4 > 0 then 'partial' else 'broken' end when n % 3 > 0 then case when n % 2 = 0 and n % 5 = 0 and n % 4 = 0 then 'verified' else 'partial' end when n % 5 > 0 and n % 2 = 0 and n % 4 = 0 then 'blocked' when n % 2 > 0 and n % 5 = 0 and n % 4 = 0 then 'stale' when n % 4 > 0 and n % 5 = 0 and n % 2 = 0 then 'unstructured' else 'mixed' end")}),
     "link_state": (TEXT, ("id",), {"state": (lambda: rules.link_state(F.element_at(F.array(*map(F.lit, (200, 404, 403, 500, 410, 429))), (c("n") % 6 + 1).cast("int")), c("id") % 5 == 0), "case n % 6 when 0 then case when id % 5 = 0 then 'closed' else 'active' end when 1 then 'closed' when 2 then 'protected' when 3 then 'failed' when 4 then 'closed' else 'protected' end")}),
-    "stable_shard": (POST, WHO, {"shard": (lambda: text.stable_shard(c("source"), 7), "(('0x' || substr(sha256(source), 1, 15))::bigint % 7)::int")}),
+    "stable_shard": (POST, WHO, {"shard": (lambda: text.stable_shard(c("source"), 7), "(('0x' || substr(sha256(source), 1, 16))::ubigint % 7)::int")}),
     "humanize_slug": (TEXT, ("id",), {"shown": (lambda: text.humanize_slug(F.concat_ws("-", F.lit("acme"), F.lit("labs"), c("n").cast("string"))), "'Acme Labs ' || n")}),
     "crawl_cadence": ("fx_targets", ("source",), {"every": (lambda: rules.crawl_interval(c("kind"), c("scope")), cadence(0, 3600, 86400)), "priority": (lambda: rules.crawl_priority(c("kind"), c("scope")), cadence(1, 100, 500))}),
 }

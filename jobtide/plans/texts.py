@@ -280,7 +280,6 @@ def queries() -> dict:
         "tenants_from_urls": lambda spark, sf_dir: pages.tenants(view(spark, sf_dir, "fx_links")),
         "career_seeds": lambda spark, sf_dir: pages.career_seeds(view(spark, sf_dir, "pages").select(F.regexp_extract(F.lower("url"), r"^https?://([^/?#:]*)", 1).alias("host"))),
         "match_recovered_to_leads": _recovered, "import_legacy_postings": _legacy, "sanitize_legacy_snapshot": _sanitized, "sink_versioned_table": _sink, "stream_pending_notifications": _notified, "stream_publish_on_change": _published,
-        "source_label": lambda spark, sf_dir: view(spark, sf_dir, "fx_targets").select("source", F.concat(F.initcap(F.split_part("source", F.lit(":"), F.lit(1))), F.lit(" "), F.split_part("source", F.lit(":"), F.lit(2))).alias("label")),
     }
 
 
@@ -330,5 +329,4 @@ def oracle() -> dict[str, str]:
         "sink_versioned_table": f"select family_key, company, opening_count from ({families}) f",
         "stream_pending_notifications": f"select family_key from ({families}) f",
         "stream_publish_on_change": f"select family_key, company, opening_count from ({families}) f",
-        "source_label": f"with fx_targets as ({VIEWS['fx_targets']}) select source, 'Greenhouse ' || split_part(source, ':', 2) as label from fx_targets",
     }
