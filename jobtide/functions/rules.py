@@ -9,8 +9,8 @@ from ..constants import CADENCE, CLOSED
 
 
 def parse_iso_ts(col: Column) -> Column:
-    """Z and offsets accepted; naive values are UTC; null if it is no date."""
-    return F.try_to_timestamp(F.regexp_replace(F.trim(col), "Z$", "+00:00"))
+    """Z and offsets accepted; naive values are UTC; null if it is no date. A time alone is none: Spark would take today's."""
+    return F.when(F.trim(col).rlike(r"^[+-]?\d{4}"), F.try_to_timestamp(F.regexp_replace(F.trim(col), "Z$", "+00:00")))
 
 
 def parse_date(col: Column) -> Column:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import INDEX_MODES, TARGETS, TECH
+from ..sources import publish
 from .ranks import numbered
 
 c = F.col
@@ -111,6 +112,33 @@ def page_after(families: DataFrame, last_key: str, size: int) -> DataFrame:
     return families.filter(c("family_key") > last_key).orderBy("family_key").limit(size)
 
 
+#: Ranges of keys in which a stored index is cut.
+RANGES = 32
+
+
+def store_index(families: DataFrame, root: str, n: int = RANGES) -> bool:
+    """Publish families in ranges of their keys, each sorted; the version's note says what key each range begins and ends with, and its rows."""
+    spark = families.sparkSession
+    dealt = families.repartitionByRange(n, "family_key").withColumn("range_", F.spark_partition_id()).sortWithinPartitions("family_key")
+    part, _ = publish.staged(dealt, root, "range_", keep_partitions=True)
+    one = publish.Version(tables={"index": part})
+    # One row a range.
+    ends = publish.read_with(spark, one, "index", "range_").groupBy("range_").agg(F.min("family_key").alias("first"), F.max("family_key").alias("last"), F.count("*").alias("n")).orderBy("first").collect()
+    note = {"ranges": [[str(r.range_), r["first"], r["last"], r.n] for r in ends]}
+    return publish.commit(spark, root, publish.newest(spark, root), {"index": part}, note)
+
+
+def stored_page_after(spark: SparkSession, root: str, last_key: str, size: int) -> DataFrame:
+    """The page behind a key from a stored index: only the ranges that can hold it are read."""
+    version, wanted, rows = publish.newest(spark, root), [], 0
+    for name, first, last, n in version.note["ranges"]:
+        if last > last_key and rows < size:
+            wanted.append(name)
+            # What of the range a key lies in is behind it is not known; every later range counts in full.
+            rows += n if first > last_key else 0
+    return page_after(publish.read(spark, version, "index", wanted), last_key, size)
+
+
 def basic_search(families: DataFrame, query: str = "", category: str = "", target: str = "default") -> DataFrame:
     """One text in company, title or places; the default targets or one."""
     found = families.filter(c("target_match").isin(*TARGETS)) if target == "default" else by_target(families, target)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import INDEX_MODES, TARGETS, TECH
 from ..operators import feed
 from ..sources.fixtures import AS_OF
+from ..sources.shared import shared
 from . import dialect, inventory  # noqa: F401  inventory registers the views
 from .scalars import names
 
@@ -69,6 +70,13 @@ def _index(spark, sf_dir):
     return tech.select(*KEYS, "category", "season", "year", "target_match", "locations", F.size("places").alias("location_count"), "opening_count", "direct_openings", "backstop_openings", "first_posted_at", "latest_posted_at", "posted_precision", "first_detected_at", "last_verified_at", F.exists("places", lambda p: feed.holds(p, "remote")).alias("remote"), F.posexplode("openings").alias("nth", "o")).select("*", "o.identity", "o.apply_url", "o.source_mode", c("o.latest_posted_at").alias("opening_posted_at"), F.array_join("o.places", "|").alias("opening_locations"), "o.posting_key").drop("o")
 
 
+def _keyset(spark, sf_dir):
+    """Pages of an index that is stored in ranges of its keys."""
+    root = shared(spark, "index")
+    feed.store_index(dialect.frame(spark, sf_dir, "families").select(*KEYS), root)
+    return each(KEY_ARGS, lambda k: feed.stored_page_after(spark, root, k, 100), *KEYS)
+
+
 def _presets(spark, sf_dir):
     """The fixed responses: the first page of each sort, the facets and the figures, keyed by request."""
     base = feed.by_track(feed.by_target(families(spark, sf_dir), "default"))
@@ -108,7 +116,7 @@ def queries() -> dict:
         "feed_search": over(SEARCH_ARGS, feed.by_search), "feed_location": over(PLACE_ARGS, feed.by_location, coded), "feed_company": over(COMPANY_ARGS, feed.by_company),
         "feed_remote": over(("remote",), lambda df, _: feed.remote_only(df)), "feed_posted_within": over(DAYS_ARGS, lambda df, d: feed.posted_within(df, d, AS_OF)),
         "feed_order": lambda spark, sf_dir: (lambda base: each(SORTS, lambda s: feed.ordered(base, s), "place", *KEYS))(families(spark, sf_dir)),
-        "keyset_page": over(KEY_ARGS, lambda df, k: feed.page_after(df, k, 100)), "search_rank": _search_rank, "feed_page": _page, "families_basic_search": _basic, "family_detail": _detail, "facets": _facets, "export_family_index": _index, "export_preset_responses": _presets,
+        "keyset_page": _keyset, "search_rank": _search_rank, "feed_page": _page, "families_basic_search": _basic, "family_detail": _detail, "facets": _facets, "export_family_index": _index, "export_preset_responses": _presets,
     }
 
 

@@ -121,7 +121,6 @@ TEXTS |= {
 # Observations, employers and fusion.
 TEXTS |= {
     "rank_feeds": "select source, rows_scanned from (select source, cast(max(rows_scanned) as bigint) as rows_scanned, max(finished_at) as pushed from {fx_snapshots} group by source) f order by pushed desc, rows_scanned desc, source limit 40",
-    "prune_dated_chunks": "select source, finished_at, rows_scanned from (select *, max(case when finished_at < {as_of} - interval 20000 hours then 1 else 0 end) over (partition by source order by finished_at desc, case when complete then 0 else 1 end rows between unbounded preceding and current row) as stopped from {fx_snapshots}) r where stopped = 0",
 }
 HIDDEN = ("families", "incoming", "stored")
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..constants import INTERN, PROGRAM, SUMMER_2027, YEAR
 from ..operators import postings as ops
-from ..operators import selection
+from ..operators import providers, selection
 from ..sources import ingest, trees
 from ..sources.fixtures import VIEWS, view
-from .scalars import CANON, SCALARS
+from ..sources.shared import shared
+from .scalars import BARE, CANON, SCALARS
 
 c = F.col
 #: Rows a board: a payload has a fixed size, and their number grows with the tables.
@@ -111,10 +112,52 @@ def _sitemap(spark, sf_dir):
     return trees.sitemap_pages(docs.unionByName(indexes))
 
 
+PAGE = 50
+
+
+def _completeness(spark, sf_dir):
+    """Boards of two providers in pages of 50; in turn a board gives its own size as total, five more, or none."""
+    rows, out = rows_of(spark, sf_dir).withColumn("page", F.floor(c("id") / PAGE)), None
+    sizes = rows.groupBy("board").agg(F.count("*").alias("size"))
+    total = F.when(c("board") % 3 == 0, c("size")).when(c("board") % 3 == 1, c("size") + 5)
+    shapes = {"ingest_smartrecruiters": ("totalFound", "content", "named_struct('id', cast(id as string), 'name', title)"), "ingest_workday": ("total", "jobPostings", "named_struct('title', title, 'externalPath', cast(id as string))")}
+    for kind, (said, list_, row) in shapes.items():
+        pages = rows.groupBy("board", "page").agg(F.collect_list(F.expr(row)).alias(list_)).join(sizes, "board")
+        body = F.to_json(F.struct(total.alias(said), list_))
+        raw = pages.select(F.concat(F.lit(kind.removeprefix("ingest_") + ":"), "board").alias("source"), F.lit("Acme").alias("company"), body.alias("body"))
+        one = ingest.board_snapshots(kind, raw)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+CHUNK_ROWS, CHUNKS = 100, 40
+CHUNK = f"cast(floor(id / {CHUNK_ROWS}) as int)"
+
+
+def _chunks(spark, sf_dir):
+    """Chunks of 100 rows as files, newest first, three days apart, every fourth undated; the manifest says what to read."""
+    root = shared(spark, "chunks")
+    row = f"named_struct('i', cast(id as string), 'c', company, 'ti', title, 'u', {URL}, 'p', {DAY})"
+    chunks = view(spark, sf_dir, "fx_texts").groupBy(F.expr(CHUNK).alias("chunk")).agg(F.to_json(F.collect_list(F.expr(row))).alias("body"))
+    chunks.repartition("chunk").write.partitionBy("chunk").text(f"{root}/files")
+    entry = F.struct(F.concat(F.lit("chunk="), "chunk").alias("file"), F.when(c("chunk") % 4 != 3, F.date_format(F.date_sub(F.lit("2001-07-31").cast("date"), c("chunk") * 3), "yyyy-MM-dd'T'00:00:00'Z'")).alias("posted_max"))
+    manifest = chunks.select("chunk").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("chunk", entry.alias("e")))), lambda x: x["e"]).alias("slim_index_chunks"))).alias("value"))
+    return ingest.chunk_postings(spark, f"{root}/files", manifest, F.expr(CUTOFF), CHUNKS).select("source_id", "title", "posted_raw")
+
+
+NEW_PROVIDERS = (("example.com", "own-board", 900), ("acme.co.uk", "acme", 901), ("zon.", "amazon", 902))
+
+
+def _providers(spark, sf_dir):
+    """Kinds of links by the fixed table and three rows more, one of them a fragment before a dot."""
+    known = providers.registry(spark).unionByName(spark.createDataFrame(list(NEW_PROVIDERS), "fragment string, kind string, place int"))
+    return providers.with_kinds(view(spark, sf_dir, "fx_links").select("id", "url"), "url", known).select("id", "provider")
+
+
 def queries() -> dict:
     return {k: _ingest(k) for k in SHAPES} | {
         "ingest_openroles": _openroles, "ingest_registry_json": _registry, "ingest_sensor_json": _sensor_json, "ingest_sitemap": _sitemap,
-        "completeness": lambda spark, sf_dir: ingest.completeness(view(spark, sf_dir, "fx_snapshots").select("source", c("rows_scanned").alias("rows"), c("rows_scanned").alias("total"))),
+        "completeness": _completeness, "prune_dated_chunks": _chunks, "provider_registry": _providers,
     }
 
 
@@ -129,7 +172,12 @@ def oracle() -> dict[str, str]:
         "ingest_sensor_json": texts + f"""select 'sensor:' || board as source, case when n % 2 = 0 then id::varchar else (select {CANON} from (select apply_url as url)) end as source_id, company, apply_url, posted_raw, case when stamp then 2027 when list_contains(years, '2027') then 2027 when len(years) = 1 then years[1]::int end as year, case when stamp then 'summer' else season end as season, case when stamp then 'source_confirmed' else match end as target_match from
           (select *, match = 'unknown' and (board % 2 = 0 or n % 4 = 0) as stamp from (select *, case when not {evidence} then 'not_internship' when list_contains(years, '2027') and season = 'summer' or {hit(SUMMER_2027)} then 'exact' when len(years) > 0 and not list_contains(years, '2027') then 'wrong_year' when list_contains(years, '2027') and season <> 'summer' then 'wrong_season' when len(years) = 1 and season is null then 'year_confirmed' when board % 2 = 0 and len(years) = 0 and season = 'summer' then 'source_confirmed' else 'unknown' end as match
           from (select id, n, title, id // {ROWS} as board, 'Firm ' || n as company, {URL} as apply_url, age as posted_raw, {years} as years, case when {hit('summer')} then 'summer' when {hit('fall')} then 'fall' end as season from fx_texts where id % 9 <> 0 and id % 10 <> 0 and (id // {ROWS} % 2 = 0 or n % 4 = 0 or contains(title, '2027') and title ilike '%intern%' and not title ilike '%fall%'))))""",
-        "completeness": f"with fx_snapshots as ({VIEWS['fx_snapshots']}) select source, sum(rows_scanned)::bigint as rows_scanned, max(rows_scanned) as expected, sum(rows_scanned) >= max(rows_scanned) as complete, 'ok' as status from fx_snapshots group by source",
+        "completeness": texts + f"""select kind || ':' || board as source, n as rows_scanned, case board % 3 when 0 then n when 1 then n + 5 end as expected, board % 3 = 0 and n < 2000 as complete, case when board % 3 = 0 and n < 2000 then 'ok' else 'truncated' end as status
+          from (select id // {ROWS} as board, count(*) as n from fx_texts group by 1), (select unnest(['smartrecruiters', 'workday']) as kind)""",
+        # Dated chunks end three days apart; the first that ends before the cutoff, and what follows, stays unread.
+        "prune_dated_chunks": texts + f"""select id::varchar as source_id, trim(title) as title, {DAY} as posted_raw from fx_texts, (select coalesce(min(k), 999999999) as stop from range(100000) r(k) where k % 4 <> 3 and date '2001-07-31' - (k * 3)::int < date '2001-07-01')
+          where id // {CHUNK_ROWS} < least(stop, {CHUNKS}) and trim(company) <> '' and {DAY} >= '2001-07-01'""",
+        "provider_registry": links + f"select id, coalesce({SCALARS['provider_kind'][2]['provider'][1]}, case when {BARE} = 'example.com' or {BARE} like '%.example.com' then 'own-board' when {BARE} = 'acme.co.uk' or {BARE} like '%.acme.co.uk' then 'acme' when contains({BARE}, 'zon.') then 'amazon' end) as provider from fx_links",
         "ingest_sitemap": links + f"""select 'index-' || (board // 10) as listed_by, board::varchar as url, loc, mod_ as lastmod, row_number() over (partition by board order by mod_ is null, mod_ desc, id) as place
           from (select board, loc, mod_, id from (select *, trim(url) as loc, id // {ROWS} as board, case when n % 3 > 0 then '2001-07-' || lpad((n % 28 + 1)::varchar, 2, '0') end as mod_ from fx_links) where board % 3 < 2 qualify row_number() over (partition by board, loc order by mod_ is null, mod_ desc, id) = 1)""",
     }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..constants import TARGET_RANK, TARGETS, TECH
 from ..functions import text as tx
+from ..operators import dates
 from ..operators import schedule as op
 from ..sources.fixtures import AS_OF
 from . import dialect, figures, reconcile  # noqa: F401  they register views
@@ -30,6 +33,7 @@ VIEWS = {
     "finds": "select case when evidence_count % 3 = 0 then concat(source, '-new') else source end as source, 'domain' as kind, case when scope = 'current' then 'historical' else 'current' end as scope, status = 'validated' as validated, 'sweep' as origin from {fx_candidates} where evidence_count % 2 = 0",
     "named": "select replace(source, ':', ':acme') as source, kind, scope from {fx_targets} where consecutive_failures < 4",
     "spelt": "select concat(replace(source, ':', ':Acme'), case when consecutive_failures % 2 = 1 then '-B' else '' end) as source, 'lever' as kind, 'historical' as scope from {fx_targets}",
+    "dated": "select id, case id % 8 when 0 then concat('4 July 2001 ', cast(n % 24 as string), ':05') when 1 then 'Wed, 04 Jul 2001 22:30:00 +0200' when 2 then concat('Jul 4th 2001 at ', cast(n % 12 + 1 as string), ' pm') when 3 then '2001/07/04' when 4 then '2001-07-04T10:00:00Z' when 5 then cast(n + 1000000000 as string) when 6 then 'no date at all' end as raw from {fx_texts}",
     "labelled": "select id, case id % 9 when 0 then concat('greenhouse:', cast(id as string)) when 1 then concat('Registry :  job list ', cast(id as string)) when 2 then 'verification-lead:usa' when 3 then 'external-index:big_tech-list2go:x' when 4 then concat('own board:', cast(id as string)) when 6 then 'DIRECT' when 7 then 'registry: - ' when 8 then 'workday:a:b' end as source from {fx_texts}",
     "sensor_jobs": "select canonical_apply_url, first_seen_at from {postings} where source_mode in ('registry', 'external-index', 'verification-lead')",
     "feed_jobs": "select canonical_apply_url, first_seen_at from {postings} where active and source_mode in ('direct', 'verification')",
@@ -85,6 +89,7 @@ RUNS = {
     "market_summary": lambda got: op.market_summary(got("postings"), got("fx_candidates")),
     "catalog_upsert": lambda got: op.catalog_upsert(got("catalog"), got("finds"), now()).select("source", "kind", "scope", "validated", "origin", plain("last_discovered_at")),
     "merge_catalog": lambda got: op.merged_catalog(got("named"), got("spelt"), got("fx_candidates")).select("source", "kind", "scope"),
+    "parse_date": lambda got: dates.with_dates(got("dated"), "raw", dt.datetime(2001, 8, 1)).select("id", plain("read_at")),
     "source_label": lambda got: got("labelled").select("id", tx.source_label(c("source")).alias("label")),
     "census_net_new": lambda got: op.net_new(got("finds"), got("catalog"), got("queue").filter("status = 'retry'")),
     "validate_catalog_bootstrap": lambda got: op.bootstrap_validated(got("catalog"), got("runs"), got("postings")),
@@ -143,6 +148,7 @@ SQL = {
     "catalog_upsert": """select source, kind, scope, validated, origin, last_discovered_at from {catalog} where source not in (select source from {finds}) union all
       select n.source, n.kind, case when o.scope = 'current' then 'current' else n.scope end, coalesce(o.validated, false) or n.validated, case when n.validated or o.source is null then n.origin else o.origin end, {as_of} from {finds} n left join {catalog} o on o.source = n.source""",
     "merge_catalog": f"""select source, kind, scope from (select *, row_number() over (partition by {CANONICAL} order by turn, scope = 'current' desc, source) as nth from (select source, kind, scope, 0 as turn from {{named}} union all select source, kind, scope, 1 from {{spelt}} union all select source, kind, scope, 2 from {{fx_candidates}})) where nth = 1""",
+    "parse_date": "select id, case id % 8 when 0 then make_timestamp(2001, 7, 4, n % 24, 5, 0) when 1 then timestamp '2001-07-04 20:30:00' when 2 then make_timestamp(2001, 7, 4, case when n % 12 + 1 = 12 then 12 else n % 12 + 13 end, 0, 0) when 3 then timestamp '2001-07-04' when 4 then timestamp '2001-07-04 10:00:00' when 5 then make_timestamp((n + 1000000000)::bigint * 1000000) end as read_at from {fx_texts}",
     "source_label": "select id, case id % 9 when 0 then 'Greenhouse' when 1 then 'Registry · Job List ' || id when 2 then 'Verification lead · USA' when 3 then 'External index · Big Tech List2Go' when 4 then source when 5 then 'unknown' when 6 then 'Employer site' when 7 then 'Registry' else 'Workday' end as label from {labelled}",
     "census_net_new": "select distinct source, kind from {finds} f where not exists (select 1 from {catalog} k where k.source = f.source and k.validated) and not exists (select 1 from {queue} q where q.source = f.source and q.status = 'retry')",
     "validate_catalog_bootstrap": "select source, validated or source in (select source from {runs} where complete and error is null and status in ('ok', 'empty')) or source in (select source from {postings} where source_mode = 'direct') as validated from {catalog}",

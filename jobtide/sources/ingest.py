@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,7 +53,7 @@ BOARDS = {
     "ingest_greenhouse": Board(f"jobs array<struct<id:string,title:string,absolute_url:string,content:string,first_published:string,updated_at:string,offices:array<{PLACE}>,location:{PLACE}>>", "d.jobs", "job.id", first("job.title"), first("job.absolute_url"), f"case when size({names('job.offices')}) > 0 then {names('job.offices')} else filter(array(job.location.name), n -> n is not null) end", "job.content", posted_raw="job.first_published"),
     "ingest_lever": Board("value array<struct<id:string,text:string,hostedUrl:string,applyUrl:string,descriptionPlain:string,categories:struct<location:string,commitment:string>>>", "d.value", "job.id", first("job.text"), first("job.hostedUrl", "job.applyUrl"), "filter(array(job.categories.location), n -> n is not null)", "job.descriptionPlain", "job.categories.commitment"),
     "ingest_ashby": Board("jobs array<struct<id:string,title:string,jobUrl:string,applyUrl:string,location:string,secondaryLocations:array<struct<location:string>>,descriptionPlain:string,descriptionHtml:string,employmentType:string,publishedAt:string>>", "d.jobs", first("job.id", "job.jobUrl"), first("job.title"), first("job.jobUrl", "job.applyUrl"), "filter(concat(array(job.location), coalesce(transform(job.secondaryLocations, p -> p.location), array())), n -> n is not null)", first("job.descriptionPlain", "job.descriptionHtml"), "job.employmentType", "job.publishedAt"),
-    "ingest_smartrecruiters": Board(f"content array<struct<id:string,uuid:string,refNumber:string,name:string,title:string,applyUrl:string,referralUrl:string,jobAdUrl:string,releasedDate:string,createdOn:string,createdAt:string,typeOfEmployment:string,employmentType:string,location:{PLACE}>>, postings array<struct<id:string,uuid:string,refNumber:string,name:string,title:string,applyUrl:string,referralUrl:string,jobAdUrl:string,releasedDate:string,createdOn:string,createdAt:string,typeOfEmployment:string,employmentType:string,location:{PLACE}>>", "coalesce(d.content, d.postings)", first("job.id", "job.uuid", "job.refNumber"), first("job.name", "job.title"), "coalesce(" + first("job.applyUrl", "job.referralUrl", "job.jobAdUrl") + ", concat('https://jobs.smartrecruiters.com/', split_part(source, ':', 2), '/', job.id))", FLAT.format("job.location"), employment_type=first("job.typeOfEmployment", "job.employmentType"), posted_raw=first("job.releasedDate", "job.createdOn", "job.createdAt")),
+    "ingest_smartrecruiters": Board(f"totalFound long, total long, content array<struct<id:string,uuid:string,refNumber:string,name:string,title:string,applyUrl:string,referralUrl:string,jobAdUrl:string,releasedDate:string,createdOn:string,createdAt:string,typeOfEmployment:string,employmentType:string,location:{PLACE}>>, postings array<struct<id:string,uuid:string,refNumber:string,name:string,title:string,applyUrl:string,referralUrl:string,jobAdUrl:string,releasedDate:string,createdOn:string,createdAt:string,typeOfEmployment:string,employmentType:string,location:{PLACE}>>", "coalesce(d.content, d.postings)", first("job.id", "job.uuid", "job.refNumber"), first("job.name", "job.title"), "coalesce(" + first("job.applyUrl", "job.referralUrl", "job.jobAdUrl") + ", concat('https://jobs.smartrecruiters.com/', split_part(source, ':', 2), '/', job.id))", FLAT.format("job.location"), employment_type=first("job.typeOfEmployment", "job.employmentType"), posted_raw=first("job.releasedDate", "job.createdOn", "job.createdAt")),
     "ingest_recruitee": Board(", ".join(f"{k} array<struct<id:string,slug:string,offer_id:string,title:string,name:string,careers_url:string,url:string,apply_url:string,location:{PLACE},city:string,state:string,country:string,description:string,description_plain:string,employment_type:string,contract_type:string,published_at:string,publishedAt:string,created_at:string>>" for k in ("offers", "content", "results")), "coalesce(d.offers, d.content, d.results)", first("job.id", "job.slug", "job.offer_id"), first("job.title", "job.name"), "coalesce(" + first("job.careers_url", "job.url", "job.apply_url") + ", concat('https://', split_part(source, ':', 2), '.recruitee.com/o/', " + first("job.id", "job.slug", "job.offer_id") + "))", "filter(array(nullif(coalesce(job.location.name, concat_ws(', ', coalesce(job.location.city, job.city), coalesce(job.location.region, job.state), coalesce(job.location.country, job.country))), '')), v -> v is not null)", first("job.description", "job.description_plain"), first("job.employment_type", "job.contract_type"), first("job.published_at", "job.publishedAt", "job.created_at")),
     "ingest_workable": Board(", ".join(f"{k} array<{WORKABLE}>" for k in ("jobs", "results", "content")) + f", data struct<jobs:array<{WORKABLE}>>", "coalesce(d.jobs, d.results, d.content, d.data.jobs)", first("job.shortcode", "job.code", "job.id"), first("job.title", "job.name"), "coalesce(" + first("job.url", "job.application_url", "job.shortlink") + ", concat('https://apply.workable.com/', split_part(source, ':', 2), '/j/', " + first("job.shortcode", "job.code", "job.id") + ", '/'))", "filter(array(nullif(coalesce(job.location.name, concat_ws(', ', coalesce(job.location.city, job.city), coalesce(job.location.region, job.state), coalesce(job.location.country, job.country))), '')), v -> v is not null)", first("job.description", "job.description_plain"), first("job.employment_type", "job.type"), first("job.published_at", "job.created_at", "job.createdAt")),
     "ingest_isolved": Board("success boolean, data struct<jobs:array<struct<id:string,title:string,url:string,location:string,startDate:string>>>", "case when d.success then d.data.jobs end", "job.id", first("job.title"), first("job.url"), "filter(array(job.location), n -> n is not null)", posted_raw="job.startDate"),
@@ -112,7 +112,47 @@ def split_landings(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings.filter(~landing), postings.filter(landing)
 
 
-def completeness(pages: DataFrame) -> DataFrame:
+#: Where paged boards say how many jobs they have; rows that one search can give at most.
+TOTALS = {"ingest_smartrecruiters": "coalesce(d.totalFound, d.total)", "ingest_workday": "d.total"}
+SEARCH_CAP = 2000
+
+
+def board_snapshots(kind: str, raw: DataFrame) -> DataFrame:
+    """(source, company, body), a row a page of a paged board, to (source, rows_scanned, expected, complete, status).
+
+    A board is complete if its pages hold as many rows as the largest total that they give; one that shows as many
+    rows as a search can give at most is not, whatever it says, nor is one that gives no total.
+    """
+    board = BOARDS[kind]
+    d = raw.select("source", F.from_json("body", board.schema).alias("d"))
+    return completeness(d.select("source", F.coalesce(F.expr(f"size({board.rows})"), F.lit(0)).alias("rows"), F.expr(TOTALS[kind]).cast("long").alias("total")), SEARCH_CAP)
+
+
+def completeness(pages: DataFrame, cap: int | None = None) -> DataFrame:
     """(source, rows, total) of result pages to (source, rows_scanned, expected, complete, status)."""
-    out = pages.groupBy("source").agg(F.sum("rows").alias("rows_scanned"), F.max("total").alias("expected"))
-    return out.withColumn("complete", F.col("rows_scanned") >= F.col("expected")).withColumn("status", F.when(F.col("complete"), "ok").otherwise("truncated"))
+    out = pages.groupBy("source").agg(F.sum(F.greatest("rows", F.lit(0))).cast("long").alias("rows_scanned"), F.max("total").alias("expected"))
+    whole = F.coalesce(F.col("rows_scanned") >= F.col("expected"), F.lit(False))
+    whole = whole & (F.col("expected") < cap) if cap else whole
+    return out.withColumn("complete", F.coalesce(whole, F.lit(False))).withColumn("status", F.when(F.col("complete"), "ok").otherwise("truncated"))
+
+
+def chosen_chunks(manifest: DataFrame, cutoff: Column, most: int) -> DataFrame:
+    """(value), the JSON of one manifest, newest chunk first, to (place, file, posted_max) of those to read.
+
+    A dated chunk that ends before the cutoff stops the list, as all behind it are older; undated ones do not. At most
+    `most` are taken; entries without a file do not count.
+    """
+    parsed = F.from_json("value", "slim_index_chunks array<struct<file:string,posted_max:string>>")["slim_index_chunks"]
+    each = manifest.select(F.posexplode(parsed).alias("at", "chunk")).select("at", "chunk.file", rules.parse_iso_ts(F.col("chunk.posted_max")).alias("posted_max")).filter("file <> ''")
+    # One manifest is one list: what is numbered are its entries, not postings.
+    order = W.orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    stopped = F.max(F.when(F.col("posted_max") < cutoff, 1).otherwise(0)).over(order)
+    return each.withColumns({"stopped": stopped, "place": F.row_number().over(W.orderBy("at"))}).filter((F.col("stopped") == 0) & (F.col("place") <= most)).select("place", "file", "posted_max")
+
+
+def chunk_postings(spark: SparkSession, root: str, manifest: DataFrame, cutoff: Column, most: int, source: str = "sensor:openroles-recent") -> DataFrame:
+    """Recent postings of the chunks that the manifest leaves; the others are never opened. Files may be gzipped."""
+    files = [f"{root}/{r.file}" for r in chosen_chunks(manifest, cutoff, most).select("file").collect()]
+    text = spark.read.text(files, wholetext=True) if files else spark.createDataFrame([], "value string")
+    raw = text.select(F.lit(source).alias("source"), F.lit("").alias("company"), F.col("value").alias("body"))
+    return recent(ingest("ingest_openroles", raw), cutoff)
