@@ -223,7 +223,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ok = usable(vectors)
     few = [r.vec for r in ok.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     length = Counter(map(len, few)).most_common(1)[0][0] if few else 1
-    few = np.array([v for v in few if len(v) == length]) if few else np.zeros((1, 1))
+    # Equal vectors count once here too, so a very common one neither moves the centre nor decides how many probes are made.
+    few = np.array(list(dict.fromkeys(tuple(v) for v in few if len(v) == length))) if few else np.zeros((1, 1))
     ok, ask = (d.filter(F.size("vec") == length) for d in (ok, usable(queries)))
     classes = written(ok.groupBy("vec").agg(F.min("vec_id").alias("rep")), "ann")
     ask = written(ask.dropDuplicates(["vec_id", "vec"]).select(F.monotonically_increasing_id().alias("q"), F.col("vec_id").alias("query_id"), "vec"), "ann")
