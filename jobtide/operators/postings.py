@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +77,57 @@ def normalize_postings(postings: DataFrame) -> DataFrame:
     }).drop("_scheme", "_host", "_path", "_query", "_company")
 
 
+def judged_once(rows: DataFrame, keys: dict[str, str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Joins what `judge` makes of the distinct values of some columns back to the rows; keys: column to the name that `judge` keeps it under.
+
+    Spark broadcasts the values if they are few, by their size at run time.
+    """
+    values, own = judge(rows.select(*keys).distinct()), {f"_own_{k}": v for k, v in keys.items()}
+    for k in keys:
+        rows = rows.withColumnRenamed(k, f"_own_{k}")
+    met = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(v)) for k, v in own.items()))
+    return rows.join(values, met, "left").drop(*own, *own.values())
+
+
+def normalize_by_value(postings: DataFrame) -> DataFrame:
+    """As `normalize_postings`, for postings without texts of their own (employment_type, description).
+
+    Titles, companies and places repeat across postings, so each distinct one is cleaned and matched once; links hardly
+    do, and are taken apart by row.
+    """
+
+    def titles(rows: DataFrame) -> DataFrame:
+        empty = {"company": F.lit(""), "locations": F.array().cast("array<string>"), "source_mode": F.lit("")}
+        found = classify_postings(rows.withColumns({"_raw": F.col("title"), **empty})).withColumnRenamed("source_confirms", "_confirms")
+        return found.select("_raw", "_confirms", "title", "season", "year", "target_match", "category", tx.title_of_clean(F.col("title")).alias("normalized_title"))
+
+    def companies(rows: DataFrame) -> DataFrame:
+        named = rows.select(F.col("company").alias("_raw"), tx.company_of_clean(tx.clean_text(F.col("company"))).alias("company"))
+        return named.withColumn("_company", tx.key_of_clean(F.col("company")))
+
+    rows = postings.withColumn("_sure", F.col("source_confirms"))
+    rows = judged_once(rows, {"title": "_raw", "source_confirms": "_confirms"}, titles).withColumnRenamed("_sure", "source_confirms")
+    rows = judged_once(rows, {"company": "_raw"}, companies)
+    rows = judged_once(rows, {"locations": "_raw"}, lambda r: r.select(F.col("locations").alias("_raw"), tx.normalize_locations(F.col("locations")).alias("locations")))
+    url = F.col("canonical_apply_url")
+    rows = rows.withColumn("canonical_apply_url", ux.canonical_url(F.col("apply_url")))
+    rows = rows.withColumns({"_scheme": ux.scheme(url), "_host": ux.host(url), "_path": ux.path(url), "_query": ux.query(url)})
+    parts = ("_company", "normalized_title", F.coalesce("season", F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit(""))
+    return rows.withColumns({
+        "posting_key": F.concat_ws("|", "source", "source_id"), "family_key": F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24),
+        "identity": ux.identity_of(F.col("_scheme"), F.col("_host"), F.col("_path"), F.col("_query"), F.col("source"), F.col("source_id")),
+    }).drop("_scheme", "_host", "_path", "_query", "_company")
+
+
 def from_view(view: DataFrame) -> DataFrame:
     """Postings of the fixture view; a registry's rows are list-scoped.
 
     The view's largest table is one file with one row group, so its rows are dealt out before
-    the projection, which costs far more than the shuffle.
+    links are taken apart, which costs far more than the shuffle.
     """
     dealt = view.repartition(int(view.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
-    return normalize_postings(dealt.select("source", "source_id", "source_mode", "company", "title", F.array("loc1", "loc2").alias("locations"), "apply_url", "posted_at", "first_seen_at", "last_seen_at", "active", (F.col("source_mode") == "registry").alias("source_confirms"), F.when(~F.col("active"), F.col("last_seen_at")).alias("removed_at")))
+    rows = dealt.select("source", "source_id", "source_mode", "company", "title", F.array("loc1", "loc2").alias("locations"), "apply_url", "posted_at", "first_seen_at", "last_seen_at", "active", (F.col("source_mode") == "registry").alias("source_confirms"), F.when(~F.col("active"), F.col("last_seen_at")).alias("removed_at"))
+    return normalize_by_value(rows)
 
 
 def is_default_target(match: Column) -> Column:

@@ -168,3 +168,15 @@ def test_lifecycle_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     got = jobs.drained(spark, jobs.posting_lifecycle(stream), "l", "append", f"file:{tmp_path}").collect()
     assert sorted((r["at"].hour, r.posting_key, r.change) for r in got) == [(0, "a", "seen"), (0, "b", "seen"), (1, "b", "pending"), (3, "a", "pending"), (3, "b", "removed"), (4, "a", "removed"), (4, "b", "seen")]
+
+
+def test_judging_distinct_values_changes_no_row(spark):
+    from jobtide.operators import postings as ops
+    from jobtide.sources.fixtures import view
+
+    rows = view(spark, "/root/testdata/sf0.001", "fx_postings").limit(500).select("source", "source_id", "source_mode", "company", "title", F.array("loc1", "loc2").alias("locations"), "apply_url", (F.col("source_mode") == "registry").alias("source_confirms"))
+    empty = rows.limit(3).withColumns({k: F.lit(None).cast("string") for k in ("title", "company", "apply_url")})
+    rows = spark.createDataFrame(rows.unionByName(empty).collect(), rows.schema)
+    a, b = ops.normalize_postings(rows), ops.normalize_by_value(rows)
+    columns = sorted(a.columns)
+    assert columns == sorted(b.columns) and sorted(map(str, a.select(columns).collect())) == sorted(map(str, b.select(columns).collect()))
