@@ -223,10 +223,10 @@ def string_minima(rows: np.ndarray, ids: np.ndarray, place: int) -> np.ndarray:
 
 
 def sampled(docs: DataFrame) -> np.ndarray:
-    """Leading bytes of one suffix of each of at most about SAMPLE documents, drawn by hash."""
+    """Leading bytes of one suffix of each of at most about SAMPLE rows, drawn by hash; rows that repeat are drawn one by one."""
     raw, h, size = F.encode("text", "UTF-8"), F.xxhash64("doc_id", "text"), F.octet_length("text")
     every = -(-docs.count() // SAMPLE) or 1
-    lead = docs.filter((size > LEAD) & (F.pmod(h, F.lit(every)) == 0)).select(F.substring(raw, (F.pmod(F.xxhash64(h), size - LEAD) + 1).cast("int"), F.lit(LEAD)).alias("lead"))
+    lead = docs.filter((size > LEAD) & (F.pmod(F.xxhash64(h, F.monotonically_increasing_id()), F.lit(every)) == 0)).select(F.substring(raw, (F.pmod(F.xxhash64(h), size - LEAD) + 1).cast("int"), F.lit(LEAD)).alias("lead"))
     return np.array([bytes(x) for x in lead.toPandas().lead], f"S{LEAD}")
 
 

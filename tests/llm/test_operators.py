@@ -501,3 +501,10 @@ def test_audio_features():
     assert table["start_ms"].to_pylist()[0] == 0
     spans = eval(table.schema.metadata[b"segments_ms"])
     assert len(spans) == 1 and spans[0][0] == 0 and abs(spans[0][1] - 800) < 60
+
+
+def test_the_sample_of_suffixes_is_bounded_in_rows(spark, monkeypatch):
+    """One row many times over is no reason to draw it as often."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 100)
+    docs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 100).alias("text"))
+    assert 20 < len(suffix_dedup.sampled(docs)) < 300
