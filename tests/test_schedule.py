@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions import text as tx
 from jobtide.operators import dates, feed, providers, ranks, schedule
+from jobtide.plans import schedule as plans
 from jobtide.sources import ingest, publish
 
 
@@ -85,3 +86,20 @@ def test_places_within_a_hot_key(spark):
 
 def test_stable_shard_takes_eight_bytes(spark):
     assert spark.createDataFrame([("greenhouse:1",)], "s string").select(tx.stable_shard(F.col("s"), 7)).first()[0] == 0
+
+
+def test_promotion_keeps_every_opening_of_a_family(spark):
+    kind = "family_key string, openings array<struct<identity string, source_mode string, verification_mode string>>"
+    rows = [("f", [("a", "verification", None), ("b", "registry", None), ("c", "direct", None), ("d", "direct", "employer-page")]), ("g", []), ("h", None)]
+    got = {r.family_key: (list(map(tuple, r.openings)), r.direct_openings, r.backstop_openings) for r in schedule.promoted(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"f": ([("a", "direct", "employer-page"), ("b", "registry", None), ("c", "direct", None), ("d", "direct", "employer-page")], 3, 1), "g": ([], 0, 0), "h": ([], 0, 0)}
+
+
+def test_the_query_of_promotions_gives_a_row_for_each_opening(spark):
+    postings = [("1", "a", "f", "verification"), ("2", "a", "f", "registry"), ("3", "b", "f", "direct"), ("4", "c", "g", "registry")]
+    frames = {"postings": spark.createDataFrame(postings, "posting_key string, identity string, family_key string, source_mode string")}
+    frames["fold_applications"] = frames["postings"].filter("posting_key <> '2'")
+    got = {(r.part, r.posting_key): tuple(r)[4:] for r in plans.RUNS["promote_verified_openings"](frames.get).collect()}
+    feed = {"1": ("direct", "employer-page", 2, 0, 1), "3": ("direct", None, 2, 0, 1), "4": ("registry", None, 0, 1, 0)}
+    whole = {"1": ("direct", "employer-page", 2, 1, 1), "2": ("registry", None, 2, 1, 1), "3": ("direct", None, 2, 1, 1), "4": ("registry", None, 0, 1, 0)}
+    assert got == {("feed", k): v for k, v in feed.items()} | {("inventory", k): v for k, v in whole.items()}
