@@ -28,6 +28,19 @@ from .components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LIMIT = 3
+#: Hashes whose bits are spread at once.
+VOTES = 1 << 18
+
+
+def voted(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One fingerprint for each run of `size` hashes: the bits set in over half of them; bits are spread a part at a time."""
+    votes, owner = np.zeros((len(size), 64), np.int64), np.repeat(np.arange(len(size)), size)
+    for at in range(0, len(hashes), VOTES):
+        part = owner[at : at + VOTES]
+        bits = np.unpackbits(hashes[at : at + VOTES].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        votes[part[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > size[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def fingerprint_texts(texts: list[str], shingle: int = 3) -> np.ndarray:
@@ -45,14 +58,7 @@ def fingerprint_texts(texts: list[str], shingle: int = 3) -> np.ndarray:
         hashes.extend([digest(g, 42) for g in grams])
         sizes.append(len(hashes) - n)
     size = np.array(sizes, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(size)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = (np.cumsum(size) - size)[some]
-        votes = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * votes > size[some, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return voted(np.array(hashes, np.uint64), size)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
