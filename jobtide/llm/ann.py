@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of TABLES tables hashes a vector by Gaussian projections with cells so wide that every
-projection has two of them, which meet at the sample's centre; a bucket is the row of its cells.
-A query visits those buckets of a table whose perturbed projections have the smallest expected sum
-of squared distances to the cells' edge, which is the order of estimated success. How many it visits is
+Each of TABLES tables hashes a vector by groups of Gaussian projections. A projection's cells are its two
+ends, and a group's cell is the end that the vector lies farthest out in, seen from the sample's centre; a bucket is the
+row of its groups' cells. Near vectors share such an end far oftener than others do, where halves of a projection that meet at the
+centre hold as many of the others, so fewer of these are seen, and their share falls faster as the table grows.
+A query visits those buckets of a table whose cells have the smallest expected sum of distances
+to its own farthest, which is the order of estimated success. How many it visits is
 measured, not set: for TRIALS vectors of the sample the true neighbours are searched among all vectors, and the
 fewest probes count that would have shown a share of RECALL of them. Candidates of all tables are merged and reranked
 by exact Euclidean distance in double precision. The centre comes from a sample of at most SAMPLE
 vectors (those with the smallest hashes of their ids); every vector is indexed.
 
-Only ids and bucket numbers travel through the index: candidates meet their vectors in shards of
-about SHARD vectors, to which each query's vector goes once.
+Only ids and bucket numbers travel through the index: a query meets a bucket as one row with the list of its vectors, so
+pairs are never rows. Candidates meet their vectors in shards of about SHARD vectors, to which a query's vector goes
+once, or once for each batch of its lists.
 
 Equal vectors enter the index once, so a very common vector fills no bucket; a class hands on
 its least members, as many as a result can hold. Buckets over CHUNK vectors are dealt to
@@ -25,12 +28,12 @@ result; extra input columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,67 +43,85 @@ from .common import table, written
 TABLES, SAMPLE, CHUNK, SHARD = 24, 2000, 4096, 8192
 #: Vectors of the sample whose true neighbours are searched, the share of these that the probes must show, and the most probes a table.
 TRIALS, RECALL, PROBES = 128, 0.95, 8192
+#: A table has the fewest groups whose cells, 2^GROUP_BITS at most, give its buckets; two at least.
+GROUP_BITS = 9
 
 
-def bits_for(n: int) -> int:
-    """Projections a table: buckets grow with the root of the number of vectors, from 2^13 for 500 on."""
-    return int(np.ceil(13 + 0.5 * np.log2(max(n, 500) / 500)))
+def bits_for(n: int) -> float:
+    """Binary digits of a table's number of buckets: as many buckets as vectors, near where probes and pairs together are fewest."""
+    return float(np.log2(max(n, 500)))
 
 
 def likeliest(costs: np.ndarray, n: int) -> np.ndarray:
-    """(up to n, len(costs)) sets of places, by ascending sums of the ascending costs; the empty set first."""
-    out, heap = [()], [(costs[0], (0,))]
-    while heap and len(out) < n:
-        total, places = heapq.heappop(heap)
-        out.append(places)
-        last = places[-1]
-        if last + 1 < len(costs):
-            step = costs[last + 1]
-            heapq.heappush(heap, (total + step, (*places, last + 1)))
-            heapq.heappush(heap, (total + step - costs[last], (*places[:-1], last + 1)))
-    chosen = np.zeros((len(out), len(costs)), bool)
-    for row, places in zip(chosen, out):
-        row[list(places)] = True
+    """(up to n, groups) places of cells, one a group, by ascending sums of the ascending costs (groups, cells).
+
+    Costs in one dimension are those of the second cell of groups that have two.
+    """
+    costs = np.asarray(costs, float)
+    if costs.ndim == 1:
+        costs = np.stack([np.zeros(len(costs)), costs], axis=1)
+    total, chosen = np.zeros(1), np.zeros((1, 0), int)
+    for group in costs:
+        # The n best of all groups so far start with some of the n best of those before.
+        sums = (total[:, None] + group).ravel()
+        best = np.argsort(sums, kind="stable")[:n]
+        total, chosen = sums[best], np.column_stack([chosen[best // len(group)], best % len(group)])
     return chosen
 
 
 class Hashes:
     """The tables' projections, from a bounded sample, and the order of perturbations."""
 
-    def __init__(self, sample: np.ndarray, bits: int, probes: int = PROBES, seed: int = 5):
+    def __init__(self, sample: np.ndarray, bits: float, probes: int = PROBES, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.centre, self.bits = sample.mean(axis=0), bits
-        self.a = rng.standard_normal((sample.shape[1], TABLES * bits))
-        # The expected squares of the 1st, 2nd, ... smallest of so many normal distances.
-        self.flips = likeliest((np.sort(np.abs(rng.standard_normal((4000, bits))), axis=1) ** 2).mean(axis=0), min(probes, 2**bits))
+        self.centre, self.groups = sample.mean(axis=0), max(2, int(np.ceil(bits / GROUP_BITS)))
+        size, self.n = sample.shape[1], max(1, round(2 ** (bits / self.groups) / 2))
+        # Gaussian projections, made orthogonal and of one length as far as the dimensions reach, so no cell is larger than others.
+        turned = [np.linalg.qr(rng.standard_normal((size, min(size, self.n - at))))[0] for _ in range(TABLES * self.groups) for at in range(0, self.n, size)]
+        self.a = np.concatenate(turned, axis=1).reshape(size, TABLES, self.groups, self.n).transpose(1, 2, 0, 3)
+        # The expected distance from the farthest of so many normal projections, of two sides each, to the 2nd, 3rd, ... farthest.
+        drawn = rng.standard_normal((2000, self.n))
+        far = -np.sort(-np.concatenate([drawn, -drawn], axis=1), axis=1).mean(axis=0)
+        self.flips = likeliest(np.tile(far[0] - far, (self.groups, 1)), probes)
 
     def fitted(self, q: np.ndarray, x: np.ndarray, recall: float = RECALL) -> Hashes:
         """Keeps the fewest probes that show the share `recall` of the pairs q[i], x[i]; all if none suffice."""
         if len(q):
-            at = self.places(q)
-            apart = (at >= 0) != (self.places(x) >= 0)
-            # The perturbation that leads from q to x, in the order of the edges' distances.
-            ordered = np.take_along_axis(apart, np.argsort(np.abs(at), axis=2, kind="stable"), axis=2)
-            place = {int(m): i for i, m in enumerate((self.flips << np.arange(self.bits)).sum(axis=1))}
-            masks = (ordered << np.arange(self.bits)).sum(axis=2)
-            first = np.sort([min(place.get(int(m), PROBES) for m in row) for row in masks])
+            place = {m: i for i, m in enumerate(map(tuple, self.flips.tolist()))}
+            first = np.full(len(q), PROBES)
+            for t in range(TABLES):
+                # How many cells lie before that of x, seen from q: the perturbation that leads from q to x.
+                ranks = []
+                for at, of in zip(self.places(q, t), self.places(x, t)):
+                    ranks.append((at > np.take_along_axis(at, of.argmax(axis=1)[:, None], axis=1)).sum(axis=1))
+                first = np.minimum(first, [place.get(m, PROBES) for m in zip(*(r.tolist() for r in ranks))])
+            first.sort()
             self.flips = self.flips[: int(first[int(np.ceil(recall * len(first))) - 1]) + 1]
         return self
 
-    def places(self, x: np.ndarray) -> np.ndarray:
-        """(n, TABLES, bits) distances from the cells' edge."""
-        return ((x - self.centre) @ self.a).reshape(-1, TABLES, self.bits)
+    def places(self, x: np.ndarray, t: int) -> list[np.ndarray]:
+        """For each group of a table, (n, cells): how far out the vectors lie on each side of each projection."""
+        return [np.concatenate([at, -at], axis=1) for at in ((x - self.centre) @ a for a in self.a[t])]
+
+    def _numbers(self, cells: list[np.ndarray]) -> np.ndarray:
+        """A bucket's number from its cells, one a group."""
+        number = np.zeros_like(cells[0], dtype=np.int64)
+        for cell in cells:
+            number = number * 2 * self.n + cell
+        return number
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(n, TABLES) numbers."""
-        return ((self.places(x) >= 0) << np.arange(self.bits)).sum(axis=2)
+        parts = [x[at : at + 4096] for at in range(0, max(len(x), 1), 4096)]
+        return np.concatenate([np.stack([self._numbers([at.argmax(axis=1) for at in self.places(part, t)]) for t in range(TABLES)], axis=1) for part in parts])
 
     def probes(self, x: np.ndarray) -> np.ndarray:
         """(n, TABLES, probes) buckets, likeliest first."""
-        at = self.places(x)
-        own = ((at >= 0) << np.arange(self.bits)).sum(axis=2)
-        nearest_edge = np.argsort(np.abs(at), axis=2, kind="stable")
-        return own[..., None] ^ ((1 << nearest_edge) @ self.flips.T.astype(np.int64))
+        out = []
+        for t in range(TABLES):
+            order = [np.argsort(-at, axis=1, kind="stable") for at in self.places(x, t)]
+            out.append(self._numbers([o[:, r] for o, r in zip(order, self.flips.T)]))
+        return np.stack(out, axis=1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -193,12 +214,12 @@ def true_pairs(classes: DataFrame, q: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def candidates(classes: DataFrame, ask: DataFrame, hashes, tasks: int) -> DataFrame:
-    """(q, rep), with repeats, of the vectors that the tables show to each query."""
+    """(q, shards, reps): a row for each bucket, or part of one, that a query visits, with all its vectors (rep) and their shards."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"rep": b.rep, "buckets": list(hashes.value.buckets(_stack(b.vec)))})
+                yield pd.DataFrame({"rep": b.rep, "shard": b["shard"], "buckets": list(hashes.value.buckets(_stack(b.vec)))})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,14 +228,34 @@ def candidates(classes: DataFrame, ask: DataFrame, hashes, tasks: int) -> DataFr
                 b = batch[at : at + step]
                 yield pd.DataFrame({"q": b.q, "buckets": list(hashes.value.probes(_stack(b.vec)).reshape(len(b), -1))})
 
-    indexed = classes.select("rep", "vec").mapInPandas(index, "rep long, buckets array<long>").select("rep", F.posexplode("buckets").alias("tab", "bucket"))
+    key = ["tab", "bucket", "part"]
+    indexed = classes.select("rep", "shard", "vec").mapInPandas(index, "rep long, shard long, buckets array<long>").select("rep", "shard", F.posexplode("buckets").alias("tab", "bucket"))
     probes = ask.select("q", "vec").repartition(tasks, "q").mapInPandas(probe, "q long, buckets array<long>").select("q", F.posexplode("buckets").alias("nth", "bucket"))
     probes = probes.select("q", F.floor(F.col("nth") / hashes.value.flips.shape[0]).cast("int").alias("tab"), "bucket")
     hot = indexed.groupBy("tab", "bucket").count().filter(F.col("count") > CHUNK).select("tab", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
-    dealt = indexed.join(hot, ["tab", "bucket"], "left").select("tab", "bucket", "rep", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"))
+    dealt = indexed.join(hot, ["tab", "bucket"], "left").select("tab", "bucket", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.struct("shard", "rep").alias("one"))
+    dealt = dealt.groupBy(*key).agg(F.collect_list("one").alias("all"))
     asked = probes.join(hot, ["tab", "bucket"], "left").select("tab", "bucket", "q", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return dealt.join(asked, ["tab", "bucket", "part"]).select("q", "rep")
+    return dealt.join(asked, key).select("q", F.col("all.shard").alias("shards"), F.col("all.rep").alias("reps"))
+
+
+def by_shard(shown: DataFrame) -> DataFrame:
+    """(q, shard, reps): what was shown to a query, without repeats, for each shard; a query shown very much has several rows a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = np.repeat(b.column("q").to_numpy(), np.diff(b.column("reps").offsets.to_numpy()))
+                rows = np.stack([q, *(b.column(name).flatten().to_numpy() for name in ("shards", "reps"))])
+                rows = rows[:, np.lexsort(rows[::-1])]
+                new = np.diff(rows, axis=1, prepend=rows[:, :1] - 1) != 0
+                rows, new = rows[:, new.any(axis=0)], new[:2].any(axis=0)[new.any(axis=0)]
+                starts = np.flatnonzero(new)
+                reps = pa.ListArray.from_arrays(pa.array(np.append(starts, rows.shape[1]), pa.int32()), pa.array(rows[2]))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0, starts]), pa.array(rows[1, starts]), reps], ["q", "shard", "reps"])
+
+    return shown.repartition("q").sortWithinPartitions("q").mapInArrow(run, "q long, shard long, reps array<long>")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -231,10 +272,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n, asked = classes.count(), ask.count()
     hashes = spark.sparkContext.broadcast(Hashes(few, bits_for(n)).fitted(*true_pairs(classes, few[:TRIALS], k)))
     shards = max(12, -(-n // SHARD))
-    shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard")
-    pairs = candidates(classes, ask, hashes, max(12, asked // 2048)).groupBy("q", shard).agg(F.collect_set("rep").alias("reps"))
-    asks = pairs.join(ask.withColumnRenamed("q", "own"), F.col("q") == F.col("own")).select("shard", "query_id", "vec", "reps")
-    found = classes.select("rep", "vec", shard).groupBy("shard").cogroup(asks.groupBy("shard")).applyInPandas(_reranked(k + 1), FOUND)
+    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)))
+    asks = by_shard(candidates(dealt, ask, hashes, max(12, asked // 2048))).join(ask.withColumnRenamed("q", "own"), F.col("q") == F.col("own")).select("shard", "query_id", "vec", "reps")
+    found = dealt.groupBy("shard").cogroup(asks.groupBy("shard")).applyInPandas(_reranked(k + 1), FOUND)
     found = written(found.dropDuplicates(["query_id", "rep"]), "ann")
     enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k + 1, n)).select("query_id")
     short = written(ask.join(enough, "query_id", "left_anti"), "ann")

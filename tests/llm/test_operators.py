@@ -394,6 +394,42 @@ def test_ann_recall_does_not_fall_with_the_table(n):
     assert shown >= 0.92 * 10 * 100
 
 
+def test_ann_shows_few_of_many_vectors():
+    """Of 50,000 vectors a query's buckets show less than a tenth (a sixth before), and less than 7,000 with repeats (10,050 before)."""
+    x = np.random.default_rng(1).standard_normal((50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ask = x[: ann.TRIALS]
+    best = np.argsort(-(ask @ x.T), axis=1)[:, 1:11]
+    hashes = ann.Hashes(x[: ann.SAMPLE], ann.bits_for(len(x))).fitted(np.repeat(ask, 10, axis=0), x[best.ravel()])
+    index, probes = hashes.buckets(x), hashes.probes(x[-50:])
+    shown = np.array([[np.isin(index[:, t], p[t]) for t in range(ann.TABLES)] for p in probes])
+    assert shown.any(axis=1).mean() < 0.1 and shown.sum() < 7_000 * 50
+
+
+def test_ann_candidates_are_a_row_a_bucket(spark):
+    """A query meets a group of similar vectors as rows of lists; before, each of its pairs was a row. All are handed on, once a shard."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    x[500:] = x[0] + rng.standard_normal((1000, 16)) / 1e4
+    classes = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "rep long, shard long, vec array<double>")
+    ask = classes.filter("rep >= 500 and rep % 100 = 0").select(F.col("rep").alias("q"), "vec")
+    hashes = ann.Hashes(x, ann.bits_for(len(x)))
+    hashes.flips = hashes.flips[:40]
+    index, want = hashes.buckets(x), {}
+    for q in range(500, 1500, 100):
+        meets = np.array([np.isin(index[:, t], p) for t, p in enumerate(hashes.probes(x[q : q + 1])[0])])
+        want[q] = (set(np.flatnonzero(meets.any(axis=0)).tolist()), int(meets.sum()))
+    shown = ann.candidates(classes, ask, spark.sparkContext.broadcast(hashes), 2)
+    rows = shown.collect()
+    assert sum(len(r.reps) for r in rows) == sum(n for _, n in want.values()) > 10 * len(rows)
+    assert all(s == i % 3 for r in rows for s, i in zip(r.shards, r.reps))
+    handed = {}
+    for r in ann.by_shard(shown).collect():
+        assert len(set(r.reps)) == len(r.reps) and all(i % 3 == r["shard"] for i in r.reps)
+        handed.setdefault(r.q, set()).update(r.reps)
+    assert handed == {q: ids for q, (ids, _) in want.items()}
+
+
 def test_language_id(spark, none):
     rng = random.Random(4)
     sets = {"aa": "abcde", "bb": "vwxyz", "cc": "mnopq"}
