@@ -194,8 +194,8 @@ def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, fl
         for texts in batches:
             yield pd.DataFrame(judged(texts, hasher, shared.value), columns=["lang_pred", "score"])
 
-    judge = F.pandas_udf(tidy(run), schema)
-
+    # Else a filter on what it gives would judge every text a second time, in workers of its own.
+    judge = F.pandas_udf(tidy(run), schema).asNondeterministic()
     return docs.withColumn("_judged", judge(text_of())).withColumns({lang_col: F.col("_judged.lang_pred"), score_col: F.col("_judged.score")}).drop("_judged")
 
 

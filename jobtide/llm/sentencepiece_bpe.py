@@ -40,6 +40,8 @@ MARK = "▁"
 LONG = 400
 #: Distinct chunks, and their characters, kept by a task; beyond it the store starts anew, results do not change.
 KEPT, KEPT_CHARS = 200_000, 4_000_000
+#: Characters of texts that are coded together; their results leave the task before the next are coded.
+PORTION = 500_000
 #: Texts that a model with another kind or normalisation encodes differently.
 PROBES = ("  Two  spaces ", "ﬁ Ａ① é e\u0301", "\t\n \u00a0", "▁x▁▁", "𝒳漢字", "aaaa bbbb unbelievable")
 
@@ -232,10 +234,10 @@ class Bpe:
 
 
 class Coder:
-    """A model with a bounded store of chunks: ids as text, their count, their bytes."""
+    """A model with a bounded store of chunks: ids as text and, where it decodes, their bytes."""
 
-    def __init__(self, model: str):
-        self.bpe, self.store, self.chars = Bpe(model), {}, 0
+    def __init__(self, model: str, decodes: bool = True):
+        self.bpe, self.store, self.chars, self.decodes = Bpe(model), {}, 0, decodes
         self.names = [str(i) for i in range(self.bpe.size)]
 
     def learn(self, chunks: set[str]) -> None:
@@ -247,31 +249,44 @@ class Coder:
         for at in range(0, len(fresh), 40_000):
             part = fresh[at : at + 40_000]
             ids, cut = self.bpe.encode_chunks(part)
-            text, raw = [self.names[i] for i in ids], [self.bpe.piece_bytes[i] for i in ids]
-            self.store.update((c, (" ".join(text[a:b]), b"".join(raw[a:b]))) for c, a, b in zip(part, cut, cut[1:]))
+            text, raw = [self.names[i] for i in ids], [self.bpe.piece_bytes[i] for i in ids] if self.decodes else []
+            of = ((" ".join(text[a:b]), b"".join(raw[a:b])) if self.decodes else " ".join(text[a:b]) for a, b in zip(cut, cut[1:]))
+            self.store.update(zip(part, of))
 
-    def __call__(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids as decimal text with the end id, decoded text) of each text."""
+    def __call__(self, texts: list[str]) -> list[tuple[str, str | None]]:
+        """(ids as decimal text with the end id, decoded text or None) of each text."""
         split = [[p for c in CHUNK.findall(" " + t.replace(MARK, " ")) for p in ((c,) if len(c) <= LONG else self.bpe.cut(c))] if t else [] for t in texts]
         self.learn(set().union(*split))
         out = []
         for chunks in split:
             got = [self.store[c] for c in chunks]
+            if not self.decodes:
+                out.append((" ".join([*got, str(self.bpe.end)]), None))
+                continue
             out.append((" ".join([*[g[0] for g in got], str(self.bpe.end)]), b"".join([g[1] for g in got]).decode("utf-8", "replace").removeprefix(" ")))
         return out
 
 
-def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids (decimal, joined by spaces, end id last), decoded text, n_tokens."""
+def coded(coder: Coder, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The results of the batches, portion by portion, so that a task never holds those of a whole batch."""
+    for batch in batches:
+        ids, at = batch.doc_id.astype("Int64"), 0
+        for part in portions(batch.text.tolist(), PORTION):
+            both = coder(part)
+            out = {"doc_id": ids[at : at + len(part)], "n_tokens": [i.count(" ") + 1 for i, _ in both], "ids": [i for i, _ in both]}
+            yield pd.DataFrame(out | ({"decoded": [d for _, d in both]} if coder.decodes else {}))
+            at += len(part)
+
+
+def encode(docs: DataFrame, model: str | None = None, decodes: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by spaces, end id last) and, unless `decodes` is false, the decoded text."""
     model = model or default_model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(model)
-        for batch in batches:
-            both = [x for part in portions(batch.text.tolist(), 1_000_000) for x in coder(part)]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_tokens": [ids.count(" ") + 1 for ids, _ in both], "ids": [ids for ids, _ in both], "decoded": [d for _, d in both]})
+        yield from coded(Coder(model, decodes), batches)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(tidy(run), "doc_id long, n_tokens long, ids string, decoded string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return rows.mapInPandas(tidy(run), "doc_id long, n_tokens long, ids string" + ", decoded string" * decodes)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

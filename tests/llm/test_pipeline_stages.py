@@ -4,6 +4,7 @@ import random
 
 
 import corpus_pipeline
+from jobtide.llm import sentencepiece_bpe
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -103,3 +104,36 @@ def test_stages_on_no_rows_and_on_nulls(spark):
             assert {r.n_chars for r in rows if (r.text or "").startswith("[")} == {3009}
         if name == "language_id":
             assert all((r.text or "").strip() for r in rows)
+
+
+def test_a_filter_on_the_language_judges_texts_once(spark):
+    docs = spark.createDataFrame([row(i, f"{'the quick brown fox' if i % 2 else 'le renard brun rapide'} {i}", lang="en" if i % 2 else "fr") for i in range(40)], COLUMNS)
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.lang) for r in kept.collect()) == [(i, "en" if i % 2 else "fr") for i in range(40)]
+
+
+def test_secrets_are_redacted_without_python_on_executors(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([row(1, "password: abcdefgh12345678 end"), row(2, "none")], COLUMNS)
+    docs.write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(spark.sparkContext, "pythonExec", str(tmp_path / "no-python"))
+    got = corpus_pipeline.redact_secrets(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "[SECRET] end"), (2, "none")]
+
+
+def test_tokens_leave_a_task_portion_by_portion(spark):
+    import pandas as pd
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_model())
+    texts = [f"number {i} of several long texts, é 漢字 " * 3000 for i in range(18)] + [""]
+    given = pd.DataFrame({"doc_id": range(19), "text": texts})
+    for decodes in (True, False):
+        frames = list(sentencepiece_bpe.coded(sentencepiece_bpe.Coder(sentencepiece_bpe.default_model(), decodes), iter([given])))
+        assert len(frames) > 2 and max(len(f) for f in frames) < 10
+        out = pd.concat(frames)
+        assert out.doc_id.tolist() == list(range(19)) and out.n_tokens.tolist() == [len(sp.encode(t)) + 1 for t in texts]
+        assert out.ids.tolist() == [" ".join(map(str, [*sp.encode(t), 2])) for t in texts]
+        assert (out.decoded.tolist() == texts) if decodes else "decoded" not in out
+    got = corpus_pipeline.tokenize(spark, spark.createDataFrame([row(i, t) for i, t in enumerate(texts[-2:])], COLUMNS), "")
+    assert got.columns == ["doc_id", "n_tokens", "ids"] and sorted(r.ids for r in got.collect()) == sorted(" ".join(map(str, [*sp.encode(t), 2])) for t in texts[-2:])
