@@ -83,7 +83,8 @@ def links(classes: DataFrame) -> DataFrame:
     own = lambda d, base: (slot == base) & (d == 0) | (F.bit_count(d) == 1) & (d == F.expr(f"shiftleft(1L, cast(shiftrightunsigned(l.variant, 32) as int) - {base})")) & (slot >= base) & (slot < base + 32)
     once = F.when(F.bit_count(low) <= 1, own(low, 0)).otherwise(own(high, 32))
     near = (F.col("l.variant") == F.col("r.variant")) & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= LIMIT) & once
-    return index.alias("l").join(index.alias("r"), near).select(F.col("l.first").alias("a"), F.col("r.first").alias("b"))
+    # Spark sizes the index as the classes before they were exploded, and would broadcast 64 rows for each of them.
+    return index.hint("merge").alias("l").join(index.hint("merge").alias("r"), near).select(F.col("l.first").alias("a"), F.col("r.first").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

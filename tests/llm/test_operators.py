@@ -174,6 +174,13 @@ def test_links_find_every_pair(spark):
     assert sorted(pairs) == sorted((i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3)
 
 
+def test_the_exploded_index_is_not_broadcast(spark):
+    # Spark takes the index for as small as the classes it is exploded from, 64 times too small.
+    classes = spark.range(3000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("first"))
+    plan = simhash.links(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (102, 100), (7, 7)] + [(200, 200 + i) for i in range(1, 50)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
