@@ -3,8 +3,10 @@
 import random
 
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from jobtide.llm import sentencepiece_bpe
+from jobtide.llm import common, near_copies, secret_scan, sentencepiece_bpe
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -137,3 +139,27 @@ def test_tokens_leave_a_task_portion_by_portion(spark):
         assert (out.decoded.tolist() == texts) if decodes else "decoded" not in out
     got = corpus_pipeline.tokenize(spark, spark.createDataFrame([row(i, t) for i, t in enumerate(texts[-2:])], COLUMNS), "")
     assert got.columns == ["doc_id", "n_tokens", "ids"] and sorted(r.ids for r in got.collect()) == sorted(" ".join(map(str, [*sp.encode(t), 2])) for t in texts[-2:])
+
+
+def test_a_blob_with_its_salts_is_not_broadcast(spark):
+    # Spark sizes the exploded rows as one a blob.
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, blob string")
+    found = spark.createDataFrame([("a", [(0, 3)])], "blob string, cuts array<struct<start:long,end:long>>")
+    met = secret_scan.with_blobs(rows, found, F.col("doc_id"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.doc_id, r.cuts is None) for r in met.collect()) == [(1, False), (2, True)]
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def written(df, purpose, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df, purpose, **options)
+
+    monkeypatch.setattr(near_copies, "written", written)
+    docs = spark.createDataFrame([row(i, f"one two three four five six {i % 3}") for i in range(9)], COLUMNS)
+    assert len({r.root for r in near_copies.near_copies(docs).collect()}) == 3
+    keyed = [p for p in plans if "lead" in p and "band" in p and "Generate posexplode" in p]
+    assert keyed and not any("BroadcastHashJoin" in p for p in keyed)
