@@ -267,26 +267,31 @@ class Coder:
         return out
 
 
-def coded(coder: Coder, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The results of the batches, portion by portion, so that a task never holds those of a whole batch."""
+def coded(coder: Coder, batches: Iterator[pd.DataFrame], checks: bool = False) -> Iterator[pd.DataFrame]:
+    """The results of the batches, portion by portion, so that a task never holds those of a whole batch.
+
+    With `checks`, ids that decode to another text than was given (spaces stand for marks) are an error.
+    """
     for batch in batches:
         ids, at = batch.doc_id.astype("Int64"), 0
         for part in portions(batch.text.tolist(), PORTION):
             both = coder(part)
+            if checks and (wrong := [at + n for n, (t, (_, d)) in enumerate(zip(part, both)) if d != t.replace(MARK, " ")]):
+                raise ValueError(f"the ids of document {ids[wrong[0]]} do not give its text back")
             out = {"doc_id": ids[at : at + len(part)], "n_tokens": [i.count(" ") + 1 for i, _ in both], "ids": [i for i, _ in both]}
             yield pd.DataFrame(out | ({"decoded": [d for _, d in both]} if coder.decodes else {}))
             at += len(part)
 
 
-def encode(docs: DataFrame, model: str | None = None, decodes: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by spaces, end id last) and, unless `decodes` is false, the decoded text."""
+def encode(docs: DataFrame, model: str | None = None, checks: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by spaces, end id last) and the decoded text, held against the given one where `checks` is set."""
     model = model or default_model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from coded(Coder(model, decodes), batches)
+        yield from coded(Coder(model), batches, checks)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(tidy(run), "doc_id long, n_tokens long, ids string" + ", decoded string" * decodes)
+    return rows.mapInPandas(tidy(run), "doc_id long, n_tokens long, ids string, decoded string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,17 @@ def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
     assert len({r.root for r in near_copies.near_copies(docs).collect()}) == 3
     keyed = [p for p in plans if "lead" in p and "band" in p and "Generate posexplode" in p]
     assert keyed and not any("BroadcastHashJoin" in p for p in keyed)
+
+
+def test_tokens_are_decoded_and_held_against_the_text(spark, monkeypatch):
+    import pandas as pd
+    import pytest
+
+    docs = spark.createDataFrame([row(1, "a  b é 漢字"), row(2, None), row(3, "x▁y")], COLUMNS)
+    got = corpus_pipeline.tokenize(spark, docs, "")
+    assert "decoded" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3]
+    coder = sentencepiece_bpe.Coder(sentencepiece_bpe.default_model())
+    coder.bpe.piece_bytes = [b"?"] * coder.bpe.size
+    with pytest.raises(ValueError, match="document 7"):
+        list(sentencepiece_bpe.coded(coder, iter([pd.DataFrame({"doc_id": [7], "text": ["words"]})]), checks=True))
