@@ -180,3 +180,24 @@ def test_judging_distinct_values_changes_no_row(spark):
     a, b = ops.normalize_postings(rows), ops.normalize_by_value(rows)
     columns = sorted(a.columns)
     assert columns == sorted(b.columns) and sorted(map(str, a.select(columns).collect())) == sorted(map(str, b.select(columns).collect()))
+
+
+def test_few_values_are_met_without_a_shuffle_of_the_rows(spark):
+    from jobtide.operators import postings as ops
+
+    rows = spark.range(50).selectExpr("'greenhouse:1' as source", "string(id) as source_id", "'direct' as source_mode", "'Acme' as company", "concat('Intern ', id % 3) as title", "array('Rome') as locations", "concat('https://acme.com/', id) as apply_url", "false as source_confirms")
+    got = ops.normalize_by_value(rows)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 50 and {r.title for r in got.collect()} == {"Intern 0", "Intern 1", "Intern 2"}
+
+
+def test_stored_families_carry_no_list_of_openings(spark):
+    rows = frame(spark, posting("1"), posting("2", mode="registry", source="registry:x"), posting("3", identity="b", mode="verification", posted=None, title="An Intern"), posting("4", identity="c", mode="verification-lead"))
+    whole = dialect.apply("build_families", spark, fold_applications=dialect.apply("fold_applications", spark, postings=rows)).drop("openings")
+    brief = dialect.apply("families", spark, brief_applications=dialect.apply("brief_applications", spark, postings=rows))
+    assert brief.columns == whole.columns and brief.collect() == whole.collect() and brief.count() == 1
+
+
+def test_a_table_is_stored_once(spark):
+    first, again = (dialect.frame(spark, "/root/testdata/sf0.001", "postings").inputFiles() for _ in range(2))
+    assert sorted(first) == sorted(again)
